@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from webstrata.llm.decontaminate import op1_decontaminate
+from webstrata.llm.language_id import op4_language
 from webstrata.llm.sentencepiece_codec import op6_sentencepiece
 from webstrata.llm.token_counts import op2_token_counts
 from webstrata.llm.toxicity import op8_toxicity
@@ -10,6 +11,7 @@ from webstrata.llm.toxicity import op8_toxicity
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
+    "op4_language": op4_language,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_toxicity": op8_toxicity,
 }

@@ -1,8 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are binary: words, word stems (first 4 and 5 bytes), pairs of neighbours and pairs with one word between, each
-hashed into ``BUCKETS``. The fit uses at most about ``FIT_ROWS`` labelled rows, chosen by a hash of the id, in ``SHARDS``
-shards of bounded size; each shard runs ``EPOCHS`` passes of FTRL-proximal with per-coordinate rates, and the shards'
+hashed into ``BUCKETS``. The fit uses at most about ``FIT_ROWS`` labelled rows, chosen by a hash of the id, in up to
+``SHARDS`` shards of ``FIT_ROWS / SHARDS`` rows; each shard runs ``EPOCHS`` passes of FTRL-proximal with per-coordinate rates, and the shards'
 weights are averaged (a weight that is zero in a shard counts as zero). The L1 term leaves few weights, which are
 broadcast: at most ``BUCKETS`` pairs, whatever the corpus.
 
@@ -26,8 +26,8 @@ from webstrata.llm._common import ascii_words, fold, hashed_share, map_slices, r
 BUCKETS = 1 << 20
 FIT_ROWS = 16_000
 SHARDS = 4
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 0.6, 0.5
+EPOCHS = 4
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.0
 HELD_OUT_FOLDS = 5
 
 
@@ -82,7 +82,8 @@ def fit_shard(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> tup
 def fit(labelled: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", rows: int = FIT_ROWS, shards: int = SHARDS, epochs: int = EPOCHS) -> DataFrame:
     """Weights as rows (bucket, weight) from labelled texts; see the module for the bound."""
     own = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where("label is not null")
-    share = sample_share(own.count(), rows)
+    n = own.count()
+    share, shards = sample_share(n, rows), max(1, min(shards, n * shards // rows))
     sample = own.where(hashed_share("id", share)).withColumn("shard", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(shards)).cast("int"))
 
     def learn(rows_: pd.DataFrame) -> pd.DataFrame:
