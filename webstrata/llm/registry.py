@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from webstrata.llm.decontaminate import op1_decontaminate
 from webstrata.llm.language_id import op4_language
+from webstrata.llm.log_bilinear import op10_log_bilinear
 from webstrata.llm.sentencepiece_codec import op6_sentencepiece
 from webstrata.llm.token_counts import op2_token_counts
 from webstrata.llm.toxicity import op8_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_language": op4_language,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_toxicity": op8_toxicity,
+    "op10_log_bilinear": op10_log_bilinear,
 }
 
 ORACLES: dict[str, str] = {}
