@@ -83,14 +83,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage: the rows are kept in the shared folder, so a lost executor costs nothing."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def written(df: DataFrame, *, name: str = "table") -> DataFrame:
-    """Like ``cut``, but as compressed Parquet in the shared folder, for wide rows that are read several times."""
+    """Compute once and cut the lineage: the rows lie as Parquet in the shared folder, so a lost executor costs nothing."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from webstrata.llm.bag_minhash import op9_bag_minhash
 from webstrata.llm.decontaminate import op1_decontaminate
 from webstrata.llm.language_id import op4_language
 from webstrata.llm.log_bilinear import op10_log_bilinear
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_language": op4_language,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_toxicity": op8_toxicity,
+    "op9_bag_minhash": op9_bag_minhash,
     "op10_log_bilinear": op10_log_bilinear,
 }
 
