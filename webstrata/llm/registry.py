@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from webstrata.llm.bag_minhash import op9_bag_minhash
+from webstrata.llm.chat_format import op7_chat_format
 from webstrata.llm.decontaminate import op1_decontaminate
 from webstrata.llm.language_id import op4_language
 from webstrata.llm.log_bilinear import op10_log_bilinear
+from webstrata.llm.pii_surrogates import op5_pii_surrogates
 from webstrata.llm.sentencepiece_codec import op6_sentencepiece
 from webstrata.llm.token_counts import op2_token_counts
 from webstrata.llm.toxicity import op8_toxicity
@@ -14,7 +16,9 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
     "op4_language": op4_language,
+    "op5_pii_surrogates": op5_pii_surrogates,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_chat_format": op7_chat_format,
     "op8_toxicity": op8_toxicity,
     "op9_bag_minhash": op9_bag_minhash,
     "op10_log_bilinear": op10_log_bilinear,
