@@ -5,13 +5,63 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from webstrata.llm._common import model_path, read, shared_folder
+from webstrata.llm import toxicity as tox
+from webstrata.llm.bag_minhash import FEW_IDS, near_duplicates
 from webstrata.llm.decontaminate import remove_spans
+from webstrata.llm.pii_surrogates import replace
 from webstrata.llm.sentencepiece_codec import encode_decode
-from webstrata.llm.toxicity import fit, labelled_documents, score
+from webstrata.llm._common import model_path, read, shared_folder
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    """n_chars as the text now is."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score under 0.5 stay. The model learns from the labelled documents of the input."""
+    weights = tox.fit(tox.labelled_documents(docs, read(spark, sf_dir, "labels"), "toxic"))
+    kept = [c for c in docs.columns]
+    return tox.score(docs, weights, keep=kept, out="__toxicity").where(F.col("__toxicity") < 0.5).select(*kept)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class stays: that with the smallest id. Documents without an id stay."""
+    classes = near_duplicates(docs)
+    gone = classes.where(~F.col("kept")).select("doc_id")
+    few = gone.count() <= FEW_IDS  # otherwise the ids are joined by shuffle
+    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    if docs.where("doc_id is not null").count() > classes.count():  # some id comes up more than once
+        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    return left.select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut out; documents that are mostly such passages go."""
+    return _sized(remove_spans(docs, read(spark, sf_dir, "benchmark")))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data get surrogates."""
+    return _sized(replace(docs))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (little-endian unsigned 32-bit integers, with begin and end), their number, and the text they decode to."""
+    rest = [c for c in docs.columns if c != "text"]
+    coded = encode_decode(docs, model_path("piece_bpe_32k.model"), keep=rest)
+    return coded.select(*rest, F.col("decoded").alias("text"), "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"))
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("pii", pii),
+    ("sentencepiece", sentencepiece),
+]
 
 #: Models and tokenizers are not SQL: the stages are tested against brute force.
 ORACLE_SQL = None

@@ -8,6 +8,7 @@ from webstrata.llm.decontaminate import op1_decontaminate
 from webstrata.llm.language_id import op4_language
 from webstrata.llm.log_bilinear import op10_log_bilinear
 from webstrata.llm.pii_surrogates import op5_pii_surrogates
+from webstrata.llm.quality_divergence import op3_quality_divergence
 from webstrata.llm.sentencepiece_codec import op6_sentencepiece
 from webstrata.llm.token_counts import op2_token_counts
 from webstrata.llm.toxicity import op8_toxicity
@@ -15,6 +16,7 @@ from webstrata.llm.toxicity import op8_toxicity
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
+    "op3_quality_divergence": op3_quality_divergence,
     "op4_language": op4_language,
     "op5_pii_surrogates": op5_pii_surrogates,
     "op6_sentencepiece": op6_sentencepiece,

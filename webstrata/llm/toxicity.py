@@ -94,8 +94,8 @@ def fit(labelled: DataFrame, *, id_col="doc_id", text_col="text", label_col="tox
     return sample.groupBy("shard").applyInPandas(learn, "bucket int, weight double").groupBy("bucket").agg((F.sum("weight") / shards).alias("weight"))
 
 
-def score(docs: DataFrame, weights: DataFrame, *, id_col="doc_id", text_col="text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (the id if none are given) and ``score``: the model's probability of label 1."""
+def score(docs: DataFrame, weights: DataFrame, *, id_col="doc_id", text_col="text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
+    """The kept columns (the id if none are given) and the model's probability of label 1, as column ``out``."""
     found = weights.toPandas()  # at most BUCKETS + 1 rows, by construction
     table = np.zeros(BUCKETS, np.float32)
     inner = found[found.bucket >= 0]
@@ -121,9 +121,9 @@ def score(docs: DataFrame, weights: DataFrame, *, id_col="doc_id", text_col="tex
         pairs = np.unique(owner[live].astype(np.int64) << 20 | buckets[live])  # a feature counts once in a text
         total = bias + np.bincount(pairs >> 20, weights=table[pairs & (BUCKETS - 1)], minlength=len(texts))
         columns = [part.column(c) for c in range(part.num_columns) if part.schema.names[c] != "__text"]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], names=[*keep, "score"])
+        return pa.RecordBatch.from_arrays([*columns, pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], names=[*keep, out])
 
-    return map_slices(own, "__text", f"{schema}, score double", run)
+    return map_slices(own, "__text", f"{schema}, `{out}` double", run)
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
