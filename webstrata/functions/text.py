@@ -9,6 +9,7 @@ import urllib.parse
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Java's \s with Unicode white space.
 _SPACE = r"(?U)\s+"
@@ -21,7 +22,7 @@ def clean_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, _SPACE, " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_search(text: pd.Series) -> pd.Series:
     """Percent escapes and entities undone, NFKC, case folded, underscores and white space as single spaces."""
 
@@ -34,7 +35,7 @@ def normalize_search(text: pd.Series) -> pd.Series:
     return text.map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def absolute_link(raw: pd.Series, base: pd.Series) -> pd.Series:
     """A link as found in a page, without quotes and closing punctuation, resolved against the page's URL."""
 
