@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("relational", "corpus")
+MODULES: tuple[str, ...] = ("relational", "corpus", "collection")
 
 
 def load_all() -> None:
