@@ -68,8 +68,8 @@ def nearest(rows: DataFrame, id_col: str, vector: str, query: list[float], k: in
 
 def links_by_bands(rows: DataFrame, id_col: str, vector: str, size: int, least: float) -> DataFrame:
     """(a, b, similarity) of vectors that share a bucket; equal vectors are one node first."""
-    nodes = rows.groupBy(vector).agg(F.min(id_col).alias("node"))
-    banded = nodes.select("node", F.col(vector).alias("v"), F.explode(bands(F.col(vector), size)).alias("b")).select("node", "v", "b.*")
+    nodes = rows.groupBy(F.col(vector).alias("vec")).agg(F.min(id_col).alias("node"))
+    banded = nodes.withColumn("b", F.explode(bands(F.col("vec"), size))).select("node", F.col("vec").alias("v"), "b.*")
     a, b = (banded.select(F.col("node").alias(n), F.col("v").alias(f"v{n}"), "band", "bucket") for n in "ab")
     return a.join(b, ["band", "bucket"]).where("a < b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity")).distinct().where(F.col("similarity") >= least)
 
