@@ -49,6 +49,28 @@ def map_slices(
     return docs.mapInArrow(run, schema)
 
 
+def whole_groups(batches, keys: list[str], rows: int = 20_000) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows that hold complete groups, from batches that are sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            last = {k: batch.column(k)[-1] for k in keys}
+            same = np.ones(batch.num_rows, bool)
+            for k in keys:
+                same &= pc.equal(batch.column(k), last[k]).to_numpy(zero_copy_only=False)
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if cut:
+                yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
+                held, n = [batch.slice(cut)], batch.num_rows - cut
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def fold(id_col: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``: the fold that a document belongs to."""
     return F.crc32(F.col(id_col).cast("string").cast("binary") if isinstance(id_col, str) else id_col) % folds

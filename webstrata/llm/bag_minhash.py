@@ -9,10 +9,10 @@ raised and the rest made, so the result does not depend on the limit. Work is li
 
 Links. Documents with equal shingle multisets are one text. Texts that agree in a band of the signature are candidates.
 Candidates are never all paired: in each bucket every text is first compared with one central text (that with the
-largest buckets); then, round by round, texts outside a bucket's largest component are compared with more of its texts in
-other components, those with the most similar signatures first, until every pair in every bucket that may still join
-two components (signature agreement of at least ``ESTIMATE``) has been compared. A comparison is exact: the overlap of
-the two multisets, at least ``THRESHOLD``. Components get the smallest document id as class id.
+largest buckets) of those it meets, the one with the most similar signature; then texts outside a bucket's largest
+component are compared with all its texts in other components, until every pair in every bucket that may still join two
+components (signatures agree in 3.5 standard deviations less than the threshold) has been compared. A comparison is exact:
+the overlap of the two multisets, at least ``THRESHOLD``. Components get the smallest document id as class id.
 
 Words are runs of letters, digits and non-ASCII characters, in lower case; a shingle has five words, a shorter text one
 shingle of all its words. Texts without words (null, empty) are each a class of their own. Repeated ids count as one document.
@@ -24,20 +24,17 @@ from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.llm._common import ascii_words, map_slices, read, texts_of, written
+from webstrata.llm._common import ascii_words, map_slices, read, texts_of, whole_groups, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
 COMPONENTS = 128
 ROWS = 4
 BANDS = COMPONENTS // ROWS
-#: Signature agreement below which a similarity of THRESHOLD is out of question (3.5 standard deviations).
-ESTIMATE = 0.8 - 3.5 * (0.8 * 0.2 / COMPONENTS) ** 0.5
 #: Rows of a bucket that one task compares at a time; larger buckets are dealt to several tasks.
 BLOCK = 4096
 #: Ids that are sent to all tasks to pick out rows; more are joined by shuffle.
@@ -268,34 +265,88 @@ def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(nodes.join(merged.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label")), name="labels")
 
 
-def candidate_rounds(members: DataFrame, firsts: int, upto: int, estimate: float) -> DataFrame:
-    """New pairs (a, b) to compare, from members (key, id, sig, label, major): each text outside its bucket's largest
-    component with those of its bucket in other components whose signatures agree most, ranks ``firsts`` to ``upto``.
-
-    A bucket with more than BLOCK rows is dealt to several tasks; the texts outside its largest component go to each.
+def _live_pairs(rows: pa.Table, estimate: float):
+    """Blocks of pairs (asking row, other row, agreement) of one bucket part, with different labels, enough agreement of
+    their signatures, and this band as the first in which they agree, so that each pair comes up once."""
+    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, COMPONENTS)
+    number = lambda c: rows.column(c).to_numpy()
+    key, block, ids, label, asks, band = (number(c) for c in ("key", "block", "id", "label", "asks", "band"))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(key)))
+    group = np.repeat(np.arange(len(begin)), size)
+    ask = np.flatnonzero(asks)
+    width = size[group[ask]]
+    at = 0
+    while at < len(ask):
+        to = max(at + 1, int(np.searchsorted(np.cumsum(width[at:]), 100_000, side="right")) + at)
+        q = np.repeat(ask[at:to], width[at:to])
+        offset = np.arange(len(q)) - np.repeat(np.cumsum(width[at:to]) - width[at:to], width[at:to])
+        r = begin[group[q]] + offset
+        # two texts that both ask meet twice; their own rows (not asking) are in one block each
+        on = ~asks[r] & (label[q] != label[r]) & (ids[q] != ids[r])
+        q, r = q[on], r[on]
+        if len(q):
+            same = sig[q] == sig[r]
+            agree = np.count_nonzero(same, axis=1) / COMPONENTS
+            on = agree >= estimate
+            q, r, same, agree = q[on], r[on], same[on], agree[on]
+            on = same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[q]
+            if on.any():
+                yield q[on], r[on], agree[on]
+        at = to
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block")
+
+
+def residual_links(members: DataFrame, sets: DataFrame, threshold: float, estimate: float) -> DataFrame:
+    """Links (a, b) between components that share a bucket. members: (key, band, id, sig, label, major, size).
+
+    In each bucket the texts outside its largest component ask all its texts. Rows without a pair that may still link are
+    dropped first, by signatures; the others get their multisets, and pairs are compared from the most similar on. A pair whose
+    components are joined already within the task is left out. A bucket with more than BLOCK texts is dealt to several
+    tasks; those that ask go to each. Tasks hand on links, at most one for each of their rows.
     """
     sized = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    rows = sized.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False))
-    asks = sized.where("label <> major").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
+    cols = ["key", "block", "band", "id", "sig", "label", "asks"]
+    own = sized.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False))
+    ask = sized.where("label <> major").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
     kind = members.schema["id"].dataType.simpleString()
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        ask, row = rows[rows.asks], rows[~rows.asks]
-        sig = np.stack([np.frombuffer(s, np.uint8) for s in row.sig]) if len(row) else np.zeros((0, COMPONENTS), np.uint8)
-        out_a, out_b = [], []
-        ids, labels = row.id.to_numpy(), row.label.to_numpy()
-        for x, label, s in zip(ask.id, ask.label, ask.sig, strict=True):
-            agree = (sig == np.frombuffer(s, np.uint8)).mean(1) if len(row) else np.zeros(0)
-            agree[ids == x] = -1
-            order = np.lexsort((ids, -agree))[firsts:upto]
-            order = order[(agree[order] >= estimate) & (labels[order] != label)]
-            out_a += [x] * len(order)
-            out_b += ids[order].tolist()
-        return pd.DataFrame({"a": out_a, "b": out_b}).astype({"a": rows.id.dtype, "b": rows.id.dtype})
-
-    cols = ["key", "block", "id", "sig", "label", "asks"]
-    pairs = rows.select(cols).unionByName(asks.select(cols)).groupBy("key", "block").applyInPandas(compare, f"a {kind}, b {kind}")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    fields = f"key long, block int, band int, id {kind}, sig binary, label {kind}, asks boolean"
+
+    def live(batches):
+        for rows in whole_groups(batches, ["key", "block"]):
+            keep = np.zeros(rows.num_rows, bool)
+            for q, r, _ in _live_pairs(rows, estimate):
+                keep[q] = keep[r] = True
+            if keep.any():
+                yield from rows.filter(pa.array(keep)).to_batches()
+
+    def compare(batches):
+        for rows in whole_groups(batches, ["key", "block"], 4_000):
+            ids, label, packed = rows.column("id").to_pylist(), rows.column("label").to_pylist(), rows.column("set")
+            parent: dict = {}
+
+            def root(x, parent=parent):
+                while parent.get(x, x) != x:
+                    x = parent[x]
+                return x
+
+            a, b = [], []
+            for q, r, agree in _live_pairs(rows, estimate):
+                for k in np.argsort(-agree, kind="stable").tolist():
+                    x, y = root(label[q[k]]), root(label[r[k]])
+                    if x != y and overlap(np.frombuffer(packed[int(q[k])].as_py(), "<u8"), np.frombuffer(packed[int(r[k])].as_py(), "<u8")) >= threshold:
+                        parent[max(x, y)] = min(x, y)
+                        a.append(ids[q[k]])
+                        b.append(ids[r[k]])
+            yield pa.RecordBatch.from_arrays([pa.array(a, rows.schema.field("id").type), pa.array(b, rows.schema.field("id").type)], names=["a", "b"])
+
+    kept = written(_dealt(own.select(cols).unionByName(ask.select(cols))).mapInArrow(live, fields), name="live")
+    return _dealt(kept.join(sets, "id").select(*cols, "set")).mapInArrow(compare, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", threshold: float = THRESHOLD) -> DataFrame:
@@ -305,7 +356,7 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", thresh
     # one text for each multiset
     texts = signed.where("fp is not null").groupBy("fp").agg(F.min("id").alias("text"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
     texts = written(texts, name="texts")
-    bands = texts.select(F.explode("keys").alias("key"), F.col("text").alias("id"))
+    bands = texts.select(F.posexplode("keys").alias("band", "key"), F.col("text").alias("id"))
     sizes = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = written(bands.join(sizes, "key"), name="members")
     weight = members.groupBy("id").agg(F.sum(F.log2("size")).alias("weight"))
@@ -326,16 +377,13 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", thresh
     pairs = rated.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
     sets = written(multisets(docs.where(F.col(id_col).isNotNull()), weight.select("id"), id_col=id_col, text_col=text_col), name="sets")
     labels = components(verify(pairs, sets, threshold))
-    done = 0
-    for upto in (8, 1 << 40):
-        held = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        # the largest component of each bucket with two components or more
-        parts = held.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("major"), F.count("*").alias("parts"))
-        split = held.join(parts.where("parts > 1"), "key").join(sig, "id")
-        links = written(verify(candidate_rounds(split, done, upto, estimate), sets, threshold), name="links")
-        if not links.isEmpty():
-            labels = joined_labels(labels, links)
-        done = upto
+    held = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    # the largest component of each bucket with two components or more
+    parts = held.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("major"), F.count("*").alias("parts"))
+    split = held.join(parts.where("parts > 1"), "key").join(sig, "id")
+    links = written(residual_links(split, sets, threshold, estimate), name="links")
+    if not links.isEmpty():
+        labels = joined_labels(labels, links)
     classes = texts.select("fp", "text").join(labels.select(F.col("id").alias("text"), "label"), "text", "left").select("fp", F.coalesce("label", "text").alias("label"))
     joined = signed.select("id", "fp").join(classes, "fp", "left").select("id", F.coalesce("label", "id").alias("label")).groupBy("id").agg(F.min("label").alias("label"))
     joined = written(joined, name="joined")
