@@ -240,6 +240,7 @@ def test_pii_collisions(spark):
     assert [(r.value, r.attempt) for r in odd] == [(a, 1)]
     got = {r.doc_id: r.text for r in ps.replace(docs).collect()}
     assert a not in got[1] and b not in got[1] and got[1].split()[1] == got[3].split()[1].rstrip(".")
+    assert {r.doc_id: r.text for r in ps.replace(docs, few=0).collect()} == got  # exceptions by join
 
 
 def test_pii_clean_text_stays(spark):

@@ -93,17 +93,10 @@ PLACE = {c: (a, k) for a, chars in reversed(list(enumerate(ALPHABETS))) for k, c
 HEX = "0123456789abcdef"
 
 
-def permute(text: str, key: bytes, tweak: str, alphabets: dict[str, tuple[int, int]] = PLACE, chars: list[str] = ALPHABETS) -> str:
-    """A keyed permutation of the texts with the same character classes at the same places."""
-    at = [k for k, c in enumerate(text) if c in alphabets]
-    if not at:
-        return text
-    classes = [alphabets[text[k]][0] for k in at]
-    values = [alphabets[text[k]][1] for k in at]
-    sizes = [len(chars[c]) for c in classes]
-    half = len(at) // 2
-    sides = (range(half), range(half, len(at))) if half else (range(0), range(len(at)))
-    form = (tweak + "\0" + "".join(map(chr, (65 + c for c in classes))) + "\0" + "".join(c for c in text if c not in alphabets)).encode("utf-8", "replace")
+def _rounds(values: list[int], sizes: list[int], key: bytes, form: bytes) -> list[int]:
+    """A keyed permutation of the number lists whose k-th number lies below ``sizes[k]``; ``form`` is the tweak."""
+    values, half = list(values), len(values) // 2
+    sides = (range(half), range(half, len(values))) if half else (range(0), range(len(values)))
     for r in range(ROUNDS):
         mine, other = sides[r % 2], sides[1 - r % 2]
         seed = form + bytes([r]) + struct.pack(f"<{len(other)}I", *(values[k] for k in other))
@@ -113,6 +106,19 @@ def permute(text: str, key: bytes, tweak: str, alphabets: dict[str, tuple[int, i
             n += 1
         for j, k in enumerate(mine):
             values[k] = (values[k] + int.from_bytes(stream[4 * j : 4 * j + 4], "little")) % sizes[k]
+    return values
+
+
+def permute(text: str, key: bytes, tweak: str, alphabets: dict[str, tuple[int, int]] = PLACE, chars: list[str] = ALPHABETS) -> str:
+    """A keyed permutation of the texts with the same character classes at the same places."""
+    at = [k for k, c in enumerate(text) if c in alphabets]
+    if not at:
+        return text
+    classes = [alphabets[text[k]][0] for k in at]
+    values = [alphabets[text[k]][1] for k in at]
+    sizes = [len(chars[c]) for c in classes]
+    form = tweak + "\0" + "".join(map(chr, (65 + c for c in classes))) + "\0" + "".join(c for c in text if c not in alphabets)
+    values = _rounds(values, sizes, key, form.encode("utf-8", "replace"))
     out = list(text)
     for k, c, v in zip(at, classes, values, strict=True):
         out[k] = chars[c][v]
@@ -138,21 +144,31 @@ def _card(value: str, key: bytes) -> str:
     return "".join(next(made) if c.isdigit() else c for c in value)
 
 
-def _network(n: int) -> int:
-    a, b = n >> 24, n >> 16 & 255
+def _network(octets: list[int]) -> int:
+    a, b = octets[:2]
     return 1 if a == 10 or (a == 172 and 16 <= b < 32) or (a == 192 and b == 168) else 2 if a == 127 else 3 if a == 0 or a >= 224 or (a == 169 and b == 254) else 0
 
 
 def _address(value: str, key: bytes) -> str:
-    n = kind = int.from_bytes(bytes(map(int, value.split("."))), "big")
-    kind = _network(n)
+    """Every octet keeps its number of digits; the leading octets that make up a special network stay in it."""
+    octets = [int(x) for x in value.split(".")]
+    a, b = octets[:2]
+    kind = _network(octets)
+    spans = [range(0, 10) if len(x) == 1 else range(10, 100) if len(x) == 2 else range(100, 256) for x in map(str, octets)]
+    if kind:
+        spans[0] = range(224, 256) if a >= 224 else range(a, a + 1)
+        if a in (169, 192):
+            spans[1] = range(b, b + 1)
+        elif a == 172:
+            spans[1] = range(16, 32)
+    form = repr((kind, *((x.start, x.stop) for x in spans))).encode()
+    free = [k for k, x in enumerate(spans) if len(x) > 1]
     while True:  # walk the cycle until the class is the same: still a permutation within the class
-        left, right = n >> 16, n & 65535
-        for r in range(ROUNDS):
-            left, right = right, left ^ int.from_bytes(blake2b(struct.pack("<BH", r, right), key=key[:64], digest_size=2).digest(), "little")
-        n = left << 16 | right
-        if _network(n) == kind:
-            return ".".join(map(str, n.to_bytes(4, "big")))
+        moved = _rounds([octets[k] - spans[k].start for k in free], [len(spans[k]) for k in free], key, form)
+        for k, v in zip(free, moved, strict=True):
+            octets[k] = spans[k].start + v
+        if _network(octets) == kind:
+            return ".".join(map(str, octets))
 
 
 def _name(value: str, gender: str, key: bytes) -> str:
@@ -235,36 +251,45 @@ def exceptions(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     return (own if moved is None else moved).where("attempt > 0")
 
 
-def replace(docs: DataFrame, *, text_col="text", key: bytes = KEY, checked: bool = True, counts: bool = False) -> DataFrame:
-    """The documents with all entities replaced; with ``counts`` also n_entities and a map of numbers by kind."""
+def replace(docs: DataFrame, *, text_col="text", key: bytes = KEY, checked: bool = True, counts: bool = False, few: int = FEW) -> DataFrame:
+    """The documents with all entities replaced; with ``counts`` also n_entities and a map of numbers by kind.
+
+    Exceptions are sent to all tasks if they are measured to be at most ``few``; more are joined to the rows that hold them.
+    """
     spark, names = docs.sparkSession, docs.columns
     at = names.index(text_col)
     moved: dict[tuple[str, str, str], int] = {}
+    own = docs
     if checked:
         odd = exceptions(detect(docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), id_col="id"), key)
-        n = odd.count()
-        if n > FEW:
-            raise ValueError(f"{n} entities collide: use a longer key schedule, or split the corpus by kind")
-        moved = {(r.kind, r.value, r.gender): r.attempt for r in odd.collect()}
+        if odd.count() <= few:
+            moved = {(r.kind, r.value, r.gender): r.attempt for r in odd.collect()}
+        else:
+            rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), name="rows")
+            held = detect(rows, id_col="__row", text_col=text_col).select("__row", "kind", "value", "gender").distinct().join(odd, ["kind", "value", "gender"])
+            lists = held.groupBy("__row").agg(F.collect_list(F.struct("kind", "value", "gender", "attempt")).alias("__moved"))
+            own = rows.join(lists, "__row", "left").drop("__row")
     shared = spark.sparkContext.broadcast(moved)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        moved, texts, numbers = shared.value, part.column(at).to_pylist(), []
+        texts, numbers = part.column(at).to_pylist(), []
+        lists = part.column("__moved").to_pylist() if "__moved" in part.schema.names else [None] * len(texts)
         for k, text in enumerate(texts):
-            found = find(text or "")
-            for kind, b, e, gender in reversed(found):
+            moved = shared.value if lists[k] is None else {(x["kind"], x["value"], x["gender"]): x["attempt"] for x in lists[k]}
+            found, pieces, last = find(text or ""), [], 0
+            for kind, b, e, gender in found:
                 value = text[b:e]
-                text = text[:b] + surrogate(kind, value, gender, key, moved.get((kind, value, gender), 0)) + text[e:]
-            texts[k] = text
+                pieces += [text[last:b], surrogate(kind, value, gender, key, moved.get((kind, value, gender), 0))]
+                last = e
+            texts[k] = "".join([*pieces, text[last:]]) if found else text
             numbers.append(Counter(f[0] for f in found))
-        columns = [part.column(c) if c != at else pa.array(texts, part.schema.field(at).type) for c in range(part.num_columns)]
-        if not counts:
-            return pa.RecordBatch.from_arrays(columns, schema=part.schema)
-        more = [pa.array([n.total() for n in numbers], pa.int64()), pa.array([sorted(n.items()) for n in numbers], pa.map_(pa.string(), pa.int64()))]
-        return pa.RecordBatch.from_arrays([*columns, *more], names=[*names, "n_entities", "kinds"])
+        columns = [part.column(c) if c != at else pa.array(texts, part.schema.field(at).type) for c in range(len(names))]
+        if counts:
+            columns += [pa.array([n.total() for n in numbers], pa.int64()), pa.array([sorted(n.items()) for n in numbers], pa.map_(pa.string(), pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=[*names, "n_entities", "kinds"] if counts else names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_slices(docs, text_col, fields + ", n_entities long, kinds map<string,bigint>" * counts, run)
+    return map_slices(own, text_col, fields + ", n_entities long, kinds map<string,bigint>" * counts, run)
 
 
 def op5_pii_surrogates(spark, sf_dir: str) -> DataFrame:
