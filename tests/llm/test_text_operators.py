@@ -8,6 +8,7 @@ import re
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -383,6 +384,18 @@ def test_near_duplicates_odd_rows(spark):
     assert bm.near_duplicates(empty(spark)).count() == 0
 
 
+def test_pairs_come_up_in_their_first_common_bucket():
+    sig = np.arange(bm.COMPONENTS, dtype=np.uint8).tobytes()  # all bytes agree, also in the bands before the common bucket
+    keys = {1: np.arange(bm.BANDS), 2: np.arange(bm.BANDS) + 1000}
+    keys[2][[5, 9]] = keys[1][[5, 9]]
+    found = {}
+    for band in (5, 9):
+        rows = [{"key": band, "block": 0, "band": band, "id": k, "sig": sig, "keys": keys[k].tolist(), "label": k, "asks": asks} for k, asks in ((1, False), (2, False), (2, True))]
+        table = pa.Table.from_pylist(rows)
+        found[band] = [(int(a), int(b)) for q, r, _ in bm._live_pairs(table, 0.7) for a, b in zip(q, r, strict=True)]
+    assert found == {5: [(2, 0)], 9: []}
+
+
 def test_components_of_chains(spark):
     rng = random.Random(2)
     ids = list(range(60))

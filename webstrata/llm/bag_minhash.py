@@ -25,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -267,8 +268,10 @@ def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def _live_pairs(rows: pa.Table, estimate: float):
     """Blocks of pairs (asking row, other row, agreement) of one bucket part, with different labels, enough agreement of
-    their signatures, and this band as the first in which they agree, so that each pair comes up once."""
+    their signatures, and this bucket as the first that they share, so that each pair comes up once. Shared buckets are
+    told by the bands' whole keys: bytes of signatures may agree where the texts are in no common bucket."""
     sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, COMPONENTS)
+    keys = pc.list_flatten(rows.column("keys")).to_numpy().reshape(-1, BANDS)
     number = lambda c: rows.column(c).to_numpy()
     key, block, ids, label, asks, band = (number(c) for c in ("key", "block", "id", "label", "asks", "band"))
     new = np.ones(len(key), bool)
@@ -288,11 +291,12 @@ def _live_pairs(rows: pa.Table, estimate: float):
         on = ~asks[r] & (label[q] != label[r]) & (ids[q] != ids[r])
         q, r = q[on], r[on]
         if len(q):
-            same = sig[q] == sig[r]
-            agree = np.count_nonzero(same, axis=1) / COMPONENTS
+            agree = np.count_nonzero(sig[q] == sig[r], axis=1) / COMPONENTS
             on = agree >= estimate
-            q, r, same, agree = q[on], r[on], same[on], agree[on]
-            on = same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[q]
+            q, r, agree = q[on], r[on], agree[on]
+            on = np.ones(len(q), bool)
+            for k in range(BANDS):  # band by band, as the keys of all pairs would take much memory
+                on &= (keys[q, k] != keys[r, k]) | (band[q] <= k)
             if on.any():
                 yield q[on], r[on], agree[on]
         at = to
@@ -303,7 +307,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 
 def residual_links(members: DataFrame, sets: DataFrame, threshold: float, estimate: float) -> DataFrame:
-    """Links (a, b) between components that share a bucket. members: (key, band, id, sig, label, major, size).
+    """Links (a, b) between components that share a bucket. members: (key, band, id, sig, keys, label, major, size).
 
     In each bucket the texts outside its largest component ask all its texts. Rows without a pair that may still link are
     dropped first, by signatures; the others get their multisets, and pairs are compared from the most similar on. A pair whose
@@ -311,11 +315,11 @@ def residual_links(members: DataFrame, sets: DataFrame, threshold: float, estima
     tasks; those that ask go to each. Tasks hand on links, at most one for each of their rows.
     """
     sized = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    cols = ["key", "block", "band", "id", "sig", "label", "asks"]
+    cols = ["key", "block", "band", "id", "sig", "keys", "label", "asks"]
     own = sized.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False))
     ask = sized.where("label <> major").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
     kind = members.schema["id"].dataType.simpleString()
-    fields = f"key long, block int, band int, id {kind}, sig binary, label {kind}, asks boolean"
+    fields = f"key long, block int, band int, id {kind}, sig binary, keys array<long>, label {kind}, asks boolean"
 
     def live(batches):
         for rows in whole_groups(batches, ["key", "block"]):
@@ -361,7 +365,7 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", thresh
     members = written(bands.join(sizes, "key"), name="members")
     weight = members.groupBy("id").agg(F.sum(F.log2("size")).alias("weight"))
     central = members.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("b"))
-    sig = texts.select(F.col("text").alias("id"), "sig").join(weight.select("id"), "id", "left_semi")
+    sig = texts.select(F.col("text").alias("id"), "sig", "keys").join(weight.select("id"), "id", "left_semi")
     sig = written(sig, name="sig")
     # every text with the one central text, among those of its buckets, whose signature agrees most
     first = members.join(central, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
