@@ -3,9 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+from webstrata import catalog
 from webstrata.operators import media as M
 from webstrata.operators import reviews as V
 from webstrata.operators import windows as W
+from webstrata.plans import load_all
+
+load_all()
 
 
 def test_overlay(spark):
@@ -42,6 +46,12 @@ def test_windows_cover_their_range(spark):
     assert [tuple(x)[1:] for x in W.halves(r, ["k"], "a", "b").orderBy("start").collect()][0][0] == "20010115000000" and W.halves(r, ["k"], "a", "b").count() == 2
 
 
+def test_window_parts_cover_every_order(spark):
+    sf = "/root/testdata/sf0.001"
+    keys = {r.o_orderkey for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect()}
+    assert {r.o_orderkey for r in catalog.QUERIES["window_parts"](spark, sf).select("o_orderkey").distinct().collect()} == keys
+
+
 def test_micro_windows(spark):
     rows = [(1, f"200101010000{2 * k:02}", f"200101010000{2 * k + 1:02}") for k in range(10)] + [(2, "20010101000000", "20010101000001"), (2, "20010101000002", "20010101000003")]
     got = W.joined_micro(spark.createDataFrame(rows, "k int, a string, b string"), ["k"], "a", "b").collect()
