@@ -2,10 +2,12 @@
 
 import json
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
+from webstrata import catalog
 from webstrata.functions import text as T
 from webstrata.operators import classify as C
 from webstrata.operators import extract as X
@@ -15,8 +17,11 @@ from webstrata.operators import keyword_scan as K
 from webstrata.operators import reports as R
 from webstrata.operators import shaping as S
 from webstrata.operators import vectors as V
+from webstrata.plans import load_all
 from webstrata.sources import bodies, cdx
 
+load_all()
+
 
 def one(spark, expr, **values):
     row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values))
@@ -142,6 +147,22 @@ def test_full_text(spark):
     assert FT.bm25(docs, "id", "text", ["noth"], prefix=True).first().id == 3
 
 
+def test_snapshots_are_compared_as_a_whole(spark, tmp_path):
+    head = "one\ntwo\nthree\n"
+    rows = [(1, "u", head + "four"), (2, "u", head + "changed"), (3, "v", head), (4, "u", head + "changed"), (5, None, "x"), (6, None, None)]
+    spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, source string, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.earlier, r.later): (r.similarity, r.changed) for r in catalog.QUERIES["snapshot_similarity"](spark, str(tmp_path)).collect()}
+    ratio = round(SequenceMatcher(None, rows[0][2], rows[1][2], autojunk=False).ratio(), 6)
+    assert got == {(1, 2): (ratio, True), (2, 4): (1.0, False), (5, 6): (0.0, True)}
+
+
+def test_matching_ratio_is_the_matchers():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randrange(60))) for _ in range(2))
+        assert H.matching_ratio(a, b, small=rng.choice((0, 50))) == SequenceMatcher(None, a, b, autojunk=False).ratio()
+
+
 def test_history(spark):
     rows = spark.createDataFrame([(1, "u", "a\nb"), (2, "u", "a\nb\nNEW-ID"), (3, "v", "a\nb"), (4, "u", "a\nb\nNEW-ID")], "id int, url string, text string")
     pairs = {r.later: r for r in H.with_similarity(H.snapshot_pairs(rows, "url", "id", "text")).collect()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from difflib import SequenceMatcher
 from hashlib import blake2b
 from math import log2
@@ -16,6 +18,8 @@ from webstrata.functions.text import clean_space, hamming_similarity, normalize_
 #: Line ends as text editors know them.
 LINES = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
 LISTED = 200
+#: Pairs of characters up to which a matcher by positions is quicker than an automaton.
+SMALL = 1_000_000
 
 
 def clean_lines(text: Column) -> Column:
@@ -23,22 +27,106 @@ def clean_lines(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, LINES), clean_space), lambda x: x != "")))
 
 
+def _longest_common(a: str, b: str) -> tuple[int, int, int]:
+    """(begin in a, begin in b, length) of the longest common run, the first in a and then in b; by a suffix automaton of b."""
+    nxt: list[dict[str, int]] = [{}]
+    link, length, end = [-1], [0], [0]
+    last = 0
+    for j, c in enumerate(b, 1):
+        new = len(nxt)
+        nxt.append({})
+        link.append(0)
+        length.append(j)
+        end.append(j)
+        p = last
+        while p != -1 and c not in nxt[p]:
+            nxt[p][c] = new
+            p = link[p]
+        if p != -1:
+            at = nxt[p][c]
+            if length[at] != length[p] + 1:
+                copy = len(nxt)
+                nxt.append(dict(nxt[at]))
+                link.append(link[at])
+                length.append(length[p] + 1)
+                end.append(end[at])
+                link[at] = copy
+                while p != -1 and nxt[p].get(c) == at:
+                    nxt[p][c] = copy
+                    p = link[p]
+                at = copy
+            link[new] = at
+        last = new
+    best = (0, 0, 0)
+    state = n = 0
+    for i, c in enumerate(a, 1):
+        while state and c not in nxt[state]:
+            state = link[state]
+            n = length[state]
+        state = nxt[state].get(c, 0)
+        n = n + 1 if state else 0
+        if n > best[2]:
+            best = (i - n, end[state] - n, n)
+    return best
+
+
+def matching_ratio(a: str, b: str, small: int = SMALL) -> float:
+    """SequenceMatcher's ratio without junk; stretches with more than ``small`` pairs of characters take their longest run by automaton."""
+    matched, waiting = 0, [(a, b)]
+    while waiting:
+        x, y = waiting.pop()
+        if len(x) * len(y) <= small:
+            matched += sum(m.size for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
+            continue
+        i, j, n = _longest_common(x, y)
+        if n:
+            matched += n
+            waiting += [(x[:i], y[:j]), (x[i + n :], y[j + n :])]
+    return 2.0 * matched / (len(a) + len(b)) if a or b else 1.0
+
+
 @F.pandas_udf(DoubleType())
 def character_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of characters in matching blocks, rounded half to even at six places."""
-    return pd.Series([round(SequenceMatcher(None, x, y, autojunk=False).ratio(), 6) for x, y in zip(a.fillna(""), b.fillna(""), strict=True)])
+    return pd.Series([round(matching_ratio(x, y), 6) for x, y in zip(a.fillna(""), b.fillna(""), strict=True)])
+
+
+def _neighbours(keys: DataFrame, url: str, order: str) -> DataFrame:
+    """(url, order, key, earlier, earlier_key): each key with the one before it of the same URL.
+
+    Keys are dealt by range, so a URL with many snapshots lies in several parts; the last key of each part is carried
+    over to the next. The parts are written, as a second reading could cut them elsewhere.
+    """
+    spark = keys.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="webstrata-")
+    path = f"{folder.rstrip('/')}/snapshots-{uuid.uuid4().hex}"
+    by = [url, order, "key"]
+    keys.select(*by).repartitionByRange(*by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    w = Window.partitionBy("part").orderBy(*by)
+    before = F.struct(*by)
+    ends = dealt.groupBy("part").agg(F.max(before).alias("end"))
+    ends = ends.select("part", F.lag("end").over(Window.orderBy("part")).alias("carried"))  # a row for each part
+    rows = dealt.withColumn("before", F.lag(before).over(w)).join(F.broadcast(ends), "part").withColumn("before", F.coalesce("before", "carried"))
+    rows = rows.where(F.col(url).eqNullSafe(F.col(f"before.{url}")))
+    return rows.select(*by, F.col(f"before.{order}").alias("earlier"), F.col("before.key").alias("earlier_key")).where("earlier is not null")
 
 
 def snapshot_pairs(rows: DataFrame, url: str, order: str, text: str) -> DataFrame:
-    """Each snapshot with the one before it: lines added and removed (the first of them, and their numbers)."""
-    w = Window.partitionBy(url).orderBy(order)
-    # lines are compared, so only their digests and the texts of changed pairs need to travel
-    pairs = rows.select(url, order, F.col(text).alias("later_text")).withColumns({"earlier": F.lag(order).over(w), "earlier_text": F.lag("later_text").over(w)})
-    pairs = pairs.where("earlier is not null").withColumns({"a": clean_lines(F.col("earlier_text")), "b": clean_lines(F.col("later_text"))})
+    """Each snapshot with the one before it: lines added and removed (the first of them, and their numbers).
+
+    The order is found over digests only; texts are then joined by snapshot. Equal snapshots at one place are one text.
+    """
+    key = F.sha2(F.to_json(F.struct(F.col(url).alias("u"), F.col(order).alias("o"), F.sha2(F.col(text).cast("binary"), 256).alias("d"))).cast("binary"), 256)
+    keyed = rows.select(url, order, F.col(text).alias("text"), key.alias("key"))
+    texts = keyed.groupBy("key").agg(F.first("text").alias("text"))
+    later, earlier = texts.select("key", F.col("text").alias("later_text")), texts.select(F.col("key").alias("earlier_key"), F.col("text").alias("earlier_text"))
+    pairs = _neighbours(keyed, url, order).join(later, "key").join(earlier, "earlier_key")
+    pairs = pairs.withColumns({"a": clean_lines(F.col("earlier_text")), "b": clean_lines(F.col("later_text"))})
     added, removed = F.array_except("b", "a"), F.array_except("a", "b")
     return pairs.select(
         url, "earlier", F.col(order).alias("later"), F.size(added).alias("n_added"), F.size(removed).alias("n_removed"),
-        F.slice(added, 1, LISTED).alias("added"), F.slice(removed, 1, LISTED).alias("removed"), (F.col("earlier_text") == F.col("later_text")).alias("same"), "earlier_text", "later_text",
+        F.slice(added, 1, LISTED).alias("added"), F.slice(removed, 1, LISTED).alias("removed"), F.col("earlier_text").eqNullSafe(F.col("later_text")).alias("same"), "earlier_text", "later_text",
     )
 
 
@@ -120,8 +208,6 @@ def near_links(prints: DataFrame, threshold: float = 0.9) -> DataFrame:
 
 def smallest_labels(links: DataFrame, folder: str) -> DataFrame:
     """(id, label): the smallest id of each component; labels spread along links and are written each round."""
-    import uuid
-
     spark = links.sparkSession
 
     def keep(df: DataFrame) -> DataFrame:

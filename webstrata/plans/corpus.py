@@ -130,8 +130,7 @@ def snapshot_consecutive_lines(spark, sf):
 
 @query("snapshot_similarity")
 def snapshot_similarity(spark, sf):
-    pages = snapshots(spark, sf).withColumn("text", F.substring_index("text", "\n", 3))  # the compared part of a page: its first three lines
-    return H.with_similarity(H.snapshot_pairs(pages, "url", "doc_id", "text")).select("url", "earlier", "later", "similarity", "changed")
+    return H.with_similarity(H.snapshot_pairs(snapshots(spark, sf), "url", "doc_id", "text")).select("url", "earlier", "later", "similarity", "changed")
 
 
 _APPEAR = ("stupid", "idiot", "License", "the thing")
