@@ -244,6 +244,19 @@ def test_pii_collisions(spark):
     assert {r.doc_id: r.text for r in ps.replace(docs, few=0).collect()} == got  # exceptions by join
 
 
+def test_pii_full_formats(spark, monkeypatch):
+    names = [a + b for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou"]
+    hosts = [f"192.168.{a}.{b}" for a in range(10) for b in range(10)]
+    rows = [("name", v, "m") for v in names] + [("ipv4", v, "") for v in hosts]
+    own = spark.createDataFrame(rows, "kind string, value string, gender string")
+    moved = {(r.kind, r.value, r.gender): r.attempt for r in ps.exceptions(own).collect()}
+    made = {(r[0], ps.surrogate(*r, attempt=moved.get(r, 0))) for r in rows}
+    assert len(made) == len(rows) and not made & {r[:2] for r in rows}
+    monkeypatch.setattr(ps, "MAX_ATTEMPTS", 1)
+    with pytest.raises(ValueError, match="still have colliding"):
+        ps.exceptions(own)
+
+
 def test_pii_clean_text_stays(spark):
     got = {r.doc_id: r for r in ps.op5_pii_surrogates(spark, SF).collect()}
     for k, t in texts(spark).items():

@@ -11,7 +11,10 @@ whether their check digit holds; addresses keep their network class; given names
 
 What a permutation cannot rule out is that a surrogate equals another entity that occurs in the corpus, or that two
 formats meet. So the distinct entities are checked in Spark: where a surrogate is itself an entity or comes up
-twice, the later entities by hash are permuted with a further key, until none is left. These exceptions are few; they
+twice, the later entities by hash are permuted with a further key, until none is left. After ``WIDEN_AFTER`` attempts
+the format counts as full: names and the local part of mail addresses get a further letter at each attempt, the last two
+octets of IPv4 addresses a further digit. If entities still collide after ``MAX_ATTEMPTS``, the run ends with an
+error, as no surrogate is used unchecked. These exceptions are few; they
 are sent to all tasks when measured to be at most ``FEW``, and joined by entity otherwise.
 
 Null texts stay null; texts without entities stay as they are; repeated rows give repeated rows; all columns are kept.
@@ -36,6 +39,8 @@ KEY = b"replace this key"
 ROUNDS = 6
 FEW = 200_000
 MAX_ATTEMPTS = 12
+#: Attempts within the format; later ones make the formats of names, mail addresses and IPv4 addresses wider.
+WIDEN_AFTER = 6
 
 #: Titles by gender.
 MALE = ("Mr", "Herr", "Herrn", "M", "Monsieur", "Sr", "Señor", "Don", "Signor")
@@ -179,10 +184,23 @@ def _name(value: str, gender: str, key: bytes) -> str:
     return " ".join(made)
 
 
+def _widened(kind: str, value: str, by: int) -> str:
+    if kind == "name":
+        return value + "a" * by
+    if kind == "email":
+        return value.replace("@", "a" * by + "@", 1)
+    if kind == "ipv4":
+        octets = value.split(".")
+        return ".".join([*octets[:2], *(x.rjust(min(3, len(x) + by), "1") for x in octets[2:])])
+    return value
+
+
 @lru_cache(maxsize=100_000)
 def surrogate(kind: str, value: str, gender: str = "", key: bytes = KEY, attempt: int = 0) -> str:
     """The replacement for one entity."""
     key = blake2b(key + kind.encode() + bytes([attempt]), digest_size=32).digest()
+    if attempt > WIDEN_AFTER:
+        value = _widened(kind, value, attempt - WIDEN_AFTER)
     if kind == "email":
         local, _, domain = value.partition("@")
         host, _, top = domain.rpartition(".")
@@ -236,7 +254,7 @@ def exceptions(entities: DataFrame, key: bytes = KEY) -> DataFrame:
 
     values = distinct.select(F.col("kind").alias("k"), F.col("value").alias("v")).distinct()
     moved = None
-    for _ in range(MAX_ATTEMPTS):
+    for done in range(MAX_ATTEMPTS + 1):
         now = written(made(own), name="surrogates")
         taken = now.join(values, (now.kind == values.k) & (now.made == values.v), "left_semi")
         rank = F.xxhash64("value", "gender")
@@ -246,6 +264,8 @@ def exceptions(entities: DataFrame, key: bytes = KEY) -> DataFrame:
         bad = written(bad, name="collisions")
         if bad.isEmpty():
             break
+        if done == MAX_ATTEMPTS:
+            raise ValueError(f"{bad.count()} entities still have colliding surrogates after {MAX_ATTEMPTS} further keys")
         own = own.join(bad, ["kind", "value", "gender"], "left").select("kind", "value", "gender", (F.col("attempt") + F.coalesce("again", F.lit(0))).cast("int").alias("attempt"))
         moved = own = written(own, name="attempts")
     return (own if moved is None else moved).where("attempt > 0")
