@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -45,10 +46,59 @@ def map_slices(
         for batch in batches:
             for part in slices(batch, text_col, limit):
                 yield fn(part)
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """At a task's end: hand free memory of a Python worker back to the system, as workers are kept and used again."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+class Held(dict):
+    """A table of a Python worker, emptied when its keys hold more than ``limit`` bytes."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.bytes = limit, 0
+
+    def room(self) -> None:
+        if self.bytes > self.limit:
+            self.clear()
+            self.bytes = 0
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """The name with as many underscores before it as keep it apart from those taken, whatever the case."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name = "_" + name
+    return name
+
+
+def schema_of(frame: DataFrame, *names: str) -> str:
+    """The named columns as a schema text."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in frame.select(*[F.col(f"`{n.replace('`', '``')}`") for n in names]).schema.fields)
+
+
+#: Keys sent to all tasks at most, when a few keys hold many rows each.
+HEAVY_KEYS = 20_000
+
+
+def join_counts(rows: DataFrame, counts: DataFrame, key: str, number: str, total: int) -> DataFrame:
+    """rows joined with one row of counts for each key, ``number`` being the key's rows of ``total``: frequent keys are sent to all
+    tasks (each holds more than a ``HEAVY_KEYS``-th of the rows, which bounds them), the others meet by shuffle."""
+    least = max(1000, -(-total // HEAVY_KEYS))
+    heavy = F.broadcast(counts.where(F.col(number) > least))
+    rest = rows.join(heavy.select(key), key, "left_anti").join(counts.where(F.col(number) <= least), key)
+    return rows.join(heavy, key).unionByName(rest)
+
+
 def whole_groups(batches, keys: list[str], rows: int = 20_000) -> Iterator[pa.Table]:
     """Tables of about ``rows`` rows that hold complete groups, from batches that are sorted by the keys."""
     held: list[pa.RecordBatch] = []
