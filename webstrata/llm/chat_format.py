@@ -1,13 +1,15 @@
 """Chat formatting with a grammar round trip, in column functions only.
 
 Template, for each turn: ``<|turn|>`` role ``\\n`` text ``<|end|>\\n``. The grammar has two control strings, ``<|turn|>`` and
-``<|end|>``, and the parser is deterministic: it splits after ``<|end|>\\n``, takes the role up to the first line end, and
-undoes escapes from the left.
+``<|end|>``, which count as control strings wherever they stand, as they do for a tokenizer. The parser is deterministic: it
+splits at every ``<|turn|>``, wants exactly one ``<|end|>`` and then a line end in each piece, takes the role up to the first
+line end, and undoes escapes from the left. Anything else is no conversation.
 
 Escapes: a backslash is written twice, ``<|`` as ``\\l|`` and, in roles, a line end as ``\\n``. Texts are first rendered as they
 are; the rendered conversation is parsed again and compared with its source, and turns are escaped at level 1 (all of
-the conversation) where it differs. Level 1 leaves no ``<|`` in a text, and every backslash in pairs or before l or n, so
-it always parses back; ``identical`` says so for each conversation.
+the conversation) where it differs: where a text or role holds a control string or what reads as an escape. Level 1 leaves no
+``<|`` in a text, and every backslash in pairs or before l or n, so it always parses back; ``identical`` says so for each
+conversation. So no control string is ever left inside a text or role.
 
 Rows are ordered by turn, then role and text; repeated rows are turns of their own. Null roles and texts are empty; rows
 of a null conversation form one. A conversation is one record, so its turns meet in one row; nothing else does.
@@ -49,17 +51,18 @@ def render(turns: Column, level: Column) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """Recover the turns: array of (role, text, raw), raw being the text as it stands in the format."""
-    pieces = F.split(formatted, r"<\|end\|>\n", -1)
-    bodies = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    """Recover the turns: array of (role, text, raw), raw being the text as it stands in the format; null members where a piece
+    is no turn, null where something stands before the first turn."""
+    pieces = F.split(formatted, r"<\|turn\|>", -1)
 
     def turn(piece: Column) -> Column:
-        inner = F.when(F.startswith(piece, F.lit(BEGIN)), F.substr(piece, F.lit(len(BEGIN) + 1)))
+        parts = F.split(piece, r"<\|end\|>", -1)
+        inner = F.when((F.size(parts) == 2) & (F.get(parts, F.lit(1)) == "\n") & F.contains(F.get(parts, F.lit(0)), F.lit("\n")), F.get(parts, F.lit(0)))
         role = F.substring_index(inner, "\n", 1)
         raw = F.substr(inner, F.length(role) + 2)
         return F.struct(unescape(role).alias("role"), unescape(raw).alias("text"), raw.alias("raw"))
 
-    return F.transform(bodies, turn)
+    return F.when(F.get(pieces, F.lit(0)) == "", F.transform(F.slice(pieces, 2, F.size(pieces)), turn))
 
 
 def conversations(rows: DataFrame, *, conv_col="conv_id", turn_col="turn", role_col="role", text_col="text") -> DataFrame:
@@ -93,7 +96,7 @@ def format_chats(rows: DataFrame, *, conv_col="conv_id", turn_col="turn", role_c
     sized = F.zip_with("parsed", whole, lambda t, n: F.struct((t.role == learnt_role).alias("learnt"), F.length(t.raw).alias("raw"), n.alias("size")))
     known = F.filter(sized, lambda x: x.raw.isNotNull())
     return back.select(
-        conv_col, "formatted", "level", (_plain(F.col("parsed")) == F.col("turns")).alias("identical"), _plain(F.col("parsed")).alias("parsed"),
+        conv_col, "formatted", "level", F.coalesce(_plain(F.col("parsed")) == F.col("turns"), F.lit(False)).alias("identical"), _plain(F.col("parsed")).alias("parsed"),
         F.aggregate(known, start, add).spans.alias("loss"),
     )
 
@@ -101,6 +104,19 @@ def format_chats(rows: DataFrame, *, conv_col="conv_id", turn_col="turn", role_c
 #: A conversation whose texts hold control-like strings and escapes.
 _HARD = "\\### Assistant: </turn> ok"
 
+_LOOKS = r"""(role || chr(10) || text LIKE '%<|turn|>%' OR role || chr(10) || text LIKE '%<|end|>%' OR contains(role, chr(10)) OR contains(role, '\\') OR contains(text, '\\')
+OR contains(role, '\l') OR contains(text, '\l') OR contains(role, '\n') OR contains(text, '\n'))"""
+_MORE = r"(length({0}) - length(replace({0}, '\', ''))) + (length({0}) - length(replace({0}, '<|', '|')))"
+#: The same rows in DuckDB: what conflicts is told by its strings there, not by parsing.
+OP7_SQL = f"""WITH rows AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -7, turn, role, '{_HARD}' FROM (VALUES (0, 'user'), (1, '{LEARNT_ROLE}')) v(turn, role)),
+levels AS (SELECT conv_id, max(CASE WHEN {_LOOKS} THEN 1 ELSE 0 END)::INTEGER AS level FROM rows GROUP BY conv_id),
+sized AS (SELECT r.*, level, length(role) + length(text) + {len(BEGIN) + 1 + len(END)} + level * ({_MORE.format("role")} + {_MORE.format("text")} + length(role) - length(replace(role, chr(10), ''))) AS n
+FROM rows r JOIN levels l ON r.conv_id IS NOT DISTINCT FROM l.conv_id),
+joined AS (SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = '{LEARNT_ROLE}'), '') AS loss, sum(n)::BIGINT AS formatted_chars, max(level) AS level FROM sized GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, level, true AS identical FROM joined"""
+
 
 def op7_chat_format(spark, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
