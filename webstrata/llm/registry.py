@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from webstrata.llm.bag_minhash import op9_bag_minhash
-from webstrata.llm.chat_format import op7_chat_format
-from webstrata.llm.decontaminate import op1_decontaminate
+from webstrata.llm.chat_format import OP7_SQL, op7_chat_format
+from webstrata.llm.decontaminate import OP1_SQL, op1_decontaminate
 from webstrata.llm.language_id import op4_language
 from webstrata.llm.log_bilinear import op10_log_bilinear
 from webstrata.llm.pii_surrogates import op5_pii_surrogates
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_log_bilinear": op10_log_bilinear,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op7_chat_format": OP7_SQL}
