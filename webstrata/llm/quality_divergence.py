@@ -1,26 +1,30 @@
 """Quality rules: distribution divergence, in column functions only.
 
 Each text has two histograms: of character classes within words (lower case a-z, upper case A-Z, digits, punctuation,
-symbols, other characters) and of common words (the words of ``COMMON_WORDS`` and all others). The reference of a language
-is the sum of the histograms of all its texts that pass the base rules, and then, once more, of those that also are
-within the limits of the first references. A text is compared with the references by Jensen-Shannon distance (base 2, the
-square root, 0 to 1); its distance is that to the nearest reference. It is rejected if the distance of either histogram is
-over its limit. Chance moves a small histogram by about one over the root of its size, so limits have such a term; below
-``MIN_CHARS`` or ``MIN_WORDS`` a histogram says too little and isn't held against the text. If no text passes the base
-rules there is no reference and nothing more is rejected.
+symbols, other characters) and, for each language, of that language's common words and all others. The common words of a
+language are learned: of the words that stand in at least ``COMMON_SHARE`` of its texts (words in lower case, A-Z only), the
+``COMMON_WORDS`` that stand in most of them. The reference of a language is the sum of the histograms of all its texts that
+pass the base rules, and then, once more, of those that also are within the limits of the first references.
+
+A text is compared with the references by Jensen-Shannon distance (base 2, the square root, 0 to 1). One language is taken
+for both histograms: that with the least sum of the two distances. The text is rejected if either is over its limit. Chance
+moves a small histogram by about one over the root of its size, so limits have such a term; below ``MIN_CHARS`` or
+``MIN_WORDS`` a histogram says too little, counts 0 in the sum, and isn't held against the text. If no text passes the
+base rules there is no reference and nothing more is rejected.
 
 Base rules: at least 20 words, and at most 30 % of them in 8-word windows that the text holds twice or more. Windows are
-compared by 64-bit hashes within a text.
+compared by 64-bit hashes within a text, which a text of a million words would confuse once in 10 million texts.
 
-References are the largest ``MAX_LANGS`` languages by texts. Null texts have no words and fail the base rules; so do
-empty ones. Texts with a null language are no reference. Repeated rows give repeated rows. Only the named columns are read.
+All languages have references; they are compared in blocks of ``BLOCK_LANGS``, which only bounds the size of one plan. Null
+texts have no words and fail the base rules; so do empty ones. Texts with a null language are no reference. Ties between
+words go by the word, between languages by distance alone. Repeated rows give repeated rows. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webstrata.llm._common import read, written
@@ -32,16 +36,9 @@ MAX_REPEAT_PERCENT = 30
 MIN_CHARS, MIN_WORDS = 200, 50
 #: Limits: the first number plus the second over the root of the histogram's size.
 CLASS_LIMIT, WORD_LIMIT = (0.12, 1.0), (0.12, 2.0)
-MAX_LANGS = 64
-
-#: Frequent words of four languages.
-COMMON_WORDS = (
-    "the", "of", "and", "to", "a", "in", "is", "that", "it", "was", "for", "on", "are", "as", "with",
-    "der", "die", "und", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "im", "ein",
-    "de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans",
-    "el", "y", "los", "del", "se", "las", "por", "con", "no", "para", "al", "lo", "es",
-)
-WORDS = tuple(dict.fromkeys(COMMON_WORDS))
+COMMON_SHARE, COMMON_WORDS = 0.2, 16
+BLOCK_LANGS = 32
+CLASSES = 6
 
 
 def _symbols_out(text: Column) -> Column:
@@ -50,17 +47,40 @@ def _symbols_out(text: Column) -> Column:
     return text
 
 
-def measures(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col: str | None = "lang") -> DataFrame:
-    """Per row: id, language, the base measures, and the two histograms as arrays of counts."""
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(text, SPACE + "+", -1), "")
+
+
+def _plain(text: Column) -> Column:
+    """A-Z in lower case."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def common_words(docs: DataFrame, *, text_col="text", lang_col="lang") -> dict[str, list[str]]:
+    """Common words by language, those in most texts first; at most COMMON_WORDS for each language."""
+    own = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.array_distinct(_words(_plain(F.coalesce(F.col(text_col), F.lit(""))))).alias("words")).where(F.size("words") >= MIN_BASE_WORDS)
+    seen = own.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    # no more than their mean length over COMMON_SHARE words are frequent
+    texts = own.groupBy("lang").agg(F.count("*").alias("texts"))
+    often = seen.join(texts, "lang").where(F.col("n") >= F.col("texts") * COMMON_SHARE)
+    rows = often.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("k") <= COMMON_WORDS).select("lang", "k", "word").collect()
+    out: dict[str, list[str]] = {}
+    for r in sorted(rows, key=lambda r: (r.lang, r.k)):
+        out.setdefault(r.lang, []).append(r.word)
+    return out
+
+
+def measures(docs: DataFrame, common: list[str], *, id_col="doc_id", text_col="text", lang_col: str | None = "lang") -> DataFrame:
+    """Per row: id, language, the base measures, the histogram of character classes, and the common words of any language in it."""
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
     own = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cut = own.select("id", "lang", "text", F.array_remove(F.split("text", SPACE + "+", -1), "").alias("words"), F.split("text", "\n", -1).alias("lines"))
+    cut = own.select("id", "lang", "text", _words(F.col("text")).alias("words"), F.split("text", "\n", -1).alias("lines"))
     some = F.filter("lines", lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
     n = F.size("words")
     hashes = F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))
     one = cut.select(
         "id", "lang", "text", n.cast("long").alias("n_words"), some.alias("some"), F.array_join("words", "").alias("joined"),
-        F.filter("words", lambda x: x.isin(*WORDS)).alias("common"),
+        (F.filter(F.transform("words", _plain), lambda x: x.isin(*common)) if common else F.array().cast("array<string>")).alias("common"),
         F.when(n > WINDOW, hashes).otherwise(F.array().cast("array<long>")).alias("windows"),
     )
     placed = F.transform("windows", lambda x, i: F.struct(x.alias("h"), i.alias("p")))
@@ -78,12 +98,10 @@ def measures(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col: str
     covered = F.aggregate(F.sort_array(F.transform("twice", lambda x: x.p)), begin, lambda a, p: F.struct(p.alias("last"), (a.n + F.least(F.lit(WINDOW), p - a.last)).alias("n"))).n
     classes = [F.length("joined") - F.length("rest"), F.col("upper"), F.col("digit"), F.col("mark"), F.col("symbol")]
     three = two.select("*", F.when(F.col("pairs").isNotNull(), twice).alias("twice"), upper.alias("upper"), digit.alias("digit"), mark.alias("mark"), symbol.alias("symbol"))
-    words = F.transform(F.array(*map(F.lit, WORDS)), lambda w: F.size("common") - F.size(F.array_remove("common", w)))
     return three.select(
         "id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.when(F.col("twice").isNull(), 0).otherwise(covered).cast("long").alias("n_repeat_words"),
-        F.array(*classes, F.col("word_chars") - sum(classes[1:], classes[0])).cast("array<double>").alias("classes"),
-        F.concat(words, F.array((F.col("n_words") - F.size("common")).cast("int"))).cast("array<double>").alias("word_counts"),
+        F.array(*classes, F.col("word_chars") - sum(classes[1:], classes[0])).cast("array<double>").alias("classes"), "common",
     )
 
 
@@ -91,14 +109,22 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def references(measured: DataFrame, max_langs: int = MAX_LANGS) -> list[tuple[list[float], list[float]]]:
-    """Histograms (character classes, common words) of the languages with most texts, each summing to 1."""
+def word_counts(words: list[str]) -> Column:
+    """Counts of the given words and of all others."""
+    found = F.transform(F.array(*map(F.lit, words)), lambda w: F.size("common") - F.size(F.array_remove("common", w))) if words else F.array().cast("array<int>")
+    return F.concat(found, F.array((F.col("n_words") - F.aggregate(found, F.lit(0), lambda a, x: a + x)).cast("int"))).cast("array<double>")
+
+
+def references(measured: DataFrame, common: dict[str, list[str]]) -> list[tuple[str, list[float], list[float]]]:
+    """(language, histogram of classes, histogram of its common words), each summing to 1, by language."""
     good = measured.where(F.col("lang").isNotNull())
-    n_classes, n_words = 6, len(WORDS) + 1
-    sums = [F.sum(F.get("classes", F.lit(k))).alias(f"c{k}") for k in range(n_classes)] + [F.sum(F.get("word_counts", F.lit(k))).alias(f"w{k}") for k in range(n_words)]
-    rows = good.groupBy("lang").agg(F.count("*").alias("n"), *sums).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    of_words = F.array().cast("array<double>")
+    for lang, words in common.items():
+        of_words = F.when(F.col("lang") == lang, word_counts(words)).otherwise(of_words)
+    sums = [F.sum(F.get("classes", F.lit(k))).alias(f"c{k}") for k in range(CLASSES)] + [F.sum(F.get("w", F.lit(k))).alias(f"w{k}") for k in range(COMMON_WORDS + 1)]
+    rows = good.select("lang", "classes", of_words.alias("w")).groupBy("lang").agg(*sums).collect()  # a row for each language
     share = lambda values: [v / (sum(values) or 1.0) for v in values]
-    return [(share([r[f"c{k}"] for k in range(n_classes)]), share([r[f"w{k}"] for k in range(n_words)])) for r in rows]
+    return [(r.lang, share([r[f"c{k}"] for k in range(CLASSES)]), share([r[f"w{k}"] or 0.0 for k in range(len(common.get(r.lang, [])) + 1)])) for r in sorted(rows, key=lambda r: r.lang)]
 
 
 def distance(counts: Column, total: Column, reference: list[float]) -> Column:
@@ -113,24 +139,33 @@ def distance(counts: Column, total: Column, reference: list[float]) -> Column:
     return F.sqrt(F.greatest(sum_ / (2 * math.log(2)), F.lit(0.0)))
 
 
-def rate(measured: DataFrame, known: list[tuple[list[float], list[float]]]) -> DataFrame:
+def rate(measured: DataFrame, known: list[tuple[str, list[float], list[float]]], common: dict[str, list[str]]) -> DataFrame:
     """Put to the measures: both distances to the nearest reference (null: too short, or no reference), and whether one is ``off``."""
-    nearest = lambda parts: F.least(*parts) if len(parts) > 1 else parts[0] if parts else F.lit(None).cast("double")
-    by_class = nearest([distance(F.col("classes"), F.col("word_chars"), c) for c, _ in known])
-    by_word = nearest([distance(F.col("word_counts"), F.col("n_words"), w) for _, w in known])
-    rated = measured.withColumns({
-        "class_distance": F.when(F.col("word_chars") >= MIN_CHARS, by_class),
-        "word_distance": F.when(F.col("n_words") >= MIN_WORDS, by_word),
-    })
+    none = F.lit(None).cast("struct<both:double,class_distance:double,word_distance:double>")
+    rated = measured.withColumn("best", none)
+    for at in range(0, len(known), BLOCK_LANGS):
+        found = []
+        for lang, classes, words in known[at : at + BLOCK_LANGS]:
+            by_class = F.when(F.col("word_chars") >= MIN_CHARS, distance(F.col("classes"), F.col("word_chars"), classes))
+            by_word = F.when(F.col("n_words") >= MIN_WORDS, distance(word_counts(common.get(lang, [])), F.col("n_words"), words))
+            pair = F.struct(by_class.alias("c"), by_word.alias("w"))
+            found.append(F.transform(F.array(pair), lambda p: F.struct((F.coalesce(p.c, F.lit(0.0)) + F.coalesce(p.w, F.lit(0.0))).alias("both"), p.c.alias("class_distance"), p.w.alias("word_distance"))))
+        every = F.concat(F.when(F.col("best").isNotNull(), F.array("best")).otherwise(F.array().cast("array<struct<both:double,class_distance:double,word_distance:double>>")), *found)
+        rated = rated.withColumn("best", F.array_min(every))
+        if at + BLOCK_LANGS < len(known):
+            rated = written(rated, name="rated")
+    rated = rated.select(*[c for c in rated.columns if c != "best"], "best.class_distance", "best.word_distance")
     over = lambda d, n, limit: F.coalesce(F.col(d) > limit[0] + limit[1] / F.sqrt(F.col(n)), F.lit(False))
     return rated.withColumn("off", over("class_distance", "word_chars", CLASS_LIMIT) | over("word_distance", "n_words", WORD_LIMIT))
 
 
 def judge(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col: str | None = "lang") -> DataFrame:
     """Per row: id, measures, ``base_failed``, ``class_distance``, ``word_distance`` (null: too short, or no reference) and ``kept``."""
-    measured = written(measures(docs, id_col=id_col, text_col=text_col, lang_col=lang_col), name="measures")
-    rated = rate(measured, references(measured.where(~base_failed())))
-    rated = rate(measured, references(rated.where(~base_failed() & ~F.col("off"))))
+    common = common_words(docs, text_col=text_col, lang_col=lang_col) if lang_col else {}
+    words = sorted({w for own in common.values() for w in own})
+    measured = written(measures(docs, words, id_col=id_col, text_col=text_col, lang_col=lang_col), name="measures")
+    rated = rate(measured, references(measured.where(~base_failed()), common), common)
+    rated = rate(measured, references(rated.where(~base_failed() & ~F.col("off")), common), common)
     return rated.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed().alias("base_failed"), "class_distance", "word_distance", (~base_failed() & ~F.col("off")).alias("kept"),
