@@ -6,8 +6,10 @@ at least ``SCRIPT_SHARE`` of the letters (all, if there are none). Viterbi runs
 each change of language, so a mixed text falls into spans; the text's language is that with the most letters, and its
 score is the share of letters in it.
 
-Trigrams are counted over at most about ``FIT_ROWS`` rows for the fit, chosen by a hash of the id; the counts are summed
-in Spark, and the model has ``BUCKETS`` rows by language. Null texts and texts without a letter are ``und`` with score 0.
+Trigrams are counted over at most about ``FIT_ROWS`` rows for the fit, as many of each language (all, where it has fewer),
+chosen by a hash of the id, so a rare language is learned too; the counts are summed in Spark, and the model has ``BUCKETS``
+rows by language. Null texts and texts without a letter are ``und`` with score 0; combining marks belong to words but are no
+letters.
 Ties go to the language first in order. With nothing to learn from, every text is ``und``.
 """
 
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.llm._common import fold, hashed_share, map_slices, read, sample_share, texts_of
+from webstrata.llm._common import fold, map_slices, read, texts_of
 
 BUCKETS = 1 << 15
 FIT_ROWS = 20_000
@@ -48,28 +50,29 @@ OTHER = len(SCRIPTS)
 _TABLES: list[np.ndarray] = []
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: the lower-case code point of a letter (0 for others), and its script."""
+def _tables() -> list[np.ndarray]:
+    """By code point: the lower-case code point of a letter or combining mark (0 for others), its script, and whether it is a letter."""
     if not _TABLES:
-        lower = np.zeros(0x110000, np.uint32)
+        lower, alpha = np.zeros(0x110000, np.uint32), np.zeros(0x110000, bool)
         for point in range(0x110000):
             char = chr(point)
             if char.isalpha() or unicodedata.category(char) == "Mn":
                 low = char.lower()
                 lower[point] = ord(low) if len(low) == 1 else point
+                alpha[point] = char.isalpha()
         script = np.full(0x110000, OTHER, np.uint8)
         for k, (_, ranges) in enumerate(SCRIPTS):
             for a, b in ranges:
                 script[a : b + 1] = k
-        _TABLES[:] = [lower, script]
-    return _TABLES[0], _TABLES[1]
+        _TABLES[:] = [lower, script, alpha]
+    return _TABLES
 
 
 class Words:
     """The letter words of several texts in arrays: trigram buckets of all words, and where words and texts begin."""
 
     def __init__(self, texts: list[str]):
-        lower, scripts = _tables()
+        lower, scripts, alpha = _tables()
         joined = "\n".join(texts) + "\n"
         points = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
         low = lower[points]
@@ -78,6 +81,8 @@ class Words:
         before[1:] = letter[:-1]
         self.begin = np.flatnonzero(letter & ~before)  # of each word, in characters
         self.letters = np.flatnonzero(~letter & before) - self.begin
+        sums = np.concatenate([[0], np.cumsum(alpha[points])])
+        self.alpha = sums[self.begin + self.letters] - sums[self.begin]  # letters without combining marks
         text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
         cuts = np.searchsorted(self.begin, text_ends)
         self.text_words = np.diff(cuts, prepend=0)
@@ -103,7 +108,7 @@ def count_grams(part: list[str], langs: list[str]) -> list[tuple[str, int, int]]
         own = Words([t for t, x in zip(part, langs, strict=True) if x == lang])
         if not len(own.begin):
             continue
-        for base, counts in ((0, np.bincount(own.gram)), (BUCKETS, np.bincount(own.script, weights=own.letters).astype(np.int64))):
+        for base, counts in ((0, np.bincount(own.gram)), (BUCKETS, np.bincount(own.script, weights=own.alpha).astype(np.int64))):
             at = np.flatnonzero(counts)
             found.append((lang, at + base, counts[at]))
     return found
@@ -112,7 +117,9 @@ def count_grams(part: list[str], langs: list[str]) -> list[tuple[str, int, int]]
 def fit(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", rows: int = FIT_ROWS) -> DataFrame:
     """Counts (lang, bucket, n) over a bounded sample of the rows with a language."""
     own = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    share = sample_share(own.count(), rows)
+    sizes = own.groupBy("lang").agg(F.count("*").alias("size"))
+    share = rows / F.lit(max(1, sizes.count())) / F.col("size")
+    chosen = own.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(1 << 30)) < share * (1 << 30))  # a row for each language
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         found = count_grams(texts_of(part, "text"), part.column("lang").to_pylist())
@@ -120,7 +127,7 @@ def fit(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", r
         join = lambda k: np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]).astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(join(1).astype(np.int32)), pa.array(join(2))], names=["lang", "bucket", "n"])
 
-    counted = map_slices(own.where(hashed_share("id", share)).select("text", "lang"), "text", "lang string, bucket int, n long", run, limit=1 << 23)
+    counted = map_slices(chosen.select("text", "lang"), "text", "lang string, bucket int, n long", run, limit=1 << 23)
     return counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -128,6 +135,8 @@ class Model:
     """Log-probabilities by bucket and language, and the languages that each script allows."""
 
     def __init__(self, langs: list[str], lang: np.ndarray, bucket: np.ndarray, n: np.ndarray):
+        if len(langs) > 30_000:
+            raise ValueError(f"{len(langs)} languages do not fit the model")
         self.langs = langs
         counts = np.zeros((BUCKETS, len(langs)))
         letters = np.zeros((OTHER + 1, len(langs)))
@@ -151,8 +160,8 @@ class Model:
         first = (np.cumsum(words.text_words) - words.text_words)[order]
         live = int(np.count_nonzero(n))
         best = scores[first[:live]]
-        back = np.zeros(scores.shape, np.int8)  # by word and language: the language of the word before
-        stay = np.arange(len(self.langs), dtype=np.int8)
+        back = np.zeros(scores.shape, np.int16)  # by word and language: the language of the word before
+        stay = np.arange(len(self.langs), dtype=np.int16)
         at_end = np.zeros(len(order), np.int64)
         for k in range(1, int(n[0])):
             while n[live - 1] <= k:
@@ -201,7 +210,7 @@ def identify(docs: DataFrame, counts: DataFrame, *, id_col="doc_id", text_col="t
         if m:
             words, path = model.label(texts, penalty)
             text = np.repeat(np.arange(len(texts)), words.text_words)
-            votes = np.bincount(text * m + path, weights=words.letters, minlength=len(texts) * m).reshape(-1, m)
+            votes = np.bincount(text * m + path, weights=words.alpha, minlength=len(texts) * m).reshape(-1, m)
             top, total = votes.argmax(1), votes.sum(1)
             score = np.where(total > 0, votes.max(1) / np.maximum(total, 1), 0)
             pred = [model.langs[k] if n else "und" for k, n in zip(top.tolist(), total.tolist(), strict=True)]
