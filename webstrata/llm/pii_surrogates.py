@@ -1,23 +1,30 @@
 """PII: detected entities get keyed surrogates of the same type, format, script and gender.
 
-Entities: e-mail addresses, IPv4 addresses, phone numbers, payment card numbers, IBANs, US social security numbers, access
-keys, assigned secrets (password=..., token = "...") and names after a title that tells the gender.
+Entities: e-mail addresses, IPv4 and IPv6 addresses, phone numbers, payment card numbers, IBANs, US social security numbers,
+access keys, assigned secrets (password=..., token = "...") and names of persons. A name is found behind a title; its words
+(given names and surname, three letters at least) are then found wherever they stand in the same text.
 
-A surrogate is a keyed permutation (Feistel rounds over positions, each modulo the size of its character class), so
+Each word of a name is an entity of its own, so "Mr John Smith", "Dr John Smith", "Smith" and "John" fall into place
+together, in every document. Names in Latin letters get names made of syllables by a keyed hash, with the endings of
+their gender; those in other scripts a keyed permutation of their letters. The gender of a given name is that of most of
+its titles in the corpus, else told by its ending.
+
+Other surrogates are keyed permutations (Feistel rounds over positions, each modulo the size of its character class), so
 upper and lower case, digits, vowels and consonants, accents and scripts stay in place, lengths and punctuation stay,
 and within a format two entities never get the same surrogate. One entity gets the same surrogate in every document
-(coreference), as do a surname or a mail domain within different entities. Card numbers keep their first digit and
-whether their check digit holds; addresses keep their network class; given names end as their gender does.
-
-What a permutation cannot rule out is that a surrogate equals another entity that occurs in the corpus, or that two
-formats meet. So the distinct entities are checked in Spark: where a surrogate is itself an entity or comes up
-twice, the later entities by hash are permuted with a further key, until none is left. After ``WIDEN_AFTER`` attempts
-the format counts as full: names and the local part of mail addresses get a further letter at each attempt, the last two
-octets of IPv4 addresses a further digit. If entities still collide after ``MAX_ATTEMPTS``, the run ends with an
-error, as no surrogate is used unchecked. These exceptions are few; they
-are sent to all tasks when measured to be at most ``FEW``, and joined by entity otherwise.
-
-Null texts stay null; texts without entities stay as they are; repeated rows give repeated rows; all columns are kept.
+(coreference), as does a mail domain within different addresses. Cards and IBANs keep whether their check digits hold;
+addresses keep their network class, IPv6 addresses their first group.
+
+What remains possible is that a surrogate equals another entity that occurs in the corpus, that two hashed names are the
+same, or that two formats meet. So the distinct entities are checked in Spark: where a surrogate is itself an entity or
+comes up twice, the later entities by hash are permuted with a further key, until none is left (mail domains keep theirs).
+After ``WIDEN_AFTER`` attempts the format counts as full: names get further syllables or letters, the local part of mail
+addresses a further letter at each attempt, the last two octets of IPv4 addresses a further digit. If entities still
+collide after ``MAX_ATTEMPTS``, the run ends with an error, as no surrogate is used unchecked. Exceptions are few; they
+are sent to all tasks when measured to be at most ``FEW``, and joined by row otherwise.
+
+The caller supplies the secret key. Null texts stay null; texts without entities stay as they are; repeated rows give
+repeated rows; all columns are kept, except that with ``counts`` the columns n_entities and kinds replace any of these names.
 """
 
 from __future__ import annotations
@@ -32,12 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.llm._common import map_slices, read, texts_of, written
+from webstrata.llm._common import free_name, map_slices, read, schema_of, texts_of, written
 
-#: Callers pass their own secret key; this one only makes results repeatable.
-KEY = b"replace this key"
+#: The session setting that holds the secret key of op5 and the pipeline, and the public key of tests and demonstrations.
+KEY_SETTING, DEMO_KEY = "webstrata.pii.key", b"demonstration only"
 ROUNDS = 6
-FEW = 200_000
+FEW = 50_000
 MAX_ATTEMPTS = 12
 #: Attempts within the format; later ones make the formats of names, mail addresses and IPv4 addresses wider.
 WIDEN_AFTER = 6
@@ -55,6 +62,7 @@ PATTERNS = (
     ("access_key", r"(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])"),
     ("ipv4", r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w]|\.[0-9])"),
+    ("ipv6", r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}|[0-9A-Fa-f]{1,4}:(?::[0-9A-Fa-f]{1,4}){2,6})(?![\w:.]\w)"),
     ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
     ("card", r"(?<![\w+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])"),
     ("phone", r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}(?:[ .-][0-9]{3,4}){1,2}(?![\w-])|(?<![\w+])\+[0-9]{8,15}(?!\w)"),
@@ -67,18 +75,34 @@ _GROUP = {"secret": "secret", "name": "name"}
 
 
 def find(text: str) -> list[tuple[str, int, int, str]]:
-    """(type, begin, end, gender) of each entity, from the left."""
+    """(type, begin, end, gender) of each entity, from the left; given names and surnames by word."""
     if not text or not _MAY.search(text):
         return []
-    out = []
+    out, known = [], {}
     for m in _ANY.finditer(text):
         kind = PATTERNS[int(m.lastgroup[1:]) if m.lastgroup[0] == "k" else next(k for k in range(len(PATTERNS)) if m.group(f"k{k}") is not None)][0]
         begin, end = m.span(_GROUP[kind]) if kind in _GROUP else m.span()
-        gender = ""
-        if kind == "name":
-            title = m.group()[: begin - m.start()].strip(" .")
-            gender = "m" if title in MALE else "f" if title in FEMALE else ""
-        out.append((kind, begin, end, gender))
+        if kind != "name":
+            out.append((kind, begin, end, ""))
+            continue
+        title = m.group()[: begin - m.start()].strip(" .")
+        gender = "m" if title in MALE else "f" if title in FEMALE else ""
+        words = [(begin + w.start(), begin + w.end()) for w in re.finditer("[^ ]+", text[begin:end])]
+        for k, (b, e) in enumerate(words):
+            own = ("surname", "") if k == len(words) - 1 else ("given", gender)
+            out.append((own[0], b, e, own[1]))
+            if e - b > 2 and known.get(text[b:e], ("given", ""))[1] == "":
+                known[text[b:e]] = own
+    if known:
+        taken = [(b, e) for _, b, e, _ in out]
+        again = re.compile(rf"(?<![\w@.-])(?:{'|'.join(map(re.escape, sorted(known, key=len, reverse=True)))})(?![\w@-]|\.\w)")
+        at = 0
+        for m in again.finditer(text):
+            while at < len(taken) and taken[at][1] <= m.start():
+                at += 1
+            if at == len(taken) or m.end() <= taken[at][0]:
+                out.append((known[m.group()][0], *m.span(), known[m.group()][1]))
+        out.sort(key=lambda f: f[1])
     return out
 
 
@@ -132,6 +156,7 @@ def permute(text: str, key: bytes, tweak: str, alphabets: dict[str, tuple[int, i
 
 _DIGITS = {c: (0, k) for k, c in enumerate("0123456789")}
 _HEXES = {c: (0, k) for k, c in enumerate(HEX)}
+_UPPER_HEXES = {c: (0, k) for k, c in enumerate(HEX.upper())}
 _CODES = {c: (0, k) for k, c in enumerate("0123456789")} | {c: (1, k) for k, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZ")}
 _CODE_CHARS = ["0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
 
@@ -176,17 +201,55 @@ def _address(value: str, key: bytes) -> str:
             return ".".join(map(str, octets))
 
 
-def _name(value: str, gender: str, key: bytes) -> str:
-    words = value.split(" ")
-    made = [permute(w, key, "name") for w in words]
-    if len(words) > 1 and gender:  # given names end as their gender does; one letter more keeps them distinct
-        made[0] += {"f": "a", "m": "o"}[gender]
-    return " ".join(made)
+def _iban(value: str, key: bytes) -> str:
+    """Country and format stay; check digits hold if they did, and are off by as much if they did not."""
+    plain = value.replace(" ", "")
+
+    def check(body: str) -> int:
+        return 98 - int("".join(str(int(c, 36)) for c in body + plain[:2] + "00")) % 97
+
+    made = permute(plain[4:], key, "iban", _CODES, _CODE_CHARS)
+    digits = (check(made) + int(plain[2:4]) - check(plain[4:]) - 2) % 97 + 2
+    rest = iter(f"{plain[:2]}{digits:02}{made}")
+    return "".join(c if c == " " else next(rest) for c in value)
+
+
+def _ipv6(value: str, key: bytes) -> str:
+    head, colon, rest = value.partition(":")
+    return head + colon + permute(rest, key, "ipv6" + ("U" if rest.upper() == rest else ""), *((_UPPER_HEXES, [HEX.upper()]) if rest.upper() == rest else (_HEXES, [HEX])))
+
+
+#: Syllables of made names: beginnings, vowels, and the endings of given names by gender and of surnames.
+BEGINNINGS = "b d f g h k l m n p r s t v z br dr kl st".split()
+VOWELS = "a e i o u".split()
+ENDINGS = {"f": "a ia ina ella".split(), "m": "o an er us".split(), "": "i e is en".split(), "surname": "n r s t l m ck nd".split()}
+
+
+def default_gender(given: str) -> str:
+    """Where no title tells it."""
+    return "f" if given[-1:].lower() in "aeiyàáèé" else "m"
+
+
+def _word(word: str, kind: str, gender: str, key: bytes, syllables: int) -> str:
+    """One word of a name."""
+    if not word.isascii():  # other scripts and accents keep their letters' classes
+        return permute(word, key, kind)
+    number = int.from_bytes(blake2b(f"{kind} {gender} {word.lower()}".encode(), key=key, digest_size=32).digest(), "little")
+    out = ""
+    for _ in range(syllables):
+        number, k = divmod(number, len(BEGINNINGS) * len(VOWELS))
+        out += BEGINNINGS[k // len(VOWELS)] + VOWELS[k % len(VOWELS)]
+    ends = ENDINGS[gender if kind == "given" else "surname"]
+    out += (BEGINNINGS[number % 15] if kind == "given" else "") + ends[number // 15 % len(ends)]
+    return out.upper() if len(word) > 1 and word.isupper() else out if word.islower() else out.capitalize()
+
+
+def _name(value: str, kind: str, gender: str, key: bytes, attempt: int) -> str:
+    more = max(0, attempt - WIDEN_AFTER)
+    return "-".join(_word(w + ("a" * more if not w.isascii() else ""), kind, gender, key, (2 if kind == "given" else 3) + attempt // 2) if w else "" for w in value.split("-"))
 
 
 def _widened(kind: str, value: str, by: int) -> str:
-    if kind == "name":
-        return value + "a" * by
     if kind == "email":
         return value.replace("@", "a" * by + "@", 1)
     if kind == "ipv4":
@@ -195,22 +258,25 @@ def _widened(kind: str, value: str, by: int) -> str:
     return value
 
 
-@lru_cache(maxsize=100_000)
-def surrogate(kind: str, value: str, gender: str = "", key: bytes = KEY, attempt: int = 0) -> str:
+@lru_cache(maxsize=5_000)
+def surrogate(kind: str, value: str, gender: str = "", key: bytes = DEMO_KEY, attempt: int = 0) -> str:
     """The replacement for one entity."""
+    first = blake2b(key + kind.encode() + bytes([0]), digest_size=32).digest()
     key = blake2b(key + kind.encode() + bytes([attempt]), digest_size=32).digest()
     if attempt > WIDEN_AFTER:
         value = _widened(kind, value, attempt - WIDEN_AFTER)
-    if kind == "email":
+    if kind == "email":  # the domain is the same at every attempt
         local, _, domain = value.partition("@")
         host, _, top = domain.rpartition(".")
-        return f"{permute(local, key, 'local')}@{permute(host, key, 'host')}.{top}"
+        return f"{permute(local, key, 'local')}@{permute(host, first, 'host')}.{top}"
     if kind == "card":
         return _card(value, key)
     if kind == "ipv4":
         return _address(value, key)
-    if kind == "name":
-        return _name(value, gender, key)
+    if kind == "ipv6":
+        return _ipv6(value, key)
+    if kind in ("given", "surname"):
+        return _name(value, kind, gender or default_gender(value) if kind == "given" else "", key, attempt)
     if kind == "phone":  # the country and the first digit of the number stay
         m = re.match(r"(?:\+[0-9]{1,3}(?=[ .(-]))?[^0-9]*[0-9]", value)
         head = m.end() if m else 1
@@ -218,7 +284,7 @@ def surrogate(kind: str, value: str, gender: str = "", key: bytes = KEY, attempt
     if kind == "access_key":
         return value[:4] + permute(value[4:], key, "key", _CODES, _CODE_CHARS)
     if kind == "iban":
-        return value[:2] + permute(value[2:], key, "iban", _CODES, _CODE_CHARS)
+        return _iban(value, key)
     if kind == "secret" and set(value) <= set(HEX):
         return permute(value, key, "hex", _HEXES, [HEX])
     return permute(value, key, kind)
@@ -239,10 +305,14 @@ def detect(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     return map_slices(own, "text", f"`{id_col}` {kind}, kind string, value string, gender string, begin int, `end` int", run)
 
 
-def exceptions(entities: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, value, gender, attempt) of the entities whose first surrogate collides; see the module."""
-    distinct = written(entities.groupBy("kind", "value", "gender").agg(F.count("*").alias("n")), name="entities")
-    own = distinct.select("kind", "value", "gender").withColumn("attempt", F.lit(0))
+def exceptions(entities: DataFrame, key: bytes) -> DataFrame:
+    """(kind, value, gender, attempt) of the entities whose first surrogate collides or whose gender is not what the name tells
+    by itself; see the module."""
+    votes = F.sum(F.when(F.col("gender") == "f", 1).when(F.col("gender") == "m", -1).otherwise(0))
+    voted = entities.groupBy("kind", "value").agg(votes.alias("votes"))
+    gender = F.when(F.col("kind") == "given", F.when(F.col("votes") > 0, "f").when(F.col("votes") < 0, "m").otherwise("")).otherwise("")
+    distinct = written(voted.select("kind", "value", gender.alias("gender")), name="entities")
+    own = distinct.withColumn("attempt", F.lit(0))
 
     def made(rows: DataFrame) -> DataFrame:
         def run(batches):
@@ -252,54 +322,55 @@ def exceptions(entities: DataFrame, key: bytes = KEY) -> DataFrame:
 
         return rows.mapInArrow(run, "kind string, value string, gender string, attempt int, made string")
 
-    values = distinct.select(F.col("kind").alias("k"), F.col("value").alias("v")).distinct()
-    moved = None
+    values = distinct.select(F.col("kind").alias("k"), F.col("value").alias("v"))
     for done in range(MAX_ATTEMPTS + 1):
         now = written(made(own), name="surrogates")
         taken = now.join(values, (now.kind == values.k) & (now.made == values.v), "left_semi")
-        rank = F.xxhash64("value", "gender")
-        keep = now.groupBy("kind", "made").agg(F.min(F.struct("attempt", rank.alias("h"), "value", "gender")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        twice = now.join(keep, ["kind", "made"]).where((F.col("value") != F.col("first.value")) | (F.col("gender") != F.col("first.gender"))).select(now.columns)
-        bad = taken.unionByName(twice).select("kind", "value", "gender").distinct().withColumn("again", F.lit(1))
-        bad = written(bad, name="collisions")
+        keep = now.groupBy("kind", "made").agg(F.min(F.struct("attempt", F.xxhash64("value").alias("h"), "value")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        twice = now.join(keep, ["kind", "made"]).where(F.col("value") != F.col("first.value")).select(now.columns)
+        bad = written(taken.unionByName(twice).select("kind", "value").distinct().withColumn("again", F.lit(1)), name="collisions")
         if bad.isEmpty():
             break
         if done == MAX_ATTEMPTS:
             raise ValueError(f"{bad.count()} entities still have colliding surrogates after {MAX_ATTEMPTS} further keys")
-        own = own.join(bad, ["kind", "value", "gender"], "left").select("kind", "value", "gender", (F.col("attempt") + F.coalesce("again", F.lit(0))).cast("int").alias("attempt"))
-        moved = own = written(own, name="attempts")
-    return (own if moved is None else moved).where("attempt > 0")
+        own = written(own.join(bad, ["kind", "value"], "left").select("kind", "value", "gender", (F.col("attempt") + F.coalesce("again", F.lit(0))).cast("int").alias("attempt")), name="attempts")
+    return own.where((F.col("attempt") > 0) | ((F.col("gender") != "") & (F.col("gender") != default_gender_of("value"))))
 
 
-def replace(docs: DataFrame, *, text_col="text", key: bytes = KEY, checked: bool = True, counts: bool = False, few: int = FEW) -> DataFrame:
+def default_gender_of(given: str):
+    """``default_gender`` as a column."""
+    return F.when(F.lower(F.substring(given, -1, 1)).isin(*"aeiyàáèé"), "f").otherwise("m")
+
+
+def replace(docs: DataFrame, *, key: bytes, text_col="text", checked: bool = True, counts: bool = False, few: int = FEW) -> DataFrame:
     """The documents with all entities replaced; with ``counts`` also n_entities and a map of numbers by kind.
 
     Exceptions are sent to all tasks if they are measured to be at most ``few``; more are joined to the rows that hold them.
     """
-    spark, names = docs.sparkSession, docs.columns
+    spark, names = docs.sparkSession, [c for c in docs.columns if not counts or c.lower() not in ("n_entities", "kinds")]
+    own = docs = docs.select(*names)
     at = names.index(text_col)
-    moved: dict[tuple[str, str, str], int] = {}
-    own = docs
+    row, lists = free_name(names, "row"), free_name(names, "moved")
+    moved: dict[tuple[str, str], tuple[str, int]] = {}
     if checked:
-        odd = exceptions(detect(docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), id_col="id"), key)
+        odd = written(exceptions(detect(docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), id_col="id"), key), name="exceptions")
         if odd.count() <= few:
-            moved = {(r.kind, r.value, r.gender): r.attempt for r in odd.collect()}
+            moved = {(r.kind, r.value): (r.gender, r.attempt) for r in odd.collect()}
         else:
-            rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), name="rows")
-            held = detect(rows, id_col="__row", text_col=text_col).select("__row", "kind", "value", "gender").distinct().join(odd, ["kind", "value", "gender"])
-            lists = held.groupBy("__row").agg(F.collect_list(F.struct("kind", "value", "gender", "attempt")).alias("__moved"))
-            own = rows.join(lists, "__row", "left").drop("__row")
+            rows = written(docs.withColumn(row, F.monotonically_increasing_id()), name="rows")
+            held = detect(rows, id_col=row, text_col=text_col).select(row, "kind", "value").distinct().join(odd, ["kind", "value"])
+            own = rows.join(held.groupBy(row).agg(F.collect_list(F.struct("kind", "value", "gender", "attempt")).alias(lists)), row, "left").drop(row)
     shared = spark.sparkContext.broadcast(moved)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         texts, numbers = part.column(at).to_pylist(), []
-        lists = part.column("__moved").to_pylist() if "__moved" in part.schema.names else [None] * len(texts)
+        by_row = part.column(lists).to_pylist() if lists in part.schema.names else [None] * len(texts)
         for k, text in enumerate(texts):
-            moved = shared.value if lists[k] is None else {(x["kind"], x["value"], x["gender"]): x["attempt"] for x in lists[k]}
+            moved = shared.value if by_row[k] is None else {(x["kind"], x["value"]): (x["gender"], x["attempt"]) for x in by_row[k]}
             found, pieces, last = find(text or ""), [], 0
-            for kind, b, e, gender in found:
-                value = text[b:e]
-                pieces += [text[last:b], surrogate(kind, value, gender, key, moved.get((kind, value, gender), 0))]
+            for kind, b, e, _ in found:
+                gender, attempt = moved.get((kind, text[b:e]), ("", 0))
+                pieces += [text[last:b], surrogate(kind, text[b:e], gender, key, attempt)]
                 last = e
             texts[k] = "".join([*pieces, text[last:]]) if found else text
             numbers.append(Counter(f[0] for f in found))
@@ -308,10 +379,14 @@ def replace(docs: DataFrame, *, text_col="text", key: bytes = KEY, checked: bool
             columns += [pa.array([n.total() for n in numbers], pa.int64()), pa.array([sorted(n.items()) for n in numbers], pa.map_(pa.string(), pa.int64()))]
         return pa.RecordBatch.from_arrays(columns, names=[*names, "n_entities", "kinds"] if counts else names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_slices(own, text_col, fields + ", n_entities long, kinds map<string,bigint>" * counts, run)
+    return map_slices(own, text_col, schema_of(docs, *names) + ", n_entities long, kinds map<string,bigint>" * counts, run)
+
+
+def session_key(spark) -> bytes:
+    """The secret key of the session, in ``KEY_SETTING``; without one, a public key that only makes results repeatable."""
+    given = spark.conf.get(KEY_SETTING, None)
+    return given.encode() if given else DEMO_KEY
 
 
 def op5_pii_surrogates(spark, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return replace(docs, counts=True)
+    return replace(read(spark, sf_dir, "documents").select("doc_id", "text"), key=session_key(spark), counts=True)
