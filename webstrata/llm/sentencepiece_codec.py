@@ -4,11 +4,12 @@ A vocabulary in which no piece continues after a white-space marker ("▁" only
 cross the place before a marker. So a text is cut into marked words (markers, then other characters), each distinct
 marked word is segmented once by the library, and a text's ids are the table's entries joined by position.
 
-The table is built in each task from the words the task meets (bounded by ``TABLE_WORDS``), so no row is shuffled and
-nothing grows with the corpus. A vocabulary with pieces across markers is refused with an error.
+The table is built in each Python worker from the words it meets, and emptied beyond ``TABLE_BYTES``; words of more than
+``LONG`` characters are segmented once in a slice and not kept. So no row is shuffled and nothing grows with the corpus. A
+vocabulary with pieces across markers is refused with an error.
 
-Null text is empty; an empty text has the begin and end ids only. Repeated rows give repeated rows. Only the id and
-text columns are read, so further columns may have any name.
+Null text is empty; an empty text has the begin and end ids only. Repeated rows give repeated rows. Kept columns that are
+called ``ids`` or ``decoded`` give way to those made here.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.llm._common import map_slices, model_path, read, texts_of
+from webstrata.llm._common import free_name, map_slices, model_path, read, schema_of, texts_of
 
 MARK = "▁"
-#: Distinct marked words that a table holds before it is emptied.
-TABLE_WORDS = 600_000
+#: Bytes of marked words and their ids that a table holds before it is emptied (about five times as much with all objects).
+TABLE_BYTES = 6 << 20
+#: Characters of the longest marked word that is kept.
+LONG = 48
 #: A marked word without its first marker, which the library itself puts in front.
 _CHUNKS = re.compile(r" ( *[^ ]+| *$)")
 
@@ -33,7 +36,7 @@ _CHUNKS = re.compile(r" ( *[^ ]+| *$)")
 class ChunkTable:
     """Ids and text of each distinct marked word of one vocabulary file."""
 
-    def __init__(self, path: str, limit: int = TABLE_WORDS):
+    def __init__(self, path: str, limit: int = TABLE_BYTES):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -49,16 +52,19 @@ class ChunkTable:
     def clear(self) -> None:
         self.ids.clear()
         self.odd.clear()
-        self.ids[""] = self.alone
+        self.ids[""], self.bytes, self.long = self.alone, 0, []
 
     def learn(self, chunks: set[str]) -> None:
         """Segment those marked words that the table lacks."""
-        if len(self.ids) > self.limit:
+        if self.bytes > self.limit:
             self.clear()
         if new := list(chunks - self.ids.keys()):
+            self.long = [c for c in new if len(c) > LONG]
+            self.bytes += sum(map(len, new))
             found = self.sp.encode(new, num_threads=1)
             lengths = np.fromiter(map(len, found), np.int64, len(found)) * 4
             packed, at = np.fromiter(chain.from_iterable(found), "<u4").tobytes(), 0
+            self.bytes += len(packed)
             for chunk, n, back in zip(new, lengths.tolist(), self.sp.decode(found, num_threads=1), strict=True):
                 self.ids[chunk] = packed[at : at + n]
                 at += n
@@ -77,7 +83,12 @@ class ChunkTable:
         self.learn(set(chain.from_iterable(cut)))
         head, tail = (self.bos, self.eos) if begin_end else (b"", b"")
         ids = [b"".join((head, *map(self.ids.__getitem__, c), tail)) for c in cut]
-        return ids, [" ".join([self.odd.get(x, x) for x in c] if self.odd else c) for c in cut]
+        decoded = [" ".join([self.odd.get(x, x) for x in c] if self.odd else c) for c in cut]
+        for chunk in self.long:
+            self.bytes -= len(chunk) + len(self.ids.pop(chunk))
+            self.odd.pop(chunk, None)
+        self.long = []
+        return ids, decoded
 
 
 _TABLES: dict[str, ChunkTable] = {}
@@ -95,16 +106,16 @@ def encode_decode(
 ) -> DataFrame:
     """Per row: the kept columns (the id column if none are given), ``ids`` (binary: little-endian unsigned 32-bit
     integers) and ``decoded`` (the text that decode(ids) gives)."""
-    keep = keep or [id_col]
-    own = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields if f.name != "__text")
+    keep = [k for k in keep or [id_col] if k.lower() not in ("ids", "decoded")]
+    own_text = free_name(keep, "text")
+    own = docs.select(*keep, F.col(text_col).alias(own_text))
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        ids, decoded = table(path).encode(texts_of(part, "__text"), begin_end)
-        columns = [part.column(c) for c in range(part.num_columns) if part.schema.names[c] != "__text"]
+        ids, decoded = table(path).encode(texts_of(part, own_text), begin_end)
+        columns = [part.column(c) for c in range(len(keep))]
         return pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=[*keep, "ids", "decoded"])
 
-    return map_slices(own, "__text", f"{schema}, ids binary, decoded string", run)
+    return map_slices(own, own_text, ", ".join([schema_of(docs, *keep)] * bool(keep) + ["ids binary, decoded string"]), run)
 
 
 def ids_as_array(ids: str = "ids"):
