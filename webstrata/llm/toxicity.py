@@ -7,7 +7,8 @@ weights are averaged (a weight that is zero in a shard counts as zero). The L1 t
 broadcast: at most ``BUCKETS`` pairs, whatever the corpus.
 
 Null or empty texts have the bias only. Rows without label, or of the held-out fold, are never learnt from. No labelled
-rows at all: every score is 0.5 by a zero model. Labels of one id that differ: the larger counts.
+rows at all: every score is 0, as nothing speaks for label 1. Labels of one id that differ: the larger counts; of texts of one id, the first in
+order is learnt from, so a repeated id adds one row. A kept column that is called as the score is gives way to it.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.llm._common import ascii_words, fold, hashed_share, map_slices, read, sample_share, texts_of
+from webstrata.llm._common import ascii_words, fold, free_name, give_back, hashed_share, map_slices, read, sample_share, schema_of, texts_of
 
 BUCKETS = 1 << 20
 FIT_ROWS = 16_000
@@ -64,8 +65,8 @@ def fit_shard(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> tup
     def weights(at):
         zs = z[at]
         w = -(zs - np.sign(zs) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
-        w[np.abs(zs) <= L1] = 0
-        return w
+        w[(np.abs(zs) <= L1) & (at != BUCKETS)] = 0
+        return np.where(at == BUCKETS, -zs / ((BETA + np.sqrt(n[at])) / ALPHA + L2), w)  # the bias has no L1 term
 
     for _ in range(epochs):
         for at, y in zip(rows, labels, strict=True):
@@ -89,6 +90,7 @@ def fit(labelled: DataFrame, *, id_col="doc_id", text_col="text", label_col="tox
     def learn(rows_: pd.DataFrame) -> pd.DataFrame:
         rows_ = rows_.assign(h=[crc32(str(i).encode()) for i in rows_["id"]]).sort_values(["h", "id", "label"])
         at, w = fit_shard(rows_["text"].fillna("").tolist(), rows_["label"].to_numpy(), epochs)
+        give_back()
         return pd.DataFrame({"bucket": at, "weight": w})
 
     return sample.groupBy("shard").applyInPandas(learn, "bucket int, weight double").groupBy("bucket").agg((F.sum("weight") / shards).alias("weight"))
@@ -100,16 +102,16 @@ def score(docs: DataFrame, weights: DataFrame, *, id_col="doc_id", text_col="tex
     table = np.zeros(BUCKETS, np.float32)
     inner = found[found.bucket >= 0]
     table[inner.bucket.to_numpy()] = inner.weight.to_numpy()
-    bias = float(found.loc[found.bucket < 0, "weight"].sum())
+    bias = float(found.loc[found.bucket < 0, "weight"].sum()) if len(found) else -np.inf
     at = np.flatnonzero(table).astype(np.int32)
     shared = docs.sparkSession.sparkContext.broadcast((at, table[at], bias))
-    keep = keep or [id_col]
-    own = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields if f.name != "__text")
+    keep = [k for k in keep or [id_col] if k.lower() != out.lower()]
+    own_text = free_name(keep, "text")
+    own = docs.select(*keep, F.col(text_col).alias(own_text))
     made: dict[int, np.ndarray] = {}
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        texts = texts_of(part, "__text")
+        texts = texts_of(part, own_text)
         at, w, bias = shared.value
         if not made:
             made[0] = np.zeros(BUCKETS, np.float32)
@@ -120,10 +122,10 @@ def score(docs: DataFrame, weights: DataFrame, *, id_col="doc_id", text_col="tex
         live = np.flatnonzero(value)
         pairs = np.unique(owner[live].astype(np.int64) << 20 | buckets[live])  # a feature counts once in a text
         total = bias + np.bincount(pairs >> 20, weights=table[pairs & (BUCKETS - 1)], minlength=len(texts))
-        columns = [part.column(c) for c in range(part.num_columns) if part.schema.names[c] != "__text"]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], names=[*keep, out])
+        columns = [part.column(c) for c in range(len(keep))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.where(np.isinf(total), 0.0, 1 / (1 + np.exp(-np.clip(total, -35, 35)))))], names=[*keep, out])
 
-    return map_slices(own, "__text", f"{schema}, `{out}` double", run)
+    return map_slices(own, own_text, ", ".join([schema_of(docs, *keep)] * bool(keep) + [f"`{out}` double"]), run)
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
@@ -131,7 +133,7 @@ def labelled_documents(docs: DataFrame, labels: DataFrame, label: str) -> DataFr
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", HELD_OUT_FOLDS) != 0)).groupBy("doc_id").agg(F.max(label).alias(label))
     share = sample_share(known.count(), FIT_ROWS)
     chosen = known.where(hashed_share("doc_id", share, seed=29))  # about FIT_ROWS pairs of numbers at most
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max(label).alias(label))
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
