@@ -15,7 +15,9 @@ components (signatures agree in 3.5 standard deviations less than the threshold)
 the overlap of the two multisets, at least ``THRESHOLD``. Components get the smallest document id as class id.
 
 Words are runs of letters, digits and non-ASCII characters, in lower case; a shingle has five words, a shorter text one
-shingle of all its words. Texts without words (null, empty) are each a class of their own. Repeated ids count as one document.
+shingle of all its words. Texts without words (null, empty) are each a class of their own. Repeated ids count as one document
+with several texts, whose classes are joined; rows with a null id are left out. Ids may be of any type that has an order. Of
+texts that could be central equally well, that with the smallest id is.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.llm._common import ascii_words, map_slices, read, texts_of, whole_groups, written
+from webstrata.llm._common import Held, ascii_words, join_counts, map_slices, read, texts_of, whole_groups, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -39,7 +41,7 @@ BANDS = COMPONENTS // ROWS
 #: Rows of a bucket that one task compares at a time; larger buckets are dealt to several tasks.
 BLOCK = 4096
 #: Ids that are sent to all tasks to pick out rows; more are joined by shuffle.
-FEW_IDS = 2_000_000
+FEW_IDS = 300_000
 
 _U = np.uint64
 
@@ -63,10 +65,10 @@ def shingles(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     flat = list(chain.from_iterable(words))
     held = _WORD_HASH
-    if len(held) > 500_000:
-        held.clear()
-    for w in set(flat) - held.keys():
-        held[w] = int.from_bytes(blake2b(w, digest_size=8).digest(), "little")
+    held.room()
+    new = set(flat) - held.keys()
+    held.update((w, int.from_bytes(blake2b(w, digest_size=8).digest(), "little")) for w in new)
+    held.bytes += sum(map(len, new))
     h = np.fromiter(map(held.__getitem__, flat), np.uint64, len(flat))
     owner = np.repeat(np.arange(len(texts)), lengths)
     ends = np.cumsum(lengths)
@@ -91,7 +93,8 @@ def shingles(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return made[order], owners[order]
 
 
-_WORD_HASH: dict[bytes, int] = {}
+#: Hashes of words; about fifteen times as much memory as bytes of words.
+_WORD_HASH = Held(1 << 20)
 
 
 def weigh(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,11 +206,10 @@ def sign(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     return map_slices(own, "text", f"id {kind}, fp binary, sig binary, keys array<long>", run)
 
 
-def multisets(docs: DataFrame, ids: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """(id, set) of the given ids only: they are sent to all tasks if measured to be few, and joined by shuffle otherwise."""
+def multisets(docs: DataFrame, ids: DataFrame, *, id_col="doc_id", text_col="text", few: int = FEW_IDS) -> DataFrame:
+    """(id, set) of the texts of the given ids only: they are sent to all tasks if measured to be few, and joined by shuffle otherwise."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    few = ids.count() <= FEW_IDS
-    own = own.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"]) if not few else own.join(F.broadcast(ids), "id", "left_semi")
+    own = own.join(F.broadcast(ids) if ids.count() <= few else ids, "id", "left_semi")
     kind = own.schema["id"].dataType.simpleString()
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -356,7 +358,8 @@ def residual_links(members: DataFrame, sets: DataFrame, threshold: float, estima
 def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document id: the id, ``class_id`` (smallest id of its class), ``class_size`` and ``kept`` (the class's own id)."""
     estimate = threshold - 3.5 * (threshold * (1 - threshold) / COMPONENTS) ** 0.5
-    signed = written(sign(docs.where(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col), name="signed")
+    docs = docs.where(F.col(id_col).isNotNull())
+    signed = written(sign(docs, id_col=id_col, text_col=text_col), name="signed")
     # one text for each multiset
     texts = signed.where("fp is not null").groupBy("fp").agg(F.min("id").alias("text"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
     texts = written(texts, name="texts")
@@ -364,7 +367,7 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", thresh
     sizes = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = written(bands.join(sizes, "key"), name="members")
     weight = members.groupBy("id").agg(F.sum(F.log2("size")).alias("weight"))
-    central = members.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("b"))
+    central = members.join(weight, "id").groupBy("key").agg(F.min_by("id", F.struct(-F.col("weight"), "id")).alias("b"))
     sig = texts.select(F.col("text").alias("id"), "sig", "keys").join(weight.select("id"), "id", "left_semi")
     sig = written(sig, name="sig")
     # every text with the one central text, among those of its buckets, whose signature agrees most
@@ -378,12 +381,15 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", thresh
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((a == b).mean(1))], names=["a", "b", "agree"])
 
     rated = first.select("a", "b", "sa", "sb").mapInArrow(agree, f"a {kind}, b {kind}, agree double").where(F.col("agree") >= estimate)
-    pairs = rated.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
-    sets = written(multisets(docs.where(F.col(id_col).isNotNull()), weight.select("id"), id_col=id_col, text_col=text_col), name="sets")
+    pairs = rated.groupBy("a").agg(F.min_by("b", F.struct(-F.col("agree"), "b")).alias("b"))
+    sets = multisets(docs, weight.select("id"), id_col=id_col, text_col=text_col)
+    if not signed.groupBy("id", "fp").count().where("count > 1").isEmpty():
+        sets = sets.dropDuplicates(["id", "set"])  # repeated rows; without them this changes nothing and is saved
+    sets = written(sets, name="sets")
     labels = components(verify(pairs, sets, threshold))
     held = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     # the largest component of each bucket with two components or more
-    parts = held.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("major"), F.count("*").alias("parts"))
+    parts = held.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("major"), F.count("*").alias("parts"))
     split = held.join(parts.where("parts > 1"), "key").join(sig, "id")
     links = written(residual_links(split, sets, threshold, estimate), name="links")
     if not links.isEmpty():
@@ -391,8 +397,9 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", thresh
     classes = texts.select("fp", "text").join(labels.select(F.col("id").alias("text"), "label"), "text", "left").select("fp", F.coalesce("label", "text").alias("label"))
     joined = signed.select("id", "fp").join(classes, "fp", "left").select("id", F.coalesce("label", "id").alias("label")).groupBy("id").agg(F.min("label").alias("label"))
     joined = written(joined, name="joined")
-    size = joined.groupBy("label").agg(F.count("*").alias("class_size"))
-    out = joined.join(size, "label")
+    size = written(joined.groupBy("label").agg(F.count("*").alias("class_size")), name="sizes")
+    total = size.agg(F.sum("class_size")).first()[0] or 0
+    out = join_counts(joined, size, "label", "class_size", total)
     return out.select(F.col("id").alias(id_col), F.col("label").alias("class_id"), "class_size", (F.col("id") == F.col("label")).alias("kept"))
 
 
