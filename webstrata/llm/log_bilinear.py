@@ -13,8 +13,11 @@ without a class of its own has its hash class's probability times its share of t
 with the class's tokens n and words v, so the probabilities of all words sum to one.
 
 Word counts that tasks hold as a table are the most frequent ones, as many as have a count of at least a threshold that
-keeps them within ``TABLE_WORDS``; occurrences of all other words are joined with their counts by word, in a shuffle. No such word is
-frequent, so no key is hot.
+keeps them within ``TABLE_WORDS``; occurrences of all other words are joined with their counts by word, in a shuffle. Words that are
+rare in training may be frequent in the texts that are scored: those are told by their numbers first and sent to all tasks.
+
+The model depends on how rows are dealt to tasks, as each task learns in the order of its rows and the tasks are averaged; the
+base columns do not. Rows with a null id are scored and not learned from; their ``held_out`` is null.
 
 Null and empty texts have one token, the end. With nothing to learn from, every count is 0.
 """
@@ -31,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.llm._common import fold, hashed_share, map_slices, read, sample_share, slices, texts_of, written
+from webstrata.llm._common import fold, give_back, hashed_share, join_counts, map_slices, read, sample_share, slices, texts_of, written
 
 CLASSES = 1024
 OTHERS = 256
 END = OTHERS
-TABLE_WORDS = 400_000
+TABLE_WORDS = 250_000
 WARM_ROWS = 2500
 COUNTED_WORDS = 400_000
 HELD_OUT_FOLDS = 10
@@ -207,6 +210,7 @@ def fit(train: DataFrame, top: list[bytes], counts: np.ndarray, text_col: str =
         for batch in batches:
             for part in slices(batch, "text"):
                 seen += learn(model, texts_of(part, "text"))
+        give_back()
         if seen:
             cut = np.array_split(model.packed().astype("<f4"), blocks)
             yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([seen] * blocks, pa.int64()), pa.array([c.tobytes() for c in cut], pa.binary())], names=["block", "seen", "params"])
@@ -312,7 +316,9 @@ def score_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", held_o
     numbered = own.withColumn("row", F.monotonically_increasing_id())
     schema = f"doc_id {kind}, row long, n_tokens long, n_known long, all_logs double, other_logs double, model_logs double, rest array<binary>"
     scored = written(map_slices(numbered, "text", schema, run), name="scored")
-    rare = scored.select("row", F.explode("rest").alias("word")).join(counts.where(F.col("n") < least), "word", "left")
+    rare = scored.select("row", F.explode("rest").alias("word"))
+    met = written(rare.groupBy("word").agg(F.count("*").alias("met")).join(counts.where(F.col("n") < least), "word", "left"), name="rare-words")
+    rare = join_counts(rare, met, "word", "met", met.agg(F.sum("met")).first()[0] or 0)
     sums = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("logs"), F.count("n").alias("known"))
     logs = F.coalesce("logs", F.lit(0.0))
     return scored.drop("rest").join(sums, "row", "left").select(
