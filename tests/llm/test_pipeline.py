@@ -37,4 +37,23 @@ def test_odd_rows(spark):
     for name, stage in cp.STAGES:
         got = stage(spark, docs, SF)
         assert got.count() >= 4, name
+        assert got.columns[:2] == ["doc_id", "text"] and (name == "sentencepiece" or got.columns == docs.columns)
         assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+def test_clashing_names(spark):
+    names = ["score", "row", "spans", "moved", "n_entities", "kinds", "ids", "decoded", "n_tokens", "__text", "id", "label", "class_id", "kept"]
+    rows = [(k, f"some text {k} of a few words, mail a{k}@b.example.com", *[str(k)] * len(names)) for k in (1, 2, 3, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for name, stage in cp.STAGES:
+        got = stage(spark, docs, SF)
+        made = {"ids", "n_tokens", "decoded"} if name == "sentencepiece" else set()
+        assert got.count() >= 2 and set(got.columns) >= set(docs.columns) - made, name
+        assert all(r[n] == str(r.doc_id) for r in got.collect() for n in names if n not in made), name
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    long = " ".join(f"w{k}" for k in range(80))
+    rows = [(5, long), (5, "quite another text with words of its own"), (6, long + " x"), (None, long), (None, "nothing like the others in any way")]
+    got = cp.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(5, long), (5, rows[1][1]), (0, rows[4][1])])
