@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from webstrata.llm import toxicity as tox
 from webstrata.llm.bag_minhash import FEW_IDS, near_duplicates
 from webstrata.llm.decontaminate import remove_spans
-from webstrata.llm.pii_surrogates import replace
+from webstrata.llm.pii_surrogates import replace, session_key
 from webstrata.llm.sentencepiece_codec import encode_decode
-from webstrata.llm._common import model_path, read, shared_folder
+from webstrata.llm._common import free_name, model_path, read, shared_folder, written
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -23,19 +23,25 @@ def _sized(docs: DataFrame) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score under 0.5 stay. The model learns from the labelled documents of the input."""
     weights = tox.fit(tox.labelled_documents(docs, read(spark, sf_dir, "labels"), "toxic"))
-    kept = [c for c in docs.columns]
-    return tox.score(docs, weights, keep=kept, out="__toxicity").where(F.col("__toxicity") < 0.5).select(*kept)
+    score = free_name(docs.columns, "score")
+    return tox.score(docs, weights, keep=docs.columns, out=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: that with the smallest id. Documents without an id stay."""
-    classes = near_duplicates(docs)
-    gone = classes.where(~F.col("kept")).select("doc_id")
+    """One document of each class stays: that with the smallest id.
+
+    Where ids are repeated or null, every row is a document of its own: rows are numbered in a written table, and of a class
+    the row with the smallest id (as text, nulls last) and then the smallest number stays.
+    """
+    key = "doc_id"
+    rows = docs
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        key = free_name(docs.columns, "row")
+        number = F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")
+        rows = written(docs.withColumn(key, F.concat(F.coalesce(F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lit("~")), F.lit(":"), number)), name="numbered")
+    gone = written(near_duplicates(rows, id_col=key).where(~F.col("kept")).select(key), name="gone")
     few = gone.count() <= FEW_IDS  # otherwise the ids are joined by shuffle
-    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
-    if docs.where("doc_id is not null").count() > classes.count():  # some id comes up more than once
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
-    return left.select(*docs.columns)
+    return rows.join(F.broadcast(gone) if few else gone, key, "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +51,15 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data get surrogates."""
-    return _sized(replace(docs))
+    return _sized(replace(docs, key=session_key(spark)))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian unsigned 32-bit integers, with begin and end), their number, and the text they decode to."""
-    rest = [c for c in docs.columns if c != "text"]
+    """Token ids (little-endian unsigned 32-bit integers, with begin and end), their number, and the text they decode to.
+
+    Columns of these names give way to those made here.
+    """
+    rest = [c for c in docs.columns if c.lower() not in ("text", "ids", "n_tokens", "decoded")]
     coded = encode_decode(docs, model_path("piece_bpe_32k.model"), keep=rest)
     return coded.select(*rest, F.col("decoded").alias("text"), "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"))
 
