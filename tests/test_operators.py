@@ -27,6 +27,8 @@ def one(spark, expr, **values):
     row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values))
     return row.select(expr.alias("x")).first().x
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_rule_lines():
     r = K.parse_rule("required: World Trade Center | weight=2 | whole")
@@ -109,6 +111,47 @@ def test_classification(spark):
     assert k("http://a/b.asx", "video/x-ms-asf") == ("media_descriptor", True)
 
 
+def test_plans_compute_once(spark):
+    """Pages are parsed once and each field is searched once by rule, whatever filters and columns follow."""
+    from webstrata.plans import collection, corpus
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(collection.cdx_json_rows(spark, SF)).count("from_json(") == 1
+    assert plan(corpus.scan_ranked(spark, SF)).count("replace(") == 3 * len(corpus.RULES)
+    assert plan(corpus.scan_keyword_counts(spark, SF)).count("replace(") == 3 * len(corpus.RULES)
+
+
+def test_near_groups(spark):
+    words = [f"word{k}" for k in range(400)]
+    rows = [(5, " ".join(words)), (3, " ".join(words)), (8, " ".join([*words[:399], "other"])), (9, "nothing like it at all " * 9), (10, None)]
+    got = {r.id: r for r in H.near_groups(H.fingerprints(spark.createDataFrame(rows, "id int, text string"), "id", "text")).collect()}
+    assert got[3].method == got[5].method == "exact" and got[3].group == got[5].group == 3 and got[3].similarity == 1 and 9 not in got and 10 not in got
+    if 8 in got:
+        assert got[8].method == "near" and 0.9 <= got[8].similarity < 1 and got[8].group == 3
+
+
+def test_merge_keeps_the_last_complete_generation(spark, tmp_path):
+    from webstrata.streaming import jobs
+
+    write = jobs.merge_each_batch(str(tmp_path), "k", "n")
+    frame = lambda *rows: spark.createDataFrame(rows, "k int, n int, v string")
+    write(frame((1, 1, "a"), (2, 1, "b")), 0)
+    write(frame((1, 2, "c")), 7)  # numbers were left out
+    write(frame((1, 2, "c")), 7)  # the same batch again
+    (tmp_path / "generation=8").mkdir()  # begun and lost
+    write(frame((3, 1, "d")), 9)
+    assert jobs.generations(spark, str(tmp_path)) == [0, 7, 9]
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/generation=9").collect())) == [(1, 2, "c"), (2, 1, "b"), (3, 1, "d")]
+
+
+def test_matching(spark):
+    docs = spark.createDataFrame([(1, "red fish, blue fish", "sea"), (2, "red bird", "air"), (3, None, "sea red"), (4, "", None)], "id int, text string, place string")
+    fields = {"text": "text", "place": "place"}
+    ids = lambda **k: sorted(r.id for r in FT.matching(docs, fields, **k).collect())
+    assert ids(every=["red"]) == [1, 2, 3] and ids(every=["red"], field="text") == [1, 2] and ids(some=["blue fish", "bi*"]) == [1, 2]
+    assert ids(every=["red"], none=["sea"]) == [2] and ids(some=["fish red"]) == [] and ids() == [1, 2, 3, 4]
+
+
 def test_payload_kinds(spark):
     rows = spark.createDataFrame([(bytearray(b),) for b in (b"\x89PNG\r\n\x1a\n..", b"%PDF-1.4", b"ID3x", b"hello", b"a\0b", b"RIFF1234WEBPxx")], "b binary")
     assert [r.k for r in rows.select(C.payload_kind(F.col("b")).alias("k")).collect()] == ["image", "binary", "audio", "text", "binary", "image"]
@@ -177,10 +220,10 @@ def test_near_groups_and_labels(spark, tmp_path):
     base = " ".join(f"w{k}" for k in range(200))
     rows = spark.createDataFrame([(1, base), (2, base + " x"), (3, "other text entirely here now"), (4, base), (5, "")], "id int, text string")
     links = H.near_links(H.fingerprints(rows, "id", "text"))
-    labels = {r.id: r.label for r in H.smallest_labels(links, str(tmp_path)).collect()}
+    labels = {r.id: r.label for r in H.smallest_labels(links).collect()}
     assert labels[4] == labels[1] == 1 and 3 not in labels and 5 not in labels
     chain = spark.createDataFrame([(k, k + 1) for k in range(1, 30)] + [(50, 51)], "a int, b int")
-    got = {r.id: r.label for r in H.smallest_labels(chain, str(tmp_path)).collect()}
+    got = {r.id: r.label for r in H.smallest_labels(chain).collect()}
     assert set(list(got.values())) == {1, 50} and len(got) == 32
 
 

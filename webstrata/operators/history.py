@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from difflib import SequenceMatcher
 from hashlib import blake2b
 from math import log2
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
 from webstrata.functions.text import clean_space, hamming_similarity, normalize_search
+from webstrata.storage import new_path, written
 
 #: Line ends as text editors know them.
 LINES = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
@@ -98,8 +97,7 @@ def _neighbours(keys: DataFrame, url: str, order: str) -> DataFrame:
     over to the next. The parts are written, as a second reading could cut them elsewhere.
     """
     spark = keys.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="webstrata-")
-    path = f"{folder.rstrip('/')}/snapshots-{uuid.uuid4().hex}"
+    path = new_path(spark, "snapshots")
     by = [url, order, "key"]
     keys.select(*by).repartitionByRange(*by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id()).write.parquet(path)
     dealt = spark.read.parquet(path)
@@ -206,22 +204,31 @@ def near_links(prints: DataFrame, threshold: float = 0.9) -> DataFrame:
     return near.unionByName(own).unionByName(same).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def smallest_labels(links: DataFrame, folder: str) -> DataFrame:
-    """(id, label): the smallest id of each component; labels spread along links and are written each round."""
-    spark = links.sparkSession
+def near_groups(prints: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """(id, group, members, links, method, similarity): documents in groups of two or more.
+
+    group: the smallest id; links: near links of the document's fingerprint or text; method: exact where the text is that of the
+    group's first document, else near; similarity: of the two fingerprints.
+    """
+    links = written(near_links(prints, threshold), "near-links")
+    labels = smallest_labels(links)
+    size = labels.groupBy("label").agg(F.count("*").alias("members"))
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
+    own = labels.join(size, "label").join(ends, "id").join(prints, "id")
+    first = prints.select(F.col("id").alias("label"), F.col("exact_key").alias("first_key"), F.col("value").alias("first_value"))
+    method = F.when(F.col("exact_key") == F.col("first_key"), "exact").otherwise("near")
+    return own.join(first, "label").select("id", F.col("label").alias("group"), "members", "links", method.alias("method"), hamming_similarity(F.col("value"), F.col("first_value")).alias("similarity"))
 
-    def keep(df: DataFrame) -> DataFrame:
-        path = f"{folder.rstrip('/')}/labels-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
 
-    both = keep(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).toDF("id", "other"))
-    labels = keep(both.groupBy("id").agg(F.least(F.first("id"), F.min("other")).alias("label")))
+def smallest_labels(links: DataFrame) -> DataFrame:
+    """(id, label): the smallest id of each component; labels spread along links and are written each round."""
+    both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).toDF("id", "other"), "labels")
+    labels = written(both.groupBy("id").agg(F.least(F.first("id"), F.min("other")).alias("label")), "labels")
     while True:
         around = both.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id").agg(F.min("label").alias("near"))
         stepped = labels.join(around, "id", "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
         jumped = stepped.join(labels.select(F.col("id").alias("new"), F.col("label").alias("further")), "new", "left")
-        now = keep(jumped.select("id", F.col("label").alias("old"), F.least("new", F.coalesce("further", "new")).alias("label")))
+        now = written(jumped.select("id", F.col("label").alias("old"), F.least("new", F.coalesce("further", "new")).alias("label")), "labels")
         if now.where("old <> label").isEmpty():
             return now.select("id", "label")
         labels = now.select("id", "label")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass
 from functools import reduce
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from webstrata.functions.text import clean_space, literal_count
+from webstrata.storage import once
 
 #: Prefixes of rule lines, weights of fields, and word window.
 KINDS = {
@@ -145,6 +147,16 @@ def _segment_bonus(text: Column, splitter: str, rules: Sequence[Rule], searched)
     return F.aggregate(F.transform(F.split(text, splitter), one), F.lit(0), lambda a, x: a + x)
 
 
+def _least_gap(a: list[int], b: list[int]) -> int:
+    """The least distance between members of two sorted lists, in one walk."""
+    i = j = 0
+    best = abs(a[0] - b[0])
+    while i < len(a) and j < len(b) and best:
+        best = min(best, abs(a[i] - b[j]))
+        i, j = (i + 1, j) if a[i] < b[j] else (i, j + 1)
+    return best
+
+
 def proximity(body: Column, rules: Sequence[Rule]) -> Column:
     """Pairs of labels whose nearest words are within the window, and the least distance, in an Arrow function."""
     compiled = [(r.label, re.compile(r.pattern.replace("(?iU)", "(?i)").replace("(?U)", "").replace("(?iu)", "(?i)"))) for r in rules]
@@ -153,10 +165,12 @@ def proximity(body: Column, rules: Sequence[Rule]) -> Column:
     def near(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts.fillna(""):
+            begins = [m.start() for m in re.finditer(r"\S+", text)]
             at: dict[str, list[int]] = {}
             for label, pattern in compiled:
-                at.setdefault(label, []).extend(len(text[: m.start() + 1].split()) - 1 for m in pattern.finditer(text))
-            least = [min(abs(x - y) for x in at[a] for y in at[b]) for a, b in combinations([k for k, v in at.items() if v], 2)]
+                at.setdefault(label, []).extend(bisect_right(begins, m.start()) - 1 for m in pattern.finditer(text))
+            places = [sorted(set(v)) for v in at.values() if v]
+            least = [_least_gap(a, b) for a, b in combinations(places, 2)]
             rows.append((sum(d <= PROXIMITY_WORDS for d in least), min(least, default=None)))
         return pd.DataFrame(rows, columns=["pairs", "minimum_distance"]).astype({"pairs": "Int32", "minimum_distance": "Int32"})
 
@@ -171,7 +185,7 @@ def scan(docs: DataFrame, rules: Sequence[Rule], fields: dict[str, tuple[str, st
     """
     searched = searched or (lambda c: clean_space(F.lower(c)))
     counts = [[rule.count(F.col(a), F.col(b)) for a, b in fields.values()] for rule in rules]
-    staged = docs.withColumn("__c", F.array(*[F.array(*row) for row in counts]))
+    staged = once(docs, __c=F.array(*[F.array(*row) for row in counts]))
     per = lambda k: F.get("__c", F.lit(k))
     total = [F.aggregate(per(k), F.lit(0), lambda a, x: a + x) for k in range(len(rules))]
     part = lambda k, r: sum((F.least(F.get(per(k), F.lit(j)), F.lit(10)) * FIELD_WEIGHTS[name] * r.weight * (2 if r.kind == "exact" else 1) for j, name in enumerate(fields)), F.lit(0.0))

@@ -57,6 +57,6 @@ def domains(rows: DataFrame, id_col: str, text: str, suffixes: DataFrame) -> Dat
     hosts = rows.select(id_col, F.explode(F.array_distinct(found)).alias("domain"))
     parts = F.split("domain", r"\.")
     tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    each = hosts.select(id_col, "domain", F.explode(F.concat(F.transform(tails, lambda t: F.struct(t.alias("suffix"))), F.transform(tails, lambda t: F.struct(F.concat(F.lit("*."), F.regexp_replace(t, r"^[^.]*\.", "")).alias("suffix"))))).alias("s"))
+    each = hosts.select(id_col, "domain", F.explode(F.concat(F.transform(tails, lambda t: F.struct(t.alias("suffix"))), F.transform(F.filter(tails, lambda t: F.contains(t, F.lit("."))), lambda t: F.struct(F.concat(F.lit("*."), F.regexp_replace(t, r"^[^.]*\.", "")).alias("suffix"))))).alias("s"))
     known = each.select(id_col, "domain", F.col("s.suffix").alias("suffix")).join(suffixes.select("suffix"), "suffix", "left_semi")
     return known.select(id_col, "domain").distinct()

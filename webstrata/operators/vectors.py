@@ -66,12 +66,22 @@ def nearest(rows: DataFrame, id_col: str, vector: str, query: list[float], k: in
     return rows.select(id_col, sim.alias("similarity")).orderBy(F.desc("similarity"), id_col).limit(k)
 
 
+def hyperlinks(links: DataFrame, pages: DataFrame, id_col: str, url: str) -> DataFrame:
+    """Edges (src, dst, type, weight) from each page to the first page (smallest id) of each address that it links to."""
+    first = pages.groupBy(F.col(url).alias("link")).agg(F.min(id_col).alias("dst"))
+    found = links.select(F.col(id_col).alias("src"), "link").distinct().join(first, "link").where("src <> dst")
+    return found.select("src", "dst", F.lit("hyperlink").alias("type"), F.lit(1.0).alias("weight")).distinct()
+
+
 def links_by_bands(rows: DataFrame, id_col: str, vector: str, size: int, least: float) -> DataFrame:
-    """(a, b, similarity) of vectors that share a bucket; equal vectors are one node first."""
+    """(a, b, similarity) of vectors that share a bucket; equal vectors are one node first. Pairs are found by number, and meet
+    their vectors afterwards."""
     nodes = rows.groupBy(F.col(vector).alias("vec")).agg(F.min(id_col).alias("node"))
-    banded = nodes.withColumn("b", F.explode(bands(F.col("vec"), size))).select("node", F.col("vec").alias("v"), "b.*")
-    a, b = (banded.select(F.col("node").alias(n), F.col("v").alias(f"v{n}"), "band", "bucket") for n in "ab")
-    return a.join(b, ["band", "bucket"]).where("a < b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity")).distinct().where(F.col("similarity") >= least)
+    banded = nodes.select("node", F.explode(bands(F.col("vec"), size)).alias("b")).select("node", "b.*")
+    a, b = (banded.select(F.col("node").alias(n), "band", "bucket") for n in "ab")
+    pairs = a.join(b, ["band", "bucket"]).where("a < b").select("a", "b").distinct()
+    va, vb = (nodes.select(F.col("node").alias(n), F.col("vec").alias(f"v{n}")) for n in "ab")
+    return pairs.join(va, "a").join(vb, "b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def hybrid_score(similarity: Column, text_rank: Column, n_ranked: Column, entity_hits: Column, terms: Column, keyword_score: Column) -> Column:

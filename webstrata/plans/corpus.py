@@ -11,8 +11,10 @@ from webstrata.operators import extract as X
 from webstrata.operators import fulltext as FT
 from webstrata.operators import history as H
 from webstrata.operators import keyword_scan as K
+from webstrata.operators import media as M
 from webstrata.operators import vectors as V
 from webstrata.operators.tables import captures, snapshots
+from webstrata.storage import once
 
 RULES = K.parse_rules(["required: the", "high: thing", "stupid | weight=2", "exclude: disgusting", "exact: ation"])
 
@@ -20,7 +22,7 @@ RULES = K.parse_rules(["required: the", "high: thing", "stupid | weight=2", "exc
 def _fields(spark, sf):
     """Documents with the fields of a page: source as URL, first line as title, text as body, and their searched forms."""
     d = table(spark, sf, "documents").select("doc_id", F.lower("source").alias("url"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"))
-    return d.withColumns({"url_s": F.lower("url"), "title_s": F.lower("title"), "body_s": F.lower("body")})
+    return once(d, url_s=F.lower("url"), title_s=F.lower("title"), body_s=F.lower("body"))
 
 
 _F3 = {"url": ("url", "url_s"), "title": ("title", "title_s"), "body": ("body", "body_s")}
@@ -97,23 +99,24 @@ def bm25_topk(spark, sf):
     return ranked.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(100)
 
 
-@query(
-    "inverted_index",
-    f"""SELECT term, count(*)::BIGINT AS documents, sum(n)::BIGINT AS occurrences FROM (SELECT doc_id, unnest(words) AS term, 1 AS n FROM (SELECT doc_id, {_WORDS} AS words FROM conversations_docs)) t GROUP BY term""".replace(
-        "FROM conversations_docs", "FROM (SELECT conv_id AS doc_id, text FROM conversations)"
-    ).replace("count(*)::BIGINT AS documents", "count(DISTINCT doc_id)::BIGINT AS documents"),
-)
+@query("inverted_index", f"SELECT term, count(DISTINCT doc_id)::BIGINT AS documents, count(*)::BIGINT AS occurrences FROM (SELECT doc_id, unnest({_WORDS}) AS term FROM documents) GROUP BY term")
 def inverted_index(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", F.explode(FT.terms(F.col("text"))).alias("term"))
-    return c.groupBy("term", "conv_id").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences"))
+    return FT.index(table(spark, sf, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").cast("long").alias("occurrences"))
 
 
 @query("phrase_search", f"SELECT doc_id AS id, (len(w) - len(list_filter(w, lambda x, i: NOT (x = 'of' AND coalesce(w[i + 1], '') = 'the'))))::BIGINT AS n FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE n > 0")
 def phrase_search(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.posexplode(FT.terms(F.col("text"))).alias("at", "term")).where(F.col("term").isin("of", "the"))
-    # only the phrase's own words are placed; each meets its neighbour by position within the document
-    a, b = d.where("term = 'of'").select("doc_id", "at"), d.where("term = 'the'").select("doc_id", (F.col("at") - 1).alias("at"))
-    return a.join(b, ["doc_id", "at"]).groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"))
+    return FT.phrase(FT.index(table(spark, sf, "documents"), "doc_id", "text", only=["of", "the"]), ["of", "the"])
+
+
+@query(
+    "boolean_search",
+    f"""SELECT doc_id FROM (SELECT doc_id, {_WORDS} AS w, regexp_extract_all(lower(source), '[a-z0-9]+') AS s FROM documents) WHERE (list_contains(w, 'the') OR list_contains(s, 'the'))
+    AND (len(list_filter(w || s, lambda x: starts_with(x, 'stup'))) > 0 OR len(list_filter(w, lambda x, i: x = 'in' AND coalesce(w[i + 1], '') = 'the')) > 0 OR len(list_filter(s, lambda x, i: x = 'in' AND coalesce(s[i + 1], '') = 'the')) > 0)
+    AND NOT list_contains(w || s, 'idiot')""",
+)
+def boolean_search(spark, sf):
+    return FT.matching(table(spark, sf, "documents"), {"text": "text", "source": "source"}, every=["the"], some=["stup*", "in the"], none=["idiot"]).select("doc_id")
 
 
 _CLEAN = "list_sort(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), lambda x: x <> '')))"
@@ -170,9 +173,7 @@ def timeline(spark, sf):
 
 @query("duplicate_near_groups")
 def duplicate_near_groups(spark, sf):
-    prints = H.fingerprints(table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text").unionByName(table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")), "doc_id", "text")
-    links = H.near_links(prints)
-    return links.select("a", "b", "similarity")
+    return H.near_groups(H.fingerprints(table(spark, sf, "documents"), "doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
 _EXT = r"regexp_extract(regexp_extract(lower(regexp_extract(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)', 1), '([^/]*)$', 1)), '^([^;&]*)', 1), '[^.](\.[^.]+)$', 1)"
@@ -196,9 +197,14 @@ def url_classification(spark, sf):
     return captures(spark, sf).select("page_id", C.classify(F.col("url"), F.col("mimetype")).alias("k")).select("page_id", "k.class", "k.confident")
 
 
-@query("payload_kinds", "SELECT page_id, 'text' AS kind FROM pages")
+_HEADS = {"89504E470D0A1A0A": "image", "255044462D312E34": "binary", "49443303": "audio", "1A45DFA3": "video", "52494646AAAAAAAA57454250": "image", "0001": "binary"}
+
+
+@query("payload_kinds", "SELECT page_id, ['text', " + ", ".join(f"'{k}'" for k in _HEADS.values()) + f"][page_id % {len(_HEADS) + 1} + 1] AS kind FROM pages")
 def payload_kinds(spark, sf):
-    return table(spark, sf, "pages").select("page_id", C.payload_kind(F.col("html").cast("binary")).alias("kind"))
+    """Pages, most of them with the first bytes of another format before them."""
+    head = F.element_at(F.array(*[F.unhex(F.lit(h)) for h in ("", *_HEADS)]), (F.col("page_id") % (len(_HEADS) + 1) + 1).cast("int"))
+    return table(spark, sf, "pages").select("page_id", C.payload_kind(F.concat(head, F.col("html").cast("binary"))).alias("kind"))
 
 
 @query("routing_counts", """SELECT CASE WHEN page_id % 4 = 1 AND NOT regexp_matches(url, '[.]html([?#]|$)') THEN 'deferred_to_media' WHEN page_id % 4 = 3 AND NOT regexp_matches(url, '[.]html([?#]|$)') THEN 'unsupported'
@@ -210,7 +216,7 @@ def routing_counts(spark, sf):
 
 @query("link_counts", """SELECT page_id, len(list_filter(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda x: x <> ''))::INTEGER AS n FROM pages""")
 def link_counts(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.size(F.filter(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1), lambda x: x != "")).alias("n"))
+    return table(spark, sf, "pages").select("page_id", F.size(X.raw_links(F.col("html"))).alias("n"))
 
 
 @query("link_extract")
@@ -228,9 +234,24 @@ def page_titles(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.title(F.col("html")).alias("title"))
 
 
-@query("forum_parse")
+def _forum_pages(spark, sf):
+    """Conversations as pages of a forum, a post for each turn."""
+    safe = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    post = F.concat(F.lit('<div class="post" id="post_'), F.col("turn").cast("string"), F.lit('"><b class="author">'), F.col("role"), F.lit("</b><p>"), safe, F.lit("</p></div>"))
+    pages = table(spark, sf, "conversations").where("text is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", post.alias("post")))).alias("p"))
+    html_ = F.concat(F.lit("<html><body><h1>thread</h1>"), F.array_join(F.col("p.post"), ""), F.lit("</body></html>"))
+    return pages.select(F.col("conv_id").alias("page_id"), F.concat(F.lit("http://forum.example/showthread.php?t="), F.col("conv_id").cast("string"), F.lit("&page=1")).alias("url"), html_.alias("html"))
+
+
+@query(
+    "forum_parse",
+    r"""WITH p AS (SELECT conv_id AS page_id, 'forum.example|thread:' || conv_id AS thread, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS position, turn::VARCHAR AS key, role AS author, '' AS posted,
+    trim(regexp_replace(role || ' ' || text, '[ 	
+]+', ' ', 'g')) AS body FROM conversations WHERE text IS NOT NULL)
+    SELECT page_id, thread, position, key, author, posted, body FROM p WHERE length(body) >= 3 QUALIFY row_number() OVER (PARTITION BY page_id, lower(body) ORDER BY position) = 1""",
+)
 def forum_parse(spark, sf):
-    return X.posts(table(spark, sf, "pages"), "page_id", "url", "html")
+    return X.posts(_forum_pages(spark, sf), "page_id", "url", "html").select("page_id", "thread", "position", "key", "author", "posted", "body")
 
 
 @query("thread_keys", """SELECT page_id, lower(regexp_extract(url, '//([^/?#:]+)', 1)) || '|' || CASE WHEN regexp_extract(url, '//[^/]*([^?#]*)', 1) IN ('', '/') THEN 'path:/' ELSE 'path:' || regexp_replace(lower(regexp_extract(url, '//[^/]*([^?#]*)', 1)), '/+$', '') END AS thread FROM pages""")
@@ -238,9 +259,47 @@ def thread_keys(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.thread_key(F.col("url")).alias("thread"))
 
 
-@query("embedded_media")
+def _media_pages(spark, sf):
+    """Pages that embed a player, a frame and an image, and link to a film elsewhere; the numbers tell which."""
+    k = F.col("page_id")
+    film = F.element_at(F.array(*map(F.lit, ("swf", "wmv", "rm", "m3u", "bin", "mp4"))), (k % 6 + 1).cast("int"))
+    parts = ['<html><body><embed src="/m/', k.cast("string"), ".", film, '"><iframe src="http://frames.example/f', (k % 9).cast("string"), '"></iframe><img src="http://site.example/i', (k % 50).cast("string"),
+             '.png"><a href="http://cdn.other.example/v', (k % 20).cast("string"), '.mp4">film</a></body></html>']
+    html_ = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    return table(spark, sf, "pages").select("page_id", F.concat(F.lit("http://site.example/p"), k.cast("string")).alias("url"), html_.alias("html"))
+
+
+@query(
+    "embedded_media",
+    """SELECT page_id, 'http://site.example/m/' || page_id || '.' || ['swf', 'wmv', 'rm', 'm3u', 'bin', 'mp4'][page_id % 6 + 1] AS url, ['flash', 'media', 'media', 'playlist', 'asset', 'media'][page_id % 6 + 1] AS asset_type,
+    ['Adobe Flash', 'Windows Media Player', 'RealPlayer', 'Legacy playlist', 'Legacy embed', 'Embedded media'][page_id % 6 + 1] AS player FROM pages
+    UNION ALL SELECT page_id, 'http://frames.example/f' || (page_id % 9), 'frame', 'Embedded frame' FROM pages""",
+)
 def embedded_media(spark, sf):
-    return X.embeds(table(spark, sf, "pages"), "page_id", "url", "html")
+    return X.embeds(_media_pages(spark, sf), "page_id", "url", "html")
+
+
+@query(
+    "media_discovered",
+    """SELECT link, min(page_id) AS first_page, count(DISTINCT page_id)::BIGINT AS pages, external FROM (
+    SELECT page_id, 'http://site.example/i' || (page_id % 50) || '.png' AS link, false AS external FROM pages UNION ALL SELECT page_id, 'http://cdn.other.example/v' || (page_id % 20) || '.mp4', true FROM pages
+    UNION ALL SELECT page_id, 'http://site.example/m/' || page_id || '.' || ['swf', 'wmv', 'rm', 'm3u', 'bin', 'mp4'][page_id % 6 + 1], false FROM pages WHERE page_id % 6 NOT IN (3, 4)) GROUP BY link, external""",
+)
+def media_discovered(spark, sf):
+    p = _media_pages(spark, sf)
+    return M.discovered(X.links(p, "page_id", "url", "html"), p, "page_id", "url", ["site.example"])
+
+
+@query(
+    "hyperlink_edges",
+    """WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u FROM pages), f AS (SELECT u, min(page_id) AS dst FROM p GROUP BY u)
+    SELECT p.page_id AS src, dst, 'hyperlink' AS type, 1.0::DOUBLE AS weight FROM p JOIN f ON f.u = p.u WHERE p.page_id <> dst""",
+)
+def hyperlink_edges(spark, sf):
+    """Each page links to its own address; links lead to the first page of an address."""
+    p = table(spark, sf, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("url"))
+    links = p.select("page_id", F.col("url").alias("link"))
+    return V.hyperlinks(links, p, "page_id", "url")
 
 
 @query("extractions")
@@ -284,30 +343,31 @@ def vector_cosine_topk(spark, sf):
 
 @query("hash_vectors")
 def hash_vectors(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", V.hashed_vector(T.normalize_search(F.col("text"))).alias("vector"))
+    return table(spark, sf, "documents").select("doc_id", V.hashed_vector(T.normalize_search(F.col("text"))).alias("vector"))
 
 
-@query("vector_links")
+@query("vector_links", "SELECT vec_id AS a, vec_id + 10000000 AS b, 1.0::DOUBLE AS similarity FROM embeddings")
 def vector_links(spark, sf):
-    e = table(spark, sf, "embeddings")
-    size = len(e.first().embedding)
-    return V.links_by_bands(e, "vec_id", "embedding", size, 0.8)
+    """Embeddings with a copy of twice the length: each is linked to its own copy."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    twice = e.select((F.col("vec_id") + 10_000_000).alias("vec_id"), F.transform("embedding", lambda x: x * 2).alias("embedding"))
+    found = V.links_by_bands(e.unionByName(twice), "vec_id", "embedding", len(e.first().embedding), 0.8)
+    return found.select("a", "b", F.round("similarity", 5).alias("similarity"))
 
 
 @query("hybrid_search")
 def hybrid_search(spark, sf):
+    """The best 50 by all evidence: candidates are all documents with a term of the query, and those near it by vector."""
     d = table(spark, sf, "documents").select("doc_id", "text")
     words = ["thing", "with", "stupid"]
-    ranked = FT.bm25(d, "doc_id", "text", words).orderBy(F.desc("score"), "doc_id").limit(500)
-    from pyspark.sql import Window
-
-    placed = ranked.select("doc_id", (F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")) - 1).alias("rank"))  # 500 candidates
-    near = d.join(F.broadcast(placed), "doc_id")
     asked = spark.range(1).select(V.hashed_vector(F.lit(" ".join(words))).alias("v")).first().v
     sim = T.cosine(V.hashed_vector(T.normalize_search(F.col("text"))), F.array(*[F.lit(float(x)) for x in asked]))
-    hits = sum((T.literal_count(F.lower("text"), w) for w in words), F.lit(0))
-    score = V.hybrid_score(sim, F.col("rank"), F.lit(500.0), F.lit(0), F.lit(len(words)), hits)
-    return near.select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
+    scored = d.select("doc_id", sim.alias("similarity"), sum((T.literal_count(F.lower("text"), w) for w in words), F.lit(0)).alias("hits"))
+    ranked = FT.bm25(d, "doc_id", "text", words)
+    best = ranked.agg(F.max("score")).first()[0] or 1.0
+    both = scored.join(ranked, "doc_id", "left").where(F.col("score").isNotNull() | (F.col("similarity") >= 0.1))
+    score = V.hybrid_score(F.col("similarity"), F.lit(best) - F.col("score"), F.lit(best), F.lit(0), F.lit(len(words)), F.col("hits"))
+    return both.select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
 
 
 @query(

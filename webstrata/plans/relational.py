@@ -388,12 +388,16 @@ def coverage_gaps(spark, sf):
 
 @query(
     "window_split",
-    """SELECT o_orderkey, unnest(range(o_orderkey * 100, o_orderkey * 100 + (o_orderkey % 50) + 1, 10)) AS part_start FROM orders""",
+    """SELECT o_orderkey, strftime(s, '%Y%m%d%H%M%S') AS start, strftime(s + INTERVAL 1 HOUR - INTERVAL 1 SECOND, '%Y%m%d%H%M%S') AS "end"
+    FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + to_hours(unnest(range(0, 2 + o_orderkey % 2))) AS s FROM orders)""",
 )
 def window_split(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey")
-    first = F.col("o_orderkey") * 100
-    return o.select("o_orderkey", F.explode(F.sequence(first, first + F.col("o_orderkey") % 50, F.lit(10).cast("long"))).alias("part_start"))
+    """Windows of two or three hours are cut into hours."""
+    from webstrata.operators import windows as W
+
+    o = table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").cast("timestamp").alias("d"))
+    high = F.col("d") + F.make_dt_interval(hours=(F.col("o_orderkey") % 2 + 2).cast("int")) - F.expr("interval 1 second")
+    return W.split(o.select("o_orderkey", F.date_format("d", "yyyyMMddHHmmss").alias("low"), F.date_format(high, "yyyyMMddHHmmss").alias("high")), ["o_orderkey"], "low", "high")
 
 
 @query(

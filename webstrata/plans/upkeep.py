@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from webstrata.catalog import query, table
-from webstrata.operators import extract as X
 from webstrata.operators import media as M
 from webstrata.operators import reviews as V
 from webstrata.operators import windows as W
@@ -66,12 +65,6 @@ def window_parts(spark, sf):
     return W.split(r, ["o_orderkey"], "low", "high")
 
 
-@query("media_discovered")
-def media_discovered(spark, sf):
-    p = table(spark, sf, "pages")
-    return M.discovered(X.links(p, "page_id", "url", "html"), p, "page_id", "url", ["example.com"])
-
-
 @query(
     "queue_enriched",
     """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'queued' ELSE 'found' END AS state, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 = 0 THEN p_type ELSE p_name END AS source
@@ -84,7 +77,13 @@ def queue_enriched(spark, sf):
     return M.enqueued(queue, found, "p_partkey", ["source"])
 
 
-@query("domains_in_texts", r"""SELECT DISTINCT page_id, regexp_extract(url, '//([^/?#:]+)', 1) AS domain FROM pages""")
+@query(
+    "domains_in_texts",
+    r"""SELECT DISTINCT page_id, d AS domain FROM (SELECT page_id, regexp_extract(lower(url), '//([^/?#:]+)', 1) AS d FROM pages UNION ALL SELECT page_id, 'shop' || (page_id % 7) || '.co.ck' FROM pages) WHERE d NOT LIKE '%.invalid'""",
+)
 def domains_in_texts(spark, sf):
+    """Sentences that name hosts; a bare suffix, an address and an unknown suffix are none."""
     rules = spark.createDataFrame([("com",), ("net",), ("org",), ("*.ck",)], "suffix string")
-    return M.domains(table(spark, sf, "pages").select("page_id", F.regexp_extract("url", r"//([^/?#:]+)", 1).alias("host")), "page_id", "host", rules)
+    host = F.regexp_extract("url", r"//([^/?#:]+)", 1)
+    text = F.concat(F.lit("See "), host, F.lit(", or shop"), (F.col("page_id") % 7).cast("string"), F.lit(".co.ck; not co.ck, me@mail.example.com or a.invalid."))
+    return M.domains(table(spark, sf, "pages").select("page_id", text.alias("text")), "page_id", "text", rules)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webstrata.functions.text import host_of, host_within
+from webstrata.storage import once
 
 #: Fields of the compact form, in order.
 TEXT_FIELDS = ("timestamp", "mimetype", "statuscode", "digest", "length", "original")
@@ -26,10 +27,9 @@ def parse_json(pages: DataFrame) -> DataFrame:
     A page is rejected as a whole for: no array, a doubled header name, a row of other width, no timestamp or no URL. An empty
     array is a good page without records. ``[], [key]`` at the end is the resume key.
     """
-    rows = F.from_json("value", PAGE)
     n = F.size("rows")
     marked = (n >= 2) & (F.size(F.element_at("rows", -2)) == 0) & (F.size(F.element_at("rows", -1)) == 1)
-    parsed = pages.select("page", rows.alias("rows"), (F.trim("value") == "").alias("blank"))
+    parsed = once(pages, rows=F.from_json("value", PAGE)).select("page", "rows", (F.trim("value") == "").alias("blank"))
     cut = parsed.select(
         "page", "blank", "rows", F.when(n > 0, F.get("rows", F.lit(0))).otherwise(F.array().cast("array<string>")).alias("header"),
         F.when(n > 2, F.when(marked, F.element_at(F.element_at("rows", -1), 1))).alias("resume"),

@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from webstrata.storage import is_folder
 
-def event_stream(spark: SparkSession, folder: str, schema, pattern: str = "events.parquet", files_per_batch: int = 1) -> DataFrame:
-    """The event files of a folder as a stream; ``ts`` becomes a timestamp, as watermarks need one."""
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", pattern).parquet(folder)
+
+def event_stream(spark: SparkSession, folder: str, schema, pattern: str = "events.parquet", files_per_batch: int = 1000) -> DataFrame:
+    """The event files of a folder as a stream; ``ts`` becomes a timestamp, as watermarks need one. ``pattern``: a file, or a folder
+    of parts, within it."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    raw = reader.parquet(f"{folder}/{pattern}") if is_folder(spark, f"{folder}/{pattern}") else reader.option("pathGlobFilter", pattern).parquet(folder)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -40,7 +44,7 @@ def retry_schedule(events: DataFrame, base: float = 30, most: float = 3600) -> D
         attempts = state.get[0] if state.exists else 0
         last = None
         for rows in batches:
-            for kind, ts in rows.sort_values("ts")[["event_type", "ts"]].itertuples(index=False):
+            for kind, ts in rows.sort_values(["ts", "event_id"])[["event_type", "ts"]].itertuples(index=False):
                 attempts, last = (attempts + 1 if kind == "error" else 0), ts
         if attempts:
             state.update((attempts,))
@@ -52,19 +56,49 @@ def retry_schedule(events: DataFrame, base: float = 30, most: float = 3600) -> D
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, attempts int, due timestamp", "attempts int", "update", GroupStateTimeout.NoTimeout)
 
 
+def generations(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the complete generations below a path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return []
+    found = [f.getPath() for f in fs.listStatus(place)]
+    done = [p for p in found if p.getName().startswith("generation=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().partition("=")[2]) for p in done)
+
+
 def merge_each_batch(path: str, key: str, order: str):
-    """A foreachBatch function: the newest row of each key in a new generation beside the old one; a repeated batch changes nothing."""
+    """A foreachBatch function: the newest row of each key in a new generation; a repeated batch changes nothing.
+
+    A batch adds to the last complete generation before its own, whatever numbers lie between.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        now, before = f"{path}/generation={epoch}", f"{path}/generation={epoch - 1}"
-        try:
-            old = spark.read.parquet(before)
-        except Exception as e:  # the first generation has none before it
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = batch.limit(0)
-        every = old.unionByName(batch)
-        every.groupBy(key).agg(F.max_by(F.struct(*[c for c in every.columns if c != key]), order).alias("r")).select(key, "r.*").write.mode("overwrite").parquet(now)
+        before = [g for g in generations(spark, path) if g < epoch]
+        every = spark.read.parquet(f"{path}/generation={before[-1]}").unionByName(batch) if before else batch
+        every.groupBy(key).agg(F.max_by(F.struct(*[c for c in every.columns if c != key]), order).alias("r")).select(key, "r.*").write.mode("overwrite").parquet(f"{path}/generation={epoch}")
 
     return write
+
+
+def run_to_end(stream: DataFrame, path: str, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over what its source has now; every batch is a folder of its own below ``path``, so nothing meets in the driver.
+
+    Returns the last batch (mode complete), all rows (append), or the last row of each key (update).
+    """
+    spark, schema = stream.sparkSession, stream.schema
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/generation={epoch}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    done = generations(spark, f"{path}/rows")
+    if not done:
+        return spark.createDataFrame([], schema)
+    if mode == "complete":
+        return spark.read.schema(schema).parquet(f"{path}/rows/generation={done[-1]}")
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(*[f"{path}/rows/generation={g}" for g in done])
+    if mode == "update":
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in schema.names if c not in keys]), "generation").alias("r")).select(*keys, "r.*")
+    return rows.select(*schema.names)
