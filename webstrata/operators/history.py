@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 from hashlib import blake2b
-from math import log2
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -173,11 +173,11 @@ def simhash64(text: pd.Series) -> pd.Series:
         if not parts:
             out.append(0)
             continue
-        seen = pd.Series(parts).value_counts()
-        hashes = np.frombuffer(b"".join(blake2b(p.encode(), digest_size=8).digest() for p in seen.index), np.uint8).reshape(-1, 8)
-        weight = np.array([1 + int(log2(n)) for n in seen])
-        signs = (np.unpackbits(hashes, axis=1).astype(int) * 2 - 1) * weight[:, None]
-        out.append(int(np.packbits(signs.sum(0) >= 0).view(">u8")[0].astype(np.uint64).view(np.int64)))
+        seen = Counter(parts)
+        hashes = np.frombuffer(b"".join(blake2b(p.encode(), digest_size=8).digest() for p in seen), np.uint8).reshape(-1, 8)
+        weight = np.array([n.bit_length() for n in seen.values()], np.float32)  # 1 + the whole part of the logarithm
+        ones = weight @ np.unpackbits(hashes, axis=1).astype(np.float32)
+        out.append(int(np.packbits(2 * ones >= weight.sum()).view(">u8")[0].astype(np.uint64).view(np.int64)))
     return pd.Series(out, dtype="int64")
 
 
