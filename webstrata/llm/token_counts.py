@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from webstrata.llm._common import map_slices, model_path, read, texts_of
 
 MARK = "▁"
-MAX_STATES = 200_000
+MAX_STATES = 160_000
 CHUNK = 384
-BLOCK_CHARS = 1 << 16
+BLOCK_CHARS = 1 << 18
 #: Letters with a column in the dense table.
 DENSE = 80
 #: Rounds in which images of start states are followed before the maps are composed.
