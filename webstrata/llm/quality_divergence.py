@@ -2,8 +2,8 @@
 
 Each text has two histograms: of character classes within words (lower case a-z, upper case A-Z, digits, punctuation,
 symbols, other characters) and, for each language, of that language's common words and all others. The common words of a
-language are learned: of the words that stand in at least ``COMMON_SHARE`` of its texts (words in lower case, A-Z only), the
-``COMMON_WORDS`` that stand in most of them. The reference of a language is the sum of the histograms of all its texts that
+language are learned: of its short words (``SHORT`` characters at most, in lower case) that stand in at least
+``COMMON_SHARE`` of its texts, the ``COMMON_WORDS`` that stand in most of them. The reference of a language is the sum of the histograms of all its texts that
 pass the base rules, and then, once more, of those that also are within the limits of the first references.
 
 A text is compared with the references by Jensen-Shannon distance (base 2, the square root, 0 to 1). One language is taken
@@ -29,14 +29,13 @@ from pyspark.sql import functions as F
 
 from webstrata.llm._common import read, written
 
-SPACE = r"[\x20\x09-\x0D]"
 WINDOW = 8
 MIN_BASE_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MIN_CHARS, MIN_WORDS = 200, 50
 #: Limits: the first number plus the second over the root of the histogram's size.
 CLASS_LIMIT, WORD_LIMIT = (0.12, 1.0), (0.12, 2.0)
-COMMON_SHARE, COMMON_WORDS = 0.2, 16
+COMMON_SHARE, COMMON_WORDS, SHORT = 0.2, 16, 5
 BLOCK_LANGS = 32
 CLASSES = 6
 
@@ -48,20 +47,19 @@ def _symbols_out(text: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(text, SPACE + "+", -1), "")
-
-
-def _plain(text: Column) -> Column:
-    """A-Z in lower case."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """Words between white space; one plain separator splits faster than a pattern."""
+    for c in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " ", -1), "")
 
 
 def common_words(docs: DataFrame, *, text_col="text", lang_col="lang") -> dict[str, list[str]]:
     """Common words by language, those in most texts first; at most COMMON_WORDS for each language."""
-    own = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.array_distinct(_words(_plain(F.coalesce(F.col(text_col), F.lit(""))))).alias("words")).where(F.size("words") >= MIN_BASE_WORDS)
+    words = _words(F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    own = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.array_distinct(F.filter(words, lambda w: F.length(w) <= SHORT)).alias("words"))
     seen = own.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     # no more than their mean length over COMMON_SHARE words are frequent
-    texts = own.groupBy("lang").agg(F.count("*").alias("texts"))
+    texts = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("texts"))
     often = seen.join(texts, "lang").where(F.col("n") >= F.col("texts") * COMMON_SHARE)
     rows = often.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("k") <= COMMON_WORDS).select("lang", "k", "word").collect()
     out: dict[str, list[str]] = {}
@@ -71,7 +69,7 @@ def common_words(docs: DataFrame, *, text_col="text", lang_col="lang") -> dict[s
 
 
 def measures(docs: DataFrame, common: list[str], *, id_col="doc_id", text_col="text", lang_col: str | None = "lang") -> DataFrame:
-    """Per row: id, language, the base measures, the histogram of character classes, and the common words of any language in it."""
+    """Per row: id, language, the base measures, the histogram of character classes, and how often the common words of any language stand in it."""
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
     own = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     cut = own.select("id", "lang", "text", _words(F.col("text")).alias("words"), F.split("text", "\n", -1).alias("lines"))
@@ -80,7 +78,7 @@ def measures(docs: DataFrame, common: list[str], *, id_col="doc_id", text_col="t
     hashes = F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))
     one = cut.select(
         "id", "lang", "text", n.cast("long").alias("n_words"), some.alias("some"), F.array_join("words", "").alias("joined"),
-        (F.filter(F.transform("words", _plain), lambda x: x.isin(*common)) if common else F.array().cast("array<string>")).alias("common"),
+        (F.filter(F.transform("words", lambda w: F.lower(w)), lambda x: x.isin(*common)) if common else F.array().cast("array<string>")).alias("common"),
         F.when(n > WINDOW, hashes).otherwise(F.array().cast("array<long>")).alias("windows"),
     )
     placed = F.transform("windows", lambda x, i: F.struct(x.alias("h"), i.alias("p")))
@@ -97,11 +95,14 @@ def measures(docs: DataFrame, common: list[str], *, id_col="doc_id", text_col="t
     begin = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n"))
     covered = F.aggregate(F.sort_array(F.transform("twice", lambda x: x.p)), begin, lambda a, p: F.struct(p.alias("last"), (a.n + F.least(F.lit(WINDOW), p - a.last)).alias("n"))).n
     classes = [F.length("joined") - F.length("rest"), F.col("upper"), F.col("digit"), F.col("mark"), F.col("symbol")]
+    kinds = F.array_distinct("common")
+    numbers = F.transform(kinds, lambda w: F.size("common") - F.size(F.array_remove("common", w)))
     three = two.select("*", F.when(F.col("pairs").isNotNull(), twice).alias("twice"), upper.alias("upper"), digit.alias("digit"), mark.alias("mark"), symbol.alias("symbol"))
     return three.select(
         "id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.when(F.col("twice").isNull(), 0).otherwise(covered).cast("long").alias("n_repeat_words"),
-        F.array(*classes, F.col("word_chars") - sum(classes[1:], classes[0])).cast("array<double>").alias("classes"), "common",
+        F.array(*classes, F.col("word_chars") - sum(classes[1:], classes[0])).cast("array<double>").alias("classes"),
+        F.map_from_arrays(kinds, numbers).alias("common"),
     )
 
 
@@ -111,7 +112,7 @@ def base_failed() -> Column:
 
 def word_counts(words: list[str]) -> Column:
     """Counts of the given words and of all others."""
-    found = F.transform(F.array(*map(F.lit, words)), lambda w: F.size("common") - F.size(F.array_remove("common", w))) if words else F.array().cast("array<int>")
+    found = F.transform(F.array(*map(F.lit, words)), lambda w: F.coalesce(F.try_element_at("common", w), F.lit(0))) if words else F.array().cast("array<int>")
     return F.concat(found, F.array((F.col("n_words") - F.aggregate(found, F.lit(0), lambda a, x: a + x)).cast("int"))).cast("array<double>")
 
 
