@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import html
+import ipaddress
 import unicodedata
 import urllib.parse
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -148,3 +149,33 @@ def cosine(a: Column, b: Column) -> Column:
 def literal_count(text: Column, needle: str) -> Column:
     """Occurrences that do not overlap."""
     return ((F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))) / len(needle)).cast("int")
+
+
+def canonical(value: str | None) -> str:
+    """A host name in ASCII and lower case, out of a name or a URL; empty for addresses, bare names and what is none."""
+    name = (value or "").strip().rstrip(".").translate({ord(dot): "." for dot in "。．｡"})
+    if "//" in name:
+        try:
+            name = urllib.parse.urlsplit(name if "://" in name else f"https:{name}").hostname or ""
+        except ValueError:
+            return ""
+    try:
+        ipaddress.ip_address(name)
+        return ""
+    except ValueError:
+        pass
+    try:
+        name = name.encode("idna").decode("ascii").lower() if len(name) <= 253 else ""
+    except UnicodeError:
+        return ""
+    return name if "." in name and len(name) <= 253 and all(c.isalnum() or c in "-." for c in name) else ""
+
+
+@F.pandas_udf(StringType())
+def canonical_host(value: pd.Series) -> pd.Series:
+    return value.map(canonical)
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Functions of the library by name, for SQL."""
+    spark.udf.register("canonical_host", canonical_host)

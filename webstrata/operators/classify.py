@@ -14,6 +14,7 @@ VIDEO = ".3gp .asf .avi .f4v .flv .m2ts .m4v .mkv .mov .mp4 .mpe .mpeg .mpg .mts
 AUDIO = ".aac .aiff .flac .m4a .mid .mp3 .oga .ogg .wav .wma".split()
 DESCRIPTOR = ".asx .m3u .m3u8 .mpd .pls .ram .smil .smi .vtt .srt .wax .wvx .wmx .wpl".split()
 BINARY = ".7z .ace .bin .bz2 .cab .class .dmg .doc .docx .eot .exe .gz .iso .jar .otf .pdf .ppt .pptx .rar .tar .tgz .torrent .ttf .woff .woff2 .xls .xlsx .zip".split()
+ARCHIVE = ".7z .ace .cab .gz .rar .tar .tgz .zip".split()
 #: Suffixes that are never text, whatever the media type says.
 NEVER_TEXT_IMAGE = ".jpeg .jpg .png .bmp .gif .tiff .psd .dib .webp .sr .ras .jfif .xxx".split()
 NEVER_TEXT_MEDIA = (

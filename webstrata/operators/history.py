@@ -187,17 +187,32 @@ def fingerprints(rows: DataFrame, id_col: str, text: str) -> DataFrame:
     return full.select(F.col(id_col).alias("id"), F.sha2(normalize_search(F.col(text)).cast("binary"), 256).alias("exact_key"), simhash64(normalize_search(F.col(text))).alias("value"))
 
 
+def _join_keys(value: Column, differing: int) -> list[Column]:
+    """Keys of which two fingerprints share one if they share a 16-bit band and differ in at most so many bits.
+
+    The other 48 bits are cut into one part more than bits may differ, so one of the parts is equal as well. A key of a band
+    and a part is met by far fewer fingerprints than a band alone, and no link is lost.
+    """
+    parts = min(differing + 1, 48)
+    out = []
+    for band in range(4):
+        rest = [k for k in range(64) if k // 16 != band]
+        for p in range(parts):
+            mask = sum(1 << k for k in (*range(16 * band, 16 * band + 16), *rest[48 * p // parts : 48 * (p + 1) // parts]))
+            out.append(F.struct(F.lit(band * 64 + p).alias("kind"), value.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("bits")))
+    return out
+
+
 def near_links(prints: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(a, b, similarity): links between different fingerprints that share one of four 16-bit bands and agree in enough bits.
 
     Equal fingerprints and equal texts are one node first (its smallest id), so a group of copies makes no pairs.
     """
     nodes = prints.groupBy("value").agg(F.min("id").alias("node"))
-    band = F.posexplode(F.array(*[F.shiftrightunsigned("value", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)])).alias("band", "bucket")
-    banded = nodes.select("node", "value", band)
-    a, b = banded.select(F.col("node").alias("a"), F.col("value").alias("va"), "band", "bucket"), banded.select(F.col("node").alias("b"), F.col("value").alias("vb"), "band", "bucket")
+    banded = nodes.select("node", "value", F.explode(F.array(*_join_keys(F.col("value"), int(64 * (1 - threshold) + 1e-9)))).alias("key"))
+    a, b = banded.select(F.col("node").alias("a"), F.col("value").alias("va"), "key"), banded.select(F.col("node").alias("b"), F.col("value").alias("vb"), "key")
     sim = hamming_similarity(F.col("va"), F.col("vb"))
-    near = a.join(b, ["band", "bucket"]).where((F.col("a") < F.col("b")) & (sim >= threshold)).select("a", "b", sim.alias("similarity")).distinct()
+    near = a.join(b, "key").where((F.col("a") < F.col("b")) & (sim >= threshold)).select("a", "b", sim.alias("similarity")).distinct()
     own = prints.join(nodes, "value").where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
     keys = prints.groupBy("exact_key").agg(F.min("id").alias("a"))
     same = prints.join(keys, "exact_key").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
@@ -205,19 +220,20 @@ def near_links(prints: DataFrame, threshold: float = 0.9) -> DataFrame:
 
 
 def near_groups(prints: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """(id, group, members, links, method, similarity): documents in groups of two or more.
+    """(id, group, members, links, group_method, method, similarity): documents in groups of two or more.
 
-    group: the smallest id; links: near links of the document's fingerprint or text; method: exact where the text is that of the
-    group's first document, else near; similarity: of the two fingerprints.
+    group: the smallest id; links: near links of the document's fingerprint or text; group_method: exact for groups of one text,
+    else near; method: exact where the text is that of the group's first document, else near; similarity: of the two fingerprints.
     """
     links = written(near_links(prints, threshold), "near-links")
     labels = smallest_labels(links)
-    size = labels.groupBy("label").agg(F.count("*").alias("members"))
+    size = labels.join(prints.select("id", "exact_key"), "id").groupBy("label").agg(F.count("*").alias("members"), (F.min("exact_key") == F.max("exact_key")).alias("one"))
     ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
     own = labels.join(size, "label").join(ends, "id").join(prints, "id")
     first = prints.select(F.col("id").alias("label"), F.col("exact_key").alias("first_key"), F.col("value").alias("first_value"))
-    method = F.when(F.col("exact_key") == F.col("first_key"), "exact").otherwise("near")
-    return own.join(first, "label").select("id", F.col("label").alias("group"), "members", "links", method.alias("method"), hamming_similarity(F.col("value"), F.col("first_value")).alias("similarity"))
+    called = lambda same: F.when(same, "exact").otherwise("near")
+    method, group_method = called(F.col("exact_key") == F.col("first_key")), called(F.col("one"))
+    return own.join(first, "label").select("id", F.col("label").alias("group"), "members", "links", group_method.alias("group_method"), method.alias("method"), hamming_similarity(F.col("value"), F.col("first_value")).alias("similarity"))
 
 
 def smallest_labels(links: DataFrame) -> DataFrame:

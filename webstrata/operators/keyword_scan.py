@@ -181,10 +181,10 @@ def scan(docs: DataFrame, rules: Sequence[Rule], fields: dict[str, tuple[str, st
     """Score documents by rules.
 
     fields: by field name (of FIELD_WEIGHTS) the original column and its searched form. Per row: all columns and ``hits`` (label
-    to count), ``hit_fields`` (label to fields), ``excluded``, ``required_missing``, ``score``.
+    to count), ``hit_fields`` (label to fields), ``excluded``, ``required_missing``, ``score``. A null field holds nothing.
     """
     searched = searched or (lambda c: clean_space(F.lower(c)))
-    counts = [[rule.count(F.col(a), F.col(b)) for a, b in fields.values()] for rule in rules]
+    counts = [[F.coalesce(rule.count(F.col(a), F.col(b)), F.lit(0)) for a, b in fields.values()] for rule in rules]
     staged = once(docs, __c=F.array(*[F.array(*row) for row in counts]))
     per = lambda k: F.get("__c", F.lit(k))
     total = [F.aggregate(per(k), F.lit(0), lambda a, x: a + x) for k in range(len(rules))]

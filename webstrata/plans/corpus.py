@@ -32,13 +32,19 @@ def _count(field: str, needle: str) -> str:
     return f"CAST((length({field}) - length(replace({field}, '{needle}', ''))) // {len(needle)} AS INTEGER)"
 
 
-_SCAN_CTE = """WITH f AS (SELECT doc_id, lower(source) AS u, lower(split_part(text, chr(10), 1)) AS t, lower(text) AS b FROM documents),
-c AS (SELECT doc_id, """ + ", ".join(f"{_count(f, r.expression)} AS {f}{k}" for k, r in enumerate(RULES) for f in "utb") + " FROM f)"
+_COUNTS = ", ".join(f"{_count(f, r.expression)} AS {f}{k}" for k, r in enumerate(RULES) for f in "utb")
 _SUM = lambda k: f"(u{k} + t{k} + b{k})"
 _CONTRIB = " + ".join(f"{r.weight * (2 if r.kind == 'exact' else 1)} * (6 * least(u{k}, 10) + 5 * least(t{k}, 10) + least(b{k}, 10))" for k, r in enumerate(RULES) if r.kind != "excluded")
 _DISTINCT = " + ".join(f"CASE WHEN {_SUM(k)} > 0 THEN 1 ELSE 0 END" for k, r in enumerate(RULES) if r.kind != "excluded")
-_SCORED = _SCAN_CTE + f""", s AS (SELECT *, {_CONTRIB} AS base, {_DISTINCT} AS d FROM c),
-z AS (SELECT *, CASE WHEN {_SUM(3)} > 0 OR {_SUM(0)} = 0 OR base <= 0 THEN 0 ELSE greatest(1, CAST(round_even(base + CASE WHEN d >= 2 THEN 3 * d ELSE 0 END, 0) AS INTEGER)) END AS score FROM s)"""
+
+
+def scored_sql(fields: str) -> str:
+    """CTEs up to z (doc_id, counts, score) over a query of doc_id and the lower-case fields u, t and b."""
+    return f"""WITH f AS ({fields}), c AS (SELECT doc_id, {_COUNTS} FROM f), s AS (SELECT *, {_CONTRIB} AS base, {_DISTINCT} AS d FROM c),
+    z AS (SELECT *, CASE WHEN {_SUM(3)} > 0 OR {_SUM(0)} = 0 OR base <= 0 THEN 0 ELSE greatest(1, CAST(round_even(base + CASE WHEN d >= 2 THEN 3 * d ELSE 0 END, 0) AS INTEGER)) END AS score FROM s)"""
+
+
+_SCORED = scored_sql("SELECT doc_id, lower(coalesce(source, '')) AS u, lower(split_part(coalesce(text, ''), chr(10), 1)) AS t, lower(coalesce(text, '')) AS b FROM documents")
 
 
 @query("scan_ranked", _SCORED + f" SELECT doc_id, score::INTEGER AS score, {_SUM(3)} > 0 AS excluded, {_SUM(0)} = 0 AS required_missing FROM z WHERE score >= 1 ORDER BY score DESC, doc_id")
@@ -247,7 +253,8 @@ def _forum_pages(spark, sf):
     "forum_parse",
     r"""WITH p AS (SELECT conv_id AS page_id, 'forum.example|thread:' || conv_id AS thread, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS position, turn::VARCHAR AS key, role AS author, '' AS posted,
     trim(regexp_replace(role || ' ' || text, '[ 	
-]+', ' ', 'g')) AS body FROM conversations WHERE text IS NOT NULL)
+
+]+', ' ', 'g')) AS body FROM conversations WHERE text IS NOT NULL)
     SELECT page_id, thread, position, key, author, posted, body FROM p WHERE length(body) >= 3 QUALIFY row_number() OVER (PARTITION BY page_id, lower(body) ORDER BY position) = 1""",
 )
 def forum_parse(spark, sf):
