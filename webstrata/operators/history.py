@@ -18,7 +18,7 @@ from webstrata.storage import new_path, written
 LINES = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
 LISTED = 200
 #: Pairs of characters up to which a matcher by positions is quicker than an automaton.
-SMALL = 1_000_000
+SMALL = 50_000
 
 
 def clean_lines(text: Column) -> Column:
