@@ -1,11 +1,14 @@
 """Saved scans, hits, retries, reports and merges on small tables: edges, ties, empty tables and equal plans on both sides of a choice."""
 
+import base64
 import datetime
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from webstrata.functions import text as T
+from webstrata.operators import acquisition as A
 from webstrata.operators import history as H
 from webstrata.operators import hits as HL
 from webstrata.operators import keyword_scan as K
@@ -123,3 +126,29 @@ def test_near_links_lose_none(spark):
     band = lambda v, k: v >> 16 * k & 0xFFFF
     want = {(a, b) for a in nodes for b in nodes if a < b and 1 - bin(values[a] ^ values[b]).count("1") / 64 >= 0.9 and any(band(values[a], k) == band(values[b], k) for k in range(4))}
     assert {(r.a, r.b) for r in got if r.a in nodes and r.b in nodes} == want
+
+
+def test_searched_domains_defers_nulls_and_strangers(spark):
+    pages = spark.createDataFrame([("a.example", 200, None), ("b.example", 200, None), ("c.example", 200, "key"), ("d.example", None, None), ("e.example", 200, None)], "domain string, http_status int, resume string")
+    rows = [("a.example", "http://x.a.example./p", "20200101000000", "200"), ("a.example", "http://a.example/q", "20190101000000", "200"), ("b.example", None, "20200101000000", "200"),
+            ("c.example", "http://a.example/q", "20180101000000", "200"), ("d.example", "http://d.example/", "20200101000000", "200")]
+    states, urls = A.searched_domains(pages, spark.createDataFrame(rows, "domain string, url string, timestamp string, status string"), "2000", "2030", 100)
+    assert {r.domain: r.state for r in states.collect()} == {"a.example": "searched", "b.example": "deferred", "c.example": "deferred", "d.example": "deferred", "e.example": "searched"}
+    assert {(r.url, r.timestamp) for r in urls.collect()} == {("http://x.a.example./p", "20200101000000"), ("http://a.example/q", "20190101000000")}
+
+
+def test_adopted_keeps_captures_that_collide(spark):
+    captures = spark.createDataFrame([(1, "u", "20200101000000", "old"), (1, "u", "20200101000000", "now"), (1, "v", "20200101000000", "old"), (1, "v", "20210101000000", "old"), (1, "v", "20200101000000", "older")], "target int, url string, timestamp string, signature string")
+    coverage = spark.createDataFrame([(1, "old", "20200101000000", "20201231235959"), (1, "older", "20200101000000", "20201231235959")], "target int, signature string, start string, end string")
+    moved, covered = A.adopted(captures, coverage, "now", ["old", "older"], "19000101000000", "20991231235959")
+    assert sorted((r.url, r.timestamp[:4], r.signature) for r in moved.collect()) == [("u", "2020", "now"), ("u", "2020", "old"), ("v", "2020", "now"), ("v", "2020", "older"), ("v", "2021", "old")]
+    assert sorted(r.signature for r in covered.collect()) == ["now", "old", "older"]
+
+
+def test_base32_and_names(spark):
+    texts = ["", "a", "é" * 500]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", A.base32_sha1(F.col("t").cast("binary")).alias("d"), A.file_name(F.concat(F.lit("con/"), "t"), F.lit(None).cast("string"), F.lit(7)).alias("n")).collect()
+    assert [r.d for r in got] == [base64.b32encode(hashlib.sha1(r.t.encode()).digest()).decode() for r in got]
+    assert all(len(r.n) <= A.NAME_LENGTH and r.n.endswith(".txt") and "/" not in r.n for r in got)
+    empty = spark.createDataFrame([], "user int, page long, cursor string")
+    assert A.cycling_cursors(empty, "user", "page", "cursor").count() == 0
