@@ -16,6 +16,7 @@ from webstrata.operators import merging as G
 from webstrata.operators import reports as R
 from webstrata.operators import retries as RT
 from webstrata.operators import saved_scan as SC
+from webstrata.streaming import jobs
 
 RULES = K.parse_rules(["high: cat", "exclude: dog"])
 CAPTURES = "capture_id int, url string, mimetype string, path string, sha256 string"
@@ -152,3 +153,15 @@ def test_base32_and_names(spark):
     assert all(len(r.n) <= A.NAME_LENGTH and r.n.endswith(".txt") and "/" not in r.n for r in got)
     empty = spark.createDataFrame([], "user int, page long, cursor string")
     assert A.cycling_cursors(empty, "user", "page", "cursor").count() == 0
+
+
+def test_retry_schedule_over_two_batches(spark, tmp_path):
+    schema = "event_id long, user_id long, event_type string, ts timestamp"
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    batches = [[(1, 0, "error", at(0)), (2, 1, "error", at(0))], [(3, 0, "view", at(1)), (4, 1, "error", at(2)), (5, 2, "view", at(3))]]
+    for rows in batches:
+        frame = spark.createDataFrame(rows, schema)
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.retry_schedule(jobs.event_stream(spark, str(tmp_path / "in"), frame.schema, ""))
+        out = jobs.run_to_end(stream, str(tmp_path / "out"), "update", ["user_id"])
+    assert {r.user_id: r.attempts for r in out.collect()} == {0: 0, 1: 2}  # a cleared user takes the place of its old row

@@ -127,6 +127,12 @@ def stream_sessions(spark, sf):
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
-@query("stream_retry_schedule")
+@query(
+    "stream_retry_schedule",
+    """SELECT user_id, n::INTEGER AS attempts, last + to_microseconds(floor(least(3600::DOUBLE, 30 * power(2::DOUBLE, least(12, n - 1))) * (0.9::DOUBLE + (user_id % 17)::DOUBLE / 85) * 1000000)::BIGINT) AS due FROM (
+    SELECT user_id, max(ts) AS last, count(*) FILTER (WHERE k > coalesce(other, 0)) AS n FROM (SELECT *, max(k) FILTER (WHERE event_type <> 'error') OVER (PARTITION BY user_id) AS other FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)) GROUP BY user_id) WHERE n > 0""",
+)
 def stream_retry_schedule(spark, sf):
-    return _streamed(spark, sf, jobs.retry_schedule, "update", ["user_id"])
+    out = _streamed(spark, sf, jobs.retry_schedule, "update", ["user_id"]).where("attempts > 0")
+    return out.select("user_id", "attempts", F.col("due").cast("timestamp_ntz").alias("due"))

@@ -309,10 +309,16 @@ def hyperlink_edges(spark, sf):
     return V.hyperlinks(links, p, "page_id", "url")
 
 
-@query("extractions")
+_CUSTOM = X.parse_extractors(["page_number :: url :: [?&]page=([0-9]+)", r"phone :: \+1 \((\d{3})\)"])
+_FOUND = " UNION ALL ".join(
+    f"SELECT page_id, '{name}' AS name, '{f}' AS field, unnest(regexp_extract_all({column}, '{pattern.replace(chr(39), chr(39) * 2)}', 1)) AS value FROM pages"
+    for name, field, pattern in [*[(n, "all", p) for n, p in X.EXTRACTORS.items()], *_CUSTOM] for f, column in (("url", "url"), ("source", "html")) if field in ("all", f)
+)
+
+
+@query("extractions", f"SELECT DISTINCT page_id, name, field, trim(value) AS value FROM ({_FOUND}) WHERE value <> ''")
 def extractions(spark, sf):
-    custom = X.parse_extractors(["page_number :: url :: [?&]page=([0-9]+)", r"phone :: \+1 \((\d{3})\)"])
-    return X.extractions(table(spark, sf, "pages"), "page_id", {"url": "url", "source": "html"}, custom)
+    return X.extractions(table(spark, sf, "pages"), "page_id", {"url": "url", "source": "html"}, _CUSTOM)
 
 
 @query(

@@ -58,7 +58,15 @@ def month_windows(spark, sf):
     return W.months(r, ["o_orderkey"], "low", "high")
 
 
-@query("window_parts")
+_STEP = "CASE " + " ".join(f"WHEN e - b + 1 >= {2 * s} THEN {s}" for s in W.LADDER) + " ELSE 1 END"
+
+
+@query(
+    "window_parts",
+    f"""SELECT o_orderkey, strftime(make_timestamp(p * 1000000), '%Y%m%d%H%M%S') AS start, strftime(make_timestamp(least(p + s - 1, e) * 1000000), '%Y%m%d%H%M%S') AS "end"
+    FROM (SELECT o_orderkey, e, s, unnest(generate_series(b, e, s)) AS p FROM (SELECT *, {_STEP} AS s FROM (
+    SELECT o_orderkey, epoch(date_trunc('day', o_orderdate))::BIGINT AS b, epoch(date_trunc('day', o_orderdate))::BIGINT + (o_orderkey % 100 + 1) * 86400 - 1 AS e FROM orders)))""",
+)
 def window_parts(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
     r = o.select("o_orderkey", F.date_format("d", "yyyyMMdd000000").alias("low"), F.date_format(F.date_add("d", (F.col("o_orderkey") % 100).cast("int")), "yyyyMMdd235959").alias("high"))

@@ -38,7 +38,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 
 
 def retry_schedule(events: DataFrame, base: float = 30, most: float = 3600) -> DataFrame:
-    """(user_id, attempts, due): for each capture the attempts so far and when the next is due; a success clears its state."""
+    """(user_id, attempts, due): for each capture the attempts so far and when the next is due; a success clears its state: no attempts, and its time."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         attempts = state.get[0] if state.exists else 0
@@ -52,6 +52,7 @@ def retry_schedule(events: DataFrame, base: float = 30, most: float = 3600) -> D
             yield pd.DataFrame({"user_id": [key[0]], "attempts": [attempts], "due": [(last + pd.Timedelta(seconds=delay)).floor("us")]})
         elif state.exists:
             state.remove()
+            yield pd.DataFrame({"user_id": [key[0]], "attempts": [0], "due": [last.floor("us")]})  # takes the place of the last row of the user
 
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, attempts int, due timestamp", "attempts int", "update", GroupStateTimeout.NoTimeout)
 
