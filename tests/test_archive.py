@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from webstrata.functions import text as T
 from webstrata.operators import acquisition as A
+from webstrata.operators import analysis as AN
 from webstrata.operators import history as H
 from webstrata.operators import hits as HL
 from webstrata.operators import keyword_scan as K
@@ -165,3 +166,21 @@ def test_retry_schedule_over_two_batches(spark, tmp_path):
         stream = jobs.retry_schedule(jobs.event_stream(spark, str(tmp_path / "in"), frame.schema, ""))
         out = jobs.run_to_end(stream, str(tmp_path / "out"), "update", ["user_id"])
     assert {r.user_id: r.attempts for r in out.collect()} == {0: 0, 1: 2}  # a cleared user takes the place of its old row
+
+
+def test_changed_equals_that_of_similarity(spark):
+    texts = [None, "", "a", "a", "b", "x" * 300_000, "x" * 300_000 + "y", "x" * 300_000 + "y"]
+    pairs = H.snapshot_pairs(spark.createDataFrame([("u", i, t) for i, t in enumerate(texts)], "url string, doc_id long, text string"), "url", "doc_id", "text").cache()
+    assert sorted((r.later, r.changed) for r in H.with_changed(pairs).collect()) == sorted((r.later, r.changed) for r in H.with_similarity(pairs).collect())
+
+
+def test_manifest_of_complete_and_of_empty_collections(spark):
+    def complete(captures, coverage, operations):
+        of = lambda rows, schema: spark.createDataFrame(rows, schema)
+        states = of([(s,) for s in captures], "state string")
+        return AN.manifest(states, states.limit(0), states, of([(c,) for c in coverage], "complete boolean"), of(operations, "sequence int, mode string, status string")).first().complete
+
+    done = [(1, "scan", "failed"), (2, "scan", "complete")]
+    assert complete(["downloaded", None], [True], done)
+    assert not complete(["pending"], [True], done) and not complete(["downloaded"], [None], done) and not complete(["downloaded"], [], done)
+    assert not complete(["downloaded"], [True], []) and not complete(["downloaded"], [True], [(1, "report", "complete")])
