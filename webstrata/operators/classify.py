@@ -103,4 +103,6 @@ def routing(url: Column, mimetype: Column, matches: Column) -> Column:
     """What becomes of an indexed capture: queue, deferred, filtered or skipped."""
     kind = classify(url, mimetype)["class"]
     robots = F.rlike(url, F.lit(r"(?i)/robots\.txt(?:[?#]|$)"))
-    return F.when(robots, "skipped_robots").when(kind.isin("image", "video", "audio", "media_descriptor"), "deferred_to_media").when(kind == "other_binary", "unsupported").when(~matches, "keyword_filter").otherwise("queue")
+    elsewhere = dict.fromkeys(("image", "video", "audio", "media_descriptor"), "deferred_to_media") | {"other_binary": "unsupported"}
+    by_class = F.try_element_at(F.create_map(*[F.lit(x) for pair in elsewhere.items() for x in pair]), kind)  # the class is long code: named once
+    return F.coalesce(F.when(robots, "skipped_robots"), by_class, F.when(~matches, "keyword_filter"), F.lit("queue"))
