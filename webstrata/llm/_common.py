@@ -187,3 +187,45 @@ WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <=
 def ascii_words(text: str) -> list[bytes]:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z in lower case, as UTF-8."""
     return text.encode("utf-8", "replace").translate(WORD_BYTES).split()
+
+
+def stretches(raw: bytes, limit: int = 1 << 20) -> Iterator[bytes]:
+    """A text in parts of about ``limit`` bytes, cut at spaces: no word is broken, and one long text needs no long list of words."""
+    at = 0
+    while len(raw) - at > limit:
+        to = raw.rfind(b" ", at, at + limit)
+        if to <= at:
+            to = raw.find(b" ", at + limit)
+            if to < 0:
+                break
+        yield raw[at:to]
+        at = to
+    yield raw[at:] if at else raw
+
+
+#: Bits of a table of hashed keys: 16 MB, whatever the number of keys. More keys let more strangers pass, never fewer members.
+SLOT_BITS = 27
+
+
+def bit_table(slots: DataFrame, name: str, bits: int = SLOT_BITS) -> np.ndarray:
+    """The bits at the given slots (0 to 2**bits - 1), gathered as bitmaps of 4 KB: at most 2**bits bits reach the driver."""
+    maps = slots.where(F.col(name).isNotNull()).groupBy(F.expr(f"{name} div 32768").alias("part")).agg(F.expr(f"bitmap_construct_agg({name} % 32768)").alias("bits"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in maps.toLocalIterator():
+        out[r.part * 4096 : r.part * 4096 + 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
+
+
+def in_table(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Whether the bit of each slot is set."""
+    return (table[slots >> slots.dtype.type(3)] >> (slots & slots.dtype.type(7)).astype(np.uint8)) & 1 == 1
+
+
+def top_rows(rows: DataFrame, group: str, order: list[Column], most: int, rank: str = "rank") -> DataFrame:
+    """The first ``most`` rows of each group with their rank; a large group is first cut down in 64 parts."""
+    from pyspark.sql import Window
+
+    salt, names = free_name(rows.columns, "salt"), rows.columns
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in names]), F.lit(64)))
+    few = salted.withColumn(rank, F.row_number().over(Window.partitionBy(group, salt).orderBy(*order))).where(F.col(rank) <= most)
+    return few.withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col(rank) <= most).select(*names, rank)

@@ -9,7 +9,9 @@ from webstrata.llm.language_id import op4_language
 from webstrata.llm.log_bilinear import op10_log_bilinear
 from webstrata.llm.pii_surrogates import op5_pii_surrogates
 from webstrata.llm.quality_divergence import op3_quality_divergence
+from webstrata.llm.ranked_search import OP11_SQL, op11_ranked_search
 from webstrata.llm.sentencepiece_codec import op6_sentencepiece
+from webstrata.llm.substring_dedup import OP12_SQL, op12_substring_dedup
 from webstrata.llm.token_counts import op2_token_counts
 from webstrata.llm.toxicity import op8_toxicity
 
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_bag_minhash": op9_bag_minhash,
     "op10_log_bilinear": op10_log_bilinear,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_substring_dedup": op12_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op7_chat_format": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op7_chat_format": OP7_SQL, "op11_ranked_search": OP11_SQL, "op12_substring_dedup": OP12_SQL}
