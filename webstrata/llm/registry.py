@@ -7,6 +7,7 @@ from webstrata.llm.chat_format import OP7_SQL, op7_chat_format
 from webstrata.llm.decontaminate import OP1_SQL, op1_decontaminate
 from webstrata.llm.language_id import op4_language
 from webstrata.llm.log_bilinear import op10_log_bilinear
+from webstrata.llm.phrase_mining import OP13_SQL, op13_phrases
 from webstrata.llm.pii_surrogates import op5_pii_surrogates
 from webstrata.llm.quality_divergence import op3_quality_divergence
 from webstrata.llm.ranked_search import OP11_SQL, op11_ranked_search
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_log_bilinear": op10_log_bilinear,
     "op11_ranked_search": op11_ranked_search,
     "op12_substring_dedup": op12_substring_dedup,
+    "op13_phrases": op13_phrases,
 }
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op7_chat_format": OP7_SQL, "op11_ranked_search": OP11_SQL, "op12_substring_dedup": OP12_SQL}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op7_chat_format": OP7_SQL, "op11_ranked_search": OP11_SQL, "op12_substring_dedup": OP12_SQL, "op13_phrases": OP13_SQL}
