@@ -42,7 +42,7 @@ def test_windows_cover_their_range(spark):
             rows.setdefault(x.k, []).append(x)
         for k, a, b in r.collect():
             assert rows[k][0].start == a and rows[k][-1].end == b and all(x.e + 1 == y.s for x, y in zip(rows[k], rows[k][1:], strict=False))
-    assert W.split(r, ["k"], "a", "b").where("k = 2").count() == 2
+    assert W.split(r, ["k"], "a", "b").where("k = 2").count() == 1  # two seconds stay whole
     assert [tuple(x)[1:] for x in W.halves(r, ["k"], "a", "b").orderBy("start").collect()][0][0] == "20010115000000" and W.halves(r, ["k"], "a", "b").count() == 2
 
 
@@ -59,8 +59,11 @@ def test_micro_windows(spark):
 
 
 def test_split_rules(spark):
-    rows = spark.createDataFrame([("c", 504, True, 9999), (None, 503, False, 9999), (None, 504, True, 1), (None, 504, False, 100), (None, 504, False, 1800)], "c string, s int, p boolean, n int")
-    assert [r.x for r in rows.select(W.may_split(F.col("c"), F.col("s"), F.col("p"), F.col("n")).alias("x")).collect()] == [False, False, True, False, True]
+    rows = spark.createDataFrame(
+        [("c", None, True, True, 9999), (None, 503, True, True, 9999), (None, 504, False, True, 9999), (None, 200, True, False, 1), (None, 200, False, True, 100), (None, None, False, True, 1800), (None, None, None, None, 1800)],
+        "c string, s int, p boolean, q boolean, n int",
+    )
+    assert [r.x for r in rows.select(W.may_split(F.col("c"), F.col("s"), F.col("p"), F.col("q"), F.col("n")).alias("x")).collect()] == [False, False, False, True, False, True, False]
     assert [r.x for r in spark.range(1, 5).select(W.backoff(F.col("id"), 10, 30).alias("x")).collect()] == [10, 20, 30, 30]
 
 

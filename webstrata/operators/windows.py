@@ -1,12 +1,22 @@
-"""Date windows of index requests: months, halves, smaller parts, joined micro windows, split and backoff rules."""
+"""Date windows of index requests: months, halves, smaller parts, windows cut until they fit, joined micro windows, split and backoff rules."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Seconds that a window is cut into, from 60 days to one second.
-LADDER = (5_184_000, 2_592_000, 1_209_600, 604_800, 259_200, 86_400, 21_600, 3_600, 600, 60, 2, 1)
+from webstrata.storage import written
+
+#: Windows whose end is at least so many seconds after their start are cut into parts of so many seconds.
+LADDER = (
+    (5_184_000, 2_592_000), (691_200, 604_800), (172_800, 86_400), (43_200, 21_600), (7_200, 3_600), (1_800, 900), (600, 300), (120, 60), (30, 15), (10, 5), (2, 1),
+)
+#: Shortest range that is halved, halvings without a response, least page size, windows that are joined again.
+HALVED, HALVINGS, LEAST_PAGE = 28 * 86_400, 5, 100
+TINY, RUN, JOINED = 5, 8, 3600
 STAMP = "yyyyMMddHHmmss"
 
 
@@ -26,19 +36,23 @@ def months(ranges: DataFrame, keys: list[str], low: str, high: str) -> DataFrame
     return rows.select(*keys, F.greatest(first, low).alias("start"), F.least(last, high).alias("end"))
 
 
+def step_of(length: Column) -> Column:
+    """The size of the parts of a window by the seconds from its start to its end; null where it is not cut."""
+    out = F.lit(None).cast("long")
+    for least, step in reversed(LADDER):
+        out = F.when(length >= least, F.lit(step).cast("long")).otherwise(out)
+    return out
+
+
 def split(ranges: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:
-    """(keys, start, end): each range cut into parts of the first step that is at most half its length; one second stays."""
+    """(keys, start, end): each range cut into the parts of its length's step; a range of two seconds or one stays."""
     a, b = seconds(F.col(low)), seconds(F.col(high))
-    size = b - a + 1
-    step = F.lit(1)
-    for s in reversed(LADDER):
-        step = F.when(size >= 2 * s, s).otherwise(step) if s > 1 else step
-    rows = ranges.select(*keys, a.alias("a"), b.alias("b"), step.cast("long").alias("s"))
+    rows = ranges.select(*keys, a.alias("a"), b.alias("b")).withColumn("s", F.coalesce(step_of(F.col("b") - F.col("a")), F.col("b") - F.col("a") + 1))
     parts = rows.select(*keys, "b", "s", F.explode(F.sequence("a", "b", "s")).alias("p"))
     return parts.select(*keys, stamp(F.col("p")).alias("start"), stamp(F.least(F.col("p") + F.col("s") - 1, F.col("b"))).alias("end"))
 
 
-def halves(ranges: DataFrame, keys: list[str], low: str, high: str, least: int = 28 * 86_400) -> DataFrame:
+def halves(ranges: DataFrame, keys: list[str], low: str, high: str, least: int = HALVED) -> DataFrame:
     """Two halves of the ranges that are long enough."""
     a, b = seconds(F.col(low)), seconds(F.col(high))
     rows = ranges.select(*keys, a.alias("a"), b.alias("b")).where(F.col("b") - F.col("a") >= least).withColumn("m", F.floor((F.col("a") + F.col("b")) / 2))
@@ -46,21 +60,98 @@ def halves(ranges: DataFrame, keys: list[str], low: str, high: str, least: int =
     return rows.select(*keys, parts.alias("p")).select(*keys, stamp(F.col("p.x")).alias("start"), stamp(F.col("p.y")).alias("end"))
 
 
-def joined_micro(ranges: DataFrame, keys: list[str], start: str, end: str, tiny: int = 5, least: int = 8, most: int = 3600) -> DataFrame:
-    """Runs of at least ``least`` adjacent windows of up to ``tiny`` seconds as windows of up to ``most`` seconds; others as they are."""
-    w = Window.partitionBy(*keys).orderBy("a")
-    rows = ranges.select(*keys, seconds(F.col(start)).alias("a"), seconds(F.col(end)).alias("b")).withColumn("small", F.col("b") - F.col("a") < tiny)
-    new = ~(F.coalesce(F.lag("b").over(w) + 1 == F.col("a"), F.lit(False)) & F.col("small") & F.coalesce(F.lag("small").over(w), F.lit(False)))
-    rows = rows.withColumn("island", F.sum(new.cast("int")).over(w))
-    runs = rows.groupBy(*keys, "island").agg(F.count("*").alias("n"), F.min("a").alias("first"))
-    rows = rows.join(runs, [*keys, "island"]).withColumn("part", F.when(F.col("n") >= least, F.floor((F.col("a") - F.col("first")) / most)).otherwise(F.col("a")))
-    out = rows.groupBy(*keys, "island", "part").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    return out.select(*keys, stamp(F.col("a")).alias(start), stamp(F.col("b")).alias(end))
-
-
-def may_split(cursor: Column, status: Column, size_pressure: Column, length: Column) -> Column:
-    """Whether a failed window may be cut: never with a cursor or in an outage, always for size, else from half an hour on."""
-    return F.when(cursor.isNotNull() & (cursor != ""), False).when(size_pressure, True).when(status.isin(408, 429, 500, 502, 503), False).otherwise(length >= 1800)
+def _until_fit(ranges: DataFrame, events: DataFrame, keys: list[str], low: str, high: str, at: str, most: int, step: Callable[[Column, Column], Column], rounds: int, halve_page: bool) -> DataFrame:
+    """Rounds of counting and cutting. Each event knows its window, so its next window is arithmetic and no range is joined.
+
+    The windows of a round are those that failed in the last one, cut; the events go along only where their window failed.
+    """
+    windows = ranges.select(*keys, seconds(F.col(low)).alias("a"), seconds(F.col(high)).alias("b"), "page_size", F.lit(0).alias("depth"))
+    times = events.select(*keys, seconds(F.col(at)).alias("t"))
+    own = times.join(windows.select(*keys, "a", "b"), keys).where((F.col("t") >= F.col("a")) & (F.col("t") <= F.col("b"))).select(*keys, "t", "a")
+    done = None
+    for turn in range(rounds + 1):
+        counts = own.groupBy(*keys, "a").agg(F.count("*").alias("n"))
+        judged = windows.join(counts, [*keys, "a"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("step", step(F.col("a"), F.col("b")))
+        fails = (F.col("n") > most) & F.col("step").isNotNull() if turn < rounds else F.lit(False)
+        judged = written(judged.withColumn("fails", fails), "windows")
+        good = judged.where("not fails").drop("step", "fails")
+        done = good if done is None else done.unionByName(good)
+        failing = judged.where("fails")
+        if failing.isEmpty():
+            break
+        page = F.greatest(F.lit(LEAST_PAGE), F.floor(F.col("page_size") / 2).cast("int")) if halve_page else F.col("page_size")
+        parts = failing.select(*keys, "b", "step", page.alias("page_size"), (F.col("depth") + 1).alias("depth"), F.explode(F.sequence("a", "b", "step")).alias("a"))
+        own = own.join(failing.select(*keys, "a", "step"), [*keys, "a"])
+        own = written(own.select(*keys, "t", (F.col("a") + F.floor((F.col("t") - F.col("a")) / F.col("step")) * F.col("step")).alias("a")), "placed")
+        windows = parts.select(*keys, "a", F.least(F.col("a") + F.col("step") - 1, F.col("b")).alias("b"), "page_size", "depth")
+    return done.select(*keys, stamp(F.col("a")).alias("start"), stamp(F.col("b")).alias("end"), "page_size", "depth", "n")
+
+
+def split_until_fit(ranges: DataFrame, events: DataFrame, keys: list[str], low: str, high: str, at: str, most: int) -> DataFrame:
+    """(keys, start, end, page_size, depth, n): each range cut by the ladder until no window holds more than ``most`` events or can be cut.
+
+    ranges: keys, bounds and ``page_size``, which each cut halves; ranges of one key do not overlap. Windows cover each range
+    without overlap, those without events too. Events with a null key or outside all ranges count nowhere.
+    """
+    return _until_fit(ranges, events, keys, low, high, at, most, lambda a, b: step_of(b - a), len(LADDER), True)
+
+
+def bisect_until_fit(ranges: DataFrame, events: DataFrame, keys: list[str], low: str, high: str, at: str, most: int, rounds: int = HALVINGS) -> DataFrame:
+    """As ``split_until_fit``, by halves of windows of at least 28 days, at most ``rounds`` times; the page size stays."""
+    half = lambda a, b: F.when(b - a >= HALVED, F.floor((b - a) / 2) + 1)
+    return _until_fit(ranges, events, keys, low, high, at, most, half, rounds, False)
+
+
+def joined_micro(ranges: DataFrame, keys: list[str], start: str, end: str, *, untouched: Column | None = None, state: list[str] = (), tiny: int = TINY, least: int = RUN, most: int = JOINED) -> DataFrame:
+    """Runs of at least ``least`` adjacent windows of up to ``tiny`` seconds as windows of up to ``most`` seconds; others as they are.
+
+    untouched: whether a window has neither cursor nor page nor failure (null: not); windows join only where all of ``state`` agrees. A
+    run takes windows, in order, as long as it stays within ``most``. The rows of a key are read once in order, and at most
+    ``least`` of them are held.
+    """
+    free = F.coalesce(untouched if untouched is not None else F.lit(True), F.lit(False))
+    rows = ranges.select(*keys, *state, seconds(F.col(start)).alias("a"), seconds(F.col(end)).alias("b"), free.alias("free"))
+    names = [*keys, *state]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []  # the run's first rows, and its last
+        count, of, out = 0, None, []
+
+        def close() -> None:
+            nonlocal held, count, of
+            out.extend([(*held[0][:-1], held[-1][-1])] if count >= least else held[:count])
+            held, count, of = [], 0, None
+
+        for part in parts:
+            columns = [part[c].astype(object).where(part[c].notna(), None).tolist() for c in [*names, "a", "b", "free"]]
+            for *who, a, b, free in zip(*columns, strict=True):
+                small = free and a is not None and b is not None and 0 <= b - a <= tiny
+                if not (small and count and of == who and held[-1][-1] + 1 == a and b - held[0][-2] <= most):
+                    close()
+                if small:
+                    held = [*held, (*who, a, b)] if count < least else [*held[:-1], (*who, a, b)]
+                    count, of = count + 1, who
+                else:
+                    out.append((*who, a, b))
+            yield pd.DataFrame(out, columns=[*names, "a", "b"])
+            out.clear()
+        close()
+        yield pd.DataFrame(out, columns=[*names, "a", "b"])
+
+    schema = rows.select(*names, "a", "b").schema
+    found = rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "a", "b").mapInPandas(run, schema)
+    return found.select(*names, stamp(F.col("a")).alias(start), stamp(F.col("b")).alias(end))
+
+
+#: Statuses of an outage, which smaller windows do not mend.
+OUTAGE = (408, 425, 429, 500, 502, 503, 504)
+
+
+def may_split(cursor: Column, status: Column, size_pressure: Column, query_related: Column, length: Column) -> Column:
+    """Whether a failed window may be cut: never with a cursor or in an outage; always when its response was too large; for other
+    failures that the query may have caused (time-outs, broken answers) from half an hour on."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return F.when(F.coalesce(cursor, F.lit("")) != "", False).when(yes(status.isin(*OUTAGE)), False).when(yes(size_pressure), True).otherwise(yes(query_related) & yes(length >= 1800))
 
 
 def backoff(attempt: Column, base: float, most: float) -> Column:

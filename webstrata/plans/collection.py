@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from webstrata.catalog import query, table
@@ -9,7 +10,7 @@ from webstrata.operators import reports as R
 from webstrata.operators.tables import captures
 from webstrata.sources import bodies, cdx
 from webstrata.storage import new_path
-from webstrata.streaming import jobs
+from webstrata.streaming import index_source, jobs, timers
 
 
 def _index_pages(spark, sf):
@@ -136,3 +137,48 @@ def stream_sessions(spark, sf):
 def stream_retry_schedule(spark, sf):
     out = _streamed(spark, sf, jobs.retry_schedule, "update", ["user_id"]).where("attempts > 0")
     return out.select("user_id", "attempts", F.col("due").cast("timestamp_ntz").alias("due"))
+
+
+_TIMER_HOURS, _TIMER_LIMIT, _BUDGET_HOURS = 6, 3, 20
+
+
+@query(
+    "stream_retry_timers",
+    f"""WITH o AS (SELECT *, event_type = 'error' AS failed, epoch_us(ts) AS t FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL),
+    s AS (SELECT *, lead(t) OVER w AS next_t, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER w AS streak FROM o WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+    k AS (SELECT *, row_number() OVER w AS k, min(t) OVER (PARTITION BY user_id, streak) + {_BUDGET_HOURS}::BIGINT * 3600000000 AS stop FROM s WHERE failed WINDOW w AS (PARTITION BY user_id, streak ORDER BY t, event_id)),
+    d AS (SELECT *, t + floor(least(86400::DOUBLE, {_TIMER_HOURS * 3600} * power(2::DOUBLE, least(12, k - 1))) * (0.9::DOUBLE + (user_id % 17)::DOUBLE / 85) * 1000000)::BIGINT AS due, k >= {_TIMER_LIMIT} OR t >= stop AS spent FROM k),
+    e AS (SELECT *, NOT spent AND due >= stop AND (next_t IS NULL OR next_t > stop) AS ran_out FROM d),
+    f AS (SELECT *, coalesce(bool_or(spent OR ran_out) OVER (PARTITION BY user_id, streak ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS before FROM e)
+    SELECT user_id AS capture_id, CASE WHEN spent OR ran_out THEN 'end' ELSE 'attempt' END AS kind, k::INTEGER AS attempts, make_timestamp(CASE WHEN spent THEN t WHEN ran_out THEN stop ELSE due END) AS "at" FROM f
+    WHERE NOT before AND (spent OR ran_out OR (due < stop AND (next_t IS NULL OR next_t > due)))""",
+)
+def stream_retry_timers(spark, sf):
+    """Errors as failed attempts: six hours to the first attempt, at most three failures or twenty hours without a success."""
+    made = lambda e: timers.retry_timers(e, base=_TIMER_HOURS * 3600, most=86400, limit=_TIMER_LIMIT, seconds=_BUDGET_HOURS * 3600)
+    with timers.rocksdb_state(spark):
+        out = _streamed(spark, sf, made, "append", closing=True)
+    return out.select("capture_id", "kind", "attempts", F.col("at").cast("timestamp_ntz").alias("at"))
+
+
+def written_index(spark, orders, path: str, rows_in_page: int) -> None:
+    """Orders as an index on disk: a window for each year, a chain of pages by ranges of order keys, each with the key of the next."""
+    r = F.array(F.date_format("o_orderdate", "yyyyMMddHHmmss"), F.concat(F.lit("http://a.example/"), F.col("o_orderkey").cast("string")))
+    o = orders.select(F.date_format("o_orderdate", "yyyy").alias("window"), F.floor(F.col("o_orderkey") / rows_in_page).alias("number"), r.alias("r"))
+    pages = o.groupBy("window", "number").agg(F.sort_array(F.collect_list("r")).alias("rows"))
+    w = Window.partitionBy("window").orderBy("number")  # of a window's pages, not its rows
+    key = F.substring(F.sha2(F.concat_ws("|", "window", F.col("number").cast("string")), 256), 1, 16)
+    keyed = pages.withColumn("own", key).withColumn("next", F.lead("own").over(w)).withColumn("key", F.when(F.lag("own").over(w).isNull(), index_source.FIRST).otherwise(F.col("own")))
+    tail = F.when(F.col("next").isNotNull(), F.array(F.array().cast("array<string>"), F.array("next"))).otherwise(F.array().cast("array<array<string>>"))
+    value = F.to_json(F.concat(F.array(F.array(F.lit("timestamp"), F.lit("original"))), "rows", tail))
+    keyed.select("window", "key", value.alias("value")).repartition("window", "key").write.partitionBy("window", "key").text(path)
+
+
+@query("stream_index_pages", "SELECT strftime(o_orderdate, '%Y') AS window, strftime(o_orderdate, '%Y%m%d%H%M%S') AS timestamp, 'http://a.example/' || o_orderkey AS original FROM orders")
+def stream_index_pages(spark, sf):
+    """The index read as a stream, five pages of each window at a time, by the resume keys in its pages."""
+    path = new_path(spark, "index")
+    written_index(spark, table(spark, sf, "orders"), f"{path}/pages", 5000)
+    pages = index_source.pages_to_end(index_source.index_stream(spark, f"{path}/pages", 5), path)
+    named = pages.select(F.concat_ws("/", "window", "page").alias("page"), "value")
+    return cdx.rows_of(cdx.parse_json(named), ("timestamp", "original")).select(F.substring_index("page", "/", 1).alias("window"), "timestamp", "original")

@@ -58,7 +58,7 @@ def month_windows(spark, sf):
     return W.months(r, ["o_orderkey"], "low", "high")
 
 
-_STEP = "CASE " + " ".join(f"WHEN e - b + 1 >= {2 * s} THEN {s}" for s in W.LADDER) + " ELSE 1 END"
+_STEP = "CASE " + " ".join(f"WHEN e - b >= {least} THEN {step}" for least, step in W.LADDER) + " ELSE e - b + 1 END"
 
 
 @query(
@@ -73,6 +73,68 @@ def window_parts(spark, sf):
     return W.split(r, ["o_orderkey"], "low", "high")
 
 
+def _targets(spark, sf):
+    """Events as captures of targets by type: (target, at), and each target's whole range of days with its page size."""
+    e = table(spark, sf, "events").select(F.col("event_type").alias("target"), F.date_format("ts", W.STAMP).alias("at"))
+    r = e.groupBy("target").agg(F.concat(F.substring(F.min("at"), 1, 8), F.lit("000000")).alias("low"), F.concat(F.substring(F.max("at"), 1, 8), F.lit("235959")).alias("high"))
+    return e, r.withColumn("page_size", F.lit(3000))
+
+
+_TIMES = """t AS (SELECT event_type AS target, list(epoch(date_trunc('second', ts))::BIGINT) AS ts FROM events GROUP BY 1),
+w AS (SELECT target, epoch(date_trunc('day', make_timestamp(list_min(ts) * 1000000)))::BIGINT AS b, epoch(date_trunc('day', make_timestamp(list_max(ts) * 1000000)))::BIGINT + 86399 AS e, 3000 AS page_size, 0 AS depth, ts FROM t
+UNION ALL SELECT target, p, least(p + s - 1, e), {page}, depth + 1, list_filter(ts, lambda x: x BETWEEN p AND least(p + s - 1, e)) FROM (
+SELECT *, unnest(generate_series(b, e, s)) AS p FROM (SELECT *, {step} AS s FROM w) WHERE len(ts) > {most} AND s IS NOT NULL{more}))
+SELECT target, strftime(make_timestamp(b * 1000000), '%Y%m%d%H%M%S') AS start, strftime(make_timestamp(e * 1000000), '%Y%m%d%H%M%S') AS "end", page_size, depth, len(ts)::BIGINT AS n FROM w
+WHERE NOT (len(ts) > {most} AND {step} IS NOT NULL{more})"""
+
+
+@query("windows_split", "WITH RECURSIVE " + _TIMES.format(page=f"greatest({W.LEAST_PAGE}, page_size // 2)", step=_STEP.replace("ELSE e - b + 1 ", ""), most=20, more=""))
+def windows_split(spark, sf):
+    """Windows of more than 20 captures are cut by the ladder, again and again."""
+    e, r = _targets(spark, sf)
+    return W.split_until_fit(r, e, ["target"], "low", "high", "at", 20)
+
+
+@query("windows_bisected", "WITH RECURSIVE " + _TIMES.format(page="page_size", step=f"CASE WHEN e - b >= {W.HALVED} THEN (e - b) // 2 + 1 END", most=20, more=f" AND depth < {W.HALVINGS}").replace(
+    "t AS (SELECT event_type AS target, list(epoch(date_trunc('second', ts))::BIGINT) AS ts FROM events GROUP BY 1)",
+    "t AS (SELECT o_orderpriority AS target, list(epoch(date_trunc('second', o_orderdate))::BIGINT) AS ts FROM orders GROUP BY 1)"))
+def windows_bisected(spark, sf):
+    """Ranges of seven years with more than 20 orders are halved down to 28 days, five times at most."""
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("target"), F.date_format("o_orderdate", W.STAMP).alias("at"))
+    r = o.groupBy("target").agg(F.concat(F.substring(F.min("at"), 1, 8), F.lit("000000")).alias("low"), F.concat(F.substring(F.max("at"), 1, 8), F.lit("235959")).alias("high"))
+    return W.bisect_until_fit(r.withColumn("page_size", F.lit(3000)), o, ["target"], "low", "high", "at", 20)
+
+
+@query(
+    "windows_rejoined",
+    """WITH p AS (SELECT c_custkey, k, 978307200 + 5 * k AS b, c_acctbal > 0 OR k % 97 <> 3 AS free FROM (SELECT c_custkey, c_acctbal, unnest(range(c_custkey % 2000)) AS k FROM customer)),
+    i AS (SELECT *, sum(CASE WHEN free AND was THEN 0 ELSE 1 END) OVER (PARTITION BY c_custkey ORDER BY k) AS island FROM (SELECT *, coalesce(lag(free) OVER (PARTITION BY c_custkey ORDER BY k), false) AS was FROM p)),
+    q AS (SELECT *, (row_number() OVER (PARTITION BY c_custkey, island ORDER BY k) - 1) // 720 AS part FROM i),
+    c AS (SELECT *, count(*) OVER (PARTITION BY c_custkey, island, part) AS n FROM q)
+    SELECT c_custkey, strftime(make_timestamp(min(b) * 1000000), '%Y%m%d%H%M%S') AS start, strftime(make_timestamp((max(b) + 4) * 1000000), '%Y%m%d%H%M%S') AS "end"
+    FROM c GROUP BY c_custkey, island, part, CASE WHEN n < 8 THEN k END""",
+)
+def windows_rejoined(spark, sf):
+    """Each customer's run of five-second windows; of some, windows were touched and stay."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_acctbal", F.explode(F.sequence(F.lit(0), (F.col("c_custkey") % 2000 - 1).cast("int"))).alias("k")).where("c_custkey % 2000 > 0")
+    b = F.lit(978307200) + 5 * F.col("k")
+    w = c.select("c_custkey", W.stamp(b).alias("start"), W.stamp(b + 4).alias("end"), ((F.col("c_acctbal") > 0) | (F.col("k") % 97 != 3)).alias("free"))
+    return W.joined_micro(w, ["c_custkey"], "start", "end", untouched=F.col("free"))
+
+
+@query(
+    "windows_splittable",
+    f"""SELECT event_id, CASE WHEN event_id % 9 = 0 THEN false WHEN status IN {W.OUTAGE} THEN false WHEN props LIKE '%7%' THEN true ELSE event_type IN ('error', 'view') AND value * 60 >= 1800 END AS may_split,
+    least(300.0, 5 * power(2.0, least(12, greatest(event_id % 20 - 1, 0)))) AS wait FROM (SELECT *, 400 + event_id % 130 AS status FROM events)""",
+)
+def windows_splittable(spark, sf):
+    """Events as failed requests: cursor, status, size and length of the window."""
+    e = table(spark, sf, "events").withColumn("status", 400 + F.col("event_id") % 130)
+    cursor = F.when(F.col("event_id") % 9 == 0, F.lit("key"))
+    split = W.may_split(cursor, F.col("status"), F.contains("props", F.lit("7")), F.col("event_type").isin("error", "view"), F.col("value") * 60)
+    return e.select("event_id", split.alias("may_split"), W.backoff(F.col("event_id") % 20, 5, 300).alias("wait"))
+
+
 @query(
     "queue_enriched",
     """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'queued' ELSE 'found' END AS state, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 = 0 THEN p_type ELSE p_name END AS source

@@ -12,10 +12,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from webstrata.storage import is_folder
 
 
-def event_stream(spark: SparkSession, folder: str, schema, pattern: str = "events.parquet", files_per_batch: int = 1000) -> DataFrame:
+def event_stream(spark: SparkSession, folder: str, schema, pattern: str = "events.parquet", files_per_batch: int | None = None) -> DataFrame:
     """The event files of a folder as a stream; ``ts`` becomes a timestamp, as watermarks need one. ``pattern``: a file, or a folder
-    of parts, within it."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    of parts, within it. A backlog forms one batch, as files need not lie in order of time and a watermark between two batches
+    would drop rows of the second; ``files_per_batch`` is for files that do."""
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader
     raw = reader.parquet(f"{folder}/{pattern}") if is_folder(spark, f"{folder}/{pattern}") else reader.option("pathGlobFilter", pattern).parquet(folder)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
