@@ -10,7 +10,7 @@ from webstrata.operators import reports as R
 from webstrata.operators.tables import captures
 from webstrata.sources import bodies, cdx
 from webstrata.storage import new_path
-from webstrata.streaming import index_source, jobs, timers
+from webstrata.streaming import counters, index_source, jobs, timers
 
 
 def _index_pages(spark, sf):
@@ -182,3 +182,29 @@ def stream_index_pages(spark, sf):
     pages = index_source.pages_to_end(index_source.index_stream(spark, f"{path}/pages", 5), path)
     named = pages.select(F.concat_ws("/", "window", "page").alias("page"), "value")
     return cdx.rows_of(cdx.parse_json(named), ("timestamp", "original")).select(F.substring_index("page", "/", 1).alias("window"), "timestamp", "original")
+
+
+_STATE = "CASE WHEN b >= 2 AND o_orderkey % 3 = 0 THEN 'audited' ELSE o_orderstatus END"
+
+
+@query(
+    "dashboard_maintained",
+    f"""SELECT b AS batch, {_STATE} AS status, o_orderpriority AS priority, count(*)::BIGINT AS n FROM orders, (VALUES (1), (2), (3)) v(b)
+    WHERE b < 3 OR o_orderkey % 5 <> 0 GROUP BY ALL""",
+)
+def dashboard_maintained(spark, sf):
+    """Counters after each of three batches of changes: all orders come, some change their status, some go and late changes come."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    row = lambda rows, n, gone=False: rows.withColumns({"sequence": F.lit(n), "gone": F.lit(gone)})
+    changes = [
+        row(o, 10),
+        row(o.where("o_orderkey % 3 = 0").withColumn("status", F.lit("audited")), 20).unionByName(row(o.where("o_orderkey % 4 = 1"), 15)),
+        row(o.where("o_orderkey % 5 = 0"), 30, True).unionByName(row(o.where("o_orderkey % 7 = 0").withColumn("status", F.lit("late")), 5)),
+    ]
+    path, out = new_path(spark, "changes"), []
+    for k, batch in enumerate(changes, 1):
+        batch.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(batch.schema).parquet(f"{path}/in")
+        kept = counters.keep_counters(stream, path, "o_orderkey", "sequence", "gone", ["status", "priority"])
+        out.append(kept.select(F.lit(k).alias("batch"), "status", "priority", "n"))
+    return out[0].unionByName(out[1]).unionByName(out[2])

@@ -30,6 +30,17 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
 
 
+def complete_numbers(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers N of the folders ``name=N`` below a path that were written to their end."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return []
+    found = [f.getPath() for f in fs.listStatus(place)]
+    done = [p for p in found if p.getName().startswith(f"{name}=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().partition("=")[2]) for p in done)
+
+
 def written(rows: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder, read again: lineage is cut, and lost executors cost nothing."""
     path = new_path(rows.sparkSession, name)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from webstrata.storage import is_folder
+from webstrata.storage import complete_numbers, is_folder
 
 
 def event_stream(spark: SparkSession, folder: str, schema, pattern: str = "events.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -40,34 +40,37 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 
 
 def retry_schedule(events: DataFrame, base: float = 30, most: float = 3600) -> DataFrame:
-    """(user_id, attempts, due): for each capture the attempts so far and when the next is due; a success clears its state: no attempts, and its time."""
+    """(user_id, attempts, due): for each capture the failures since its last success and when the next attempt is due; a success that
+    is the last event clears its state: no attempts, and its time.
+
+    Events may come in any order, within a batch and over batches: the state holds the last success and the failures after it.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        attempts = state.get[0] if state.exists else 0
-        last = None
+        good, failures = ((state.get[0], state.get[1]), set(zip(state.get[2], state.get[3], strict=True))) if state.exists else ((-1 << 62, -1), set())
+        known = len(failures)
         for rows in batches:
-            for kind, ts in rows.sort_values(["ts", "event_id"])[["event_type", "ts"]].itertuples(index=False):
-                attempts, last = (attempts + 1 if kind == "error" else 0), ts
-        if attempts:
-            state.update((attempts,))
-            delay = min(most, base * 2 ** min(12, attempts - 1)) * (0.90 + (key[0] % 17) / 85)
-            yield pd.DataFrame({"user_id": [key[0]], "attempts": [attempts], "due": [(last + pd.Timedelta(seconds=delay)).floor("us")]})
-        elif state.exists:
-            state.remove()
-            yield pd.DataFrame({"user_id": [key[0]], "attempts": [0], "due": [last.floor("us")]})  # takes the place of the last row of the user
-
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, attempts int, due timestamp", "attempts int", "update", GroupStateTimeout.NoTimeout)
+            failed = (rows["event_type"] == "error").to_numpy()
+            places = list(zip(rows["at"].tolist(), rows["event_id"].tolist(), strict=True))
+            good = max([good, *(p for p, f in zip(places, failed, strict=True) if not f)])
+            failures = {p for p in failures if p > good} | {p for p, f in zip(places, failed, strict=True) if f and p > good}
+        ordered = sorted(failures)
+        state.update((good[0], good[1], [p[0] for p in ordered], [p[1] for p in ordered]))
+        if ordered:
+            delay = min(most, base * 2 ** min(12, len(ordered) - 1)) * (0.90 + (key[0] % 17) / 85)
+            yield pd.DataFrame({"user_id": [key[0]], "attempts": [len(ordered)], "due": [ordered[-1][0] + int(delay * 1_000_000)]})
+        elif known:
+            yield pd.DataFrame({"user_id": [key[0]], "attempts": [0], "due": [good[0]]})  # takes the place of the last row of the user
+
+    rows = events.select("user_id", "event_id", "event_type", F.unix_micros("ts").alias("at"))
+    kept = "good_at long, good_number long, failed_at array<long>, failed_number array<long>"
+    out = rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, attempts int, due long", kept, "update", GroupStateTimeout.NoTimeout)
+    return out.withColumn("due", F.timestamp_micros("due"))
 
 
 def generations(spark: SparkSession, path: str) -> list[int]:
     """The numbers of the complete generations below a path."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(place):
-        return []
-    found = [f.getPath() for f in fs.listStatus(place)]
-    done = [p for p in found if p.getName().startswith("generation=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(p.getName().partition("=")[2]) for p in done)
+    return complete_numbers(spark, path, "generation")
 
 
 def merge_each_batch(path: str, key: str, order: str):
