@@ -144,7 +144,7 @@ def _segment_bonus(text: Column, splitter: str, rules: Sequence[Rule], searched)
         n = sum((reduce(lambda a, b: a | b, [r.found(segment if r.case_sensitive else searched(segment)) for r in own]).cast("int") for own in labels.values()), F.lit(0))
         return F.when(n >= 2, n * (n - 1)).otherwise(0)
 
-    return F.aggregate(F.transform(F.split(text, splitter), one), F.lit(0), lambda a, x: a + x)
+    return F.coalesce(F.aggregate(F.transform(F.split(text, splitter), one), F.lit(0), lambda a, x: a + x), F.lit(0))
 
 
 def _least_gap(a: list[int], b: list[int]) -> int:

@@ -12,6 +12,7 @@ from webstrata.operators import fulltext as FT
 from webstrata.operators import history as H
 from webstrata.operators import keyword_scan as K
 from webstrata.operators import media as M
+from webstrata.operators import rule_sets as RS
 from webstrata.operators import vectors as V
 from webstrata.operators.tables import captures, snapshots
 from webstrata.storage import once
@@ -49,13 +50,13 @@ _SCORED = scored_sql("SELECT doc_id, lower(coalesce(source, '')) AS u, lower(spl
 
 @query("scan_ranked", _SCORED + f" SELECT doc_id, score::INTEGER AS score, {_SUM(3)} > 0 AS excluded, {_SUM(0)} = 0 AS required_missing FROM z WHERE score >= 1 ORDER BY score DESC, doc_id")
 def scan_ranked(spark, sf):
-    scanned = K.scan(_fields(spark, sf), RULES, _F3, bonuses=False)
+    scanned = RS.scan(_fields(spark, sf), RULES, _F3, bonuses=False)
     return scanned.where("score >= 1").select("doc_id", "score", "excluded", "required_missing").orderBy(F.desc("score"), "doc_id")
 
 
 @query("scan_keyword_counts", _SCORED + " SELECT label, sum(n)::BIGINT AS n FROM (" + " UNION ALL ".join(f"SELECT '{r.label}' AS label, {_SUM(k)} AS n FROM z" for k, r in enumerate(RULES)) + ") WHERE n > 0 GROUP BY label")
 def scan_keyword_counts(spark, sf):
-    return K.keyword_totals(K.scan(_fields(spark, sf), RULES, _F3, bonuses=False))
+    return K.keyword_totals(RS.scan(_fields(spark, sf), RULES, _F3, bonuses=False))
 
 
 @query("scan_full_score")
@@ -65,6 +66,35 @@ def scan_full_score(spark, sf):
     return scanned.select("doc_id", "score", "excluded", "required_missing", "proximity.pairs", "proximity.minimum_distance", F.map_keys("hits").alias("labels"))
 
 
+_WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')"
+_RULE_ROWS = f"""SELECT *, row_number() OVER (ORDER BY g) - 1 AS k FROM (SELECT DISTINCT array_to_string(list_slice(w, p, p + m - 1), ' ') AS g
+    FROM (SELECT w, unnest(range(1, len(w) + 1)) AS p FROM (SELECT {_WORDS} AS w FROM benchmark)), (VALUES (1), (2), (3)) v(m) WHERE p + m - 1 <= len(w))"""
+
+
+@query(
+    "scan_many_rules",
+    f"""WITH r AS (SELECT g, CASE WHEN k % 1000 = 7 THEN 'excluded' WHEN k % 7 = 0 THEN 'exact' ELSE 'optional' END AS kind, 1 + k % 3 AS weight FROM ({_RULE_ROWS})),
+    d AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) AS b FROM documents),
+    c AS (SELECT doc_id, kind, weight, (length(b) - length(replace(b, g, ''))) // length(g) AS n FROM d JOIN r ON contains(b, g)),
+    s AS (SELECT doc_id, coalesce(count(*) FILTER (WHERE n > 0), 0)::BIGINT AS labels, coalesce(sum(n), 0)::BIGINT AS hits, coalesce(bool_or(kind = 'excluded'), false) AS excluded,
+    count(*) FILTER (WHERE kind <> 'excluded') AS distinct_labels, sum(CASE WHEN kind <> 'excluded' THEN least(n, 10) * weight * CASE WHEN kind = 'exact' THEN 2 ELSE 1 END ELSE 0 END) AS base FROM c GROUP BY doc_id)
+    SELECT doc_id, coalesce(labels, 0) AS labels, coalesce(hits, 0) AS hits, coalesce(excluded, false) AS excluded,
+    CASE WHEN coalesce(excluded, true) OR base <= 0 THEN 0 ELSE greatest(1, base + CASE WHEN distinct_labels >= 2 THEN 3 * distinct_labels ELSE 0 END)::INTEGER END AS score FROM d LEFT JOIN s USING (doc_id)""",
+)
+def scan_many_rules(spark, sf):
+    """The words and runs of two and three words of ``benchmark`` as rules, some thousands, over whole documents."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z]+)"), 1)
+    runs = F.expr("flatten(transform(sequence(1, 3), m -> transform(sequence(1, greatest(size(w) - m + 1, 0)), p -> if(p + m - 1 <= size(w), array_join(slice(w, p, m), ' '), null))))")
+    rows = table(spark, sf, "benchmark").select(words.alias("w")).where("size(w) > 0").select(F.explode(runs).alias("g")).where("g is not null").distinct()
+    kind = lambda k: "excluded" if k % 1000 == 7 else "exact" if k % 7 == 0 else "optional"
+    rules = [K.Rule(g, g, kind(k), 1 + k % 3) for k, g in enumerate(sorted(r.g for r in rows.toLocalIterator()))]  # RS.scan checks their size
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("body"))
+    d = once(d, body_s=T.clean_space(F.lower("body")))
+    found = RS.scan(d, rules, {"body": ("body", "body_s")}, bonuses=False)
+    n = F.aggregate(F.map_values("hits"), F.lit(0), lambda a, x: a + x)
+    return found.select("doc_id", F.size("hits").cast("long").alias("labels"), n.cast("long").alias("hits"), "excluded", "score")
+
+
 @query("eligible_matches", _SCORED + " SELECT doc_id, score::INTEGER AS score FROM z WHERE score >= 40")
 def eligible_matches(spark, sf):
     return K.scan(_fields(spark, sf), RULES, _F3, bonuses=False).where((F.col("score") >= 40) & ~F.col("excluded") & ~F.col("required_missing")).select("doc_id", "score")
