@@ -165,17 +165,25 @@ def test_repeats_sees_windows_over_factor_ends():
 
 def test_filter_round_trip():
     rng = np.random.default_rng(3)
-    for bits in (8, 20, 32, 48, 64):
+    for words, width in ((1, 8), (2, 16), (3, 16), (3, 21), (4, 16), (4, 17), (4, 21)):
         for n in (1, 2, 100, 5000):
-            x = np.unique(rng.integers(0, np.iinfo(np.uint64).max, n, dtype=np.uint64, endpoint=True) >> np.uint64(64 - bits))
-            assert (pm.restored(pm.permuted(x, bits), bits) == x).all()
-            keys = np.sort(pm.permuted(x, bits))
-            assert len(np.unique(keys)) == len(x)
+            ids = np.unique(rng.integers(0, 1 << width, (n, words), dtype=np.uint64), axis=0)
+            keys = pm.Keys.of_words(list(ids.T), width)
+            assert keys.bits == words * width and (np.stack(keys.words(words), axis=1) == ids).all()
+            keys = keys[keys.order()]
+            assert len(keys.new()) == len(ids)
             counts = rng.integers(1, 1000, len(keys)) ** 2
-            k, c = pm.unpacked(pm.packed(keys, counts, bits), bits)
-            assert (k == keys).all() and (c == counts).all()
-    few = pm.packed(np.sort(pm.permuted(np.arange(100_000, dtype=np.uint64), 48)), np.ones(100_000, np.int64), 48)
-    assert len(few) < 100_000 * 6.5  # 16 bytes a phrase as plain numbers
+            for cut in (0, 1, 5, 8):
+                shard, rest = keys.top(cut), keys.rest(cut)
+                again = pm.Keys.joined(shard, cut, rest)
+                assert (np.stack(again.words(words)) == np.stack(keys.words(words))).all()
+            back, c = pm.unpacked(pm.packed(keys, counts), keys.bits)
+            assert (np.stack(back.words(words)) == np.stack(keys.words(words))).all() and (c == counts).all()
+            both, c = pm.merged([(keys, counts), (keys, counts)])
+            assert (both.low == keys.low).all() and (c == 2 * counts).all()
+    keys = pm.Keys.of_words([np.arange(100_000, dtype=np.uint64) % np.uint64(317), np.arange(100_000, dtype=np.uint64), np.arange(100_000, dtype=np.uint64) >> np.uint64(3)], 17)
+    keys = keys[keys.order()]
+    assert len(pm.packed(keys, np.ones(len(keys), np.int64))) < 100_000 * 6.5  # 16 bytes a phrase as plain numbers
 
 
 def brute_phrases(docs, least, cover=80, most=2000):
@@ -216,6 +224,22 @@ def test_phrases_random(spark, monkeypatch, table, stretch, shard, most):
     assert sorted(tuple(r[c] for c in PHRASE_COLUMNS) for r in got.collect()) == brute_phrases(docs, 30, most=most)
 
 
+def test_phrases_of_wide_ids(spark, monkeypatch):
+    """As many words as need wider ids: every phrase is still counted by its filter."""
+    width = pm.Table.__init__
+
+    def wide(self, *args):
+        width(self, *args)
+        self.width = dict.fromkeys(self.width, 19)
+
+    monkeypatch.setattr(pm.Table, "__init__", wide)
+    monkeypatch.setattr(pm, "SHARD", 1000)
+    rng = random.Random(8)
+    docs = [("en", " ".join(rng.choice("a b c d".split()) for _ in range(60))) for _ in range(200)]
+    got = pm.collocations(spark.createDataFrame(docs, "lang string, text string").repartition(3))
+    assert sorted(tuple(r[c] for c in PHRASE_COLUMNS) for r in got.collect()) == brute_phrases(docs, 30)
+
+
 def test_phrases_odd_rows(spark):
     docs = odd_rows(spark).withColumnRenamed("id", "phrase").withColumnRenamed("at", "n")
     got = pm.collocations(docs, least=2)

@@ -1,9 +1,9 @@
 """Phrase collocation mining with counting quotient filters, exact for all phrases of up to four words.
 
-A phrase that occurs ``LEAST`` times consists of words that do. The words that occur so often get ids of 16 bits in each
-language. A phrase is the packed ids of its words, 16 bits each. An invertible permutation of these 32, 48 or 64 bits
-spreads the phrases evenly; the top bits of the result are the quotient, all others the remainder, so nothing is lost and a
-filter's slots give back the phrases. A filter holds its entries in ascending order: run lengths of the quotients in unary bits,
+A phrase that occurs ``LEAST`` times consists of words that do. The words that occur so often get ids in each language, of 16
+bits or as many more as the language needs. A phrase is the packed ids of its words. An invertible permutation of these 32 to 84
+bits spreads the phrases evenly; the top bits of the result are the quotient, all others the remainder, so nothing is lost and
+a filter's slots give back the phrases. A filter holds its entries in ascending order: run lengths of the quotients in unary bits,
 remainders in as few bytes as they need, counters of one byte (larger ones aside).
 
 1. Words are counted by task and summed by Spark.
@@ -12,7 +12,7 @@ remainders in as few bytes as they need, counters of one byte (larger ones aside
 3. The same is done for phrases of three and four words all of whose pairs are in that table (which only spares work).
 4. Cuts, scores, containment and ranks are joins and aggregations over the phrases that occur ``LEAST`` times.
 
-A language has at most 65,535 words with ids, and all together ``TABLE_WORDS``, the most frequent ones. Phrases with other words
+All languages together have ``TABLE_WORDS`` words with ids at most, each its most frequent ones. Phrases with other words
 that occur often enough are counted by their text, so no phrase is missed.
 
 Null texts are empty, a null language is ``und``; texts without words give nothing; repeated rows count again; ties are ranked by the
@@ -33,7 +33,8 @@ from webstrata.llm._common import SLOT_BITS, bit_table, give_back, in_table, rea
 
 LEAST, LONGEST, COVER = 30, 4, 80
 FIRST = 2000
-TABLE_WORDS = 500_000
+#: Words with ids, of all languages together; each language has as many of them at most, and fewer than ``MOST_IDS``.
+TABLE_WORDS, MOST_IDS = 500_000, 1 << 21
 #: Distinct phrases that a task holds before it hands on its filters; phrases of one shard, about.
 HELD, SHARD = 2 << 20, 2 << 20
 
@@ -53,11 +54,11 @@ def tokens(text: str):
 
 
 def permuted(x: np.ndarray, bits: int) -> np.ndarray:
-    """A permutation of the whole numbers of ``bits`` bits."""
+    """A permutation of the whole numbers of ``bits`` bits, at most 64."""
     mask = _U((1 << bits) - 1)
     for odd in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
         x = x * _U(odd) & mask
-        x = x ^ (x >> _U(bits // 2))
+        x = x ^ (x >> _U(-(-bits // 2)))
     return x
 
 
@@ -65,26 +66,111 @@ def restored(x: np.ndarray, bits: int) -> np.ndarray:
     """What ``permuted`` was given."""
     mask = _U((1 << bits) - 1)
     for odd in (0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15):
-        x = x ^ (x >> _U(bits // 2))
+        x = x ^ (x >> _U(-(-bits // 2)))
         x = x * _U(pow(odd, -1, 1 << 64)) & mask
     return x
 
 
-def packed(keys: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
-    """A counting quotient filter of ascending keys of ``bits`` bits."""
-    n = len(keys)
+class Keys:
+    """Whole numbers of ``bits`` bits, 128 at most: ``low`` has the last 64 bits, ``high`` those before, if there are any."""
+
+    def __init__(self, high: np.ndarray | None, low: np.ndarray, bits: int):
+        self.high, self.low, self.bits = high, low, bits
+
+    def __len__(self) -> int:
+        return len(self.low)
+
+    def __getitem__(self, at) -> Keys:
+        return Keys(None if self.high is None else self.high[at], self.low[at], self.bits)
+
+    @classmethod
+    def of_words(cls, ids: list[np.ndarray], width: int) -> Keys:
+        """Packed ids of ``width`` bits each, permuted: as one number, or in three rounds over two halves where that is too wide."""
+        bits = width * len(ids)
+        if bits <= 64:
+            key = ids[0]
+            for i in ids[1:]:
+                key = key << _U(width) | i
+            return cls(None, permuted(key, bits), bits)
+        half, mask = bits // 2, _U((1 << bits // 2) - 1)
+        a, b = (x << _U(width) | y for x, y in (ids[:2], ids[2:]))
+        a = a ^ (permuted(b, 64) & mask)
+        b = b ^ (permuted(a, 64) & mask)
+        a = a ^ (permuted(b, 64) & mask)
+        return cls(a >> _U(64 - half), a << _U(half) | b, bits)
+
+    def words(self, n: int) -> list[np.ndarray]:
+        """The ids of ``n`` words that ``of_words`` was given."""
+        width = self.bits // n
+        mask = _U((1 << width) - 1)
+        if self.high is None:
+            key = restored(self.low, self.bits)
+            return [key >> _U(width * (n - 1 - k)) & mask for k in range(n)]
+        half, part = self.bits // 2, _U((1 << self.bits // 2) - 1)
+        a, b = self.high << _U(64 - half) | self.low >> _U(half), self.low & part
+        a = a ^ (permuted(b, 64) & part)
+        b = b ^ (permuted(a, 64) & part)
+        a = a ^ (permuted(b, 64) & part)
+        return [a >> _U(width), a & mask, b >> _U(width), b & mask]
+
+    def top(self, n: int) -> np.ndarray:
+        """The first ``n`` bits."""
+        if n == 0:
+            return np.zeros(len(self), np.uint64)
+        if self.high is None:
+            return self.low >> _U(self.bits - n)
+        more = n - (self.bits - 64)
+        return self.high >> _U(-more) if more <= 0 else self.high << _U(more) | self.low >> _U(64 - more)
+
+    def rest(self, n: int) -> Keys:
+        """All bits but the first ``n``."""
+        left = self.bits - n
+        if left > 64:
+            return Keys(self.high & _U((1 << (left - 64)) - 1), self.low, left)
+        return Keys(None, self.low & _U((1 << left) - 1), left)
+
+    @classmethod
+    def joined(cls, top: np.ndarray, n: int, rest: Keys) -> Keys:
+        """The numbers of which ``top`` holds the first ``n`` bits and ``rest`` the others."""
+        bits = n + rest.bits
+        if bits <= 64:
+            return cls(None, top << _U(rest.bits) | rest.low if n else rest.low, bits)
+        if rest.bits >= 64:
+            high = top << _U(rest.bits - 64) if n else top
+            return cls(high if rest.high is None else high | rest.high, rest.low, bits)
+        return cls(top >> _U(64 - rest.bits), top << _U(rest.bits) | rest.low, bits)
+
+    @classmethod
+    def stacked(cls, parts: list[Keys]) -> Keys:
+        high = None if parts[0].high is None else np.concatenate([p.high for p in parts])
+        return cls(high, np.concatenate([p.low for p in parts]), parts[0].bits)
+
+    def order(self) -> np.ndarray:
+        return np.argsort(self.low, kind="stable") if self.high is None else np.lexsort((self.low, self.high))
+
+    def new(self) -> np.ndarray:
+        """Where a number differs from the one before."""
+        differs = self.low[1:] != self.low[:-1]
+        return np.flatnonzero(np.r_[True, differs if self.high is None else differs | (self.high[1:] != self.high[:-1])][: len(self)])
+
+
+def packed(keys: Keys, counts: np.ndarray) -> bytes:
+    """A counting quotient filter of ascending keys."""
+    n, bits = len(keys), keys.bits
     q = min(bits, max(1, n.bit_length() - 1))
-    quotient, remainder = (keys >> _U(bits - q)).astype(np.int64), keys & _U((1 << (bits - q)) - 1)
+    quotient, rest = keys.top(q).astype(np.int64), keys.rest(q)
     unary = np.zeros(n + (1 << q), np.uint8)  # of each quotient: as many ones as it has slots, then a zero
     unary[np.arange(n) + quotient] = 1
-    size = -(-(bits - q) // 8)
+    wide = np.zeros((n, 2), "<u8")
+    wide[:, 0] = rest.low
+    if rest.high is not None:
+        wide[:, 1] = rest.high
+    body = wide.view(np.uint8)[:, : -(-rest.bits // 8)].tobytes()
     small = np.minimum(counts, 255).astype(np.uint8)
-    head = np.array([n, q], "<u8").tobytes()
-    body = remainder.astype("<u8").view(np.uint8).reshape(n, 8)[:, :size].tobytes()
-    return head + np.packbits(unary).tobytes() + body + small.tobytes() + counts[counts >= 255].astype("<u8").tobytes()
+    return np.array([n, q], "<u8").tobytes() + np.packbits(unary).tobytes() + body + small.tobytes() + counts[counts >= 255].astype("<u8").tobytes()
 
 
-def unpacked(raw: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def unpacked(raw: bytes, bits: int) -> tuple[Keys, np.ndarray]:
     """Keys and counts of a filter."""
     n, q = (int(x) for x in np.frombuffer(raw, "<u8", 2))
     slots = n + (1 << q)
@@ -93,31 +179,33 @@ def unpacked(raw: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
     at += -(-slots // 8)
     quotient = (np.flatnonzero(unary) - np.arange(n)).astype(np.uint64)
     size = -(-(bits - q) // 8)
-    wide = np.zeros((n, 8), np.uint8)
+    wide = np.zeros((n, 16), np.uint8)
     wide[:, :size] = np.frombuffer(raw, np.uint8, n * size, at).reshape(n, size)
+    wide = wide.view("<u8")
     at += n * size
     counts = np.frombuffer(raw, np.uint8, n, at).astype(np.int64)
     counts[counts == 255] = np.frombuffer(raw, "<u8", -1, at + n).astype(np.int64)
-    return quotient << _U(bits - q) | wide.view("<u8")[:, 0] if q else wide.view("<u8")[:, 0], counts
+    rest = Keys(wide[:, 1].copy() if bits - q > 64 else None, wide[:, 0].copy(), bits - q)
+    return Keys.joined(quotient, q, rest), counts
 
 
-def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def merged(parts: list[tuple[Keys, np.ndarray]]) -> tuple[Keys, np.ndarray]:
     """Ascending keys with their counts summed, from several such lists."""
-    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(keys, kind="stable")
+    keys, counts = Keys.stacked([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = keys.order()
     keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[first], np.add.reduceat(counts, first)
+    first = keys.new()
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 class Filters:
     """The counts of a task by language and length: recent keys loose, the rest as ascending lists."""
 
     def __init__(self):
-        self.held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.held: dict[tuple[str, int], list[tuple[Keys, np.ndarray]]] = {}
         self.size: Counter = Counter()
 
-    def add(self, of: tuple[str, int], keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+    def add(self, of: tuple[str, int], keys: Keys, counts: np.ndarray | None = None) -> None:
         self.held.setdefault(of, []).append((keys, np.ones(len(keys), np.int64) if counts is None else counts))
         self.size[of] += len(keys)
 
@@ -176,6 +264,7 @@ class Table:
         for lang, word in rows:
             self.words.setdefault(lang, [b""]).append(bytes(word))
         self.langs = {lang: k for k, lang in enumerate(sorted(self.words))}
+        self.width = {lang: max(16, len(words).bit_length()) for lang, words in self.words.items()}
         self.others = others
         self._ids: dict[str, dict[bytes, int]] | None = None
 
@@ -188,12 +277,12 @@ class Table:
         return self.__dict__ | {"_ids": None}
 
     def pair_slots(self, lang: str, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        x = permuted(_U(self.langs.get(lang, 0)) << _U(32) | first << _U(16) | second, 64)
+        x = permuted(_U(self.langs.get(lang, 0)) << _U(44) | first << _U(22) | second, 64)
         return x >> _U(64 - SLOT_BITS)
 
 
 def _numbers(table: Table, lang: str, words: list[bytes], strange: dict[bytes, int]) -> np.ndarray:
-    """Ids of words: 0 where no phrase can go on, above 65,535 (by ``strange``) for frequent words without an id."""
+    """Ids of words: 0 where no phrase can go on, from ``MOST_IDS`` (by ``strange``) for frequent words without an id."""
     ids = table.ids(lang)
     out = np.fromiter((ids.get(w, -1) for w in words), np.int64, len(words))
     unknown = np.flatnonzero(out < 0)
@@ -204,7 +293,7 @@ def _numbers(table: Table, lang: str, words: list[bytes], strange: dict[bytes, i
         w = words[k]
         slot = crc32(w) & ((1 << SLOT_BITS) - 1)
         frequent = w != b"." and (table.others[slot >> 3] >> (slot & 7)) & 1
-        out[k] = strange.setdefault(w, 65536 + len(strange)) if frequent else 0
+        out[k] = strange.setdefault(w, MOST_IDS + len(strange)) if frequent else 0
     return out
 
 
@@ -215,10 +304,10 @@ def phrase_counts(own: DataFrame, table: Table, lengths: tuple[int, ...], shards
 
     def emit(filters: Filters, texts: Counter):
         for (lang, length), ((keys, counts),) in filters.held.items():
-            bits = 16 * length
-            edges = np.searchsorted(keys >> _U(bits - shard_bits), np.arange((1 << shard_bits) + 1, dtype=np.uint64)) if shard_bits else np.array([0, len(keys)])
-            at = np.flatnonzero(np.diff(edges))
-            blobs = [packed(keys[edges[s] : edges[s + 1]] & _U((1 << (bits - shard_bits)) - 1), counts[edges[s] : edges[s + 1]], bits - shard_bits) for s in at.tolist()]
+            shard = keys.top(shard_bits)
+            edges = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]) if len(keys) else np.zeros(1, np.int64)
+            at = shard[edges[:-1]].astype(np.int64)
+            blobs = [packed(keys[b:e].rest(shard_bits), counts[b:e]) for b, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
             k = len(at)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * k, pa.string()), pa.array([length] * k, pa.int32()), pa.array(at, pa.int64()), pa.array(blobs, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], names=_PARTS
@@ -238,7 +327,7 @@ def phrase_counts(own: DataFrame, table: Table, lengths: tuple[int, ...], shards
         u = x.astype(np.uint64)
         linked = (x[:-1] > 0) & (x[1:] > 0)
         if pairs is not None:
-            plain = np.flatnonzero(linked & (x[:-1] < 65536) & (x[1:] < 65536)) if odd else np.flatnonzero(linked)
+            plain = np.flatnonzero(linked & (x[:-1] < MOST_IDS) & (x[1:] < MOST_IDS)) if odd else np.flatnonzero(linked)
             linked[plain] = in_table(pairs, table.pair_slots(lang, u[plain], u[plain + 1]))
         valid = linked
         for length in range(2, max(lengths) + 1):
@@ -248,13 +337,11 @@ def phrase_counts(own: DataFrame, table: Table, lengths: tuple[int, ...], shards
                 continue
             at = np.flatnonzero(valid)
             if odd and len(at):
-                high = (np.stack([x[at + k] for k in range(length)]) > 65535).any(axis=0)
+                high = (np.stack([x[at + k] for k in range(length)]) >= MOST_IDS).any(axis=0)
                 texts.update((lang, length, b" ".join(flat[k : k + length])) for k in at[high].tolist())
                 at = at[~high]
-            key = np.zeros(len(at), np.uint64)
-            for k in range(length):
-                key = key << _U(16) | u[at + k]
-            filters.add((lang, length), permuted(key, 16 * length))
+            if len(at):
+                filters.add((lang, length), Keys.of_words([u[at + k] for k in range(length)], table.width[lang]))
 
     def run(batches):
         filters, texts, since = Filters(), Counter(), 0
@@ -300,13 +387,12 @@ def phrase_counts(own: DataFrame, table: Table, lengths: tuple[int, ...], shards
             lang, length, shard = of
             keep = counts >= least
             keys, counts = keys[keep], counts[keep]
-            key = restored(_U(shard) << _U(16 * length - shard_bits) | keys if shard_bits else keys, 16 * length)
-            ids = [(key >> _U(16 * (length - 1 - k))) & _U(65535) for k in range(length)]
+            ids = Keys.joined(np.full(len(keys), shard, np.uint64), shard_bits, keys).words(length)
             table = shared.value[0]
             words = table.words[lang]
             phrases = [b" ".join(map(words.__getitem__, p)) for p in zip(*(i.tolist() for i in ids), strict=True)]
-            slots = table.pair_slots(lang, ids[0], ids[1]).astype(np.int64) if length == 2 else np.zeros(len(key), np.int64)
-            k = len(key)
+            slots = table.pair_slots(lang, ids[0], ids[1]).astype(np.int64) if length == 2 else np.zeros(len(keys), np.int64)
+            k = len(keys)
             return pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), pa.array([length] * k, pa.int32()), pa.array(phrases, pa.binary()), pa.array(counts), pa.array(slots)], names=["lang", "length", "phrase", "n", "slot"])
 
         for batch in batches:
@@ -315,7 +401,7 @@ def phrase_counts(own: DataFrame, table: Table, lengths: tuple[int, ...], shards
                     if held:
                         yield frequent()
                     of, held, size = (lang, length, shard), [], 0
-                held.append(unpacked(raw, 16 * length - shard_bits))
+                held.append(unpacked(raw, shared.value[0].width[lang] * length - shard_bits))
                 size += len(held[-1][0])
                 if size > 2 * len(held[0][0]) + (1 << 20):  # keys that agree are merged before more come
                     held = [merged(held)]
@@ -345,7 +431,7 @@ def frequent_phrases(docs: DataFrame, *, lang_col="lang", text_col="text", least
     words = written(word_counts(own).where((F.col("n") >= least) | F.col("word").isNull()), name="words")
     totals, words = words.where("word is null").select("lang", "n"), words.where("word is not null")
     facts = totals.agg(F.count("*").alias("langs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    each = min(65_535, table_words // max(facts.langs, 1))
+    each = min(MOST_IDS - 1, table_words // max(facts.langs, 1))
     ranked = written(top_rows(words, "lang", [F.desc("n"), F.asc("word")], each), name="ids") if each else words.limit(0).withColumn("rank", F.lit(0))
     others = words.join(ranked.select("lang", "word"), ["lang", "word"], "left_anti").select(F.expr(f"crc32(word) & {(1 << SLOT_BITS) - 1}").alias("slot"))
     table = Table(((r.lang, r.word) for r in ranked.orderBy("lang", "rank").select("lang", "word").toLocalIterator()), None if others.isEmpty() else bit_table(others, "slot"))
