@@ -16,6 +16,7 @@ from webstrata.operators import history as H
 from webstrata.operators import keyword_scan as K
 from webstrata.operators import reports as R
 from webstrata.operators import shaping as S
+from webstrata.operators import similarity as SIM
 from webstrata.operators import vectors as V
 from webstrata.plans import load_all
 from webstrata.sources import bodies, cdx
@@ -117,8 +118,9 @@ def test_plans_compute_once(spark):
 
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert plan(collection.cdx_json_rows(spark, SF)).count("from_json(") == 1
-    assert plan(corpus.scan_ranked(spark, SF)).count("replace(") == 3 * len(corpus.RULES)
-    assert plan(corpus.scan_keyword_counts(spark, SF)).count("replace(") == 3 * len(corpus.RULES)
+    assert plan(corpus.eligible_matches(spark, SF)).count("replace(") == 3 * len(corpus.RULES)
+    assert plan(corpus.scan_ranked(spark, SF)).count("rate(") == 1
+    assert plan(corpus.scan_keyword_counts(spark, SF)).count("rate(") == 1
 
 
 def test_near_groups(spark):
@@ -153,8 +155,17 @@ def test_matching(spark):
 
 
 def test_payload_kinds(spark):
-    rows = spark.createDataFrame([(bytearray(b),) for b in (b"\x89PNG\r\n\x1a\n..", b"%PDF-1.4", b"ID3x", b"hello", b"a\0b", b"RIFF1234WEBPxx")], "b binary")
-    assert [r.k for r in rows.select(C.payload_kind(F.col("b")).alias("k")).collect()] == ["image", "binary", "audio", "text", "binary", "image"]
+    heads = {
+        b"\x89PNG\r\n\x1a\n": "image", b"BMW news today": "text", b"MZ notes": "text", b"ID3 tag how-to": "text", b"RIFF cards": "text", "é\r\n".encode("utf-16"): "text", b"\0\0\0\x1cftypavif": "image",
+        b"\0\0\0\x1cftypmp42": "video", b"RIFF....AVI ": "video", b"%PDF-1": "other_binary", b"a" * 600 + b"\0": "other_binary", b"a" * 9000 + b"\0": "text", b"": "text", None: "text", b"ID3\x03": "audio",
+        b"BM" + (26).to_bytes(4, "little") + bytes(4) + (26).to_bytes(4, "little") + (12).to_bytes(4, "little") + bytes(8): "other_binary", b"\x1b" * 5 + b"a" * 95: "other_binary", b"\x1b" * 3 + b"a" * 97: "text",
+    }
+    rows = spark.createDataFrame([(k, h) for k, h in enumerate(heads)], "n int, b binary")
+    assert [r.k for r in rows.select("n", C.payload_kind(F.col("b")).alias("k")).orderBy("n").collect()] == list(heads.values())
+    typed = [(b"<p>", "image/jpeg", "http://a/x", "other_binary"), (b"<svg>", "image/svg+xml", "http://a/x", "image"), (b"#EXTM3U", "audio/x-mpegurl", "http://a/x", "other_binary"), (b"<p>", "text/html", "http://a/x.jpg", "image"), (b"x", "application/smil+xml", "http://a/x.smil", "media_descriptor"), (b"<p>", None, "http://a/x", "text")]
+    frame = spark.createDataFrame([(k, *t) for k, t in enumerate(typed)], "n int, b binary, m string, u string, want string")
+    got = frame.select("n", "want", C.payload_kind(F.col("b"), F.col("m"), F.col("u")).alias("k")).orderBy("n").collect()
+    assert [r.k for r in got] == [r.want for r in got]
 
 
 def test_pages_and_posts(spark):
@@ -199,11 +210,28 @@ def test_snapshots_are_compared_as_a_whole(spark, tmp_path):
     assert got == {(1, 2): (ratio, True), (2, 4): (1.0, False), (5, 6): (0.0, True)}
 
 
-def test_matching_ratio_is_the_matchers():
-    rng = random.Random(3)
-    for _ in range(300):
-        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randrange(60))) for _ in range(2))
-        assert H.matching_ratio(a, b, small=rng.choice((0, 50))) == SequenceMatcher(None, a, b, autojunk=False).ratio()
+@pytest.mark.parametrize("places", [1 << 20, 200, 10])
+def test_ratios_are_the_matchers(monkeypatch, places):
+    monkeypatch.setattr(SIM, "PLACES", places)
+    rng = random.Random(5)
+    pairs = [("", ""), ("a", ""), ("abc", "abc"), ("é🙂x", "🙂x"), ("a" * 700, "a" * 650 + "b" * 40), ("\ud800", "\ud800 ")]
+    for _ in range(150):
+        letters = rng.choice(["ab", "abc", "abcdefgh", "the quick brown fox "])
+        a, b = ("".join(rng.choice(letters) for _ in range(rng.randint(0, 150))) for _ in "ab")
+        pairs.append((a, a[: rng.randint(0, len(a))] + b[: rng.randint(0, 30)] + a[rng.randint(0, len(a)) :] if rng.random() < 0.5 else b))
+    monkeypatch.setattr(SIM, "TOGETHER", 1000)
+    assert SIM.ratios(pairs) == [SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in pairs]
+
+
+def test_similarity_query_against_the_matcher(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = catalog.QUERIES["snapshot_similarity"](spark, sf).collect()
+    assert len(rows) > 100
+    for r in rows:
+        a, b = texts[r.earlier], texts[r.later]
+        if len(a) * len(b) < 4_000_000:
+            assert r.similarity == round(SequenceMatcher(None, a, b, autojunk=False).ratio(), 6)
 
 
 def test_history(spark):
@@ -269,8 +297,14 @@ def test_index_pages(spark):
 
 def test_bodies(spark, tmp_path):
     assert bodies.decoded("é".encode("cp1252")) == "é" and bodies.decoded("é".encode()) == "é"
+    assert bodies.decoded("a😀".encode("utf-32")) == "a😀" and bodies.decoded(b"\x93", "text/plain; charset=latin-1") == "\x93" and bodies.decoded(b"\x81\x93") == "\x81\x93"
+    assert bodies.textual("é".encode("utf-32")) and bodies.textual("ab".encode("utf-16-le"), "text/plain; charset=utf-16-le") and not bodies.textual(b"\xff\xfe\x00\xd8a\0") and not bodies.textual(b"x", "image/png")
+    import gzip
+
+    packed = gzip.compress(b"x" * 5000)
+    assert bodies.opened(packed) == (b"x" * 5000, None) and bodies.opened(packed, 4999) == (None, "body_too_large") and bodies.opened(packed[:3] + b"?") == (packed[:3] + b"?", None)
     assert bodies.decoded(b"<meta charset=iso-8859-1>\x93") == "<meta charset=iso-8859-1>“"
-    assert bodies.textual(b"hello") and not bodies.textual(b"\x89PNG") and not bodies.textual(b"a\0b")
+    assert bodies.textual(b"hello") and bodies.textual(b"MZ is a band") and not bodies.textual(b"\x89PNG\r\n\x1a\n") and not bodies.textual(b"a\0b")
     (tmp_path / "a.html").write_text("<p>x")
     (tmp_path / "b.exe").write_text("x")
     found = bodies.read_folder(spark, str(tmp_path))

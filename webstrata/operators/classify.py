@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from webstrata.functions.text import extension_of, mime_of
+from webstrata.sources.bodies import is_text
 
 #: Extensions by class.
 TEXT = ".asp .aspx .cfm .cgi .css .dat .dhtm .htm .html .inc .js .json .jsp .phtm .php .shtm .shtml .text .txt .xhtm .xhtml .xml".split()
@@ -72,25 +73,36 @@ def classify(url: Column, mimetype: Column) -> Column:
     )
 
 
-#: First bytes in hex, by payload kind.
+#: Kinds of payloads by their first bytes in hex; forms of RIFF files; brands of images among ISO media.
 SIGNATURES = (
-    ("image", ("89504E470D0A1A0A", "FFD8FF", "474946383761", "474946383961", "424D", "49492A00", "4D4D002A", "00000100")),
-    ("video", ("1A45DFA3", "464C5601", "435753", "465753", "5A5753", "3026B2758E66CF11", "2E524D46", "000001BA", "000001B3")),
-    ("audio", ("494433", "664C6143", "4D546864", "FFFB", "FFF3")),
-    ("binary", ("25504446", "504B0304", "1F8B", "526172211A07", "377ABCAF271C", "4D5A", "7F454C46", "D0CF11E0A1B11AE1")),
+    ("image", ("89504E470D0A1A0A", "FFD8FF", "474946383761", "474946383961")),
+    ("other_binary", ("255044462D", "504B0304", "1F8B08")),
+    ("audio", ("664C6143", "4F67675300", "49443303", "49443304")),
+    ("video", ("1A45DFA3", "464C5601")),
 )
+RIFF_FORMS = {"57454250": "image", "41564920": "video", "57415645": "audio"}
+IMAGE_BRANDS = ("avif", "avis", "heic", "heix", "mif1")
 
 
-def payload_kind(content: Column) -> Column:
-    """Kind of a payload by its first bytes; text if nothing speaks against it."""
-    head = F.hex(F.substring(content, 1, 512))
-    out = F.when(F.rlike(head, F.lit("^(?:..)*?00")), "binary").otherwise("text")
-    out = F.when(F.startswith(head, F.lit("52494646")), F.when(F.substring(head, 17, 8) == "57454250", "image").when(F.substring(head, 17, 8) == "57415645", "audio").otherwise("video")).when(
-        F.substring(head, 9, 8) == "66747970", "video"
-    ).when(F.startswith(head, F.lit("4F676753")), "audio").otherwise(out)
-    for kind, marks in reversed(SIGNATURES):
-        out = F.when(F.rlike(head, F.lit("^(" + "|".join(marks) + ")")), kind).otherwise(out)
-    return out
+def payload_kind(content: Column, mimetype: Column | None = None, url: Column | None = None) -> Column:
+    """Kind of a payload: by the suffix that is never text, by its first bytes, else text if it can be read as such.
+
+    The media type only tells drawings and descriptors from other text, and that of images, sounds and films from text.
+    """
+    mimetype = F.lit("") if mimetype is None else F.coalesce(mimetype, F.lit(""))
+    head = F.hex(F.substring(content, 1, 16))
+    form = F.try_element_at(F.create_map(*[F.lit(x) for pair in RIFF_FORMS.items() for x in pair]), F.substring(head, 17, 8))
+    brand = F.lower(F.decode(F.substring(content, 9, 4), "ISO-8859-1"))
+    drawn = (mime_of(mimetype) == "image/svg+xml") & F.contains(F.lower(F.decode(F.substring(content, 1, 4096), "ISO-8859-1")), F.lit("<svg"))
+    rules = [F.when(F.rlike(head, F.lit("^(" + "|".join(marks) + ")")), kind) for kind, marks in SIGNATURES]
+    rules.insert(1, F.when(F.startswith(head, F.lit("52494646")), form))
+    rules.insert(2, F.when((F.substring(head, 9, 8) == "66747970") & (F.length(head) >= 24), F.when(brand.isin(*IMAGE_BRANDS), "image").otherwise("video")))
+    rules += [F.when(drawn, "image"), F.when(~is_text(content, mimetype), "other_binary")]
+    if url is not None:
+        own = classify(url, mimetype)
+        rules.insert(0, F.when(F.startswith(own["reason"], F.lit("suffix_policy:")), own["class"]))
+        rules.append(F.when(own["class"] == "media_descriptor", "media_descriptor"))
+    return F.coalesce(*rules, F.lit("text"))
 
 
 def text_candidate(url: Column, mimetype: Column) -> Column:

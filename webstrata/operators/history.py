@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections import Counter
-from difflib import SequenceMatcher
 from hashlib import blake2b
 
 import pandas as pd
@@ -12,13 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
 from webstrata.functions.text import clean_space, hamming_similarity, normalize_search
+from webstrata.operators.similarity import ratios
 from webstrata.storage import new_path, written
 
 #: Line ends as text editors know them.
 LINES = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
 LISTED = 200
-#: Pairs of characters up to which a matcher by positions is quicker than an automaton.
-SMALL = 50_000
 
 
 def clean_lines(text: Column) -> Column:
@@ -26,68 +24,10 @@ def clean_lines(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, LINES), clean_space), lambda x: x != "")))
 
 
-def _longest_common(a: str, b: str) -> tuple[int, int, int]:
-    """(begin in a, begin in b, length) of the longest common run, the first in a and then in b; by a suffix automaton of b."""
-    nxt: list[dict[str, int]] = [{}]
-    link, length, end = [-1], [0], [0]
-    last = 0
-    for j, c in enumerate(b, 1):
-        new = len(nxt)
-        nxt.append({})
-        link.append(0)
-        length.append(j)
-        end.append(j)
-        p = last
-        while p != -1 and c not in nxt[p]:
-            nxt[p][c] = new
-            p = link[p]
-        if p != -1:
-            at = nxt[p][c]
-            if length[at] != length[p] + 1:
-                copy = len(nxt)
-                nxt.append(dict(nxt[at]))
-                link.append(link[at])
-                length.append(length[p] + 1)
-                end.append(end[at])
-                link[at] = copy
-                while p != -1 and nxt[p].get(c) == at:
-                    nxt[p][c] = copy
-                    p = link[p]
-                at = copy
-            link[new] = at
-        last = new
-    best = (0, 0, 0)
-    state = n = 0
-    for i, c in enumerate(a, 1):
-        while state and c not in nxt[state]:
-            state = link[state]
-            n = length[state]
-        state = nxt[state].get(c, 0)
-        n = n + 1 if state else 0
-        if n > best[2]:
-            best = (i - n, end[state] - n, n)
-    return best
-
-
-def matching_ratio(a: str, b: str, small: int = SMALL) -> float:
-    """SequenceMatcher's ratio without junk; stretches with more than ``small`` pairs of characters take their longest run by automaton."""
-    matched, waiting = 0, [(a, b)]
-    while waiting:
-        x, y = waiting.pop()
-        if len(x) * len(y) <= small:
-            matched += sum(m.size for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
-            continue
-        i, j, n = _longest_common(x, y)
-        if n:
-            matched += n
-            waiting += [(x[:i], y[:j]), (x[i + n :], y[j + n :])]
-    return 2.0 * matched / (len(a) + len(b)) if a or b else 1.0
-
-
 @F.pandas_udf(DoubleType())
 def character_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of characters in matching blocks, rounded half to even at six places."""
-    return pd.Series([round(matching_ratio(x, y), 6) for x, y in zip(a.fillna(""), b.fillna(""), strict=True)])
+    return pd.Series([round(r, 6) for r in ratios(list(zip(a.fillna(""), b.fillna(""), strict=True)))], dtype="float64")
 
 
 def _neighbours(keys: DataFrame, url: str, order: str) -> DataFrame:
@@ -128,6 +68,17 @@ def snapshot_pairs(rows: DataFrame, url: str, order: str, text: str) -> DataFram
     )
 
 
+def line_counts(rows: DataFrame, url: str, order: str, text: str) -> DataFrame:
+    """(url, earlier, later, n_added, n_removed): as ``snapshot_pairs``, by digests of lines (two times 64 bits), so no text is shuffled."""
+    plain = F.coalesce(F.col(text), F.lit(""))
+    digests = F.transform(F.array_distinct(F.filter(F.transform(F.split(plain, LINES), clean_space), lambda x: x != "")), lambda x: F.struct(F.xxhash64(x).alias("p"), F.xxhash64(F.lit(1), x).alias("q")))
+    place = F.sha2(F.to_json(F.struct(F.col(url).alias("u"), F.col(order).alias("o"), F.sha2(F.col(text).cast("binary"), 256).alias("d"))).cast("binary"), 256)
+    keyed = written(rows.select(url, order, place.alias("key"), digests.alias("lines")), "lines")
+    sets = keyed.groupBy("key").agg(F.first("lines").alias("lines"))
+    pairs = _neighbours(keyed, url, order).join(sets.withColumnRenamed("lines", "b"), "key").join(sets.select(F.col("key").alias("earlier_key"), F.col("lines").alias("a")), "earlier_key")
+    return pairs.select(url, "earlier", F.col(order).alias("later"), F.size(F.array_except("b", "a")).alias("n_added"), F.size(F.array_except("a", "b")).alias("n_removed"))
+
+
 def with_similarity(pairs: DataFrame) -> DataFrame:
     """similarity: 1 for equal texts, else the share of matching characters; changed: under 0.999999."""
     ratio = F.when(F.col("same"), F.lit(1.0)).otherwise(character_ratio(F.when(~F.col("same"), F.col("earlier_text")), F.when(~F.col("same"), F.col("later_text"))))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from webstrata.functions.text import clean_space, extension_of, mime_of, path_of
 from webstrata.operators import extract as X
 from webstrata.operators import keyword_scan as K
-from webstrata.sources.bodies import decode
+from webstrata.sources.bodies import decode_body
 from webstrata.storage import once
 
 #: What the archive's own error pages say, each with its category.
@@ -83,14 +83,15 @@ def needs_rendering(text: Column, url: Column, content_type: Column) -> Column:
 def opened_bodies(captures: DataFrame, bodies: DataFrame, *, reject_shells: bool) -> DataFrame:
     """Captures (capture_id, url, mimetype, path, sha256) with the text of their bodies (path, content) and a ``problem``.
 
-    problem: missing_local_file without a body, local_integrity_failure where a recorded digest is another than the body's,
+    problem: missing_local_file without a body, local_integrity_failure where a recorded digest is another than the body's, body_too_large,
     invalid_archive_replay for error pages if those are rejected; else null. A null digest proves nothing and passes.
     """
     joined = captures.join(bodies.select("path", "content"), "path", "left")
     differs = F.col("sha256").isNotNull() & (F.sha2("content", 256) != F.col("sha256"))
     problem = F.when(F.col("content").isNull(), "missing_local_file").when(differs, "local_integrity_failure")
     known = once(joined, problem=problem)
-    text = once(known, text=decode(F.when(F.col("problem").isNull(), F.col("content")), F.col("mimetype"))).drop("content")
+    read = once(known, body=decode_body(F.when(F.col("problem").isNull(), F.col("content")), F.col("mimetype"))).drop("content")
+    text = read.withColumns({"text": F.col("body.text"), "problem": F.coalesce("problem", "body.problem")}).drop("body")
     if not reject_shells:
         return text.withColumn("shell", F.lit(None).cast("string"))
     shelled = with_shell(text, "text")

@@ -52,7 +52,7 @@ def export_manifest(spark, sf):
 @query(
     "index_refreshed",
     """SELECT doc_id, CASE WHEN doc_id % 97 = 3 AND doc_id % 10 <> 9 THEN 2 ELSE 1 END AS revision, CASE WHEN doc_id % 10 = 9 THEN 2 WHEN doc_id % 97 = 3 THEN 1 ELSE 0 END AS part,
-    sha256(trim(regexp_replace(lower(CASE WHEN doc_id % 97 = 3 AND doc_id % 10 <> 9 THEN text || ' revised' ELSE text END), '[\s_]+', ' ', 'g'))) AS form
+    sha256(trim(regexp_replace(lower(CASE WHEN doc_id % 97 = 3 AND doc_id % 10 <> 9 THEN text || ' revised' ELSE text END), '[\\s_]+', ' ', 'g'))) AS form
     FROM documents WHERE NOT (doc_id % 89 = 5 AND doc_id % 10 <> 9)""",
 )
 def index_refreshed(spark, sf):

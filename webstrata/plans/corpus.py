@@ -15,7 +15,8 @@ from webstrata.operators import media as M
 from webstrata.operators import rule_sets as RS
 from webstrata.operators import vectors as V
 from webstrata.operators.tables import captures, snapshots
-from webstrata.storage import once
+from webstrata.sources import bodies
+from webstrata.storage import new_path, once
 
 RULES = K.parse_rules(["required: the", "high: thing", "stupid | weight=2", "exclude: disgusting", "exact: ation"])
 
@@ -74,7 +75,7 @@ _RULE_ROWS = f"""SELECT *, row_number() OVER (ORDER BY g) - 1 AS k FROM (SELECT
 @query(
     "scan_many_rules",
     f"""WITH r AS (SELECT g, CASE WHEN k % 1000 = 7 THEN 'excluded' WHEN k % 7 = 0 THEN 'exact' ELSE 'optional' END AS kind, 1 + k % 3 AS weight FROM ({_RULE_ROWS})),
-    d AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) AS b FROM documents),
+    d AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')) AS b FROM documents),
     c AS (SELECT doc_id, kind, weight, (length(b) - length(replace(b, g, ''))) // length(g) AS n FROM d JOIN r ON contains(b, g)),
     s AS (SELECT doc_id, coalesce(count(*) FILTER (WHERE n > 0), 0)::BIGINT AS labels, coalesce(sum(n), 0)::BIGINT AS hits, coalesce(bool_or(kind = 'excluded'), false) AS excluded,
     count(*) FILTER (WHERE kind <> 'excluded') AS distinct_labels, sum(CASE WHEN kind <> 'excluded' THEN least(n, 10) * weight * CASE WHEN kind = 'exact' THEN 2 ELSE 1 END ELSE 0 END) AS base FROM c GROUP BY doc_id)
@@ -164,7 +165,7 @@ _CLEAN = "list_sort(list_distinct(list_filter(list_transform(string_split(text,
     SELECT url, earlier, later, len(list_filter(b, lambda x: NOT list_contains(a, x)))::INTEGER AS n_added, len(list_filter(a, lambda x: NOT list_contains(b, x)))::INTEGER AS n_removed FROM s WHERE earlier IS NOT NULL""",
 )
 def snapshot_consecutive_lines(spark, sf):
-    return H.snapshot_pairs(snapshots(spark, sf), "url", "doc_id", "text").select("url", "earlier", "later", "n_added", "n_removed")
+    return H.line_counts(snapshots(spark, sf), "url", "doc_id", "text")
 
 
 @query("snapshot_similarity")
@@ -233,14 +234,43 @@ def url_classification(spark, sf):
     return captures(spark, sf).select("page_id", C.classify(F.col("url"), F.col("mimetype")).alias("k")).select("page_id", "k.class", "k.confident")
 
 
-_HEADS = {"89504E470D0A1A0A": "image", "255044462D312E34": "binary", "49443303": "audio", "1A45DFA3": "video", "52494646AAAAAAAA57454250": "image", "0001": "binary"}
+_HEADS = (
+    (b"", "text"), (b"BMW news: ", "text"), (b"MZ notes ", "text"), (b"ID3 tag how-to ", "text"), (b"RIFF cards, ", "text"), (b"PK ", "text"), (b"GIF ", "text"), (b"\x89PNG\r\n\x1a\n", "image"), (b"RIFF\x10\0\0\0WEBP", "image"),
+    (b"RIFF\x10\0\0\0WAVE", "audio"), (b"\0\0\0\x1cftypavif", "image"), (b"\0\0\0\x1cftypisom", "video"), (b"%PDF-1.4", "other_binary"), (b"PK\x03\x04", "other_binary"), (b"ID3\x03\0", "audio"), (b"OggS\0", "audio"),
+    (b"FLV\x01", "video"), (b"MZ\x90\0", "other_binary"), (b"a\0b", "other_binary"), (b"\x01\x02" * 4000, "other_binary"), (b"BM" + (70).to_bytes(4, "little") + bytes(4) + (54).to_bytes(4, "little") + (40).to_bytes(4, "little") + bytes(8), "other_binary"),
+)
 
 
-@query("payload_kinds", "SELECT page_id, ['text', " + ", ".join(f"'{k}'" for k in _HEADS.values()) + f"][page_id % {len(_HEADS) + 1} + 1] AS kind FROM pages")
+@query(
+    "payload_kinds",
+    f"""SELECT doc_id, CASE WHEN doc_id % 24 < {len(_HEADS)} THEN [{", ".join(f"'{k}'" for _, k in _HEADS)}][doc_id % 24 + 1] ELSE 'text' END AS kind FROM documents""",
+)
 def payload_kinds(spark, sf):
-    """Pages, most of them with the first bytes of another format before them."""
-    head = F.element_at(F.array(*[F.unhex(F.lit(h)) for h in ("", *_HEADS)]), (F.col("page_id") % (len(_HEADS) + 1) + 1).cast("int"))
-    return table(spark, sf, "pages").select("page_id", C.payload_kind(F.concat(head, F.col("html").cast("binary"))).alias("kind"))
+    """Documents behind first bytes of other formats, behind words that begin as those do, and in wide encodings with their marks."""
+    k = F.col("doc_id") % 24
+    text = F.coalesce("text", F.lit(""))
+    head = F.element_at(F.array(*[F.unhex(F.lit(h.hex())) for h, _ in _HEADS]), F.least(k + 1, F.lit(len(_HEADS))).cast("int"))
+    marked = F.concat(F.unhex(F.lit("0000FEFF")), F.encode(text, "UTF-32"))
+    wide = F.when(k == len(_HEADS), F.encode(text, "UTF-16")).when(k == len(_HEADS) + 1, marked).otherwise(F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8")))
+    body = F.when(k < len(_HEADS), F.concat(head, text.cast("binary"))).otherwise(wide)
+    return table(spark, sf, "documents").select("doc_id", C.payload_kind(body).alias("kind"))
+
+
+@query(
+    "folder_imported",
+    """SELECT page_id, CASE WHEN page_id % 9 = 4 THEN 'too_large' END AS problem, CASE WHEN page_id % 9 <> 4 THEN sha256(html) END AS text_sha256 FROM pages WHERE page_id % 5 <> 3""",
+)
+def folder_imported(spark, sf):
+    """Pages written as files and imported: in several encodings, packed, too large, and not importable by their suffix."""
+    path = new_path(spark, "folder")
+    k = F.col("page_id")
+    big = F.concat(F.col("html"), F.repeat(F.lit(" "), 3_000_000))
+    wide = F.when(k % 9 == 1, F.encode("html", "UTF-16")).when(k % 9 == 2, F.concat(F.unhex(F.lit("0000FEFF")), F.encode("html", "UTF-32"))).when(k % 9 == 4, F.encode(big, "UTF-8")).otherwise(F.encode("html", "UTF-8"))
+    rows = table(spark, sf, "pages").select(k.alias("page_id"), F.when(k % 5 == 3, "png").when(k % 2 == 0, "html").otherwise("dat").alias("suffix"), wide.alias("content"))
+    files = bodies.write_files(rows, path, "page_id", "suffix", "content")
+    found = bodies.imported(bodies.read_folder(files.sparkSession, path, most=2_000_000))
+    name = F.regexp_extract("path", r"(\d+)\.[a-z]+$", 1).cast("long")
+    return found.select(name.alias("page_id"), "problem", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 @query("routing_counts", """SELECT CASE WHEN page_id % 4 = 1 AND NOT regexp_matches(url, '[.]html([?#]|$)') THEN 'deferred_to_media' WHEN page_id % 4 = 3 AND NOT regexp_matches(url, '[.]html([?#]|$)') THEN 'unsupported'

@@ -2,71 +2,163 @@
 
 from __future__ import annotations
 
-import gzip
+import codecs
 import re
 import zlib
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StructType
+
+from webstrata.storage import written
+
+#: Suffixes of importable files, media type of those that are no plain text.
+SUFFIXES = ("txt", "html", "htm", "shtm", "dhtm", "xhtm", "phtm", "php", "dat", "cgi")
+PLAIN = ("txt", "dat")
+#: Byte order marks with their encodings, the longer ones first.
+MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe\x00\x00", "utf-32"), (b"\x00\x00\xfe\xff", "utf-32"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+#: First bytes of what is no text, forms of RIFF files, and header sizes of bitmaps.
+NOT_TEXT = (
+    b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff", b"GIF87a", b"GIF89a", b"%PDF-", b"PK\x03\x04", b"\x1f\x8b\x08", b"OggS\x00", b"fLaC", b"\x1a\x45\xdf\xa3", b"\x7fELF", b"MZ\x90\x00",
+)
+RIFF = (b"WEBP", b"WAVE", b"AVI ")
+BITMAP_HEADERS = (12, 40, 52, 56, 64, 108, 124)
+#: Bytes that an unpacked body may have, and those that tell text from other things.
+MOST, SAMPLE = 1 << 30, 8192
+#: Largest file that Spark reads as one value.
+LARGEST = (1 << 31) - 1 - 512
+
+
+def read_folder(spark: SparkSession, path: str, most: int = LARGEST) -> DataFrame:
+    """(path, url, timestamp, size, content, problem) of the importable files below a folder, each one a row.
+
+    problem: ``too_large`` for a file of more than ``most`` bytes, which is not read; else null.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    kept = files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*SUFFIXES))
+    facts = ["path", F.col("path").alias("url"), F.date_format("modificationTime", "yyyyMMddHHmmss").alias("timestamp"), F.col("length").alias("size")]
+    read = kept.where(F.col("length") <= most).select(*facts, "content", F.lit(None).cast("string").alias("problem"))
+    return read.unionByName(kept.where(F.col("length") > most).select(*facts, F.lit(None).cast("binary").alias("content"), F.lit("too_large").alias("problem")))
 
-#: Suffixes of importable files, and first bytes of what is no text.
-SUFFIXES = ("asp", "aspx", "cfm", "css", "htm", "html", "js", "json", "php", "txt", "xhtml", "xml")
-NOT_TEXT = (b"\x89PNG", b"\xff\xd8\xff", b"GIF8", b"%PDF", b"PK\x03\x04", b"\x1f\x8b", b"RIFF", b"Rar!", b"7z\xbc\xaf", b"\x7fELF", b"MZ")
 
+def write_files(rows: DataFrame, path: str, id_col: str, suffix_col: str, content_col: str) -> DataFrame:
+    """Write each row as a file ``id.suffix`` below a folder, from the tasks; (path) of the files. A task that runs again writes the same."""
+    from pyarrow import fs
 
-def read_folder(spark: SparkSession, path: str, most: int = 32 << 20) -> DataFrame:
-    """(path, url, timestamp, size, content) of the importable files below a folder; larger ones are left out by their size."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    kept = files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*SUFFIXES) & (F.col("length") <= most))
-    return kept.select("path", F.col("path").alias("url"), F.date_format("modificationTime", "yyyyMMddHHmmss").alias("timestamp"), F.col("length").alias("size"), "content")
+    place = path if "://" in path or path.startswith("file:") else f"file://{path}"
+
+    def run(batches):
+        import pyarrow as pa
+
+        store, root = fs.FileSystem.from_uri(place)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            names = [f"{root}/{k}.{s}" for k, s in zip(*(batch.column(c).to_pylist() for c in ("id", "suffix")), strict=True)]
+            for name, content in zip(names, batch.column("content").to_pylist(), strict=True):
+                with store.open_output_stream(name) as out:
+                    out.write(content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["path"])
+
+    made = rows.select(F.col(id_col).cast("string").alias("id"), F.col(suffix_col).alias("suffix"), F.col(content_col).alias("content"))
+    return written(made.mapInArrow(run, "path string"), "files")
+
+
+def imported(files: DataFrame) -> DataFrame:
+    """(path, url, timestamp, size, sha256, text, problem): the files of a folder as documents; those that are no text are left out."""
+    mime = F.when(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*PLAIN), "text/plain").otherwise("text/html")
+    found = files.withColumn("mimetype", mime).where(F.col("problem").isNotNull() | is_text(F.col("content"), F.col("mimetype")))
+    body = found.withColumn("body", decode_body("content", "mimetype"))
+    return body.select("path", "url", "timestamp", "size", F.sha2("content", 256).alias("sha256"), F.col("body.text").alias("text"), F.coalesce("problem", "body.problem").alias("problem"))
 
 
 def decoded(data: bytes | None, content_type: str | None = "") -> str | None:
-    """Text of a body: byte order mark, declared charset, UTF-8, then Windows-1252."""
+    """Text of a body: byte order mark, declared charset, UTF-8, then Windows-1252 or Latin-1.
+
+    In HTML, a declared Latin-1 is read as Windows-1252. What a mark announces is read to its end, whatever is broken in it.
+    """
     if data is None:
         return None
-    for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
+    for mark, name in MARKS:
         if data.startswith(mark):
             return data.decode(name, "replace")
-    head = data[:4096].decode("latin-1")
-    declared = [m[1] for text in (content_type or "", head) if (m := re.search(r"""charset\s*=\s*['"]?([\w.-]+)""", text, re.I))]
-    declared += [m[1] for m in [re.search(r"""<\?xml[^>]*\bencoding\s*=\s*['"]([^'"]+)""", head, re.I)] if m]
-    for name in [*declared, "utf-8", "cp1252"]:
+    head, kind = data[:4096].decode("ascii", "ignore"), content_type or ""
+    named = [re.search(r"""charset\s*=\s*['"]?([\w.-]+)""", kind, re.I), re.search(r"""charset\s*=\s*['"]?([\w.-]+)""", head, re.I), re.search(r"""<\?xml[^>]*\bencoding\s*=\s*['"]([^'"]+)""", head, re.I)]
+    names = [m[1] for m in named if m] + ["utf-8", "cp1252"]
+    if "html" in kind.lower() or re.search("<html|<!doctype html", head[:1024], re.I):
+        names = ["cp1252" if n.lower() in ("latin-1", "iso-8859-1", "latin1") else n for n in names]
+    for name in names:
         try:
-            return data.decode("cp1252" if name.lower() in ("latin-1", "iso-8859-1", "latin1") else name)
+            return data.decode(name)
         except (LookupError, UnicodeDecodeError):
             continue
     return data.decode("latin-1")
 
 
-def opened(data: bytes | None, most: int = 64 << 20) -> bytes | None:
-    """A body without gzip, if it has that; None beyond the size."""
+def opened(data: bytes | None, most: int = MOST) -> tuple[bytes | None, str | None]:
+    """A body without gzip, if it has that, and what is wrong: ``body_too_large`` beyond so many bytes. Broken gzip stays as it is."""
     if not data or data[:2] != b"\x1f\x8b":
-        return data
+        return data, None
     try:
         out = zlib.decompressobj(31).decompress(data, most + 1)
-    except (zlib.error, gzip.BadGzipFile):
-        return data
-    return out if len(out) <= most else None
+    except zlib.error:
+        return data, None
+    return (out, None) if len(out) <= most else (None, "body_too_large")
+
 
+@F.pandas_udf(StructType().add("text", "string").add("problem", "string"))
+def decode_body(content: pd.Series, content_type: pd.Series) -> pd.DataFrame:
+    rows = []
+    for c, kind in zip(content, content_type, strict=True):
+        data, problem = opened(bytes(c) if c is not None else None)
+        rows.append((decoded(data, kind), problem))
+    return pd.DataFrame(rows, columns=["text", "problem"], dtype=object)
 
-@F.pandas_udf(StringType())
-def decode(content: pd.Series, content_type: pd.Series) -> pd.Series:
-    return pd.Series([decoded(opened(bytes(c) if c is not None else None), t) for c, t in zip(content, content_type, strict=True)], dtype=object)
 
+def decode(content: Column | str, content_type: Column | str) -> Column:
+    """The text of a body."""
+    return decode_body(content, content_type)["text"]
 
-def textual(data: bytes | None) -> bool:
-    """No signature of another format, no NUL without a byte order mark, few control characters."""
+
+def signed(data: bytes) -> bool:
+    """Whether first bytes are surely those of another format. Marks of two or three letters count with a header that fits only."""
+    number = lambda k: int.from_bytes(data[k : k + 4], "little")
+    bitmap = data[:2] == b"BM" and len(data) >= 26 and number(14) in BITMAP_HEADERS and 14 + number(14) <= number(10) <= number(2)
+    tagged = data[:3] == b"ID3" and len(data) >= 10 and data[3] <= 4 and max(data[6:10]) < 128
+    return data.startswith(NOT_TEXT) or data[:4] == b"RIFF" and data[8:12] in RIFF or data[4:8] == b"ftyp" and len(data) >= 12 or bitmap or tagged
+
+
+def textual(data: bytes | None, content_type: str | None = "") -> bool:
+    """No signature of another format or media type; what a byte order mark or charset announces can be read; no NUL else, and few
+    control characters."""
     if not data:
         return True
-    head = data[:8192]
-    if head.startswith(NOT_TEXT):
+    head, kind = data[:SAMPLE], (content_type or "").lower()
+    if signed(head) or kind.strip().startswith(("image/", "audio/", "video/", "font/")):
         return False
-    if head.startswith((b"\xff\xfe", b"\xfe\xff")):
-        return True
-    return b"\0" not in head and sum(b < 32 and b not in (9, 10, 12, 13, 27) for b in head) < 0.04 * len(head)
+    wide = re.search(r"""charset\s*=\s*['"]?(utf[-_]?(?:16|32)[\w.-]*)""", kind)
+    name = next((n for mark, n in MARKS if head.startswith(mark)), wide and wide[1])
+    if name:
+        try:  # the sample may end within a character
+            text = codecs.getincrementaldecoder(name)("strict").decode(data[: 2 * SAMPLE])[:4096]
+        except (LookupError, UnicodeError):
+            return False
+        codes = [ord(c) for c in text]
+    elif 0 in head:
+        return False
+    else:
+        codes = head
+    return sum(c < 9 or 13 < c < 32 for c in codes) < 0.04 * max(1, len(codes))
+
+
+@F.pandas_udf(BooleanType())
+def _is_text(sample: pd.Series, content_type: pd.Series) -> pd.Series:
+    return pd.Series([textual(bytes(c) if c is not None else None, t) for c, t in zip(sample, content_type, strict=True)], dtype=bool)
+
+
+def is_text(content: Column, content_type: Column) -> Column:
+    """``textual`` of a body; only its first bytes leave the row."""
+    return _is_text(F.substring(content, 1, 2 * SAMPLE), content_type)
 
 
 def domain_list(lines: DataFrame) -> DataFrame:
