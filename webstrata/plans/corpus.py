@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from webstrata.catalog import query, table
+from webstrata.catalog import ORACLES, query, table
 from webstrata.functions import text as T
 from webstrata.operators import classify as C
 from webstrata.operators import extract as X
@@ -12,7 +12,9 @@ from webstrata.operators import fulltext as FT
 from webstrata.operators import history as H
 from webstrata.operators import keyword_scan as K
 from webstrata.operators import media as M
+from webstrata.operators import postings as P
 from webstrata.operators import rule_sets as RS
+from webstrata.operators import vector_index as VI
 from webstrata.operators import vectors as V
 from webstrata.operators.tables import captures, snapshots
 from webstrata.sources import bodies
@@ -136,6 +138,22 @@ def bm25_topk(spark, sf):
     return ranked.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(100)
 
 
+_CHANGED = "CASE WHEN doc_id % 11 = 4 THEN coalesce(text, '') || ' stupid thing thing' ELSE text END"
+_AFTER = f"(SELECT doc_id, {_CHANGED} AS text FROM documents WHERE doc_id % 13 <> 6)"
+
+
+@query("postings_topk", ORACLES["bm25_topk"].replace("FROM documents)", f"FROM {_AFTER})", 1))
+def postings_topk(spark, sf):
+    """The ranking of ``bm25_topk`` from stored postings, after an eleventh of the documents was replaced and a thirteenth removed."""
+    d, path = table(spark, sf, "documents").select("doc_id", "text"), new_path(spark, "postings")
+    P.update(d, path)
+    left = d.where("doc_id % 13 <> 6")
+    changed = left.where("doc_id % 11 = 4").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" stupid thing thing")))
+    P.update(changed, path, gone=d.where("doc_id % 13 = 6").select("doc_id"))
+    found, _ = P.top(spark, path, list(_Q), 100)
+    return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @query("inverted_index", f"SELECT term, count(DISTINCT doc_id)::BIGINT AS documents, count(*)::BIGINT AS occurrences FROM (SELECT doc_id, unnest({_WORDS}) AS term FROM documents) GROUP BY term")
 def inverted_index(spark, sf):
     return FT.index(table(spark, sf, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").cast("long").alias("occurrences"))
@@ -428,6 +446,19 @@ def vector_links(spark, sf):
     return found.select("a", "b", F.round("similarity", 5).alias("similarity"))
 
 
+@query(
+    "vectors_nearest",
+    """SELECT q.vec_id AS question, v.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 5) AS similarity FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0
+    QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) <= 50""",
+)
+def vectors_nearest(spark, sf):
+    """Every fiftieth vector as a question against all, from the stored index: the same fifty as by comparing all."""
+    e, path = table(spark, sf, "embeddings"), new_path(spark, "vectors")
+    VI.build(e, path, id_col="vec_id", vector_col="embedding")
+    found, _ = VI.nearest(spark, path, e.where("vec_id % 50 = 0"), 50, id_col="vec_id", vector_col="embedding")
+    return found.select("question", "id", F.round("similarity", 5).alias("similarity"))
+
+
 @query("hybrid_search")
 def hybrid_search(spark, sf):
     """The best 50 by all evidence: candidates are all documents with a term of the query, and those near it by vector."""
