@@ -1,4 +1,4 @@
-"""Media policies and the queue of discovered media: kinds, allowed URLs, snapshots, new and richer rows, domains of texts."""
+"""Media policies and the queue of discovered media: kinds, allowed URLs, snapshots, new and richer rows."""
 
 from __future__ import annotations
 
@@ -46,17 +46,3 @@ def enqueued(queue: DataFrame, found: DataFrame, key: str, optional: list[str])
 def changed_documents(documents: DataFrame, scanned: DataFrame, id_col: str, digest: str) -> DataFrame:
     """Documents whose present digest was not scanned yet."""
     return documents.join(scanned.select(id_col, digest), [id_col, digest], "left_anti")
-
-
-def domains(rows: DataFrame, id_col: str, text: str, suffixes: DataFrame) -> DataFrame:
-    """(id, domain): host names in texts that end in a known public suffix and have a name before it.
-
-    suffixes: (suffix), a list of rules that the caller supplies; ``*.x`` stands for any name under x.
-    """
-    found = F.regexp_extract_all(F.lower(F.regexp_replace(F.col(text), r"\\u00[0-9a-f]{2}|%[0-9a-fA-F]{2}|&[a-z]+;", " ")), F.lit(r"(?<![a-z0-9@.-])((?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,24})(?![a-z0-9-])"), 1)
-    hosts = rows.select(id_col, F.explode(F.array_distinct(found)).alias("domain"))
-    parts = F.split("domain", r"\.")
-    tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    each = hosts.select(id_col, "domain", F.explode(F.concat(F.transform(tails, lambda t: F.struct(t.alias("suffix"))), F.transform(F.filter(tails, lambda t: F.contains(t, F.lit("."))), lambda t: F.struct(F.concat(F.lit("*."), F.regexp_replace(t, r"^[^.]*\.", "")).alias("suffix"))))).alias("s"))
-    known = each.select(id_col, "domain", F.col("s.suffix").alias("suffix")).join(suffixes.select("suffix"), "suffix", "left_semi")
-    return known.select(id_col, "domain").distinct()

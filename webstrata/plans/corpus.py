@@ -403,7 +403,7 @@ def extractions(spark, sf):
     "entity_extract",
     r"""SELECT DISTINCT doc_id, kind, lower(v) AS value FROM (
     SELECT doc_id, 'email' AS kind, unnest(regexp_extract_all(text, '\b([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})\b', 1)) AS v FROM documents
-    UNION ALL SELECT doc_id, 'hash', unnest(regexp_extract_all(text, '\b([A-Fa-f0-9]{64}|[A-Fa-f0-9]{40}|[A-Fa-f0-9]{32})\b', 1)) FROM documents)""",
+    UNION ALL SELECT doc_id, 'hash', unnest(regexp_extract_all(text, '\b([A-Fa-f0-9]{32}|[A-Fa-f0-9]{40}|[A-Fa-f0-9]{64})\b', 1)) FROM documents)""",
 )
 def entity_extract(spark, sf):
     return X.entities(table(spark, sf, "documents"), "doc_id", "text", {k: X.ENTITIES[k] for k in ("email", "hash")})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from webstrata.catalog import query, table
 from webstrata.operators import media as M
 from webstrata.operators import reviews as V
+from webstrata.operators import suffixes as SX
 from webstrata.operators import windows as W
 from webstrata.operators.tables import REVIEW_STATES
 
@@ -149,11 +150,12 @@ def queue_enriched(spark, sf):
 
 @query(
     "domains_in_texts",
-    r"""SELECT DISTINCT page_id, d AS domain FROM (SELECT page_id, regexp_extract(lower(url), '//([^/?#:]+)', 1) AS d FROM pages UNION ALL SELECT page_id, 'shop' || (page_id % 7) || '.co.ck' FROM pages) WHERE d NOT LIKE '%.invalid'""",
+    r"""SELECT DISTINCT page_id, d AS domain FROM (SELECT page_id, regexp_extract(lower(url), '//([^/?#:]+)', 1) AS d FROM pages UNION ALL SELECT page_id, 'shop' || (page_id % 7) || '.co.ck' FROM pages
+    UNION ALL SELECT page_id, 'mail.example.com' FROM pages UNION ALL SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'www.ck' ELSE 'cdn.example.net' END FROM pages) WHERE d NOT LIKE '%.invalid'""",
 )
 def domains_in_texts(spark, sf):
-    """Sentences that name hosts; a bare suffix, an address and an unknown suffix are none."""
-    rules = spark.createDataFrame([("com",), ("net",), ("org",), ("*.ck",)], "suffix string")
-    host = F.regexp_extract("url", r"//([^/?#:]+)", 1)
-    text = F.concat(F.lit("See "), host, F.lit(", or shop"), (F.col("page_id") % 7).cast("string"), F.lit(".co.ck; not co.ck, me@mail.example.com or a.invalid."))
-    return M.domains(table(spark, sf, "pages").select("page_id", text.alias("text")), "page_id", "text", rules)
+    """Pages as they are, their hosts in the footer, and a sentence of names: of a wildcard and its exception, escaped, in an address; suffixes alone are none."""
+    rules = spark.createDataFrame([("com",), ("net",), ("org",), ("*.ck",), ("!www.ck",)], "suffix string")
+    other = F.when(F.col("page_id") % 2 == 0, "www.ck").otherwise(r"https:\/\/user:pw@cdn%2Eexample.net:80\/x")
+    text = F.concat(F.col("html"), F.lit(" See shop"), (F.col("page_id") % 7).cast("string"), F.lit(".co.ck; not co.ck, me@mail.example.com, a.invalid or "), other)
+    return SX.domains(table(spark, sf, "pages").select("page_id", text.alias("text")), "page_id", "text", rules)
