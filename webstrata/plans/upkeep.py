@@ -151,7 +151,7 @@ def queue_enriched(spark, sf):
 @query(
     "domains_in_texts",
     r"""SELECT DISTINCT page_id, d AS domain FROM (SELECT page_id, regexp_extract(lower(url), '//([^/?#:]+)', 1) AS d FROM pages UNION ALL SELECT page_id, 'shop' || (page_id % 7) || '.co.ck' FROM pages
-    UNION ALL SELECT page_id, 'mail.example.com' FROM pages UNION ALL SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'www.ck' ELSE 'cdn.example.net' END FROM pages) WHERE d NOT LIKE '%.invalid'""",
+    UNION ALL SELECT page_id, 'mail.example.com' FROM pages UNION ALL SELECT page_id, unnest(regexp_extract_all(html, '@([a-z0-9.-]+\.(?:com|net|org))', 1)) FROM pages UNION ALL SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'www.ck' ELSE 'cdn.example.net' END FROM pages) WHERE d NOT LIKE '%.invalid'""",
 )
 def domains_in_texts(spark, sf):
     """Pages as they are, their hosts in the footer, and a sentence of names: of a wildcard and its exception, escaped, in an address; suffixes alone are none."""
