@@ -2,8 +2,8 @@
 
 Each text has two histograms: of character classes within words (lower case a-z, upper case A-Z, digits, punctuation,
 symbols, other characters) and, for each language, of that language's common words and all others. The common words of a
-language are learned: of its short words (``SHORT`` characters at most, in lower case) that stand in at least
-``COMMON_SHARE`` of its texts, the ``COMMON_WORDS`` that stand in most of them. The reference of a language is the sum of the histograms of all its texts that
+language are learned: of all its words, in lower case, that stand in at least ``COMMON_SHARE`` of its texts, the ``COMMON_WORDS``
+that stand in most of them. The reference of a language is the sum of the histograms of all its texts that
 pass the base rules, and then, once more, of those that also are within the limits of the first references.
 
 A text is compared with the references by Jensen-Shannon distance (base 2, the square root, 0 to 1). One language is taken
@@ -35,7 +35,7 @@ MAX_REPEAT_PERCENT = 30
 MIN_CHARS, MIN_WORDS = 200, 50
 #: Limits: the first number plus the second over the root of the histogram's size.
 CLASS_LIMIT, WORD_LIMIT = (0.12, 1.0), (0.12, 2.0)
-COMMON_SHARE, COMMON_WORDS, SHORT = 0.2, 16, 5
+COMMON_SHARE, COMMON_WORDS = 0.2, 16
 BLOCK_LANGS = 32
 CLASSES = 6
 
@@ -56,7 +56,7 @@ def _words(text: Column) -> Column:
 def common_words(docs: DataFrame, *, text_col="text", lang_col="lang") -> dict[str, list[str]]:
     """Common words by language, those in most texts first; at most COMMON_WORDS for each language."""
     words = _words(F.lower(F.coalesce(F.col(text_col), F.lit(""))))
-    own = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.array_distinct(F.filter(words, lambda w: F.length(w) <= SHORT)).alias("words"))
+    own = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.array_distinct(words).alias("words"))
     seen = own.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     # no more than their mean length over COMMON_SHARE words are frequent
     texts = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("texts"))
