@@ -575,6 +575,19 @@ def test_near_duplicates_odd_rows(spark):
     got = bm.near_duplicates(odd_documents(spark))
     assert got.count() == len(ODD) and got.columns == ["doc_id", "class_id", "class_size", "kept"]
     assert bm.near_duplicates(empty(spark)).count() == 0
+    rows = [(None, "a b c d e f"), (1, "a b c d e f"), (None, None), (2, "a b c d e f")]
+    got = [tuple(r) for r in bm.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == [(1, 1, 2, True), (2, 1, 2, False), (None, None, 1, True), (None, None, 1, True)]
+
+
+def test_overlap_of_any_threshold(spark):
+    a, b = np.arange(45, dtype=np.uint64), np.arange(1000, 1100, dtype=np.uint64)
+    assert bm.overlap(a, b) == 0 and bm.overlap(a, np.arange(100, dtype=np.uint64)) == 0.45 and bm.overlap(a, np.arange(100, dtype=np.uint64), 0.5) == 0
+    rng = random.Random(11)
+    base = [[f"w{rng.randint(0, 10**6)}" for _ in range(200)] for _ in range(6)]
+    docs = [(k, " ".join(base[k % 6][: 200 - 8 * (k // 6)])) for k in range(30)] + [(100, " ".join(base[0][:90])), (101, " ".join(base[1] + base[2] * 2))]
+    got = {r.doc_id: r.class_id for r in bm.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), threshold=0.45).collect()}
+    assert all(got[k] == k % 6 for k in range(30)) and got[100] == 0 and got[101] == 101
 
 
 def test_pairs_come_up_in_their_first_common_bucket():

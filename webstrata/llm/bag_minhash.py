@@ -16,7 +16,7 @@ the overlap of the two multisets, at least ``THRESHOLD``. Components get the sma
 
 Words are runs of letters, digits and non-ASCII characters, in lower case; a shingle has five words, a shorter text one
 shingle of all its words. Texts without words (null, empty) are each a class of their own. Repeated ids count as one document
-with several texts, whose classes are joined; rows with a null id are left out. Ids may be of any type that has an order. Of
+with several texts, whose classes are joined; each row with a null id is a class of its own, with a null class id, and kept. Ids may be of any type that has an order. Of
 texts that could be central equally well, that with the smallest id is.
 """
 
@@ -171,12 +171,10 @@ def multiset(h: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.sort(mix(n ^ (nth.astype(np.uint64) * _U(0xA0761D6478BD642F))))
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two multisets given as above."""
-    if not len(a) or not len(b):
+def overlap(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
+    """Weighted Jaccard similarity of two multisets given as above; 0 where their sizes alone rule out ``least``."""
+    if not len(a) or not len(b) or min(len(a), len(b)) < least * max(len(a), len(b)):
         return 0.0
-    if min(len(a), len(b)) < 0.5 * max(len(a), len(b)):
-        return min(len(a), len(b)) / max(len(a), len(b))  # an upper bound, far below any threshold in use
     both = np.concatenate([a, b])
     both.sort()
     same = int(np.count_nonzero(both[1:] == both[:-1]))
@@ -229,7 +227,7 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             left, right = (batch.column(c).to_pylist() for c in ("set_a", "set_b"))
-            good = [overlap(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) >= threshold for x, y in zip(left, right, strict=True)]
+            good = [overlap(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), threshold) >= threshold for x, y in zip(left, right, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(run, f"a {kind}, b {kind}")
@@ -345,7 +343,7 @@ def residual_links(members: DataFrame, sets: DataFrame, threshold: float, estima
             for q, r, agree in _live_pairs(rows, estimate):
                 for k in np.argsort(-agree, kind="stable").tolist():
                     x, y = root(label[q[k]]), root(label[r[k]])
-                    if x != y and overlap(np.frombuffer(packed[int(q[k])].as_py(), "<u8"), np.frombuffer(packed[int(r[k])].as_py(), "<u8")) >= threshold:
+                    if x != y and overlap(np.frombuffer(packed[int(q[k])].as_py(), "<u8"), np.frombuffer(packed[int(r[k])].as_py(), "<u8"), threshold) >= threshold:
                         parent[max(x, y)] = min(x, y)
                         a.append(ids[q[k]])
                         b.append(ids[r[k]])
@@ -358,6 +356,7 @@ def residual_links(members: DataFrame, sets: DataFrame, threshold: float, estima
 def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document id: the id, ``class_id`` (smallest id of its class), ``class_size`` and ``kept`` (the class's own id)."""
     estimate = threshold - 3.5 * (threshold * (1 - threshold) / COMPONENTS) ** 0.5
+    unnamed = docs.where(F.col(id_col).isNull()).select(F.col(id_col))
     docs = docs.where(F.col(id_col).isNotNull())
     signed = written(sign(docs, id_col=id_col, text_col=text_col), name="signed")
     # one text for each multiset
@@ -400,7 +399,8 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", thresh
     size = written(joined.groupBy("label").agg(F.count("*").alias("class_size")), name="sizes")
     total = size.agg(F.sum("class_size")).first()[0] or 0
     out = join_counts(joined, size, "label", "class_size", total)
-    return out.select(F.col("id").alias(id_col), F.col("label").alias("class_id"), "class_size", (F.col("id") == F.col("label")).alias("kept"))
+    out = out.select(F.col("id").alias(id_col), F.col("label").alias("class_id"), "class_size", (F.col("id") == F.col("label")).alias("kept"))
+    return out.unionByName(unnamed.select(id_col, F.col(id_col).alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept")))
 
 
 def op9_bag_minhash(spark, sf_dir: str) -> DataFrame:
