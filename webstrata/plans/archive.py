@@ -13,8 +13,10 @@ from webstrata.operators import reports as R
 from webstrata.operators import retries as RT
 from webstrata.operators import saved_scan as SC
 from webstrata.operators import shaping as S
+from webstrata.operators import table_merge as TM
 from webstrata.operators.extract import raw_links
 from webstrata.plans import corpus as Q
+from webstrata.storage import new_path
 
 _SHELLS = {
     5: ("<html><head><title>Wayback Machine</title></head><body>Sorry. The Wayback Machine has not archived that URL.</body></html>", "missing_capture"),
@@ -383,3 +385,38 @@ def near_groups_by_method(spark, sf):
     """Groups of near and of exact copies, and how many documents are in them."""
     g = H.near_groups(H.fingerprints(table(spark, sf, "documents"), "doc_id", "text"))
     return g.groupBy("group_method").agg(F.count_distinct("group").alias("groups"), F.count("*").alias("documents"))
+
+
+#: Six tables of a collection, with their keys.
+COLLECTION = [
+    TM.Table("notes", ("match_id", "text"), refs={"match_id": "matches"}), TM.Table("matches", ("run_id", "document_id"), "match_id", {"run_id": "runs", "document_id": "documents"}),
+    TM.Table("documents", ("capture_id",), "document_id", {"capture_id": "captures"}, "digest"), TM.Table("captures", ("url", "timestamp"), "capture_id", {"target_id": "targets"}),
+    TM.Table("runs", ("name",), "run_id"), TM.Table("targets", ("pattern",), "target_id"),
+]
+
+
+def _collection(d, scale: int, shift: int, note):
+    """Documents as a collection whose numbers are those of the documents, scaled and shifted."""
+    k = F.col("doc_id") * scale + shift
+    first = lambda c, name, number: d.groupBy(F.col(c).alias(name)).agg((F.min("doc_id") * scale + shift).alias(number))
+    targets, runs = first("lang", "pattern", "target_id"), first("source", "name", "run_id")
+    numbered = d.join(targets.withColumnRenamed("pattern", "lang"), "lang").join(runs.withColumnRenamed("name", "source"), "source")
+    return {
+        "targets": targets, "runs": runs, "captures": numbered.select(k.alias("capture_id"), F.concat(F.lit("http://d.example/"), F.col("doc_id").cast("string")).alias("url"), F.lit("20010101000000").alias("timestamp"), "target_id"),
+        "documents": numbered.select(k.alias("document_id"), k.alias("capture_id"), F.sha2(F.col("text").cast("binary"), 256).alias("digest")),
+        "matches": numbered.select(k.alias("match_id"), "run_id", k.alias("document_id"), F.col("n_chars").alias("score")), "notes": numbered.select(k.alias("match_id"), note.alias("text")),
+    }
+
+
+@query(
+    "collections_merged",
+    """SELECT lang AS pattern, 'http://d.example/' || doc_id AS url, source AS run, n_chars AS score, 'own' AS note FROM documents WHERE doc_id % 3 <> 0
+    UNION SELECT lang, 'http://d.example/' || doc_id, source, n_chars, CASE WHEN doc_id % 4 = 0 THEN 'own' ELSE 'theirs' END FROM documents WHERE doc_id % 2 = 0""",
+)
+def collections_merged(spark, sf):
+    """Two collections of six tables with other numbers, merged twice, and read along all their foreign keys."""
+    d, path = table(spark, sf, "documents"), new_path(spark, "collections")
+    own, other = _collection(d.where("doc_id % 3 <> 0"), 1, 0, F.lit("own")), _collection(d.where("doc_id % 2 = 0"), 10, 7, F.when(F.col("doc_id") % 4 == 0, "own").otherwise("theirs"))
+    m = TM.merge(TM.merge(own, other, COLLECTION, path), other, COLLECTION, path)
+    rows = m["notes"].withColumnRenamed("text", "note").join(m["matches"], "match_id").join(m["documents"], "document_id").join(m["captures"], "capture_id").join(m["targets"], "target_id").join(m["runs"], "run_id")
+    return rows.select("pattern", "url", F.col("name").alias("run"), "score", "note")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from webstrata.catalog import ORACLES, query, table
+from webstrata.functions import lateral as L
 from webstrata.functions import text as T
 from webstrata.operators import classify as C
 from webstrata.operators import extract as X
@@ -501,3 +502,26 @@ def target_patterns(spark, sf):
 def domain_scope(spark, sf):
     p = table(spark, sf, "pages")
     return p.where(T.host_within(T.host_of(F.col("url")), F.lit("example.com"))).select("page_id")
+
+
+_ENTITY_SQL = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{X.ENTITIES[k].replace(chr(39), chr(39) * 2)}', 1)) AS v FROM documents" for k in ("date", "hash", "email", "url"))
+
+
+@query("entities_lateral", f"SELECT DISTINCT doc_id, kind, lower(v) AS normalized FROM ({_ENTITY_SQL})")
+def entities_lateral(spark, sf):
+    """Entities by a table function that SQL joins laterally: of four kinds here, as the patterns of the others have no SQL."""
+    L.register(spark)
+    table(spark, sf, "documents").createOrReplaceTempView("entity_documents")
+    return spark.sql("SELECT doc_id, e.kind, lower(e.normalized) AS normalized FROM entity_documents, LATERAL page_entities(text, CAST(NULL AS STRING), 'date,hash,email,url') e")
+
+
+@query("page_links_lateral", """SELECT page_id, 'image' AS kind, 'meta' AS origin, 'http://img.example/' || page_id || '.png' AS url FROM pages UNION ALL SELECT page_id, 'image', 'srcset', 'http://img.example/big/' || page_id || '.webp' FROM pages
+    UNION ALL SELECT page_id, 'video', 'flashvars', 'http://img.example/v' || page_id || '.flv' FROM pages UNION ALL SELECT page_id, 'image', 'css', 'http://img.example/bg.gif' FROM pages""")
+def page_links_lateral(spark, sf):
+    """Pages as they are, with media of four kinds in front of their articles, by a table function."""
+    L.register(spark)
+    k = F.col("page_id").cast("string")
+    parts = ['<meta property="og:image" content="/', k, '.png"><img srcset="/big/', k, '.webp 2x, data:x 1x"><embed flashvars="autostart=1&amp;file=/v', k, '.flv"><style>p{background:url(/bg.gif)}</style><article>']
+    more = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    table(spark, sf, "pages").select("page_id", F.replace("html", F.lit("<article>"), more).alias("html")).createOrReplaceTempView("media_pages")
+    return spark.sql("SELECT page_id, m.kind, m.origin, m.url FROM media_pages, LATERAL media_links(html, 'http://img.example/') m")
