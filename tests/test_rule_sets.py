@@ -87,3 +87,36 @@ def test_rule_sets_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(RS, "RULE_BYTES", 100)
     with pytest.raises(ValueError, match="cut it into several"):
         RS.scan(pages(spark), K.parse_rules(MIXED), FIELDS)
+
+
+def test_snippets_hold_every_match():
+    rules = RS.RuleSet(K.parse_rules(["needle", "Case | case", "regex: n\\d+", "straße"]))
+    body = "start " + " ".join(f"needle {'x ' * 300}" for _ in range(12)) + " Case n7"
+    got = RS.field_snippets(rules, body, body.strip().lower(), 220)
+    assert len(got) == 13 and got[0].startswith("start needle") and not got[0].startswith("…") and got[-1].endswith("Case n7") and all("…" in s for s in got)
+    assert RS.field_snippets(rules, "a needle b needle c", "a needle b needle c", 2) == ["a needle b needle c"]
+    assert RS.field_snippets(rules, "  a NEEDLE b", "a needle b", 1) == ["…NEEDLE…"] and RS.field_snippets(rules, "case", "case", 9) == []
+    assert RS.field_snippets(rules, "Straße  needle", "strasse needle", 3) == ["strasse needle"] and RS.field_snippets(rules, None, None, 3) == []
+
+
+def test_snippets_query_against_brute_force(spark):
+    from webstrata import catalog
+    from webstrata.plans import load_all
+
+    load_all()
+    got = {}
+    for r in catalog.QUERIES["match_snippets"](spark, SF).orderBy("doc_id", "position").collect():
+        got.setdefault(r.doc_id, []).append((r.field, r.snippet))
+    import re
+
+    for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        body = d.text or ""
+        hits = [m.span() for m in re.finditer(r"(?i)stupid|(?:disgust|idiot)\w*", body)] + [m.span() for m in re.finditer("License", body)]
+        shown = [s for f, s in got.get(d.doc_id, []) if f == "body"]
+        assert bool(hits) == bool(shown)
+        if body.isascii() and body == body.strip():
+            ends, n = -(10**9), 0
+            for a, b in sorted(hits):
+                n += a - 60 > ends
+                ends = max(ends, b + 60)
+            assert len(shown) == n

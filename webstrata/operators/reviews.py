@@ -40,6 +40,34 @@ def result_page(matches: DataFrame, reviews: DataFrame, documents: DataFrame, *,
     return rows.where(reduce(lambda a, b: a | b, [F.lower(F.coalesce(f, F.lit(""))).like(f"%{search.casefold()}%") for f in have])) if search and have else rows
 
 
+def result_rows(matches: DataFrame, documents: DataFrame, captures: DataFrame, reviews: DataFrame, notes: DataFrame, tags: DataFrame, *, run: object, least: int = 0, status: str = "", search: str = "", limit: int = 500, offset: int = 0) -> DataFrame:
+    """One page of a run's results with review, first note and tags, by score, then time, address and number of the match.
+
+    matches (match_id, run_id, document_id, score), documents (document_id, capture_id, title, body), captures (capture_id, url, timestamp),
+    reviews (match_id, status), notes (note_id, match_id, text), tags (match_id, tag). ``search`` is looked for, whatever the case,
+    in address, title and body, with percent and underscore as wild cards. The limit is the feature.
+    """
+    rows = matches.where(F.col("run_id").eqNullSafe(F.lit(run)) & (F.col("score") >= least)).join(reviews.select("match_id", "status"), "match_id", "left")
+    rows = rows.withColumn("review_status", F.coalesce("status", F.lit("unreviewed"))).drop("status")
+    rows = rows.where(F.col("review_status") == status) if status else rows
+    rows = rows.join(documents, "document_id").join(captures, "capture_id")
+    if search.strip():
+        rows = rows.where(reduce(lambda a, b: a | b, [F.coalesce(F.lower(c).like(f"%{search.casefold()}%"), F.lit(False)) for c in ("url", "title", "body")]))
+    page = rows.select("match_id", "score", "review_status", "title", "url", "timestamp").orderBy(F.desc("score"), "timestamp", "url", "match_id").offset(offset).limit(limit)
+    first = notes.groupBy("match_id").agg(F.min_by("text", "note_id").alias("note"))
+    joined = tags.groupBy("match_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), ", ").alias("tags"))  # a match's own tags
+    return page.join(first, "match_id", "left").join(joined, "match_id", "left").na.fill("", ["note", "tags"])
+
+
+def coverage(documents: DataFrame, matches: DataFrame, errors: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run_id, documents, scanned, open_errors, complete): a run is complete if every document has a match row and no scan error is open."""
+    total = documents.select("document_id").distinct().count()
+    known = matches.join(documents.select("document_id").distinct(), "document_id", "left_semi").groupBy("run_id").agg(F.count_distinct("document_id").alias("scanned"))
+    open_ = errors.where((F.col("operation") == "scan") & ~F.col("resolved") & ~F.col("ignored")).groupBy("run_id").agg(F.count("*").alias("open_errors"))
+    rows = runs.select("run_id").distinct().join(known, "run_id", "left").join(open_, "run_id", "left").na.fill(0, ["scanned", "open_errors"])
+    return rows.select("run_id", F.lit(total).cast("long").alias("documents"), "scanned", "open_errors", ((F.col("scanned") == total) & (F.col("open_errors") == 0)).alias("complete"))
+
+
 def resolved(errors: DataFrame, condition: Column, flag: str = "resolved") -> DataFrame:
     """The errors with a flag set where the condition holds."""
     return errors.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)) | F.coalesce(condition, F.lit(False)))

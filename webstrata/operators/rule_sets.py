@@ -196,3 +196,51 @@ def scan(docs: DataFrame, rules: Sequence[Rule], fields: dict[str, tuple[str, st
     final = F.when(r.excluded | r.required_missing | (score <= 0), 0).otherwise(F.greatest(F.lit(1), F.bround(score)))
     extra = [r.proximity.alias("proximity")] if bonuses and sum(x.kind != "excluded" for x in held) >= 2 else []
     return rated.select(*[F.col(f"`{c}`") for c in docs.columns], r.hits.alias("hits"), r.hit_fields.alias("hit_fields"), r.excluded.alias("excluded"), r.required_missing.alias("required_missing"), *extra, final.cast("int").alias("score"))
+
+
+def _contexts(text: str, spans: list[tuple[int, int]], radius: int) -> list[str]:
+    """Stretches of the text around the spans; stretches that touch or overlap are one."""
+    joined: list[list[int]] = []
+    for a, b in sorted(spans):
+        a, b = max(0, a - radius), min(len(text), b + radius)
+        if joined and a <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], b)
+        else:
+            joined.append([a, b])
+    return [("…" if a else "") + " ".join(text[a:b].split()) + ("…" if b < len(text) else "") for a, b in joined]
+
+
+def field_snippets(rules: RuleSet, original: str | None, searched: str | None, radius: int) -> list[str]:
+    """Every match of every rule in a field with its surroundings. Matches in the searched form are shown in the original where
+    both have the same places (only the case differs); what stands in the searched form alone is shown from there."""
+    if not original or searched is None:
+        return []
+    begin = len(original) - len(original.lstrip())
+    same = original.isascii() and searched == original.strip().lower()
+    shown, plain = [], []
+    for k in rules.candidates([original, searched]):
+        rule, pattern = rules.rules[k], rules.compiled[k]
+        if not rule.case_sensitive:
+            found = [m.span() for m in pattern.finditer(searched)]
+            shown += [(a + begin, b + begin) for a, b in found] if same else []
+            plain += [] if same else found
+        if rule.case_sensitive or rule.kind == "regex":
+            shown += [m.span() for m in pattern.finditer(original)]
+    return _contexts(original, shown, radius) + _contexts(searched, plain, radius)
+
+
+def snippets(docs: DataFrame, rules: Sequence[Rule], fields: dict[str, tuple[str, str]], id_col: str, *, radius: int = 220) -> DataFrame:
+    """(id, position, field, snippet): all matches of each document in the order of ``fields``, each stretch once, none left out."""
+    names, held = list(fields), list(rules)
+    ready: list[RuleSet] = []
+
+    @F.arrow_udf("array<struct<field:string,snippet:string>>")
+    def made(*columns: pa.Array) -> pa.Array:
+        if not ready:
+            ready.append(RuleSet(held))
+        rows = zip(*(c.to_pylist() for c in columns), strict=True)
+        kind = pa.list_(pa.struct([("field", pa.string()), ("snippet", pa.string())]))
+        return pa.array([[{"field": n, "snippet": s} for n, a, b in zip(names, r[::2], r[1::2], strict=True) for s in field_snippets(ready[0], a, b, radius)] for r in rows], kind)
+
+    pairs = [F.col(f"`{c}`").cast("string") for pair in fields.values() for c in pair]
+    return docs.select(id_col, F.posexplode(made(*pairs)).alias("position", "s")).select(id_col, "position", "s.*")
