@@ -58,9 +58,9 @@ def common_words(docs: DataFrame, *, text_col="text", lang_col="lang") -> dict[s
     words = _words(F.lower(F.coalesce(F.col(text_col), F.lit(""))))
     own = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.array_distinct(words).alias("words"))
     seen = own.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    # no more than their mean length over COMMON_SHARE words are frequent
+    # no more than their mean length over COMMON_SHARE words are frequent; languages are few, each has a reference in the plan later
     texts = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("texts"))
-    often = seen.join(texts, "lang").where(F.col("n") >= F.col("texts") * COMMON_SHARE)
+    often = seen.join(F.broadcast(texts), "lang").where(F.col("n") >= F.col("texts") * COMMON_SHARE)
     rows = often.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("k") <= COMMON_WORDS).select("lang", "k", "word").collect()
     out: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.k)):
