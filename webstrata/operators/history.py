@@ -80,7 +80,11 @@ def line_counts(rows: DataFrame, url: str, order: str, text: str) -> DataFrame:
 
 
 def with_similarity(pairs: DataFrame) -> DataFrame:
-    """similarity: 1 for equal texts, else the share of matching characters; changed: under 0.999999."""
+    """similarity: 1 for equal texts, else the share of matching characters; changed: under 0.999999.
+
+    The pairs are dealt to several tasks for each core, as the work on a pair is much larger than its texts.
+    """
+    pairs = pairs.repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism)
     ratio = F.when(F.col("same"), F.lit(1.0)).otherwise(character_ratio(F.when(~F.col("same"), F.col("earlier_text")), F.when(~F.col("same"), F.col("later_text"))))
     return pairs.withColumn("similarity", ratio).withColumn("changed", F.col("similarity") < 0.999999).drop("earlier_text", "later_text")
 

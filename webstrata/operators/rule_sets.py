@@ -29,6 +29,9 @@ FEW = 48
 _FOLDED = str.maketrans({"ı": "i", "ſ": "s", "K": "k"})
 
 
+_ODD_SPACE = re.compile(r"[^\S ]|  ")
+
+
 def folded(text: str) -> str:
     return text.lower().translate(_FOLDED)
 
@@ -70,6 +73,8 @@ class RuleSet:
             (r.expression if r.case_sensitive else r.expression.lower()) if r.kind != "regex" and not r.whole_word and " " not in r.expression and r.expression.isascii() else None
             for r in self.rules
         ]
+        #: Of several words: as they stand in plain text, that is ASCII with single spaces.
+        self.phrase = [None if r.kind == "regex" or r.whole_word or r.case_sensitive or not r.expression.isascii() else " ".join(r.expression.lower().replace("_", " ").split()) for r in self.rules]
         self.by_text: dict[str, list[int]] = {}
         for k, r in enumerate(self.rules):
             self.by_text.setdefault(required_text(r), []).append(k)
@@ -93,8 +98,8 @@ class RuleSet:
                 found.update(t for t in self.by_text if t in text)
         return sorted([*self.always, *(k for t in found for k in self.by_text[t])])
 
-    def count(self, k: int, original: str | None, searched: str | None) -> int:
-        """Occurrences of a rule in a field, given in both forms."""
+    def count(self, k: int, original: str | None, searched: str | None, plain: bool = False) -> int:
+        """Occurrences of a rule in a field, given in both forms; plain: the searched form is ASCII in lower case with single spaces."""
         rule, pattern = self.rules[k], self.compiled[k]
         times = lambda text: 0 if text is None else sum(1 for _ in pattern.finditer(text))
         if rule.kind == "regex" and not rule.case_sensitive:
@@ -102,11 +107,13 @@ class RuleSet:
         text = original if rule.case_sensitive else searched
         if text is None:
             return 0
-        return text.count(self.literal[k]) if self.literal[k] else times(text)
+        literal = self.literal[k] or (self.phrase[k] if plain else None)
+        return text.count(literal) if literal else times(text)
 
     def counts(self, originals: list[str | None], searched: list[str | None]) -> dict[int, list[int]]:
         """By rule the occurrences in each field, for the rules that occur."""
-        made = {k: [self.count(k, a, b) for a, b in zip(originals, searched, strict=True)] for k in self.candidates([t for t in {*originals, *searched} if t])}
+        plain = [t is not None and t.isascii() and t == t.lower() and not _ODD_SPACE.search(t) for t in searched]
+        made = {k: [self.count(k, a, b, p) for a, b, p in zip(originals, searched, plain, strict=True)] for k in self.candidates([t for t in {*originals, *searched} if t])}
         return {k: c for k, c in made.items() if any(c)}
 
     def segments(self, text: str | None, splitter: str, of: list[int]) -> int:
