@@ -388,11 +388,12 @@ def coverage_gaps(spark, sf):
 
 @query(
     "window_split",
-    """SELECT o_orderkey, strftime(s, '%Y%m%d%H%M%S') AS start, strftime(s + INTERVAL 1 HOUR - INTERVAL 1 SECOND, '%Y%m%d%H%M%S') AS "end"
-    FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + to_hours(unnest(range(0, 2 + o_orderkey % 2))) AS s FROM orders)""",
+    """SELECT o_orderkey, strftime(s, '%Y%m%d%H%M%S') AS start, strftime(s + to_minutes(m) - INTERVAL 1 SECOND, '%Y%m%d%H%M%S') AS "end"
+    FROM (SELECT o_orderkey, m, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + to_minutes(m * unnest(range(0, (120 + 60 * (o_orderkey % 2)) // m))) AS s
+    FROM (SELECT *, CASE WHEN o_orderkey % 2 = 1 THEN 60 ELSE 15 END AS m FROM orders))""",
 )
 def window_split(spark, sf):
-    """Windows of two or three hours are cut into hours."""
+    """Windows of three hours are cut into hours; those of two hours, a second short of two hours from start to end, into quarters of an hour."""
     from webstrata.operators import windows as W
 
     o = table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").cast("timestamp").alias("d"))
