@@ -303,7 +303,7 @@ def test_bodies(spark, tmp_path):
 
     packed = gzip.compress(b"x" * 5000)
     assert bodies.opened(packed) == (b"x" * 5000, None) and bodies.opened(packed, 4999) == (None, "body_too_large") and bodies.opened(packed[:3] + b"?") == (packed[:3] + b"?", None)
-    assert bodies.decoded(b"<meta charset=iso-8859-1>\x93") == "<meta charset=iso-8859-1>“"
+    assert bodies.decoded(b"<meta charset=iso-8859-1>\x93", "text/html") == "<meta charset=iso-8859-1>“" and bodies.decoded(b"<meta charset=iso-8859-1>\x93") == "<meta charset=iso-8859-1>\x93"
     assert bodies.textual(b"hello") and bodies.textual(b"MZ is a band") and not bodies.textual(b"\x89PNG\r\n\x1a\n") and not bodies.textual(b"a\0b")
     (tmp_path / "a.html").write_text("<p>x")
     (tmp_path / "b.exe").write_text("x")
