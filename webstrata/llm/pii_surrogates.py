@@ -16,12 +16,14 @@ and within a format two entities never get the same surrogate. One entity gets t
 addresses keep their network class, IPv6 addresses their first group.
 
 What remains possible is that a surrogate equals another entity that occurs in the corpus, that two hashed names are the
-same, or that two formats meet. So the distinct entities are checked in Spark: where a surrogate is itself an entity or
-comes up twice, the later entities by hash are permuted with a further key, until none is left (mail domains keep theirs).
-After ``WIDEN_AFTER`` attempts the format counts as full: names get further syllables or letters, the local part of mail
-addresses a further letter at each attempt, the last two octets of IPv4 addresses a further digit. If entities still
-collide after ``MAX_ATTEMPTS``, the run ends with an error, as no surrogate is used unchecked. Exceptions are few; they
-are sent to all tasks when measured to be at most ``FEW``, and joined by row otherwise.
+same, or that two formats meet. So the distinct entities are checked in Spark, across all types: where a surrogate is itself
+an entity or comes up twice, the later entities by hash are permuted with a further key, until none is left (mail domains keep
+theirs). After ``WIDEN_AFTER`` attempts the format counts as full, and each further attempt makes it wider (``_widened``): names
+get syllables or letters, the local part of mail addresses and secrets a letter, phones, cards, IBANs, keys and security numbers
+a digit, IPv6 addresses digits, then groups, IPv4 addresses digits in the last two octets, private ones then network 10, and all
+of them a port at last. A format that grows by a factor at each attempt leaves room for any number of entities, so the rounds
+end, and no surrogate is used unchecked. Exceptions are few; they are sent to all tasks when measured to be at most ``FEW``,
+and joined by row otherwise.
 
 The caller supplies the secret key. Null texts stay null; texts without entities stay as they are; repeated rows give
 repeated rows; all columns are kept, except that with ``counts`` the columns n_entities and kinds replace any of these names.
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 from collections import Counter
 from functools import lru_cache
 from hashlib import blake2b
@@ -45,8 +48,7 @@ from webstrata.llm._common import free_name, map_slices, read, schema_of, texts_
 KEY_SETTING, DEMO_KEY = "webstrata.pii.key", b"demonstration only"
 ROUNDS = 6
 FEW = 50_000
-MAX_ATTEMPTS = 12
-#: Attempts within the format; later ones make the formats of names, mail addresses and IPv4 addresses wider.
+#: Attempts within the format; later ones make it wider.
 WIDEN_AFTER = 6
 
 #: Titles by gender.
@@ -154,6 +156,17 @@ def permute(text: str, key: bytes, tweak: str, alphabets: dict[str, tuple[int, i
     return "".join(out)
 
 
+def _letters(word: str) -> tuple[dict[str, tuple[int, int]], list[str]]:
+    """The alphabets, with one for each letter that they lack: those of its category and script among the 32 characters around it."""
+    alphabets, chars = PLACE, ALPHABETS
+    for c in word:
+        if c not in alphabets and c.isalpha():
+            like = lambda x: (unicodedata.category(x), unicodedata.name(x, "").partition(" ")[0])
+            near = "".join(x for x in map(chr, range(ord(c) & ~31, (ord(c) & ~31) + 32)) if x not in alphabets and like(x) == like(c))
+            alphabets, chars = alphabets | {x: (len(chars), k) for k, x in enumerate(near)}, [*chars, near]
+    return alphabets, chars
+
+
 _DIGITS = {c: (0, k) for k, c in enumerate("0123456789")}
 _HEXES = {c: (0, k) for k, c in enumerate(HEX)}
 _UPPER_HEXES = {c: (0, k) for k, c in enumerate(HEX.upper())}
@@ -167,11 +180,11 @@ def _check_digit(digits: str) -> int:
     return -total % 10
 
 
-def _card(value: str, key: bytes) -> str:
+def _card(value: str, key: bytes, more: int) -> str:
     digits = re.sub(r"\D", "", value)
-    body = digits[0] + permute(digits[1:-1], key, "card", _DIGITS, ["0123456789"])
+    body = digits[0] + permute(digits[1:-1] + "0" * more, key, "card", _DIGITS, ["0123456789"])
     made = iter(body + str((_check_digit(body) + int(digits[-1]) - _check_digit(digits[:-1])) % 10))
-    return "".join(next(made) if c.isdigit() else c for c in value)
+    return "".join(next(made) if c.isdigit() else c for c in value) + "".join(made)
 
 
 def _network(octets: list[int]) -> int:
@@ -201,17 +214,17 @@ def _address(value: str, key: bytes) -> str:
             return ".".join(map(str, octets))
 
 
-def _iban(value: str, key: bytes) -> str:
+def _iban(value: str, key: bytes, more: int) -> str:
     """Country and format stay; check digits hold if they did, and are off by as much if they did not."""
     plain = value.replace(" ", "")
 
     def check(body: str) -> int:
         return 98 - int("".join(str(int(c, 36)) for c in body + plain[:2] + "00")) % 97
 
-    made = permute(plain[4:], key, "iban", _CODES, _CODE_CHARS)
+    made = permute(plain[4:] + "0" * more, key, "iban", _CODES, _CODE_CHARS)
     digits = (check(made) + int(plain[2:4]) - check(plain[4:]) - 2) % 97 + 2
     rest = iter(f"{plain[:2]}{digits:02}{made}")
-    return "".join(c if c == " " else next(rest) for c in value)
+    return "".join(c if c == " " else next(rest) for c in value) + "".join(rest)
 
 
 def _ipv6(value: str, key: bytes) -> str:
@@ -233,7 +246,7 @@ def default_gender(given: str) -> str:
 def _word(word: str, kind: str, gender: str, key: bytes, syllables: int) -> str:
     """One word of a name."""
     if not word.isascii():  # other scripts and accents keep their letters' classes
-        return permute(word, key, kind)
+        return permute(word, key, kind, *_letters(word))
     number = int.from_bytes(blake2b(f"{kind} {gender} {word.lower()}".encode(), key=key, digest_size=32).digest(), "little")
     out = ""
     for _ in range(syllables):
@@ -250,29 +263,39 @@ def _name(value: str, kind: str, gender: str, key: bytes, attempt: int) -> str:
 
 
 def _widened(kind: str, value: str, by: int) -> str:
+    """The value in a format with more room, the more the larger ``by``; names, cards and IBANs grow where they are made."""
     if kind == "email":
         return value.replace("@", "a" * by + "@", 1)
     if kind == "ipv4":
         octets = value.split(".")
+        if by > 3 and _network([int(x) for x in octets]) == 1:
+            octets = ["10", "100", *octets[2:]]
         return ".".join([*octets[:2], *(x.rjust(min(3, len(x) + by), "1") for x in octets[2:])])
-    return value
+    if kind == "ipv6":
+        head, colon, rest = value.partition(":")
+        return head + colon + ":".join(g.rjust(min(4, len(g) + by), "0") if g else g for g in rest.split(":")) + ":0000" * (by - 3)
+    if kind in ("phone", "ssn", "access_key"):
+        return value + "0" * by
+    return value + "b" * by if kind == "secret" else value
 
 
 @lru_cache(maxsize=5_000)
 def surrogate(kind: str, value: str, gender: str = "", key: bytes = DEMO_KEY, attempt: int = 0) -> str:
     """The replacement for one entity."""
     first = blake2b(key + kind.encode() + bytes([0]), digest_size=32).digest()
-    key = blake2b(key + kind.encode() + bytes([attempt]), digest_size=32).digest()
-    if attempt > WIDEN_AFTER:
-        value = _widened(kind, value, attempt - WIDEN_AFTER)
+    key = blake2b(key + kind.encode() + attempt.to_bytes(max(1, (attempt.bit_length() + 7) // 8), "big"), digest_size=32).digest()
+    more, whole = max(0, attempt - WIDEN_AFTER), value
+    if more:
+        value = _widened(kind, value, more)
     if kind == "email":  # the domain is the same at every attempt
         local, _, domain = value.partition("@")
         host, _, top = domain.rpartition(".")
         return f"{permute(local, key, 'local')}@{permute(host, first, 'host')}.{top}"
     if kind == "card":
-        return _card(value, key)
+        return _card(value, key, more)
     if kind == "ipv4":
-        return _address(value, key)
+        port = permute("0" * (more - 5), key, f"port {whole}", _DIGITS, ["0123456789"])
+        return _address(value, key) + (f":{port}" if port else "")
     if kind == "ipv6":
         return _ipv6(value, key)
     if kind in ("given", "surname"):
@@ -284,7 +307,7 @@ def surrogate(kind: str, value: str, gender: str = "", key: bytes = DEMO_KEY, at
     if kind == "access_key":
         return value[:4] + permute(value[4:], key, "key", _CODES, _CODE_CHARS)
     if kind == "iban":
-        return _iban(value, key)
+        return _iban(value, key, more)
     if kind == "secret" and set(value) <= set(HEX):
         return permute(value, key, "hex", _HEXES, [HEX])
     return permute(value, key, kind)
@@ -322,17 +345,15 @@ def exceptions(entities: DataFrame, key: bytes) -> DataFrame:
 
         return rows.mapInArrow(run, "kind string, value string, gender string, attempt int, made string")
 
-    values = distinct.select(F.col("kind").alias("k"), F.col("value").alias("v"))
-    for done in range(MAX_ATTEMPTS + 1):
+    values = distinct.select(F.col("value").alias("v"))
+    while True:  # formats grow at each further attempt, so the rounds end
         now = written(made(own), name="surrogates")
-        taken = now.join(values, (now.kind == values.k) & (now.made == values.v), "left_semi")
-        keep = now.groupBy("kind", "made").agg(F.min(F.struct("attempt", F.xxhash64("value").alias("h"), "value")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        twice = now.join(keep, ["kind", "made"]).where(F.col("value") != F.col("first.value")).select(now.columns)
+        taken = now.join(values, now.made == values.v, "left_semi")
+        keep = now.groupBy("made").agg(F.min(F.struct("attempt", F.xxhash64("value").alias("h"), "kind", "value")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        twice = now.join(keep, "made").where("kind <> first.kind or value <> first.value").select(now.columns)
         bad = written(taken.unionByName(twice).select("kind", "value").distinct().withColumn("again", F.lit(1)), name="collisions")
         if bad.isEmpty():
             break
-        if done == MAX_ATTEMPTS:
-            raise ValueError(f"{bad.count()} entities still have colliding surrogates after {MAX_ATTEMPTS} further keys")
         own = written(own.join(bad, ["kind", "value"], "left").select("kind", "value", "gender", (F.col("attempt") + F.coalesce("again", F.lit(0))).cast("int").alias("attempt")), name="attempts")
     return own.where((F.col("attempt") > 0) | ((F.col("gender") != "") & (F.col("gender") != default_gender_of("value"))))
 
