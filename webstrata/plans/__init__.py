@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("relational", "corpus", "collection", "upkeep", "archive", "acquisition", "analysis", "review")
+MODULES: tuple[str, ...] = ("relational", "corpus", "collection", "upkeep", "archive", "acquisition", "analysis", "review", "ledger")
 
 
 def load_all() -> None:
