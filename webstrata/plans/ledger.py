@@ -156,13 +156,13 @@ _QUESTION = "Find the specific pages about a stupid thing, 1999 THING"
 
 @query(
     "candidates_selected",
-    Q._SCORED + """, w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM documents), cc AS (SELECT doc_id, len(words) AS l, len(list_filter(words, lambda x: x = 'stupid')) AS t0, len(list_filter(words, lambda x: x = 'thing')) AS t1 FROM w),
+    Q._SCORED + """, ww AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM documents), cc AS (SELECT doc_id, len(words) AS l, len(list_filter(words, lambda x: x = 'stupid')) AS t0, len(list_filter(words, lambda x: x = 'thing')) AS t1 FROM ww),
     st AS (SELECT count(*)::DOUBLE AS n, avg(l) AS m, count(*) FILTER (WHERE t0 > 0)::DOUBLE AS d0, count(*) FILTER (WHERE t1 > 0)::DOUBLE AS d1 FROM cc),
-    b AS (SELECT doc_id, round(ln((n - d0 + 0.5) / (d0 + 0.5) + 1) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * l / m)) + ln((n - d1 + 0.5) / (d1 + 0.5) + 1) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * l / m)), 6) AS r FROM cc, st WHERE t0 + t1 > 0),
-    f AS (SELECT doc_id, z.score::INTEGER AS score, r FROM z JOIN b USING (doc_id) WHERE z.score >= 1 ORDER BY r DESC, z.score DESC, doc_id LIMIT 15),
-    o AS (SELECT doc_id, z.score::INTEGER AS score FROM z WHERE z.score >= 5 AND doc_id NOT IN (SELECT doc_id FROM f) ORDER BY z.score DESC, doc_id LIMIT 30),
-    a AS (SELECT doc_id, score, 0 AS part, r FROM f UNION ALL SELECT doc_id, score, 1, 0 FROM o)
-    SELECT * FROM (SELECT row_number() OVER (ORDER BY part, r DESC, score DESC, doc_id)::INTEGER AS position, doc_id AS match_id, score FROM a) WHERE position <= 30""",
+    bm AS (SELECT doc_id, round(ln((n - d0 + 0.5) / (d0 + 0.5) + 1) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * l / m)) + ln((n - d1 + 0.5) / (d1 + 0.5) + 1) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * l / m)), 6) AS r FROM cc, st WHERE t0 + t1 > 0),
+    fts AS (SELECT doc_id, z.score::INTEGER AS score, r FROM z JOIN bm USING (doc_id) WHERE z.score >= 1 ORDER BY r DESC, z.score DESC, doc_id LIMIT 15),
+    oth AS (SELECT doc_id, z.score::INTEGER AS score FROM z WHERE z.score >= 5 AND doc_id NOT IN (SELECT doc_id FROM fts) ORDER BY z.score DESC, doc_id LIMIT 30),
+    al AS (SELECT doc_id, score, 0 AS part, r FROM fts UNION ALL SELECT doc_id, score, 1, 0 FROM oth)
+    SELECT * FROM (SELECT row_number() OVER (ORDER BY part, r DESC, score DESC, doc_id)::INTEGER AS position, doc_id AS match_id, score FROM al) WHERE position <= 30""",
 )
 def candidates_selected(spark, sf):
     """Half by full text for the terms of a question, then by score."""
