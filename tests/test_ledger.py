@@ -115,3 +115,7 @@ def test_lookups_routing_evidence(spark):
     routing = spark.createDataFrame([(1, "text", "e", True, "pending", 1), (2, "text", "e", True, "pending", 1), (4, "text", "e", True, "pending", 2)], "capture_id long, resource_class string, evidence string, confident boolean, routing string, revision int")
     got = {r.capture_id: (r.resource_class, r.change, r.revision) for r in L.routing_backfilled(captures, routing, 2).collect()}
     assert got == {1: ("video", "corrected", 2), 2: ("text", "kept", 2), 3: ("text", "added", 2), 4: ("text", "kept", 2)}
+    cols = "content_hash string, bytes_saved long, content_type string, final_url string, http_status int"
+    before = spark.createDataFrame([(1, "pending", None, None, None, None, None), (2, "error", "h", 1, "t", "u", 404)], f"capture_id long, state string, {cols}")
+    results = spark.createDataFrame([(2, 1, True, "h2", 20, "t2", "u2", None), (1, 1, False, "h1", 10, "t1", "u1", 200)], f"sequence long, capture_id long, deferred boolean, {cols}")
+    assert {tuple(r) for r in L.evidence_saved(before, results).collect()} == {(1, "downloaded_unscanned", "h2", 20, "t2", "u2", None), (2, "error", "h", 1, "t", "u", 404)}
