@@ -337,3 +337,15 @@ def test_reports(spark, tmp_path):
     R.atomic_text(str(tmp_path / "s.json"), R.summary({"n": rows.agg(F.count("*").alias("n"))}))
     assert json.loads((tmp_path / "s.json").read_text()) == {"n": {"n": 2}}
     assert R.pack(str(tmp_path / "r"), str(tmp_path / "r.zip")).endswith("zip")
+
+
+def test_vector_links_leave_near_vectors_apart(spark, tmp_path):
+    rng = random.Random(5)
+    base = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(4)]
+    rows = [(k, [x + rng.gauss(0, 0.02) for x in base[k % 4]]) for k in range(40)] + [(40, base[0]), (41, base[0])]  # near ones, and one twice
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    e.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in catalog.QUERIES["vector_links"](spark, str(tmp_path)).collect())
+    assert got == [(k, k + 10_000_000, 1.0) for k in range(42)]
+    near = V.links_by_bands(e, "vec_id", "embedding", 64, 0.8)
+    assert near.count() > 41  # without a condition, links between near ones are found
