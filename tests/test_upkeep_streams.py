@@ -39,6 +39,14 @@ def test_counters_equal_recount_after_every_batch(spark, tmp_path):
     assert counters.counters(spark, f"{tmp_path}/none", ["state"]).count() == 0
 
 
+def test_counters_need_no_function_by_row(spark, tmp_path):
+    rows = [(k, 1, False, "x", "y") for k in range(500)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/in")
+    kept = counters.keep_counters(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), str(tmp_path), "id", "sequence", "gone", ["state", "kind"])
+    assert [(r.state, r.kind, r.n) for r in kept.collect()] == [("x", "y", 500)]
+    assert not (tmp_path / "checkpoint" / "state").exists()  # a state by row is read and written by a call for each
+
+
 def test_repeated_batch_changes_nothing(spark, tmp_path):
     write = counters.counted_each_batch(str(tmp_path), ["k"])
     batch = lambda *rows: spark.createDataFrame(rows, "k string, delta int")
