@@ -142,3 +142,41 @@ def test_domains_of_pages_without_text_or_footer_and_of_repeated_ids(spark, tmp_
     want = sorted((r[0], r[1]) for r in con.execute(f"SELECT page_id, domain FROM ({catalog.ORACLES['domains_in_texts']})").fetchall())
     got = sorted((r.page_id, r.domain) for r in catalog.QUERIES["domains_in_texts"](spark, str(tmp_path)).collect())
     assert got == want
+
+
+def test_micro_windows_in_stretches():
+    import pyarrow as pa
+
+    rows = [(1, 0, 4, True), (1, 5, 9, True), (1, 10, 13, True), (1, 14, 17, True), (2, 18, 21, True), (2, 22, 25, False), (None, 26, 29, True), (None, 30, 33, True), (None, None, 40, False)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*zip(*rows), [1] * len(rows)], [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()], strict=True)], names=["k", "a", "b", "small", "n"])
+    got = [(r["k"], r["a"], r["b"], r["n"]) for out in W._stretches(iter([batch])) for r in out.to_pylist()]
+    assert got == [(1, 0, 4, 2), (1, 10, 13, 2), (2, 18, 21, 1), (2, 22, 25, 1), (None, 26, 29, 2), (None, None, 40, 1)]
+
+
+def test_micro_windows_that_overlap(spark):
+    """Rows in any order, with windows of other lengths between and upon them, against the plain reading in order."""
+    import random
+
+    rng, rows = random.Random(8), []
+    for k in range(6):
+        at = 978307200
+        for _ in range(rng.choice([5, 60, 1500])):
+            n = rng.choice([2, 5, 5, 5, 5])
+            rows.append((k, at, at + n - 1, rng.random() < 0.98))
+            at += n + (rng.random() < 0.01)
+        rows += [(k, 978307200 + d, 978307200 + d + 3, True) for d in rng.sample(range(7001, 9000, 2), 3)]
+    kept = rng.sample(rows[:300], 300) + rows[300:]
+    want = []
+    for key in range(6):
+        run = []
+        for _, a, b, free in [*sorted(r for r in rows if r[0] == key), (None, -1, -1, False)]:
+            if not (free and b - a <= W.TINY and run and run[-1][1] + 1 == a and b - run[0][0] <= W.JOINED):
+                want += [(key, run[0][0], run[-1][1])] if len(run) >= W.RUN else [(key, *r) for r in run]
+                run = []
+            if free and b - a <= W.TINY:
+                run.append((a, b))
+            elif b >= 0:
+                want.append((key, a, b))
+    frame = spark.createDataFrame(kept, "k int, x long, y long, free boolean").select("k", W.stamp(F.col("x")).alias("a"), W.stamp(F.col("y")).alias("b"), "free")
+    got = W.joined_micro(frame, ["k"], "a", "b", untouched=F.col("free")).select("k", W.seconds(F.col("a")), W.seconds(F.col("b")))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from webstrata.storage import written
 
@@ -102,44 +107,105 @@ def bisect_until_fit(ranges: DataFrame, events: DataFrame, keys: list[str], low:
     return _until_fit(ranges, events, keys, low, high, at, most, half, rounds, False)
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows of small windows, each where the last one ends and as long as it, as one row with their number ``n``."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        number = lambda c: batch.column(c).fill_null(0).to_numpy(zero_copy_only=False)
+        a, b, small = number("a"), number("b"), batch.column("small").to_numpy(zero_copy_only=False)
+        on = small[1:] & small[:-1] & (a[1:] == b[:-1] + 1) & (b[1:] - a[1:] == b[:-1] - a[:-1])
+        for name in set(batch.schema.names) - {"a", "b", "small", "n"}:
+            x, y = batch.column(name)[1:], batch.column(name)[:-1]
+            try:
+                same = pc.or_kleene(pc.equal(x, y), pc.and_(x.is_null(), y.is_null())).fill_null(False).to_numpy(zero_copy_only=False)
+            except pa.ArrowNotImplementedError:  # of nested types
+                same = np.array([u == v for u, v in zip(x.to_pylist(), y.to_pylist(), strict=True)], bool)
+            on = on & same
+        first = np.flatnonzero(np.concatenate([[True], ~on]))
+        n = pa.array(np.diff(np.append(first, batch.num_rows)), pa.int64())
+        taken = batch.take(pa.array(first))
+        yield pa.RecordBatch.from_arrays([n if name == "n" else taken.column(name) for name in batch.schema.names], schema=batch.schema)
+
+
 def joined_micro(ranges: DataFrame, keys: list[str], start: str, end: str, *, untouched: Column | None = None, state: list[str] = (), tiny: int = TINY, least: int = RUN, most: int = JOINED) -> DataFrame:
     """Runs of at least ``least`` adjacent windows of up to ``tiny`` seconds as windows of up to ``most`` seconds; others as they are.
 
-    untouched: whether a window has neither cursor nor page nor failure (null: not); windows join only where all of ``state`` agrees. A
-    run takes windows, in order, as long as it stays within ``most``. The rows of a key are read once in order, and at most
-    ``least`` of them are held.
+    Bounds are stamps, or seconds as numbers; those of the result are stamps. untouched: whether a window has neither cursor nor
+    page nor failure (null: not); windows join only where all of ``state`` agrees. A run takes windows, in order, as long as it stays within ``most``. Before rows are dealt by key, neighbouring ones become stretches
+    of equal windows; the stretches of a key are read once in order. Held are at most ``least`` windows and the stretches that overlap.
     """
     free = F.coalesce(untouched if untouched is not None else F.lit(True), F.lit(False))
-    rows = ranges.select(*keys, *state, seconds(F.col(start)).alias("a"), seconds(F.col(end)).alias("b"), free.alias("free"))
     names = [*keys, *state]
+    bound = lambda c: seconds(F.col(c)) if isinstance(ranges.schema[c].dataType, StringType) else F.col(c).cast("long")
+    rows = ranges.select(*names, bound(start).alias("a"), bound(end).alias("b"), free.alias("free"))
+    rows = rows.select(*names, "a", "b", F.coalesce(F.col("free") & (F.col("b") - F.col("a")).between(0, tiny), F.lit(False)).alias("small"), F.lit(1).cast("long").alias("n"))
+    never = float("inf")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []  # the run's first rows, and its last
-        count, of, out = 0, None, []
+        held: list[tuple] = []  # the run's first windows
+        count, of, begin, last, out = 0, None, 0, 0, []
+        heap: list[tuple] = []  # stretches that begin no later than what was read
+        key, order = None, 0
 
         def close() -> None:
             nonlocal held, count, of
-            out.extend([(*held[0][:-1], held[-1][-1])] if count >= least else held[:count])
+            out.extend([(*of, begin, last)] if count >= least else [(*of, a, b) for a, b in held])
             held, count, of = [], 0, None
 
+        def take(who: list, a: int, b: int, n: int) -> None:
+            """Add n windows as long as the one from a to b, one behind the other."""
+            nonlocal held, count, of, begin, last
+            step = b - a + 1
+            while n:
+                fit = (begin + most - b) // step + 1 if count and of == who and last + 1 == a else 0
+                if fit < 1:
+                    close_if_any()
+                    of, begin = who, a
+                    fit = max(1, (begin + most - b) // step + 1)
+                m = min(n, fit)
+                held += [(a + k * step, b + k * step) for k in range(min(m, least - len(held)))]
+                count, last, n = count + m, b + (m - 1) * step, n - m
+                a, b = a + m * step, b + m * step
+
+        def close_if_any() -> None:
+            if count:
+                close()
+
+        def drain(upto: tuple) -> None:
+            """Read the windows before a place, in order of begin and end."""
+            nonlocal order
+            while heap and heap[0][:2] < upto[:2]:
+                a, b, _, who, real, n, small = heappop(heap)
+                if not small:
+                    close_if_any()
+                    out.append((*who, *real))
+                    continue
+                stop = min(upto[0], heap[0][0] if heap else never)
+                m = n if stop == never else max(1, min(n, int(-((a - stop) // (b - a + 1)))))
+                take(who, a, b, m)
+                if m < n:
+                    far, order = m * (b - a + 1), order + 1
+                    heappush(heap, (a + far, b + far, order, who, (a + far, b + far), n - m, True))
+
         for part in parts:
-            columns = [part[c].astype(object).where(part[c].notna(), None).tolist() for c in [*names, "a", "b", "free"]]
-            for *who, a, b, free in zip(*columns, strict=True):
-                small = free and a is not None and b is not None and 0 <= b - a <= tiny
-                if not (small and count and of == who and held[-1][-1] + 1 == a and b - held[0][-2] <= most):
-                    close()
-                if small:
-                    held = [*held, (*who, a, b)] if count < least else [*held[:-1], (*who, a, b)]
-                    count, of = count + 1, who
-                else:
-                    out.append((*who, a, b))
+            columns = [part[c].astype(object).where(part[c].notna(), None).tolist() for c in [*names, "a", "b", "n", "small"]]
+            for *who, a, b, n, small in zip(*columns, strict=True):
+                place = (-never if a is None else int(a), -never if b is None else int(b))
+                if key != who[: len(keys)]:
+                    drain((never, never))
+                    key = who[: len(keys)]
+                drain(place)
+                order += 1
+                heappush(heap, (*place, order, who, (a, b), int(n), bool(small)))
             yield pd.DataFrame(out, columns=[*names, "a", "b"])
             out.clear()
-        close()
+        drain((never, never))
+        close_if_any()
         yield pd.DataFrame(out, columns=[*names, "a", "b"])
 
     schema = rows.select(*names, "a", "b").schema
-    found = rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "a", "b").mapInPandas(run, schema)
+    found = rows.mapInArrow(_stretches, rows.schema).repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "a", "b").mapInPandas(run, schema)
     return found.select(*names, stamp(F.col("a")).alias(start), stamp(F.col("b")).alias(end))
 
 
