@@ -349,3 +349,13 @@ def test_vector_links_leave_near_vectors_apart(spark, tmp_path):
     assert got == [(k, k + 10_000_000, 1.0) for k in range(42)]
     near = V.links_by_bands(e, "vec_id", "embedding", 64, 0.8)
     assert near.count() > 41  # without a condition, links between near ones are found
+
+
+def test_files_too_large_take_no_room(spark, tmp_path):
+    assert catalog.QUERIES["folder_imported"](spark, SF).where("problem = 'too_large'").count() > 0
+    rows = spark.createDataFrame([(1, "html", b"<p>x"), (2, "html", b"<p>y")], "id int, s string, c binary")
+    bodies.write_files(rows, str(tmp_path / "f"), "id", "s", "c", F.when(F.col("id") == 2, 3_000_000)).collect()
+    one, two = (tmp_path / "f" / f"{k}.html" for k in (1, 2))
+    assert one.read_bytes() == b"<p>x" and two.stat().st_size == 3_000_004 and two.read_bytes()[:5] == b"<p>y\0" and two.stat().st_blocks * 512 < 1_000_000
+    found = {r.size: r.problem for r in bodies.imported(bodies.read_folder(spark, str(tmp_path / "f"), most=2_000_000)).collect()}
+    assert found == {4: None, 3_000_004: "too_large"}
