@@ -120,3 +120,16 @@ def test_snippets_query_against_brute_force(spark):
                 n += a - 60 > ends
                 ends = max(ends, b + 60)
             assert len(shown) == n
+
+
+def test_many_literals_are_counted_in_one_pass(monkeypatch):
+    rules = [K.Rule(f"{k}", w) for k, w in enumerate(["a", "aa", "aba", "b c", "a_a", "b  c a", *(f"word{k}" for k in range(60))])]
+    texts = ["aaaa aba ababa b c b c a word7 word70", "B_C a aa é b c", "a_a\tb \n c a ſ K aaa", "", None]
+    whole = RS.RuleSet(rules)
+    want = []
+    for t in texts:
+        s = None if t is None else t.lower()
+        want.append({k: [n] for k in range(len(rules)) if (n := whole.count(k, t, s))})
+    assert [whole.counts([t], [None if t is None else t.lower()]) for t in texts] == want
+    monkeypatch.setattr(RS.RuleSet, "count", None)  # plain text needs no search by rule
+    assert RS.RuleSet(rules).counts([texts[0]], [texts[0]]) == want[0]

@@ -30,6 +30,7 @@ _FOLDED = str.maketrans({"ı": "i", "ſ": "s", "K": "k"})
 
 
 _ODD_SPACE = re.compile(r"[^\S ]|  ")
+_SEPARATED = re.compile(r"[\s_]+")
 
 
 def folded(text: str) -> str:
@@ -86,6 +87,14 @@ class RuleSet:
             for text in self.by_text:
                 self.machine.add_word(text, text)
             self.machine.make_automaton()
+        #: What is counted as it stands, and by one automaton for all: literals in any text, phrases in plain text.
+        self.exact = [None if r.kind == "regex" or r.case_sensitive else a or b for r, a, b in zip(self.rules, self.literal, self.phrase, strict=True)]
+        self.counter = None
+        if self.machine and any(self.exact):
+            self.counter = ahocorasick.Automaton()
+            for text in {t for t in self.exact if t}:
+                self.counter.add_word(text, text)
+            self.counter.make_automaton()
 
     def candidates(self, texts: list[str]) -> list[int]:
         """Rules that can match one of the texts, in order."""
@@ -110,11 +119,37 @@ class RuleSet:
         literal = self.literal[k] or (self.phrase[k] if plain else None)
         return text.count(literal) if literal else times(text)
 
+    def occurrences(self, text: str | None) -> dict[str, int]:
+        """How often each of ``exact`` is in a text, without overlap from the left, as ``str.count`` has it; in one pass."""
+        n: dict[str, int] = {}
+        last: dict[str, int] = {}
+        for end, found in self.counter.iter(text or ""):
+            if found not in last or end - last[found] >= len(found):
+                last[found] = end
+                n[found] = n.get(found, 0) + 1
+        return n
+
     def counts(self, originals: list[str | None], searched: list[str | None]) -> dict[int, list[int]]:
         """By rule the occurrences in each field, for the rules that occur."""
         plain = [t is not None and t.isascii() and t == t.lower() and not _ODD_SPACE.search(t) for t in searched]
-        made = {k: [self.count(k, a, b, p) for a, b, p in zip(originals, searched, plain, strict=True)] for k in self.candidates([t for t in {*originals, *searched} if t])}
-        return {k: c for k, c in made.items() if any(c)}
+        candidates = self.candidates([t for t in {*originals, *searched} if t])
+        if not self.counter:
+            made = {k: [self.count(k, a, b, p) for a, b, p in zip(originals, searched, plain, strict=True)] for k in candidates}
+            return {k: c for k, c in made.items() if any(c)}
+        known = [self.occurrences(t) for t in searched]
+        # a phrase can match only where it stands in the text with single spaces
+        single = [None if p or t is None else self.occurrences(_SEPARATED.sub(" ", folded(t))) for t, p in zip(searched, plain, strict=True)]
+        made = {}
+        for k in candidates:
+            exact, literal, c = self.exact[k], self.literal[k], []
+            for a, b, p, n, s in zip(originals, searched, plain, known, single, strict=True):
+                if exact and (literal or p):
+                    c.append(n.get(exact, 0))
+                else:
+                    c.append(0 if exact and s is not None and exact not in s else self.count(k, a, b, p))
+            if any(c):
+                made[k] = c
+        return made
 
     def segments(self, text: str | None, splitter: str, of: list[int]) -> int:
         """n (n - 1) for every segment with n labels of these rules, two at least."""
