@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
+from webstrata.functions.slices import sliced
 from webstrata.operators.keyword_scan import hit_list, simple_form
 
+SPANS = ArrayType(StructType().add("literal", StringType()).add("start", IntegerType()).add("end", IntegerType()))
+
 
 def phrase_list(lines: DataFrame, position: str, phrase: str) -> DataFrame:
     """(position, phrase): each phrase once by its form without case and spacing, as first spelt; blank lines and comments are left out."""
@@ -37,8 +42,8 @@ def spans(text: Column, literals: Sequence[str], *, overlapping: bool = True) ->
     """array of (literal, start, end) of the literals in a text: all of them, or from the left without overlaps, shorter ones first."""
     wanted = [x for x in dict.fromkeys(literals) if x]
 
-    @F.pandas_udf("array<struct<literal:string,start:int,end:int>>")
-    def find(texts: pd.Series) -> pd.Series:
+    @sliced(SPANS)
+    def find(texts: list) -> pa.Array:
         import ahocorasick
 
         machine = ahocorasick.Automaton()
@@ -46,19 +51,20 @@ def spans(text: Column, literals: Sequence[str], *, overlapping: bool = True) ->
             machine.add_word(literal, literal)
         if wanted:
             machine.make_automaton()
-        out = []
+        ends, starts, lasts, own = [0], [], [], []
         for value in texts:
-            found = [{"literal": x, "start": last + 1 - len(x), "end": last + 1} for last, x in (machine.iter(value) if value and wanted else ())]
-            found.sort(key=lambda s: (s["start"], s["end"]))
-            if not overlapping:
-                free, kept = 0, []
-                for s in found:
-                    if s["start"] >= free:
-                        free = s["end"]
-                        kept.append(s)
-                found = kept
-            out.append(found)
-        return pd.Series(out, dtype=object)
+            found = sorted([(last + 1 - len(x), last + 1, x) for last, x in (machine.iter(value) if value and wanted else ())])
+            free = 0
+            for start, end, x in found:
+                if overlapping or start >= free:
+                    free = end
+                    starts.append(start)
+                    lasts.append(end)
+                    own.append(x)
+            ends.append(len(own))
+        kind = to_arrow_type(SPANS)
+        rows = pa.StructArray.from_arrays([pa.array(own, pa.string()), pa.array(starts, pa.int32()), pa.array(lasts, pa.int32())], fields=list(kind.value_type))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows, type=kind)
 
     return find(text)
 
