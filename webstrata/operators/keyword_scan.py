@@ -10,12 +10,13 @@ from dataclasses import asdict, dataclass
 from functools import reduce
 from itertools import combinations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, StructType
 
+from webstrata.functions.slices import sliced
 from webstrata.functions.text import clean_space, literal_count
 from webstrata.storage import once
 
@@ -161,10 +162,11 @@ def proximity(body: Column, rules: Sequence[Rule]) -> Column:
     """Pairs of labels whose nearest words are within the window, and the least distance, in an Arrow function."""
     compiled = [(r.label, re.compile(r.pattern.replace("(?iU)", "(?i)").replace("(?U)", "").replace("(?iu)", "(?i)"))) for r in rules]
 
-    @F.pandas_udf("pairs int, minimum_distance int")
-    def near(texts: pd.Series) -> pd.DataFrame:
+    @sliced(StructType().add("pairs", IntegerType()).add("minimum_distance", IntegerType()))
+    def near(texts: list) -> list:
         rows = []
-        for text in texts.fillna(""):
+        for text in texts:
+            text = text or ""
             begins = [m.start() for m in re.finditer(r"\S+", text)]
             at: dict[str, list[int]] = {}
             for label, pattern in compiled:
@@ -172,7 +174,7 @@ def proximity(body: Column, rules: Sequence[Rule]) -> Column:
             places = [sorted(set(v)) for v in at.values() if v]
             least = [_least_gap(a, b) for a, b in combinations(places, 2)]
             rows.append((sum(d <= PROXIMITY_WORDS for d in least), min(least, default=None)))
-        return pd.DataFrame(rows, columns=["pairs", "minimum_distance"]).astype({"pairs": "Int32", "minimum_distance": "Int32"})
+        return rows
 
     return near(body)
 
