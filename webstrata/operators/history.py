@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
+from webstrata.functions.slices import sliced
 from webstrata.functions.text import clean_space, hamming_similarity, normalize_search
 from webstrata.operators.similarity import ratios
 from webstrata.storage import new_path, written
@@ -123,8 +124,8 @@ def provenance(groups: DataFrame, rows: DataFrame, id_col: str, url: str, group:
     return pairs.select(F.col(f"f.{id_col}").alias("source"), F.col(id_col).alias("mirror"), F.col(f"f.{url}").alias("source_url"), F.col(url).alias("mirror_url"))
 
 
-@F.pandas_udf(LongType())
-def simhash64(text: pd.Series) -> pd.Series:
+@sliced(LongType())
+def simhash64(text: list) -> list:
     """64 signs of summed shingle hashes; shingles of four words, weight by the logarithm of their number; 0 without words."""
     import re
 
@@ -132,8 +133,8 @@ def simhash64(text: pd.Series) -> pd.Series:
 
     word = re.compile(r"[\w'-]+")
     out = []
-    for value in text.fillna(""):
-        words = word.findall(value)
+    for value in text:
+        words = word.findall(value or "")
         parts = [" ".join(words[k : k + 4]) for k in range(len(words) - 3)] if len(words) >= 4 else words
         if not parts:
             out.append(0)
@@ -143,7 +144,7 @@ def simhash64(text: pd.Series) -> pd.Series:
         weight = np.array([n.bit_length() for n in seen.values()], np.float32)  # 1 + the whole part of the logarithm
         ones = weight @ np.unpackbits(hashes, axis=1).astype(np.float32)
         out.append(int(np.packbits(2 * ones >= weight.sum()).view(">u8")[0].astype(np.uint64).view(np.int64)))
-    return pd.Series(out, dtype="int64")
+    return out
 
 
 def fingerprints(rows: DataFrame, id_col: str, text: str) -> DataFrame:

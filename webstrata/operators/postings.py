@@ -17,11 +17,11 @@ import re
 from collections import Counter
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, MapType, StringType
 
+from webstrata.functions.slices import sliced
 from webstrata.operators.fulltext import K1, B
 from webstrata.storage import complete_numbers, once, written
 
@@ -31,10 +31,10 @@ FOLDERS, FIRST_RUNS = 64, 16
 _TERM = re.compile(r"[a-z0-9]+")
 
 
-@F.pandas_udf(MapType(StringType(), IntegerType()))
-def term_counts(text: pd.Series) -> pd.Series:
+@sliced(MapType(StringType(), IntegerType()))
+def term_counts(text: list) -> list:
     """Terms (a-z and 0-9, in lower case) with their occurrences."""
-    return pd.Series([dict(Counter(_TERM.findall(t))) for t in text.fillna("")], dtype=object)
+    return [list(Counter(_TERM.findall(t or "")).items()) for t in text]
 
 
 def _manifest(spark: SparkSession, path: str) -> dict:
