@@ -65,3 +65,16 @@ def test_hashed_vectors_equal_the_sum_over_features(monkeypatch):
             d = blake2b(feature.encode(), digest_size=16).digest()
             v[int.from_bytes(d[:8], "little") % 256] += (1 if d[8] & 1 else -1) * (1 + np.log1p(n))
         assert np.allclose(got, v / (np.linalg.norm(v) or 1), atol=1e-7)
+
+
+def test_near_groups_fingerprint_each_text_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(value):
+        seen.add(1)
+        return value
+
+    prints = spark.createDataFrame([(1, "x", 5), (2, "x", 5), (3, "y", 4), (4, "z", -1)], "id long, exact_key string, value long")
+    got = history.near_groups(prints.withColumn("value", counted("value"))).orderBy("id").collect()
+    assert [(r.id, r.group, r.members) for r in got] == [(1, 1, 3), (2, 1, 3), (3, 1, 3)] and seen.value == 4

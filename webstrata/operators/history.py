@@ -191,6 +191,7 @@ def near_groups(prints: DataFrame, threshold: float = 0.9) -> DataFrame:
     group: the smallest id; links: near links of the document's fingerprint or text; group_method: exact for groups of one text,
     else near; method: exact where the text is that of the group's first document, else near; similarity: of the two fingerprints.
     """
+    prints = written(prints.select("id", "exact_key", "value"), "prints")  # read six times below: texts are fingerprinted once
     links = written(near_links(prints, threshold), "near-links")
     labels = smallest_labels(links)
     size = labels.join(prints.select("id", "exact_key"), "id").groupBy("label").agg(F.count("*").alias("members"), (F.min("exact_key") == F.max("exact_key")).alias("one"))
