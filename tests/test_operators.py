@@ -223,6 +223,12 @@ def test_ratios_are_the_matchers(monkeypatch, places):
     assert SIM.ratios(pairs) == [SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in pairs]
 
 
+def test_substrings_of_one_text_alone_get_no_rank():
+    """Unlike texts are not ranked up to the longest substrings, and like ones still are."""
+    assert max(SIM._Text(["abcdefgh" * 80, "ijklmnop" * 80]).ranks) == 4
+    assert max(SIM._Text(["abcdefgh" * 80, "abcdefgh" * 79]).ranks) == 256
+
+
 def test_similarity_query_against_the_matcher(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
