@@ -9,11 +9,15 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from webstrata import catalog
 from webstrata.functions import slices
 from webstrata.functions.text import normalize_search
-from webstrata.operators import hits, history, keyword_scan, postings, vectors
+from webstrata.operators import fulltext, hits, history, keyword_scan, postings, vectors
+from webstrata.plans import load_all
 from webstrata.sources import bodies
 
+load_all()
+
 TEXTS = ["", None, "a thing in the ether", "é" * 40, "the the thing " * 3000] + [f"word{k} in the page {k % 7}" for k in range(9000)]
 
 
@@ -67,6 +71,48 @@ def test_hashed_vectors_equal_the_sum_over_features(monkeypatch):
         assert np.allclose(got, v / (np.linalg.norm(v) or 1), atol=1e-7)
 
 
+def test_slices_without_words_and_cosines(monkeypatch):
+    """Also when a chunk ends with the last word of a slice; the cosine is that of the vectors."""
+    monkeypatch.setattr(vectors, "TOGETHER", 10)
+    texts = [None, "", "a thing with the others", "-- --", "漢字 é ß"]
+    assert not np.any(vectors.hashed_vector.func(pa.array(["", None], pa.string())).flatten().to_numpy())
+    rows = np.array(vectors.hashed_vector.func(pa.array(texts, pa.string())).to_pylist())
+    assert [bool(r.any()) for r in rows] == [False, False, True, False, True]
+
+
+def test_best_documents_by_all_evidence(spark, tmp_path):
+    """The same with a vector for each document, whether the best hold a word of the query or not."""
+    for k, texts in enumerate([["a thing with some words " + "x" * n for n in range(60)] + ["nothing", "", None, "some words"], ["stupid thing"] + ["thin gs wit"] * 70]):
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        words = ["thing", "with", "stupid"]
+        d = spark.read.parquet(f"{tmp_path}/{k}/documents.parquet")
+        rows = dict(zip(range(len(texts)), vectors.hashed_vector.func(normalize_search.func(pa.array(texts, pa.string()))).to_pylist(), strict=True))
+        asked = np.array(vectors.hashed_vector.func(pa.array([" ".join(words)])).to_pylist()[0])
+        rank = {r.doc_id: r.score for r in fulltext.bm25(d, "doc_id", "text", words).collect()}
+        want = []
+        for n, text in enumerate(texts):
+            v = np.array(rows[n])
+            sim = float(v @ asked / (np.linalg.norm(v) * np.linalg.norm(asked) or 1))
+            if n in rank or sim >= 0.1:
+                hits = sum((text or "").lower().count(w) for w in words)
+                want.append((-round(0.58 * (sim + 1) / 2 + 0.24 * rank.get(n, 0) / max(rank.values()) + 0.08 * min(1, np.log1p(hits) / np.log(101)), 6), n))
+        got = catalog.QUERIES["hybrid_search"](spark, f"{tmp_path}/{k}").collect()
+        assert [(-r.score, r.doc_id) for r in got] == [(pytest.approx(s, abs=2e-6), n) for s, n in sorted(want)[:50]]
+
+
+def test_ranking_finds_words_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(value):
+        seen.add(1)
+        return value
+
+    docs = spark.createDataFrame([(k, f"thing {k}") for k in range(5)], "id long, text string").withColumn("text", counted("text"))
+    ranked = fulltext.bm25(docs, "id", "text", ["thing", "3"])
+    assert ranked.count() == len(ranked.collect()) == 5 and seen.value == 5
+
+
 def test_near_groups_fingerprint_each_text_once(spark):
     seen = spark.sparkContext.accumulator(0)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.storage import once
+from webstrata.storage import once, written
 
 K1, B = 1.2, 0.75
 
@@ -26,7 +26,8 @@ def index(docs: DataFrame, id_col: str, text_col: str, only: list[str] | None =
 def bm25(docs: DataFrame, id_col: str, text_col: str, query: list[str], *, k1: float = K1, b: float = B, prefix: bool = False) -> DataFrame:
     """(id, score) of the documents with a term of the query; larger is better.
 
-    Only the query's terms are counted, in the documents' own rows, so nothing but scores is shuffled.
+    Only the query's terms are counted, in the documents' own rows, so nothing but scores is shuffled. The counts are written, as
+    the facts about all documents and the scores both read them: words are found once.
     """
     words = once(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), words=terms(F.col("text")))
 
@@ -34,6 +35,7 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: list[str], *, k1: f
         return F.size(F.filter("words", lambda w: F.startswith(w, F.lit(q)) if prefix else w == F.lit(q)))
 
     counted = once(words.select("id", "words"), length=F.size("words"), **{f"tf{k}": times(q) for k, q in enumerate(query)}).drop("words")
+    counted = written(counted, "term-counts")
     facts = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(query))]).first()
 
     def part(k: int) -> Column:
