@@ -12,7 +12,7 @@ from pyspark.sql.types import IntegerType
 from webstrata import catalog
 from webstrata.functions import slices
 from webstrata.functions.text import normalize_search
-from webstrata.operators import fulltext, hits, history, keyword_scan, postings, vectors
+from webstrata.operators import fulltext, hits, history, keyword_scan, postings, refresh, vectors
 from webstrata.plans import load_all
 from webstrata.sources import bodies
 
@@ -124,3 +124,15 @@ def test_near_groups_fingerprint_each_text_once(spark):
     prints = spark.createDataFrame([(1, "x", 5), (2, "x", 5), (3, "y", 4), (4, "z", -1)], "id long, exact_key string, value long")
     got = history.near_groups(prints.withColumn("value", counted("value"))).orderBy("id").collect()
     assert [(r.id, r.group, r.members) for r in got] == [(1, 1, 3), (2, 1, 3), (3, 1, 3)] and seen.value == 4
+
+
+def test_index_rows_are_made_in_small_batches(spark, tmp_path):
+    @F.arrow_udf("int")
+    def rows_at_once(text: pa.Array) -> pa.Array:
+        return pa.array([len(text)] * len(text), pa.int32())
+
+    docs = spark.range(3000).selectExpr("id AS doc_id", "1 AS revision", "repeat('word ', 400) AS text").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    refresh.refresh(docs, str(tmp_path), also={"n": rows_at_once(F.col("text"))})
+    assert refresh.index_rows(spark, str(tmp_path)).agg(F.max("n")).first()[0] < 1500
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before

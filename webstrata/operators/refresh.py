@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from webstrata.functions.text import hamming_similarity, normalize_search
 from webstrata.operators.history import _join_keys, near_links, simhash64, smallest_labels
 from webstrata.operators.vectors import hashed_vector
-from webstrata.storage import complete_numbers, written
+from webstrata.storage import complete_numbers, small_batches, written
 
 PARTS = 8
 #: What the index rows are made by; another recipe makes all of them anew.
@@ -99,7 +99,8 @@ def refresh(docs: DataFrame, path: str, *, id_col="doc_id", revision_col="revisi
     rows = indexed(changed, recipe, also or {})
     if gone is not None:
         rows = rows.unionByName(gone.select("*", *[F.lit(None).cast(t).alias(n) for n, t in rows.dtypes if n not in ("id", "revision", "recipe", "live")], F.lit(False).alias("live")))
-    rows.write.mode("overwrite").parquet(f"{part}/index")
+    with small_batches(spark):
+        rows.write.mode("overwrite").parquet(f"{part}/index")
     new = spark.read.parquet(f"{part}/index")
     counts = {r.live: r["count"] for r in new.groupBy("live").count().collect()}
     total = own.count()
