@@ -1,5 +1,6 @@
 """Timers, the resumable index source and cut windows: restarts, rows in any order, ranges covered."""
 
+import json
 import random
 
 import pytest
@@ -148,3 +149,23 @@ def test_micro_windows_any_state(spark):
     got = sorted((r.a, r.b) for r in got.select(W.seconds(F.col("a")).alias("a"), W.seconds(F.col("b")).alias("b")).collect())
     want = brute_rejoined(rows)
     assert got == want and len(want) < 3000
+
+
+def test_pages_hold_the_rows_they_are_asked_to_hold(spark, tmp_path, monkeypatch):
+    """Keys of all windows lie in one range; a page still has its rows, and of all but last pages only the end is read."""
+    orders = spark.range(2000).selectExpr("id AS o_orderkey", "make_date(cast(1990 + id % 10 AS int), 1, 2) AS o_orderdate")
+    collection.written_index(spark, orders, f"{tmp_path}/pages", 100, full=True)
+    index = index_source._Index(f"{tmp_path}/pages")
+    assert index.windows() == [str(1990 + k) for k in range(10)]
+    monkeypatch.setattr(index_source, "TAIL", 64)
+    whole = index.page
+    for window in index.windows():
+        key, sizes, read = index_source.FIRST, [], []
+        while key is not None:
+            rows = index_source.json.loads(whole(window, key))
+            sizes.append(len(rows) - 1 - (2 if rows[-2] == [] else 0))
+            monkeypatch.setattr(index, "page", lambda w, k: read.append(k) or whole(w, k))
+            key = index.after(window, key)
+        assert sizes == [100, 100] and len(read) == 1
+    odd = json.dumps([["h"], ["a],[],[\"x\"]]"], [], ["ké\"y\\"]], ensure_ascii=False)
+    assert index_source.next_key(odd) == 'ké"y\\' and index_source.next_key(json.dumps([["h"], ['],[],["x"]]']])) is None

@@ -161,11 +161,19 @@ def stream_retry_timers(spark, sf):
     return out.select("capture_id", "kind", "attempts", F.col("at").cast("timestamp_ntz").alias("at"))
 
 
-def written_index(spark, orders, path: str, rows_in_page: int) -> None:
-    """Orders as an index on disk: a window for each year, a chain of pages by ranges of order keys, each with the key of the next."""
+def written_index(spark, orders, path: str, rows_in_page: int, full: bool = False) -> None:
+    """Orders as an index on disk: a window for each year, a chain of pages by ranges of order keys, each with the key of the next.
+
+    A range has as many keys as a page may have rows, most of them in other windows; ``full``: ranges are put together until a page has its rows.
+    """
     r = F.array(F.date_format("o_orderdate", "yyyyMMddHHmmss"), F.concat(F.lit("http://a.example/"), F.col("o_orderkey").cast("string")))
-    o = orders.select(F.date_format("o_orderdate", "yyyy").alias("window"), F.floor(F.col("o_orderkey") / rows_in_page).alias("number"), r.alias("r"))
-    pages = o.groupBy("window", "number").agg(F.sort_array(F.collect_list("r")).alias("rows"))
+    placed = orders.select(F.date_format("o_orderdate", "yyyy").alias("window"), F.floor(F.col("o_orderkey") / rows_in_page).alias("number"), r.alias("r"))
+    if full:
+        w = Window.partitionBy("of").orderBy("range")  # of a window's ranges, not its rows
+        sums = placed.groupBy(F.col("window").alias("of"), F.col("number").alias("range")).count()
+        page = sums.select("of", "range", F.floor((F.sum("count").over(w) - 1) / rows_in_page).alias("page"))
+        placed = placed.join(page, F.col("window").eqNullSafe(F.col("of")) & F.col("number").eqNullSafe(F.col("range"))).select("window", F.col("page").alias("number"), "r")
+    pages = placed.groupBy("window", "number").agg(F.sort_array(F.collect_list("r")).alias("rows"))
     w = Window.partitionBy("window").orderBy("number")  # of a window's pages, not its rows
     key = F.substring(F.sha2(F.concat_ws("|", "window", F.col("number").cast("string")), 256), 1, 16)
     keyed = pages.withColumn("own", key).withColumn("next", F.lead("own").over(w)).withColumn("key", F.when(F.lag("own").over(w).isNull(), index_source.FIRST).otherwise(F.col("own")))
@@ -178,7 +186,7 @@ def written_index(spark, orders, path: str, rows_in_page: int) -> None:
 def stream_index_pages(spark, sf):
     """The index read as a stream, five pages of each window at a time, by the resume keys in its pages."""
     path = new_path(spark, "index")
-    written_index(spark, table(spark, sf, "orders"), f"{path}/pages", 5000)
+    written_index(spark, table(spark, sf, "orders"), f"{path}/pages", 5000, full=True)
     pages = index_source.pages_to_end(index_source.index_stream(spark, f"{path}/pages", 5), path)
     named = pages.select(F.concat_ws("/", "window", "page").alias("page"), "value")
     return cdx.rows_of(cdx.parse_json(named), ("timestamp", "original")).select(F.substring_index("page", "/", 1).alias("window"), "timestamp", "original")

@@ -10,6 +10,7 @@ Windows may be added while the stream runs. Pages can lie in any store that Arro
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 from pyarrow import fs
@@ -17,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 FIRST = "start"
+#: Bytes at the end of a page that hold a resume key of usual length, and its form: a quote behind a bracket opens a string there, as one within a string is escaped.
+TAIL = 4096
+_RESUME = re.compile(r'\]\s*,\s*\[\s*\]\s*,\s*(\[\s*"(?:[^"\\]|\\.)*"\s*\])\s*\]\s*$')
 
 
 class _Index:
@@ -29,17 +33,32 @@ class _Index:
         found = self.files.get_file_info(fs.FileSelector(self.root, allow_not_found=True))
         return sorted(f.base_name.partition("=")[2] for f in found if f.type == fs.FileType.Directory and f.base_name.startswith("window="))
 
-    def page(self, window: str, key: str) -> str:
+    def _file(self, window: str, key: str) -> str:
         parts = self.files.get_file_info(fs.FileSelector(f"{self.root}/window={window}/key={key}"))
         names = [p.path for p in parts if p.is_file and not p.base_name.startswith(("_", "."))]
         if len(names) != 1:
             raise ValueError(f"the index has {len(names)} pages for window {window}, key {key}")
-        with self.files.open_input_stream(names[0], compression=None) as f:
+        return names[0]
+
+    def page(self, window: str, key: str) -> str:
+        with self.files.open_input_stream(self._file(window, key), compression=None) as f:
             return f.read().decode("utf-8")
 
+    def after(self, window: str, key: str) -> str | None:
+        """The key of the next page. Only the end of a page is read, but of the last one of a window."""
+        with self.files.open_input_file(self._file(window, key)) as f:
+            size = f.size()
+            f.seek(max(0, size - TAIL))
+            end = f.read().decode("utf-8", "ignore")  # may begin within a character
+        found = _RESUME.search(end)
+        return json.loads(found[1])[0] if found else next_key(self.page(window, key))
+
 
 def next_key(page: str) -> str | None:
-    """The resume key at the end of a page, if it has one."""
+    """The resume key at the end of a page, if it has one; only the end is read, if it has the usual form."""
+    found = _RESUME.search(page, max(0, len(page) - TAIL))
+    if found:
+        return json.loads(found[1])[0]
     rows = json.loads(page)
     return rows[-1][0] if len(rows) >= 3 and rows[-2] == [] and len(rows[-1]) == 1 else None
 
@@ -65,7 +84,7 @@ class IndexReader(DataSourceStreamReader):
             for _ in range(self.pages):
                 if key is None:
                     break
-                key = next_key(index.page(window, key))
+                key = index.after(window, key)
             reached[window] = key
         return {"windows": reached}
 
