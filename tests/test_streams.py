@@ -61,6 +61,49 @@ def test_timers_over_files(spark, tmp_path, files):
     assert {g[1] for g in got} == {"attempt", "end"}
 
 
+def test_timers_of_many_captures_share_state(spark, tmp_path):
+    """Over five batches 400 captures (null, 0 and very large ids too) have at most a timer and three state entries for each group."""
+    rng = random.Random(20)
+    big = 2**53 + 1
+    users = [None, 0, big, big + 1, -5, *range(1, 396)]
+    events = [(rng.choice(users[:5]) if k % 9 == 0 else users[k % 400], rng.randint(0, 300) * HOUR // 4 + 1_700_000_000_000_000, k, rng.random() < 0.7) for k in range(2800)]
+    mixed = sorted(events, key=lambda e: e[1] + rng.random() * 20 * HOUR)
+    schema = "user_id long, at long, event_id long, event_type string"
+    for k, rows in enumerate([*(mixed[i : i + 700] for i in range(0, 2800, 700)), [(None, 1_800_000_000_000_000, -1, None)]]):
+        made = [(u, t, n, None if f is None else "error" if f else "ok") for u, t, n, f in rows]
+        spark.createDataFrame(made, schema).select("user_id", F.timestamp_micros("at").alias("ts"), "event_id", "event_type").coalesce(1).write.parquet(f"{tmp_path}/in/{k:03}")
+    schema = "user_id long, ts timestamp, event_id long, event_type string"
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    with timers.rocksdb_state(spark):
+        out = timers.retry_timers(reader, late="1 day", base=3 * 3600, most=10 * 3600, limit=3, seconds=9 * 3600, groups=6)
+        write = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{tmp_path}/rows/generation={epoch}")
+        running = out.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+        running.awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/rows").select("capture_id", "kind", "attempts", F.unix_micros("at").alias("at")).collect()
+    want = brute_timers([e for e in events if e[0] is not None], 3 * 3600, 10 * 3600, 3, 9 * 3600)
+    want += [(None, *r[1:]) for r in brute_timers([(0, *e[1:]) for e in events if e[0] is None], 3 * 3600, 10 * 3600, 3, 9 * 3600)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert {None, 0, big, big + 1} <= {r.capture_id for r in got}
+    kept = [p.stateOperators[0] for p in running.recentProgress]
+    assert 0 < max(o.customMetrics["numRegisteredTimers"] for o in kept) <= 2 * 7  # set on input, and again when it has fired
+    assert max(o.numRowsTotal for o in kept) <= 7 * (4 * 2 + 3)  # for each group: a part of what waits for each batch still within the delay, its place, and the other entries
+
+
+def test_timers_after_a_pause(spark, tmp_path):
+    """A group whose timers have all fired, with nothing left in its state, takes up the next events."""
+    start = 1_700_000_000_000_000
+    events = [(1, start, 0, "ok"), (None, start + 72 * HOUR, 1, None), (1, start + 80 * HOUR, 2, "error"), (None, start + 1000 * HOUR, 3, None)]
+    for k, row in enumerate(events):
+        made = spark.createDataFrame([row], "user_id long, at long, event_id long, event_type string")
+        made.select("user_id", F.timestamp_micros("at").alias("ts"), "event_id", "event_type").coalesce(1).write.parquet(f"{tmp_path}/in/{k:03}")
+    schema = "user_id long, ts timestamp, event_id long, event_type string"
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    with timers.rocksdb_state(spark):
+        out = jobs.run_to_end(timers.retry_timers(reader, late="1 day", base=3600, most=3600, limit=3, seconds=9 * 3600), str(tmp_path / "out"), "append")
+    got = [tuple(r) for r in out.select("capture_id", "kind", "attempts", F.unix_micros("at").alias("at")).collect()]
+    assert got == [(1, "attempt", 1, start + 80 * HOUR + timers.delay_micros(1, 1, 3600, 3600))]
+
+
 def test_index_source_restarts(spark, tmp_path):
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     collection.written_index(spark, orders.where("year(o_orderdate) < 1997"), f"{tmp_path}/pages", 500)
