@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from webstrata.functions.text import clean_space
+from webstrata.operators import automaton
 from webstrata.operators import keyword_scan as K
 from webstrata.operators import rule_sets as RS
 
@@ -83,6 +84,44 @@ def test_many_rules_keep_the_plan_small(spark):
             assert dict(r.hits).get(rule.label, 0) == total
 
 
+def test_totals_equal_the_maps_of_a_scan(spark):
+    """Also where literals overlap themselves, in other spaces and cases, and for rules that are not all literals."""
+    texts = ["aaaa a a a a", "the  the\tthe\n the", "a\u00a0b a_b A b", "kelvin K elvin ſum sum İi ı", "", None, "é the a é", "banana ananas\u2028a b"]
+    docs = spark.createDataFrame([(k, t, t if k % 2 else (t or "").lower()) for k, t in enumerate(texts)], "id int, body string, body_s string")
+    lines = ["a", "aa", "a a", "the the", "high: the", "a b", "a_b", "exact: ana", "exclude: nana", "sum", "kelvin", "i", "k"]
+    for more in ([], ["required: a a a"], ["straße | whole", "regex: a+"]):
+        rules = K.parse_rules(lines + more)
+        want = RS.scan(docs, rules, {"body": ("body", "body_s")}, bonuses=False)
+        want = want.select("id", F.size("hits").alias("labels"), F.aggregate(F.map_values("hits"), F.lit(0), lambda a, x: a + x).alias("hits"), "excluded", "required_missing", "score")
+        got = RS.totals(docs, rules, "body", "body_s").select(want.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_literals_are_counted_for_all_texts_at_once(monkeypatch):
+    """No document of thousands of literal rules is rated rule by rule, and no pattern or label is touched for it."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcde", k=rng.randint(1, 5))) for _ in range(400)]
+    rules = [K.Rule(x, x, rng.choice(["optional", "exact"]), rng.random()) for x in sorted({" ".join(rng.choices(words, k=rng.randint(1, 3))) for _ in range(3000)})]
+    texts = [" ".join(rng.choices(words, k=n)) for n in (0, 1, 40, 900)]
+    slow = RS.Totals(rules, "body")
+    want = [slow.one(t, t) for t in texts]
+    monkeypatch.setattr(RS, "_rated", None)
+    monkeypatch.setattr(RS, "RuleSet", None)
+    got = RS.Totals(rules, "body").of(texts, texts).to_pylist()
+    assert [tuple(r.values()) for r in got] == want and want[3][0] > 3000
+
+
+def test_automaton_counts_as_str_does():
+    rng = random.Random(3)
+    for n in range(60):
+        letters = "ab "[: 1 + n % 3] if n % 2 else "abcd e"
+        literals = list({"".join(rng.choices(letters, k=rng.randint(1, rng.choice([3, 6, 40])))) for _ in range(rng.randint(1, 60))})
+        texts = ["".join(rng.choices(letters + "éz", k=rng.choice([0, 3, 50, 2000]))) for _ in range(rng.randint(1, 6))]
+        got = {(int(t), int(k)): int(c) for t, k, c in zip(*automaton.Automaton(literals).counts(texts), strict=True)}
+        assert got == {(t, k): x.count(y) for t, x in enumerate(texts) for k, y in enumerate(literals) if y in x}
+    assert not any(map(automaton.fits, ([], [""], ["é"], ["a", "a"], ["a\tb"], ["a" * 600])))
+
+
 def test_rule_sets_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(RS, "RULE_BYTES", 100)
     with pytest.raises(ValueError, match="cut it into several"):

@@ -14,10 +14,14 @@ from collections.abc import Sequence
 from itertools import combinations
 from re import _parser
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructType
 
+from webstrata.functions.slices import sliced
+from webstrata.operators.automaton import Automaton, fits
 from webstrata.operators.keyword_scan import FIELD_WEIGHTS, PARAGRAPHS, PROXIMITY_WORDS, SENTENCES, Rule, _least_gap, rules_json
 from webstrata.storage import once
 
@@ -31,6 +35,9 @@ _FOLDED = str.maketrans({"ı": "i", "ſ": "s", "K": "k"})
 
 _ODD_SPACE = re.compile(r"[^\S ]|  ")
 _SEPARATED = re.compile(r"[\s_]+")
+_SPACE = re.compile(r"\s+")
+#: What matches an ASCII letter without being one in lower case.
+_OTHER_CASE = re.compile("[A-ZİıſK]")
 
 
 def folded(text: str) -> str:
@@ -213,6 +220,11 @@ def _rated(rules: RuleSet, names: list[str], originals: list[str | None], search
     }
 
 
+def _score(r: Column, near: Column) -> Column:
+    score = r.base + F.when(r.labels >= 2, 3 * r.labels).otherwise(0) + near
+    return F.when(r.excluded | r.required_missing | (score <= 0), 0).otherwise(F.greatest(F.lit(1), F.bround(score))).cast("int")
+
+
 def scan(docs: DataFrame, rules: Sequence[Rule], fields: dict[str, tuple[str, str]], *, bonuses: bool = True) -> DataFrame:
     """As ``keyword_scan.scan``, for any number of rules up to ``RULE_BYTES``; ``proximity`` comes with ``bonuses`` only.
 
@@ -234,10 +246,76 @@ def scan(docs: DataFrame, rules: Sequence[Rule], fields: dict[str, tuple[str, st
 
     rated = once(docs, __r=rate(*[F.col(f"`{c}`").cast("string") for c in forms]))
     r = F.col("__r")
-    score = r.base + F.when(r.labels >= 2, 3 * r.labels).otherwise(0) + r.near
-    final = F.when(r.excluded | r.required_missing | (score <= 0), 0).otherwise(F.greatest(F.lit(1), F.bround(score)))
     extra = [r.proximity.alias("proximity")] if bonuses and sum(x.kind != "excluded" for x in held) >= 2 else []
-    return rated.select(*[F.col(f"`{c}`") for c in docs.columns], r.hits.alias("hits"), r.hit_fields.alias("hit_fields"), r.excluded.alias("excluded"), r.required_missing.alias("required_missing"), *extra, final.cast("int").alias("score"))
+    return rated.select(*[F.col(f"`{c}`") for c in docs.columns], r.hits.alias("hits"), r.hit_fields.alias("hit_fields"), r.excluded.alias("excluded"), r.required_missing.alias("required_missing"), *extra, _score(r, r.near).alias("score"))
+
+
+_TOTALS = StructType().add("hits", LongType()).add("found", IntegerType()).add("excluded", BooleanType()).add("required_missing", BooleanType()).add("base", DoubleType()).add("labels", IntegerType())
+
+
+def _literals(rules: Sequence[Rule]) -> list[str] | None:
+    """What each rule counts, if all are literals with a label and a text of their own that an automaton's table holds."""
+    if any(r.kind == "regex" or r.whole_word or r.case_sensitive for r in rules) or len({r.label for r in rules}) < len(rules):
+        return None
+    texts = [" ".join(r.expression.lower().replace("_", " ").split()) if " " in r.expression else r.expression.lower() for r in rules]
+    return texts if fits(texts) else None
+
+
+class Totals:
+    """Sums over the rules in one field, ``_TOTALS`` for each text; literal rules are counted in all texts at once."""
+
+    def __init__(self, rules: Sequence[Rule], name: str):
+        self.rules, self.name, self.slow = list(rules), name, None
+        literals = _literals(self.rules)
+        self.automaton = Automaton(literals) if literals else None
+        kinds = np.array([r.kind for r in self.rules], object)
+        self.excluded, self.required = kinds == "excluded", kinds == "required"
+        self.weight, self.twice = np.array([r.weight for r in self.rules], np.float64), np.where(kinds == "exact", 2, 1)
+
+    def one(self, original: str | None, searched: str | None) -> tuple:
+        """By the rules one by one."""
+        self.slow = self.slow or RuleSet(self.rules)
+        r = _rated(self.slow, [self.name], [original], [searched], False)
+        return sum(n for _, n in r["hits"]), len(r["hits"]), r["excluded"], r["required_missing"], r["base"], r["labels"]
+
+    def of(self, originals: list[str | None], searched: list[str | None]) -> pa.Array:
+        if not self.automaton:
+            columns = list(zip(*map(self.one, originals, searched), strict=True)) or [[]] * len(_TOTALS)
+        else:
+            # words of a phrase may have any spaces between them; no literal holds other spaces than one
+            texts = [_SPACE.sub(" ", t) if t and _ODD_SPACE.search(t) else t or "" for t in searched]
+            odd = [k for k, t in enumerate(texts) if _OTHER_CASE.search(t)]
+            for k in odd:
+                texts[k] = ""
+            text, rule, n = self.automaton.counts(texts)
+            size, out = len(texts), self.excluded[rule]
+            part = np.where(out, 0.0, np.minimum(n, 10) * FIELD_WEIGHTS[self.name] * self.weight[rule] * self.twice[rule])
+            each = lambda of, weights=None: np.bincount(of, weights, size)
+            hits, base = np.zeros(size, np.int64), each(text, part)
+            np.add.at(hits, text, n)
+            missing = each(text[self.required[rule]]) < self.required.sum()
+            columns = [c.tolist() for c in (hits, each(text), each(text[out]) > 0, missing, base, each(text[~out]))]
+            for k in odd:
+                for c, v in zip(columns, self.one(originals[k], searched[k]), strict=True):
+                    c[k] = v
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.float64(), pa.int32()), strict=True)], _TOTALS.names)
+
+
+def totals(docs: DataFrame, rules: Sequence[Rule], original: str, searched: str, name: str = "body") -> DataFrame:
+    """As ``scan`` without bonuses over one field, with numbers instead of maps: the labels found, and hits of all rules."""
+    if len(rules_json(rules)) > RULE_BYTES:
+        raise ValueError(f"a rule set of more than {RULE_BYTES} bytes; cut it into several")
+    held, ready = list(rules), []
+
+    @sliced(_TOTALS)
+    def summed(originals: list, texts: list) -> pa.Array:
+        if not ready:
+            ready.append(Totals(held, name))
+        return ready[0].of(originals, texts)
+
+    rated = once(docs, __r=summed(F.col(f"`{original}`").cast("string"), F.col(f"`{searched}`").cast("string")))
+    r = F.col("__r")
+    return rated.select(*[F.col(f"`{c}`") for c in docs.columns], r.found.alias("labels"), r.hits.alias("hits"), r.excluded.alias("excluded"), r.required_missing.alias("required_missing"), _score(r, F.lit(0)).alias("score"))
 
 
 def _contexts(text: str, spans: list[tuple[int, int]], radius: int) -> list[str]:
