@@ -136,3 +136,13 @@ def test_index_rows_are_made_in_small_batches(spark, tmp_path):
     refresh.refresh(docs, str(tmp_path), also={"n": rows_at_once(F.col("text"))})
     assert refresh.index_rows(spark, str(tmp_path)).agg(F.max("n")).first()[0] < 1500
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_no_join_of_the_index_is_gathered_by_the_driver(spark):
+    """Small files may hold rows that explode to fifty times their size; a broadcast of any size fails here."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1")
+    try:
+        rows = catalog.QUERIES["index_refreshed"](spark, "/root/testdata/sf0.001")
+        assert rows.where("part > 0").count() > 10
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")

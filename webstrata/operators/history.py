@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType, LongType
 from webstrata.functions.slices import sliced
 from webstrata.functions.text import clean_space, hamming_similarity, normalize_search
 from webstrata.operators.similarity import ratios
-from webstrata.storage import new_path, written
+from webstrata.storage import new_path, sorted_in, written
 
 #: Line ends as text editors know them.
 LINES = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
@@ -178,10 +178,10 @@ def near_links(prints: DataFrame, threshold: float = 0.9) -> DataFrame:
     banded = nodes.select("node", "value", F.explode(F.array(*_join_keys(F.col("value"), int(64 * (1 - threshold) + 1e-9)))).alias("key"))
     a, b = banded.select(F.col("node").alias("a"), F.col("value").alias("va"), "key"), banded.select(F.col("node").alias("b"), F.col("value").alias("vb"), "key")
     sim = hamming_similarity(F.col("va"), F.col("vb"))
-    near = a.join(b, "key").where((F.col("a") < F.col("b")) & (sim >= threshold)).select("a", "b", sim.alias("similarity")).distinct()
-    own = prints.join(nodes, "value").where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    near = a.join(sorted_in(b), "key").where((F.col("a") < F.col("b")) & (sim >= threshold)).select("a", "b", sim.alias("similarity")).distinct()
+    own = prints.join(sorted_in(nodes), "value").where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
     keys = prints.groupBy("exact_key").agg(F.min("id").alias("a"))
-    same = prints.join(keys, "exact_key").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    same = prints.join(sorted_in(keys), "exact_key").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
     return near.unionByName(own).unionByName(same).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
@@ -208,9 +208,9 @@ def smallest_labels(links: DataFrame) -> DataFrame:
     both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).toDF("id", "other"), "labels")
     labels = written(both.groupBy("id").agg(F.least(F.first("id"), F.min("other")).alias("label")), "labels")
     while True:
-        around = both.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id").agg(F.min("label").alias("near"))
-        stepped = labels.join(around, "id", "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
-        jumped = stepped.join(labels.select(F.col("id").alias("new"), F.col("label").alias("further")), "new", "left")
+        around = both.join(sorted_in(labels.select(F.col("id").alias("other"), "label")), "other").groupBy("id").agg(F.min("label").alias("near"))
+        stepped = labels.join(sorted_in(around), "id", "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
+        jumped = stepped.join(sorted_in(labels.select(F.col("id").alias("new"), F.col("label").alias("further"))), "new", "left")
         now = written(jumped.select("id", F.col("label").alias("old"), F.least("new", F.coalesce("further", "new")).alias("label")), "labels")
         if now.where("old <> label").isEmpty():
             return now.select("id", "label")

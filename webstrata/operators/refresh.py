@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from webstrata.functions.text import hamming_similarity, normalize_search
 from webstrata.operators.history import _join_keys, near_links, simhash64, smallest_labels
 from webstrata.operators.vectors import hashed_vector
-from webstrata.storage import complete_numbers, small_batches, written
+from webstrata.storage import complete_numbers, small_batches, sorted_in, written
 
 PARTS = 8
 #: What the index rows are made by; another recipe makes all of them anew.
@@ -46,7 +46,7 @@ def _live(spark: SparkSession, path: str, table: str, of: list[int]) -> DataFram
     kept = []
     for n, k in enumerate(of):
         later = [read[j].select("id") for j in of[n + 1 :]]
-        kept.append(read[k].join(_union(later), "id", "left_anti") if later else read[k])
+        kept.append(read[k].join(sorted_in(_union(later)), "id", "left_anti") if later else read[k])
     return _union(kept)
 
 
@@ -72,8 +72,9 @@ def _links_to(new: DataFrame, every: DataFrame, threshold: float) -> DataFrame:
     """(id): documents that a new fingerprint or text links to. Equal fingerprints and texts meet by value, others by key."""
     keys = F.explode(F.array(*_join_keys(F.col("value"), int(64 * (1 - threshold) + 1e-9)))).alias("key")
     a, b = new.select("value").distinct().select(F.col("value").alias("va"), keys), every.groupBy("value").agg(F.first("value").alias("v")).select("value", keys)
-    near = b.join(a, "key").where(hamming_similarity(F.col("value"), F.col("va")) >= threshold).select("value").distinct()
-    return every.join(near, "value", "left_semi").select("id").union(every.join(new.select("exact_key").distinct(), "exact_key", "left_semi").select("id")).distinct()
+    near = b.join(sorted_in(a), "key").where(hamming_similarity(F.col("value"), F.col("va")) >= threshold).select("value").distinct()
+    texts = new.select("exact_key").distinct()
+    return every.join(sorted_in(near), "value", "left_semi").select("id").union(every.join(sorted_in(texts), "exact_key", "left_semi").select("id")).distinct()
 
 
 def refresh(docs: DataFrame, path: str, *, id_col="doc_id", revision_col="revision", text_col="text", recipe: str = RECIPE, also: dict[str, Column] | None = None, threshold: float = THRESHOLD, most_parts: int = PARTS) -> dict[str, int]:
@@ -91,8 +92,8 @@ def refresh(docs: DataFrame, path: str, *, id_col="doc_id", revision_col="revisi
     if before:
         old = written(_live(spark, path, "index", before).where("live").select("id", "revision", "recipe", "exact_key", "value"), "index")
         same = (own["id"] == old["id"]) & own["revision"].eqNullSafe(old["revision"]) & (old["recipe"] == F.lit(recipe))
-        changed = own.join(old, same, "left_anti")
-        gone = old.join(own, "id", "left_anti").select("id", "revision", "recipe")
+        changed = own.join(sorted_in(old), same, "left_anti")
+        gone = old.join(sorted_in(own), "id", "left_anti").select("id", "revision", "recipe")
     else:
         changed, old, gone = own, None, None
     part = f"{path}/part={number}"
@@ -113,13 +114,13 @@ def refresh(docs: DataFrame, path: str, *, id_col="doc_id", revision_col="revisi
         labels = _live(spark, path, "labels", before).where("label is not null").select("id", "label")
         fresh = new.where("live and value is not null")
         touched = written(new.select("id").union(_links_to(fresh, prints, threshold)).distinct(), "touched")
-        groups = labels.join(touched, "id", "left_semi").select("label").distinct()
-        affected = written(touched.union(labels.join(groups, "label", "left_semi").select("id")).distinct(), "affected")
-        prints = written(prints.join(affected, "id", "left_semi"), "prints")
+        groups = labels.join(sorted_in(touched), "id", "left_semi").select("label").distinct()
+        affected = written(touched.union(labels.join(sorted_in(groups), "label", "left_semi").select("id")).distinct(), "affected")
+        prints = written(prints.join(sorted_in(affected), "id", "left_semi"), "prints")
     else:
         affected = prints.select("id")
     links = written(near_links(prints, threshold), "links")
-    affected.join(smallest_labels(links), "id", "left").select("id", "label").write.mode("overwrite").parquet(f"{part}/labels")
+    affected.join(sorted_in(smallest_labels(links)), "id", "left").select("id", "label").write.mode("overwrite").parquet(f"{part}/labels")
     if len(now) > most_parts:
         number += 1
         for table in ("index", "labels"):
